@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm import bpe as op9
+from corpusloom.llm import knn_join as op7
 from corpusloom.llm import pii as op5
 from corpusloom.llm import quality_rules as op1
+from corpusloom.llm import simhash_neardup as op4
 from corpusloom.llm import source_mixing as op2
 
 
+#: Vocabulary file of the BPE query.
+VOCABULARY = "word_bpe_49k.json"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -35,12 +43,31 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op4.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", op4.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op7_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7.top_k(table(spark, sf_dir, "embeddings"), F.coalesce(F.col("vec_id") % 20 == 0, F.lit(False)))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    path = vocabulary or public_tokenizers.path(VOCABULARY)
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", op9.digests(spark, F.col("text"), path).alias("d")).select("doc_id", "d.*")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mix_sources": op2_mix_sources,
+    "op4_simhash_near_duplicates": op4_simhash_near_duplicates,
     "op5_pii": op5_pii,
+    "op7_knn_join": op7_knn_join,
+    "op9_bpe": op9_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": op2.ORACLE,
+    "op7_knn_join": op7.ORACLE,
 }
