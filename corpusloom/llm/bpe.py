@@ -32,7 +32,7 @@ PIECES_KEPT = 1 << 19
 WORDS_KEPT = 1 << 17
 LONGEST_KEPT = 64
 #: White space of Unicode; Python's own class has U+001C to U+001F besides.
-SPACE = r"[\t-\r \x85\xa0  -     　]+"
+SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 _SPACES = regex.compile(SPACE)
 _SEPARATORS = regex.compile(r"[\x1c-\x1f]")
 NO_PAIR = 1 << 62

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import bpe as op9
 from corpusloom.llm import knn_join as op7
+from corpusloom.llm import license_scan as op3
 from corpusloom.llm import pii as op5
 from corpusloom.llm import quality_rules as op1
 from corpusloom.llm import simhash_neardup as op4
 from corpusloom.llm import source_mixing as op2
+from corpusloom.llm import warc as op8
 
 
 #: Vocabulary file of the BPE query.
@@ -43,6 +45,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "documents").select("doc_id", op3.scan_licenses(F.col("text")).alias("r"))
+    return found.select("doc_id", *[f"r.{c}" for c in op3.FIELDS if c != "matches"])
+
+
 def op4_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = op4.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", op4.hex16(F.col("fp")).alias("fingerprint"), "component_id")
@@ -52,6 +59,10 @@ def op7_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7.top_k(table(spark, sf_dir, "embeddings"), F.coalesce(F.col("vec_id") % 20 == 0, F.lit(False)))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     docs = table(spark, sf_dir, "documents")
@@ -61,13 +72,16 @@ def op9_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mix_sources": op2_mix_sources,
+    "op3_license_scan": op3_license_scan,
     "op4_simhash_near_duplicates": op4_simhash_near_duplicates,
     "op5_pii": op5_pii,
     "op7_knn_join": op7_knn_join,
+    "op8_warc": op8_warc,
     "op9_bpe": op9_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": op2.ORACLE,
     "op7_knn_join": op7.ORACLE,
+    "op8_warc": op8.ORACLE,
 }
