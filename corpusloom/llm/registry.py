@@ -5,17 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import bpe as op9
 from corpusloom.llm import knn_join as op7
 from corpusloom.llm import license_scan as op3
 from corpusloom.llm import pii as op5
+from corpusloom.llm import quality_model as op10
 from corpusloom.llm import quality_rules as op1
 from corpusloom.llm import simhash_neardup as op4
 from corpusloom.llm import source_mixing as op2
+from corpusloom.llm import toxicity as op6
 from corpusloom.llm import warc as op8
+from corpusloom.llm.labelled import fold
 
 
 #: Vocabulary file of the BPE query.
@@ -55,6 +58,17 @@ def op4_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", op4.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def _scored(docs: DataFrame, held: Column, score: Column, threshold: float) -> DataFrame:
+    rows = docs.select("doc_id", held.alias("held_out"), score.alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 4) == 2
+    machine = op6.train(docs, table(spark, sf_dir, "labels"), ~held)
+    return _scored(docs, held, op6.score(F.col("text"), machine), op6.THRESHOLD)
+
+
 def op7_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7.top_k(table(spark, sf_dir, "embeddings"), F.coalesce(F.col("vec_id") % 20 == 0, F.lit(False)))
 
@@ -69,15 +83,23 @@ def op9_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
     return docs.select("doc_id", op9.digests(spark, F.col("text"), path).alias("d")).select("doc_id", "d.*")
 
 
+def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) == 0
+    network = op10.train(docs, table(spark, sf_dir, "labels"), ~held)
+    return _scored(docs, held, op10.score(F.col("text"), network), op10.THRESHOLD)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mix_sources": op2_mix_sources,
     "op3_license_scan": op3_license_scan,
     "op4_simhash_near_duplicates": op4_simhash_near_duplicates,
     "op5_pii": op5_pii,
+    "op6_toxicity": op6_toxicity,
     "op7_knn_join": op7_knn_join,
     "op8_warc": op8_warc,
     "op9_bpe": op9_bpe,
+    "op10_quality_model": op10_quality_model,
 }
 
 ORACLE_SQL: dict[str, str] = {
