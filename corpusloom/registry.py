@@ -1,11 +1,7 @@
 """Queries over the driver's tables, by name, with the SQL that must give the same rows."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from corpusloom.plans.queries import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "lexical_top_chunks"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
