@@ -166,8 +166,8 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
                 found = [(headers, block)]
         except Damaged:
             gap = at if gap is None else gap
-            at = data.find(MAGIC, at + 1) if zipped else data.find(b"\n" + VERSION, at) + 1
-            if at <= gap:
+            at = data.find(MAGIC if zipped else VERSION, at + 1)
+            if at < 0:
                 break
             continue
         if gap is not None:
