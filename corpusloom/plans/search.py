@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators import answer, embed, evaluate, retrieve
+from corpusloom.session import stored
 
 
 @dataclass(frozen=True)
@@ -89,7 +90,8 @@ def search_debug(queries: DataFrame, chunks: DataFrame, config: SearchConfig) ->
 def answer_questions(questions: DataFrame, messages: DataFrame, chunks: DataFrame, config: SearchConfig) -> tuple[DataFrame, DataFrame]:
     """Answers and citations. questions: conv_id, question; messages: conv_id, turn, role, content."""
     asked = answer.conversation_query(messages, questions).select(F.col("conv_id").cast("string").alias("qid"), "query")
-    hits, context = search_with_context(asked, chunks, config)
+    hits = stored(search(asked, chunks, config), "hits")
+    context = retrieve.select_context(hits, config.budget)
     full = context.join(hits.select("qid", "chunk_id", "text", "score", "document_id", "version_id"), ["qid", "chunk_id"])
     answers = answer.extractive_answers(questions.select(F.col("conv_id").cast("string").alias("qid"), "question"), full)
     used = answers.select("qid", F.posexplode("used").alias("position", "chunk_id"))
@@ -99,7 +101,9 @@ def answer_questions(questions: DataFrame, messages: DataFrame, chunks: DataFram
 def evaluate_run(records: DataFrame, chunks: DataFrame, config: SearchConfig, name: str) -> DataFrame:
     """One row of mean metrics over records (qid, question, expected_answer, relevant)."""
     asked = records.select("qid", F.col("question").alias("query"))
-    hits, context = search_with_context(asked, chunks, config)
+    # Metrics read the hits and the context several times; both are at most top_k rows a question.
+    hits = stored(search(asked, chunks, config), "hits")
+    context = stored(retrieve.select_context(hits, config.budget), "context")
     found = hits.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "document_id"))).alias("_h"))
     full = context.join(hits.select("qid", "chunk_id", "text", "score", "document_id", "version_id"), ["qid", "chunk_id"])
     texts = full.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda c: c["text"]).alias("contexts"))
