@@ -1,17 +1,21 @@
 """Exact top-k by inner product: a Voronoi join with bounds from group summaries.
 
-A bounded set of pivots cuts the queries into groups by nearest pivot. A group's
-summary is its radius R: for any query q of the group with pivot p and any row
-x, |q.x - p.x| <= R |x|. So the (k+1)-th largest p.x - R|x| is a score that every
-query of the group is sure to reach, and a row is replicated to the group only if
-p.x + R|x| reaches it. Groups are solved locally, in blocks of bounded numbers of
-queries and rows whatever the sizes of the groups, and the blocks' best are merged.
+A bounded set of pivots cuts the rows into cells by nearest pivot. A cell's
+summary is its radius r, and the distance d at which its (k+1)-th nearest row
+stands. For a query q and any row x of the cell of pivot p,
+|q.x - q.p| <= |q| |x - p|. So q.p - |q| d is a score that k rows beside the
+query's own are sure to reach, the best of those over all cells bounds the
+query's k-th score from below, and a cell can add to the answer only if
+q.p + |q| r reaches that bound. A query is replicated to just those cells, being
+the smaller side; there it meets the rows in blocks of bounded numbers of
+queries and rows whatever the sizes of the cells, and the blocks' best are merged.
 
 Nulls and odd rows: vectors that are null or hold null or non-finite components
 take no part; shorter vectors count as padded with zeros; a null id takes no
 part; rows with the query's own id are not its candidates; repeated rows are
 each candidates and a repeated query id is answered once; extra columns are
-ignored; an empty table gives an empty result.
+ignored; an empty table gives an empty result. Scores are 64-bit integers; vectors
+whose products do not fit are not supported.
 """
 
 from __future__ import annotations
@@ -27,10 +31,11 @@ from corpusloom.session import stored
 
 K = 20
 SCALE = 64
-PIVOTS = 24
-#: Rows that meet in one local task.
-QUERY_BLOCK = 1024
-DATA_BLOCK = 8192
+PIVOTS = 16
+#: Rows that meet in one local task, and queries multiplied at a time there.
+QUERY_BLOCK = 4096
+DATA_BLOCK = 4096
+SOLVED_TOGETHER = 256
 #: float64 products and sums are exact below this.
 EXACT = 2.0**53
 
@@ -64,6 +69,9 @@ def _norms(a: np.ndarray) -> np.ndarray:
     return np.sqrt((a.astype(np.float64) ** 2).sum(axis=1))
 
 
+#: Stands for an endless distance; finite, so that a zero vector times it is zero.
+FAR = 1e300
+
 #: Relative slack on bounds worked out in floating point.
 SLACK = 1e-9
 
@@ -84,47 +92,18 @@ def _assign(pivots: np.ndarray) -> Callable:
     return run
 
 
-def _reach(pivots: np.ndarray, radius: np.ndarray, k: int) -> Callable:
-    """The best k lower bounds of a partition's rows for each group; rows of one id count once."""
-    dim = pivots.shape[1]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[int, pd.Series] = {}
-        for rows in batches:
-            v = _matrix(rows["v"], dim)
-            low = _products(v, pivots) - radius[None, :] * _norms(v)[:, None]
-            for cell in range(len(pivots)):
-                got = pd.Series(low[:, cell], index=rows["id"].to_numpy())
-                both = pd.concat([best[cell], got]) if cell in best else got
-                both = both.sort_values(ascending=False, kind="stable")
-                best[cell] = both[~both.index.duplicated()].head(k)
-        for cell, low in best.items():
-            yield pd.DataFrame({"cell": np.int32(cell), "id": low.index.to_numpy(), "low": low.to_numpy()})
-
-    return run
-
-
-def _replicate(pivots: np.ndarray, radius: np.ndarray, least: np.ndarray, blocks: np.ndarray, data_blocks: int) -> Callable:
-    """A row for each block of each group that the vector may serve."""
+def _route(pivots: np.ndarray, radius: np.ndarray, sure: np.ndarray) -> Callable:
+    """A row for each cell that may hold one of the query's best."""
     dim = pivots.shape[1]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             v = _matrix(rows["v"], dim)
             dot, norm = _products(v, pivots).astype(np.float64), _norms(v)[:, None]
-            high = dot + radius[None, :] * norm
-            high += SLACK * (np.abs(dot) + radius[None, :] * norm + 1)
-            row, cell = np.nonzero(high >= least[None, :])
-            times = blocks[cell]
-            row, cell = np.repeat(row, times), np.repeat(cell, times)
-            block = np.concatenate([np.arange(t) for t in times]) if len(times) else np.zeros(0)
-            part = rows["salt"].to_numpy()[row] % data_blocks
-            yield pd.DataFrame(
-                {
-                    "cell": cell.astype(np.int32), "qblock": block.astype(np.int32), "dblock": part.astype(np.int32),
-                    "id": rows["id"].to_numpy()[row], "v": rows["v"].to_numpy()[row],
-                }
-            )
+            slack = SLACK * (np.abs(dot) + norm * (radius[None, :] + 1) + 1)
+            least = (dot - norm * sure[None, :] - slack).max(axis=1)
+            row, cell = np.nonzero(dot + norm * radius[None, :] + slack >= least[:, None])
+            yield pd.DataFrame({"cell": cell.astype(np.int32), "id": rows["id"].to_numpy()[row], "v": rows["v"].to_numpy()[row]})
 
     return run
 
@@ -133,21 +112,26 @@ def _solve(k: int, dim: int) -> Callable:
     """Top k of a block of rows for each query of a block."""
 
     def run(queries: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        asked, found, scored = [], [], []
         if len(queries) and len(data):
             data = data.sort_values("id", kind="stable")
-            ids, scores = data["id"].to_numpy(), _products(_matrix(queries["v"], dim), _matrix(data["v"], dim))
-            for q, s in zip(queries["id"].to_numpy(), scores, strict=True):
-                at = np.nonzero(ids != q)[0]
-                s = s[at]
-                if len(s) > k:
-                    floor = np.partition(s, len(s) - k)[len(s) - k]
-                    keep = np.nonzero(s >= floor)[0]
-                    at, s = at[keep], s[keep]
-                # ids rise with the position, so a stable sort settles ties by id.
-                best = np.argsort(-s, kind="stable")[:k]
-                out.append(pd.DataFrame({"query_id": q, "vec_id": ids[at[best]], "score": s[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+            ids, rows = data["id"].to_numpy(), _matrix(data["v"], dim)
+            for first in range(0, len(queries), SOLVED_TOGETHER):
+                part = queries.iloc[first : first + SOLVED_TOGETHER]
+                for q, s in zip(part["id"].to_numpy(), _products(_matrix(part["v"], dim), rows), strict=True):
+                    at = np.nonzero(ids != q)[0]
+                    s = s[at]
+                    if len(s) > k:
+                        floor = np.partition(s, len(s) - k)[len(s) - k]
+                        keep = np.nonzero(s >= floor)[0]
+                        at, s = at[keep], s[keep]
+                    # ids rise with the position, so a stable sort settles ties by id.
+                    best = np.argsort(-s, kind="stable")[:k]
+                    asked.append(np.full(len(best), q))
+                    found.append(ids[at[best]])
+                    scored.append(s[best])
+        join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+        return pd.DataFrame({"query_id": join(asked), "vec_id": join(found), "score": join(scored)})
 
     return run
 
@@ -176,25 +160,27 @@ def top_k(
     if not count or not chosen:
         return spark.createDataFrame([], result)
     centres = _matrix(pd.Series([list(c) for c in chosen]), dim)
-    queries = rows.where("q").dropDuplicates(["id"]).select("id", "v").mapInPandas(_assign(centres), "id long, v array<long>, cell int, gap double")
-    queries = stored(queries, "knn-queries")
-    radius, blocks = np.zeros(len(chosen)), np.zeros(len(chosen), dtype=np.int64)
-    for r in queries.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("gap")).collect():
-        radius[r.cell] = r.gap * (1 + SLACK) + SLACK
-        blocks[r.cell] = -(-r.n // query_block)
-    least = np.full(len(chosen), -np.inf)
-    bounds = rows.select("id", "v").mapInPandas(_reach(centres, radius, k + 1), "cell int, id long, low double")
-    ranked = bounds.groupBy("cell", "id").agg(F.max("low").alias("low"))
-    ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy(F.desc("low"), "id")))
-    for r in ranked.where(F.col("r") == k + 1).collect():
-        least[r.cell] = r.low - SLACK * (abs(r.low) + 1)
-    data_blocks = -(-count // data_block)
-    salted = rows.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("salt"))
-    spread = salted.mapInPandas(_replicate(centres, radius, least, blocks, data_blocks), "cell int, qblock int, dblock int, id long, v array<long>")
-    per_cell = F.get(F.array(*[F.lit(int(max(b, 1))) for b in blocks]), F.col("cell"))
-    asked = queries.select(
-        "cell", F.pmod(F.xxhash64("id"), per_cell).cast("int").alias("qblock"), F.explode(F.sequence(F.lit(0), F.lit(data_blocks - 1))).alias("dblock"), "id", "v"
-    )
+    n = len(chosen)
+    placed = rows.select("id", "v").mapInPandas(_assign(centres), "id long, v array<long>, cell int, gap double")
+    placed = stored(placed, "knn-cells")
+    radius, sure, data_blocks = np.full(n, -FAR), np.full(n, FAR), [1] * n
+    for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("gap")).collect():
+        radius[r.cell], data_blocks[r.cell] = r.gap * (1 + SLACK) + SLACK, -(-r.n // data_block)
+    # Rows of one id count once: all of them may be the query's own.
+    nearest = placed.groupBy("cell", "id").agg(F.min("gap").alias("gap"))
+    nearest = nearest.withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("gap", "id")))
+    for r in nearest.where(F.col("r") == k + 1).collect():
+        sure[r.cell] = r.gap * (1 + SLACK) + SLACK
+    routed = rows.where("q").dropDuplicates(["id"]).select("id", "v").mapInPandas(_route(centres, radius, sure), "cell int, id long, v array<long>")
+    routed = stored(routed, "knn-queries")
+    query_blocks = [1] * n
+    for r in routed.groupBy("cell").agg(F.count("*").alias("n")).collect():
+        query_blocks[r.cell] = -(-r.n // query_block)
+    of = lambda blocks: F.get(F.array(*[F.lit(b) for b in blocks]), F.col("cell"))
+    own = lambda blocks: F.pmod(F.xxhash64("id"), of(blocks).cast("long")).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), of(blocks) - 1))
+    asked = routed.select("cell", own(query_blocks).alias("qblock"), every(data_blocks).alias("dblock"), "id", "v")
+    spread = placed.select("cell", every(query_blocks).alias("qblock"), own(data_blocks).alias("dblock"), "id", "v")
     key = ["cell", "qblock", "dblock"]
     best = asked.groupBy(*key).cogroup(spread.groupBy(*key)).applyInPandas(_solve(k, dim), "query_id long, vec_id long, score long")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

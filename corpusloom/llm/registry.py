@@ -103,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": op1.ORACLE,
     "op2_mix_sources": op2.ORACLE,
     "op7_knn_join": op7.ORACLE,
     "op8_warc": op8.ORACLE,
