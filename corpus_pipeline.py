@@ -35,15 +35,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     marked = docs.select(COLUMNS).withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     rows = simhash_neardup.near_duplicates(marked.where(F.col("doc_id").isNotNull()), keep=["_hash"])
     rows = stored(rows.select("doc_id", "component_id", "_hash"), "components")
-    heads = rows.where(F.col("doc_id") == F.col("component_id")).groupBy("component_id").agg(
-        F.min("_hash").alias("_head")
-    )
+    # Only rows that carry their component's name can stay; they join on doc_id, so a large component is no hot key.
+    named = rows.where(F.col("doc_id") == F.col("component_id"))
+    heads = named.groupBy(F.col("doc_id").alias("_c")).agg(F.min("_hash").alias("_head"))
+    others = named.join(heads, F.col("doc_id") == F.col("_c")).where(F.col("_hash") != F.col("_head"))
     goes = (
-        rows.join(heads.select(F.col("component_id").alias("_c"), "_head"), F.col("component_id") == F.col("_c"))
-        .where((F.col("doc_id") != F.col("component_id")) | (F.col("_hash") != F.col("_head")))
+        rows.where(F.col("doc_id") != F.col("component_id")).select("doc_id", "_hash")
+        .unionByName(others.select("doc_id", "_hash"))
         .select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_h"))
         .distinct()
-    )
+    )
     goes = stored(goes, "near-duplicates")
     left = marked.join(goes, (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_h")), "left_anti")
     # Rows repeated under one id: few, found by id and hash alone.
