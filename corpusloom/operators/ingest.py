@@ -142,6 +142,67 @@ def undelete(documents: DataFrame, seen: DataFrame) -> DataFrame:
     return rows.withColumn("state", F.when(again, "DISCOVERED").otherwise(F.col("state"))).drop("_seen")
 
 
+def merge_documents(documents: DataFrame, seen: DataFrame) -> DataFrame:
+    """The document table after a discovery: new ones enter as DISCOVERED, known ones take the new fields.
+
+    documents: document_id, organization_id, title, mime_type, source_url, metadata,
+    allowed_users, allowed_groups, state. seen: one row per document with the same
+    fields but state, and filename, source_type. Metadata is merged, the new entry
+    of a name counts. Documents without lists are readable by their organization. A
+    deleted document begins anew; an id of another organization fails the job.
+    Needs LAST_WIN maps (session.SETTINGS).
+    """
+    own = seen.withColumn("metadata", F.map_concat(F.create_map(F.lit("original_filename"), F.col("filename"), F.lit("source"), F.col("source_type")), F.coalesce("metadata", F.create_map().cast("map<string,string>"))))
+    org = F.col("organization_id").cast("string")
+    unlisted = F.col("allowed_users").isNull() & F.col("allowed_groups").isNull()
+    none = F.array().cast("array<string>")
+    own = own.select(
+        "document_id", "organization_id", "title", "mime_type", "source_url", "metadata",
+        F.when(unlisted, F.array(org)).otherwise(F.coalesce("allowed_users", none)).alias("allowed_users"),
+        F.when(unlisted, F.array(F.concat(F.lit("org:"), org))).otherwise(F.coalesce("allowed_groups", none)).alias("allowed_groups"),
+    )
+    old, new = documents.alias("o"), own.alias("n")
+    both = old.join(new, F.col("o.document_id") == F.col("n.document_id"), "full_outer")
+    known, fresh = F.col("o.document_id").isNotNull(), F.col("n.document_id").isNotNull()
+    clash = known & fresh & ~F.col("o.organization_id").eqNullSafe(F.col("n.organization_id"))
+    org_id = F.when(clash, F.raise_error(F.lit("a document id is used by two organizations")).cast(dict(documents.dtypes)["organization_id"])).otherwise(F.coalesce("o.organization_id", "n.organization_id"))
+    newer = lambda c: F.when(fresh, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
+    metadata = F.when(known & fresh, F.map_concat(F.coalesce("o.metadata", F.create_map().cast("map<string,string>")), "n.metadata")).otherwise(F.coalesce("n.metadata", "o.metadata"))
+    state = F.when(~known | (fresh & (F.col("o.state") == "DELETED")), "DISCOVERED").otherwise(F.col("o.state"))
+    return both.select(
+        F.coalesce("o.document_id", "n.document_id").alias("document_id"), org_id.alias("organization_id"), newer("title"), newer("mime_type"), newer("source_url"),
+        metadata.alias("metadata"), newer("allowed_users"), newer("allowed_groups"), state.alias("state"),
+    )
+
+
+def accepted_work(items: DataFrame, sources: DataFrame, sync: bool = False) -> DataFrame:
+    """Items with a refusal, null where their source takes work. items: source_id, ...; sources: source_id, status, source_type.
+
+    Paused, disconnected and unknown sources refuse; uploads have nothing to sync.
+    """
+    states = sources.select("source_id", F.col("status").alias("_status"), F.col("source_type").alias("_type"))
+    reason = F.when(F.col("_status").isNull(), "unknown source").when(F.col("_status") == "PAUSED", "paused").when(F.col("_status") == "DISCONNECTED", "disconnected")
+    if sync:
+        reason = F.coalesce(reason, F.when(F.col("_type") == "FILE_UPLOAD", "nothing to sync"))
+    return items.join(states, "source_id", "left").withColumn("refusal", reason).drop("_status", "_type")
+
+
+def update_sources(sources: DataFrame, updates: DataFrame) -> DataFrame:
+    """Sources with the status, the settings (map, merged) and the checkpoint (reset: emptied) of an update each.
+
+    Needs LAST_WIN maps (session.SETTINGS).
+    """
+    new = updates.select("source_id", F.col("status").alias("_status"), F.col("config").alias("_config"), F.coalesce("reset", F.lit(False)).alias("_reset"))
+    empty = F.create_map().cast("map<string,string>")
+    return sources.join(new, "source_id", "left").withColumns(
+        {
+            "status": F.coalesce("_status", "status"),
+            "config": F.map_concat(F.coalesce("config", empty), F.coalesce("_config", empty)),
+            "checkpoint": F.when(F.coalesce("_reset", F.lit(False)), F.lit("{}")).otherwise(F.col("checkpoint")),
+        }
+    ).drop("_status", "_config", "_reset")
+
+
 def needs_work(state: Column, job_type: Column) -> Column:
     return (job_type == "REPROCESS") | state.isin(*UNFINISHED)
 

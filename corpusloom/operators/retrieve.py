@@ -55,6 +55,26 @@ def principal_groups(stored_groups: Column, role: Column, organization: Column,
     return F.array_union(F.coalesce(stored_groups, F.array().cast("array<string>")), own)
 
 
+def readable_counts(principals: DataFrame, docs: DataFrame) -> DataFrame:
+    """qid, readable: how many documents each principal may read; principals that may read none are left out.
+
+    principals: qid, user_id, email, member_of. docs: allowed_users, allowed_groups.
+    Documents are first counted by their lists, and the few distinct lists meet
+    principals on what they name, so that no pair of principal and document is made.
+    """
+    none = F.array().cast("array<string>")
+    users, groups = F.coalesce("allowed_users", none), F.coalesce("allowed_groups", none)
+    lists = docs.select(F.array_sort(F.array_distinct(users)).alias("u"), F.array_sort(F.array_distinct(groups)).alias("g")).groupBy("u", "g").agg(F.count("*").alias("n"))
+    lists = lists.withColumn("acl", F.struct("u", "g"))
+    tagged = lambda tag, names: F.transform(F.filter(names, lambda x: x.isNotNull()), lambda x: F.concat(F.lit(tag), x))
+    named = F.concat(tagged("u:", F.col("u")), tagged("g:", F.col("g")))
+    public = (F.size("u") == 0) & (F.size("g") == 0)
+    opens = lists.select("acl", "n", F.explode(F.when(public, F.array(F.lit("*"))).otherwise(named)).alias("name"))
+    own = F.concat(F.array(F.lit("*")), tagged("u:", F.array_distinct(F.array("user_id", F.lower("email")))), tagged("g:", F.array_distinct(F.coalesce("member_of", none))))
+    held = principals.select("qid", F.explode(own).alias("name"))
+    return held.join(opens, "name").select("qid", "acl", "n").distinct().groupBy("qid").agg(F.sum("n").alias("readable"))
+
+
 # --- top-k ----------------------------------------------------------------------
 
 

@@ -194,13 +194,14 @@ def text_blocks(spark, sf_dir):
     return corpus.blocks_of(docs)
 
 
-@query(
-    """WITH a AS (SELECT url, unnest(list_distinct(regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*["'']([^"'']*)["'']', 1))) AS raw FROM pages),
-    h AS (SELECT url, regexp_replace(raw, '#.*$', '') AS href, regexp_extract(url, '^([a-zA-Z]+://[^/]+)', 1) AS root FROM a)
-    SELECT DISTINCT url, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN href LIKE '//%' THEN regexp_extract(url, '^([a-zA-Z]+:)', 1) || href
+LINKS = """a AS (SELECT url, unnest(list_distinct(regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*["'']([^"'']*)["'']', 1))) AS raw FROM pages),
+    h AS (SELECT url, regexp_replace(raw, '#.*$', '') AS href, regexp_extract(url, '^([a-zA-Z]+://[^/]+)', 1) AS root FROM a),
+    k AS (SELECT DISTINCT url, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN href LIKE '//%' THEN regexp_extract(url, '^([a-zA-Z]+:)', 1) || href
       WHEN href LIKE '/%' THEN root || href ELSE root || coalesce(nullif(regexp_extract(url, '^[a-zA-Z]+://[^/]+(/.*/)', 1), ''), '/') || href END AS link
-    FROM h WHERE href <> ''"""
-)
+    FROM h WHERE href <> '')"""
+
+
+@query(f"WITH {LINKS} SELECT url, link FROM k")
 def page_links(spark, sf_dir):
     return parse.page_links(table(spark, sf_dir, "pages"))
 
@@ -391,20 +392,19 @@ def metadata_filter(spark, sf_dir):
 
 
 @query(
-    f"""WITH u AS (SELECT c_custkey, 'u' || c_custkey % 10 AS uid, list_distinct(['g' || c_custkey % 4, 'role:member']) AS g FROM customer WHERE c_custkey <= 20)
-    SELECT c_custkey AS principal, count(*) AS readable FROM u, documents
-    WHERE (doc_id % 5 <> 0 AND doc_id % 4 = 0) OR (doc_id % 5 = 0 AND uid = 'u' || doc_id % 10) OR list_has_any({LISTED}, g) GROUP BY c_custkey"""
+    f"""WITH u AS (SELECT c_custkey, 'u' || c_custkey % 10 AS uid, ['g' || c_custkey % 4, 'role:member'] AS g FROM customer),
+    a AS (SELECT doc_id % 5 = 0 AS lists_user, 'u' || doc_id % 10 AS uid, {LISTED} AS g, count(*) AS n FROM documents GROUP BY ALL)
+    SELECT c_custkey AS principal, CAST(sum(n) AS BIGINT) AS readable FROM u, a
+    WHERE (NOT lists_user AND len(a.g) = 0) OR (lists_user AND u.uid = a.uid) OR list_has_any(a.g, u.g) GROUP BY c_custkey"""
 )
 def readable_documents(spark, sf_dir):
-    who = table(spark, sf_dir, "customer").where("c_custkey <= 20")
     key = F.col("c_custkey").cast("string")
-    who = who.select(
+    who = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("qid"), F.concat(F.lit("u"), (F.col("c_custkey") % 10).cast("string")).alias("user_id"), F.concat(key, F.lit("@X.org")).alias("email"),
         retrieve.principal_groups(F.array(F.concat(F.lit("g"), (F.col("c_custkey") % 4).cast("string"))), F.lit("member"), F.lit(1), F.concat(key, F.lit("@X.org"))).alias("member_of"),
     )
-    docs = _governed(spark, sf_dir).select("document_id", "allowed_users", "allowed_groups")
-    seen = retrieve.paired(who, docs).where(retrieve.can_read(F.col("allowed_users"), F.col("allowed_groups"), F.col("user_id"), F.col("email"), F.col("member_of")))
-    return seen.groupBy(F.col("qid").alias("principal")).agg(F.count("*").alias("readable"))
+    docs = _governed(spark, sf_dir).select("allowed_users", "allowed_groups")
+    return retrieve.readable_counts(who, docs).withColumnRenamed("qid", "principal")
 
 
 def _searchable(spark, sf_dir) -> DataFrame:
@@ -670,14 +670,17 @@ def compare_runs(spark, sf_dir):
 
 
 @query(
-    """WITH a AS (SELECT doc_id % 50 AS chunk_id, 1 + doc_id % 2 AS version, min(doc_id) AS document_id FROM documents WHERE doc_id < 100 GROUP BY ALL), b AS (SELECT doc_id AS chunk_id, 2 AS version, doc_id + 1000 AS document_id FROM documents WHERE doc_id < 60)
-    SELECT chunk_id, version, CAST(min(document_id) FILTER (new = m) AS BIGINT) AS document_id FROM (SELECT *, max(new) OVER (PARTITION BY chunk_id, version) AS m FROM (SELECT *, 0 AS new FROM a UNION ALL SELECT *, 1 FROM b)) GROUP BY ALL HAVING true"""
+    """SELECT doc_id AS chunk_id, 1 AS version, doc_id AS document_id FROM documents
+    UNION ALL SELECT doc_id, 2, CASE WHEN doc_id % 3 = 0 THEN doc_id + 1000000 ELSE doc_id END FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0"""
 )
 def ledger_upsert(spark, sf_dir):
+    """Every chunk has version 1 and every second also 2; a batch brings version 2 of every third."""
+    d = F.col("doc_id")
     docs = table(spark, sf_dir, "documents").select("doc_id")
     named = [F.lit("deterministic").alias("provider"), F.lit("sha256").alias("model")]
-    old = docs.where("doc_id < 100").groupBy((F.col("doc_id") % 50).alias("chunk_id"), (1 + F.col("doc_id") % 2).cast("int").alias("version")).agg(F.min("doc_id").alias("document_id")).select("chunk_id", "document_id", *named, "version")
-    new = docs.where("doc_id < 60").select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") + 1000).alias("document_id"), *named, F.lit(2).alias("version"))
+    versions = F.when(d % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    old = docs.select(d.alias("chunk_id"), d.alias("document_id"), *named, F.explode(versions).alias("version"))
+    new = docs.where("doc_id % 3 = 0").select(d.alias("chunk_id"), (d + 1000000).alias("document_id"), *named, F.lit(2).alias("version"))
     return embed.upsert_ledger(old, new).select("chunk_id", "version", "document_id")
 
 
@@ -703,10 +706,19 @@ def deterministic_vectors(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(retrieve.dot(vector, vector), 5).alias("squared_norm"))
 
 
-@query()
+HOST = "lower(regexp_extract({0}, '^[a-zA-Z]+://([^/?#]+)', 1))"
+
+
+@query(
+    f"""WITH RECURSIVE {LINKS}, s AS (SELECT {HOST.format("url")} AS host, min(url) AS url FROM pages GROUP BY 1),
+    x AS (SELECT url, 0 AS depth FROM s UNION SELECT k.link, x.depth + 1 FROM x JOIN k ON k.url = x.url
+      WHERE x.depth < 19 AND k.link IN (SELECT url FROM pages) AND {HOST.format("k.link")} IN (SELECT host FROM s))
+    SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM x GROUP BY url"""
+)
 def crawl(spark, sf_dir):
+    """From the first page of every host."""
     pages = table(spark, sf_dir, "pages")
-    first = pages.orderBy("page_id").limit(1).select("url")
+    first = pages.groupBy(feeds.host(F.col("url"))).agg(F.min("url").alias("url")).select("url")
     return feeds.crawl(pages.select("url", "html"), first, 1_000_000)
 
 

@@ -86,11 +86,18 @@ def rest_items(pages: DataFrame, item_schema: str = "id string, title string, co
 ATOM = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "title", "summary", "updated")])
 
 
+def _plain(xml: Column) -> Column:
+    """Text with the entities that XML itself names replaced."""
+    for name, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        xml = F.replace(xml, F.lit(name), F.lit(mark))
+    return xml
+
+
 def atom_entries(feeds: DataFrame) -> DataFrame:
     """arxiv_id, title, summary, updated of Atom documents in column body."""
     entries = F.regexp_extract_all("body", F.lit(r"(?s)<entry[\s>](.*?)</entry>"), 1)
     rows = feeds.select(F.explode(entries).alias("e"))
-    field = lambda n: F.trim(F.regexp_replace(F.regexp_extract("e", rf"(?s)<{n}[^>]*>(.*?)</{n}>", 1), r"\s+", " "))
+    field = lambda n: _plain(F.trim(F.regexp_replace(F.regexp_extract("e", rf"(?s)<{n}[^>]*>(.*?)</{n}>", 1), r"\s+", " ")))
     paper = F.regexp_extract(field("id"), r"abs/([^\s]+?)(?:v\d+)?$", 1)
     return rows.select(paper.alias("arxiv_id"), field("title").alias("title"), field("summary").alias("summary"), field("updated").alias("updated"))
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import ingest
+from corpusloom.session import configure
 from corpusloom.sources import feeds, files, tables
 from corpusloom.streaming import sync
 
@@ -149,3 +150,37 @@ def test_streamed_states(spark, tmp_path):
     checked = sync.valid_states(sync.file_stream(spark, folder, "document_id string, state string, at int"))
     finished(checked.writeStream.format("memory").queryName("checked").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/c").start())
     assert {r.state: r.accepted for r in spark.sql("select * from checked").collect()} == {"DISCOVERED": True, "FETCHING": True, "INDEXED": False, "FETCHED": True}
+
+
+def test_merged_documents(spark):
+    configure(spark)
+    kind = "document_id string, organization_id int, title string, mime_type string, source_url string, metadata map<string,string>, allowed_users array<string>, allowed_groups array<string>"
+    old = spark.createDataFrame([("a", 1, "old", "m", None, {"k": "1", "source": "x"}, ["u"], [], "INDEXED"), ("b", 1, "gone", "m", None, None, [], [], "DELETED"), ("c", 1, "kept", "m", None, {}, [], [], "FAILED")], kind + ", state string")
+    rows = [("a", 1, "new", "m2", "url", {"k": "2"}, None, None), ("b", 1, "back", "m", None, None, ["v"], None), ("d", 2, "first", "m", None, None, None, ["g"])]
+    seen = spark.createDataFrame([(*r, "f.txt", "files") for r in rows], kind + ", filename string, source_type string")
+    got = {r.document_id: r for r in ingest.merge_documents(old, seen).collect()}
+    assert {k: (r.title, r.state, r.allowed_users, r.allowed_groups) for k, r in got.items()} == {
+        "a": ("new", "INDEXED", ["1"], ["org:1"]), "b": ("back", "DISCOVERED", ["v"], []), "c": ("kept", "FAILED", [], []), "d": ("first", "DISCOVERED", [], ["g"]),
+    }
+    assert got["a"].metadata == {"k": "2", "source": "files", "original_filename": "f.txt"}
+    assert ingest.merge_documents(old.limit(0), seen).count() == 3
+    with pytest.raises(Exception, match="two organizations"):
+        ingest.merge_documents(old, seen.withColumn("organization_id", F.lit(9))).collect()
+
+
+def test_source_lifecycle(spark):
+    configure(spark)
+    sources = spark.createDataFrame([("s", "ACTIVE", "FILE_UPLOAD", {"a": "1"}, "{\"at\":1}"), ("p", "PAUSED", "WEBSITE", None, None)], "source_id string, status string, source_type string, config map<string,string>, checkpoint string")
+    items = spark.createDataFrame([("s",), ("p",), ("?",)], "source_id string")
+    assert {r.source_id: r.refusal for r in ingest.accepted_work(items, sources).collect()} == {"s": None, "p": "paused", "?": "unknown source"}
+    assert {r.source_id: r.refusal for r in ingest.accepted_work(items, sources, sync=True).collect()}["s"] == "nothing to sync"
+    updates = spark.createDataFrame([("s", "DISCONNECTED", {"a": "2"}, True)], "source_id string, status string, config map<string,string>, reset boolean")
+    got = {r.source_id: r for r in ingest.update_sources(sources, updates).collect()}
+    assert (got["s"].status, got["s"].config, got["s"].checkpoint) == ("DISCONNECTED", {"a": "2"}, "{}")
+    assert (got["p"].status, got["p"].config, got["p"].checkpoint) == ("PAUSED", {}, None)
+
+
+def test_atom_entities(spark):
+    body = "<feed><entry><id>http://arxiv.org/abs/1234.5v3</id><title> a &amp;lt; b </title><summary>x &lt; y</summary><updated>u</updated></entry></feed>"
+    got = feeds.atom_entries(spark.createDataFrame([(body,)], "body string")).first()
+    assert got[:] == ("1234.5", "a &lt; b", "x < y", "u")

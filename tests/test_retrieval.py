@@ -178,3 +178,14 @@ def test_search_modes_and_answers(spark):
     records = spark.createDataFrame([("1", "annual leave days", "22 days", ["1"])], "qid string, question string, expected_answer string, relevant array<string>")
     run = search.evaluate_run(records, chunks, search.SearchConfig(mode="sparse", dimension=16), "s").first()
     assert run.recall_at_k == 1.0 and run.mrr == 1.0 and run.groundedness > 0.4 and run.citation_correctness == 1.0
+
+
+def test_readable_counts(spark):
+    docs = spark.createDataFrame(
+        [([], []), (None, None), (["u1"], []), (["a@x.org"], ["g1"]), ([], ["g1", "g2"]), (["u2", "u1"], ["g2"]), ([None], [])], "allowed_users array<string>, allowed_groups array<string>"
+    )
+    docs = docs.unionByName(docs)
+    who = spark.createDataFrame([(1, "u1", "A@X.org", ["g1", "g2"]), (2, "u2", None, None), (3, None, "b@x.org", ["g2"])], "qid int, user_id string, email string, member_of array<string>")
+    pairs = who.crossJoin(docs).where(retrieve.can_read(F.col("allowed_users"), F.col("allowed_groups"), F.col("user_id"), F.col("email"), F.col("member_of")))
+    want = {r.qid: r.n for r in pairs.groupBy("qid").agg(F.count("*").alias("n")).collect()}
+    assert {r.qid: r.readable for r in retrieve.readable_counts(who, docs).collect()} == want
