@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 
@@ -49,12 +50,18 @@ def normalize_source_id(source_id: Column) -> Column:
     return F.ltrim(F.regexp_replace(F.replace(F.trim(source_id), F.lit("\\"), F.lit("/")), "/{2,}", "/"), F.lit("/"))
 
 
+@functools.lru_cache(maxsize=1 << 18)
+def token_digest(token: str) -> bytes:
+    """BLAKE2b of a token; the most recent tokens of a worker are kept."""
+    return hashlib.blake2b(token.encode(), digest_size=8).digest()
+
+
 def simhash_of(text: str | None) -> int:
     """64-bit SimHash of Latin tokens by BLAKE2b, signed; a balanced bit is set; 0 without tokens."""
     tokens = [t.lower() for t in _LATIN.findall(text or "")]
     if not tokens:
         return 0
-    digests = b"".join(hashlib.blake2b(t.encode(), digest_size=8).digest() for t in tokens)
+    digests = b"".join(map(token_digest, tokens))
     ones = np.unpackbits(np.frombuffer(digests, dtype=np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones >= len(tokens)).view(">i8")[0])
 

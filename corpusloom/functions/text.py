@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -138,6 +139,11 @@ def is_boilerplate(text: Column, block_type: Column) -> Column:
     return F.coalesce(block_type.isin(*BOILERPLATE_TYPES) & (F.length(body) > 0) & (F.length(body) <= BOILERPLATE_CHARS) & match, F.lit(False))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def language_scores(tokens: Column) -> dict[str, Column]:
     share = lambda known: F.size(F.filter(tokens, lambda t: t.isin(known))) / F.size(tokens)
     return {lang: share(words.split()) for lang, words in STOPWORDS.items()}
@@ -145,9 +151,12 @@ def language_scores(tokens: Column) -> dict[str, Column]:
 
 def detect_language(tokens: Column) -> Column:
     """Language of highest stop-word density over Latin tokens; first of en, fr, de, es on ties; `und` below the limits."""
-    scores = language_scores(tokens)
-    best = F.greatest(*scores.values())
-    found = F.lit("und")
-    for lang in reversed(list(scores)):
-        found = F.when(scores[lang] == best, lang).otherwise(found)
-    return F.when((F.size(tokens) < LANGUAGE_MIN_TOKENS) | (best < LANGUAGE_MIN_RATIO), "und").otherwise(found)
+
+    def pick(c: Column) -> Column:
+        best = F.greatest(*[c[lang] for lang in STOPWORDS])
+        found = F.lit("und")
+        for lang in reversed(list(STOPWORDS)):
+            found = F.when(c[lang] == best, lang).otherwise(found)
+        return F.when((c["n"] < LANGUAGE_MIN_TOKENS) | (best < LANGUAGE_MIN_RATIO), "und").otherwise(found)
+
+    return once(once(tokens, lambda t: F.struct(F.size(t).alias("n"), *[score.alias(lang) for lang, score in language_scores(t).items()])), pick)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.hashing import hamming, similarity
+from corpusloom.session import stored
 
 MAX_HAMMING = 3
 BANDS = 4
@@ -44,6 +45,8 @@ def near_duplicates(docs: DataFrame, max_hamming: int = MAX_HAMMING) -> DataFram
     """
     if max_hamming >= BANDS:
         raise ValueError(f"{BANDS} bands find differences under {BANDS} bits")
+    # Read four times below; written once, so that fingerprints are made once.
+    docs = stored(docs.select("org", "id", "created_at", "content_hash", "simhash"), "fingerprints")
     order = F.struct("created_at", "id")
     fresh = docs.where(F.col("simhash") != 0).withColumn("_at", order)
     fresh = fresh.withColumn("_exact", F.min(order).over(Window.partitionBy("org", "content_hash")) < F.col("_at"))
