@@ -719,7 +719,7 @@ def crawl(spark, sf_dir):
     """From the first page of every host."""
     pages = table(spark, sf_dir, "pages")
     first = pages.groupBy(feeds.host(F.col("url"))).agg(F.min("url").alias("url")).select("url")
-    return feeds.crawl(pages.select("url", "html"), first, 1_000_000)
+    return feeds.crawl(pages.select("url", "html"), first)
 
 
 @query("SELECT url, CASE page_id % 5 WHEN 0 THEN 'delete' WHEN 1 THEN 'unchanged' WHEN 2 THEN 'retry' ELSE CASE WHEN page_id % 2 = 0 THEN 'unchanged' ELSE 'upsert' END END AS op FROM pages")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.operators.parse import page_links
-from corpusloom.session import stored
+from corpusloom.session import drop_stored, new_folder, stored
 
 
 def included(path: Column, prefixes: Sequence[str]) -> Column:
@@ -106,27 +106,36 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://([^/?#]+)", 1))
 
 
-def crawl(pages: DataFrame, start: DataFrame, max_pages: int, max_depth: int = 20) -> DataFrame:
+def crawl(pages: DataFrame, start: DataFrame, max_pages: int | None = None, max_depth: int | None = None) -> DataFrame:
     """url, depth: pages reached from the start urls over links on the start urls' hosts.
 
     pages (url, html) is what a fetcher has brought in. Each level is one anti-join
-    of the links found with what was seen; the walk ends when a level is empty or
-    max_pages is met. Within a level urls go in order.
+    of the links found with what was seen; the walk ends when a level is empty, or
+    at max_pages or max_depth levels where the caller sets them. Only with
+    max_pages do urls go in order within a level.
     """
+    spark = pages.sparkSession
     links = stored(page_links(pages), "links")
     have = pages.select("url").distinct()
-    hosts = start.select(host(F.col("url")).alias("host")).distinct()
-    level = stored(start.select("url").distinct().join(have, "url", "left_semi").select("url", F.lit(0).alias("depth")), "crawl")
-    seen, n = level, level.count()
-    for depth in range(1, max_depth):
-        if n >= max_pages or level.isEmpty():
+    begin = stored(start.select("url").distinct(), "crawl-start")
+    hosts = begin.select(host(F.col("url")).alias("host")).distinct()
+    known = links.select("link").distinct().join(have, F.col("link") == have["url"], "left_semi")
+    known = stored(known.join(hosts, host(F.col("link")) == hosts["host"], "left_semi"), "crawl-known")
+    level = stored(begin.join(have, "url", "left_semi").select("url", F.lit(0).alias("depth")), "crawl")
+    path, depth, n, new = new_folder(spark, "crawl-seen"), 0, 0, level.count()
+    while True:
+        level.write.mode("append").parquet(path)
+        seen, n, depth = spark.read.schema(level.schema).parquet(path), n + new, depth + 1
+        if not new or (max_pages is not None and n >= max_pages) or (max_depth is not None and depth >= max_depth):
             break
-        found = links.join(level.select("url"), "url", "left_semi").select(F.col("link").alias("url")).distinct()
-        found = found.join(seen.select("url"), "url", "left_anti").join(have, "url", "left_semi")
-        found = found.join(hosts, host(F.col("url")) == hosts["host"], "left_semi")
-        level = stored(found.orderBy("url").limit(max_pages - n).withColumn("depth", F.lit(depth)), "crawl")
-        seen, n = stored(seen.unionByName(level), "crawl"), n + level.count()
-    return seen.orderBy("depth", "url").limit(max_pages)
+        found = links.join(level.select("url"), "url", "left_semi").select("link").distinct().join(known, "link", "left_semi")
+        found = found.select(F.col("link").alias("url")).join(seen.select("url"), "url", "left_anti")
+        if max_pages is not None:
+            found = found.orderBy("url").limit(max_pages - n)
+        following = stored(found.withColumn("depth", F.lit(depth)), "crawl")
+        drop_stored(spark, level)
+        level, new = following, following.count()
+    return seen if max_pages is None else seen.orderBy("depth", "url").limit(max_pages)
 
 
 def crawl_changes(previous: DataFrame, fetched: DataFrame) -> DataFrame:

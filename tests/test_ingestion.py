@@ -120,6 +120,17 @@ def test_crawl(spark):
     assert [r.url for r in feeds.missing_from(now, seen.unionByName(spark.createDataFrame([("u9", "e")], seen.schema))).collect()] == ["u9"]
 
 
+def test_crawl_has_no_limits_of_its_own(spark):
+    n = 25
+    rows = [(f"http://h/{i}", f'<a href="/{i + 1}">x</a><a href="/{i // 2}">y</a>') for i in range(n)] + [("http://h/alone", "")]
+    pages = spark.createDataFrame(rows, "url string, html string")
+    start = spark.createDataFrame([("http://h/0",)], "url string")
+    assert sorted(feeds.crawl(pages, start).collect(), key=lambda r: r.depth) == [(f"http://h/{i}", i) for i in range(n)]
+    assert feeds.crawl(pages, start, max_depth=3).count() == 3
+    assert feeds.crawl(pages, start, 2).count() == 2
+    assert feeds.crawl(pages, start.where("url is null")).count() == 0
+
+
 def finished(query):
     query.processAllAvailable()
     query.stop()
