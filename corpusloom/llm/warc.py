@@ -4,10 +4,11 @@ The writer makes one gzip member per record and leaves the files to Spark's text
 sink: rows are bytes, and the line separator is an empty gzip member, so that a
 file is a plain sequence of members, committed like any other Spark output.
 
-The reader takes whole files of bounded size. Where a member or record fails its
-checks it searches for the next member that decodes, or for the next version line
-that heads a sound record, goes on from there, and logs the bytes between as a
-quarantined gap.
+The reader takes whole files of bounded size. Where a member fails its checks it
+keeps the records that decode before the break and searches for the next member
+that decodes; where a record fails, in a member or in plain text, it searches for
+the next version line that heads a sound record. It goes on from there, and logs
+the bytes between as a quarantined gap.
 
 Nulls and odd rows: a null html is an empty payload; a null url is written as an
 urn of the page; a null page_id reads back as null and never is referred to;
@@ -134,52 +135,101 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     return headers, data[start:end], end + 4
 
 
+class Broken(Damaged):
+    """A member that does not decode to its end; `front` is what decodes of it."""
+
+    def __init__(self, reason: str, front: bytes):
+        super().__init__(reason)
+        self.front = front
+
+
 def member_at(data: bytes, at: int) -> tuple[bytes, int]:
-    """(content, end) of the gzip member at a place; raises Damaged if it does not decode with a right checksum."""
+    """(content, end) of the gzip member at a place; raises Broken if it does not decode with a right checksum."""
     unpacker = zlib.decompressobj(31)
     parts = []
     for chunk in range(at, len(data), 1 << 16):
         try:
             parts.append(unpacker.decompress(data[chunk : chunk + (1 << 16)]))
         except zlib.error as error:
-            raise Damaged(str(error)) from None
+            raise Broken(str(error), b"".join(parts) + _up_to_fault(data, at, chunk)) from None
         if unpacker.eof:
             return b"".join(parts), min(chunk + (1 << 16), len(data)) - len(unpacker.unused_data)
-    raise Damaged("the member does not end")
+    raise Broken("the member does not end", b"".join(parts))
 
 
-def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes]]:
-    """(offset, length, headers, block) of each sound record, and (offset, length, None, b"") of each gap."""
+def _up_to_fault(data: bytes, at: int, chunk: int) -> bytes:
+    """What the failing chunk of the member at a place gives, byte by byte, before its fault."""
+    unpacker = zlib.decompressobj(31)
+    for sound in range(at, chunk, 1 << 16):
+        unpacker.decompress(data[sound : sound + (1 << 16)])
+    parts = []
+    try:
+        for i in range(chunk, min(chunk + (1 << 16), len(data))):
+            parts.append(unpacker.decompress(data[i : i + 1]))
+    except zlib.error:
+        pass
+    return b"".join(parts)
+
+
+def plain_records(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes]]:
+    """salvage() of bytes that are not compressed."""
     at, gap, size = 0, None, len(data)
-    zipped = data.startswith(b"\x1f\x8b") or (not data.startswith(VERSION) and MAGIC in data)
     while at < size:
         try:
-            if zipped:
-                content, end = member_at(data, at)
-                found = []
-                inner = 0
-                while inner < len(content):
-                    headers, block, inner = parse_record(content, inner)
-                    found.append((headers, block))
-            else:
-                headers, block, end = parse_record(data, at)
-                found = [(headers, block)]
+            headers, block, end = parse_record(data, at)
         except Damaged:
             gap = at if gap is None else gap
-            at = data.find(MAGIC if zipped else VERSION, at + 1)
+            at = data.find(VERSION, at + 1)
             if at < 0:
                 break
             continue
         if gap is not None:
             yield gap, at - gap, None, b""
             gap = None
-        for headers, block in found:
-            yield at, end - at, headers, block
+        yield at, end - at, headers, block
         at = end
     if gap is not None:
         yield gap, size - gap, None, b""
 
 
+def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes]]:
+    """(offset, length, headers, block) of each sound record, and (offset, length, None, b"") of each gap.
+
+    Offsets are those of the file. Records of a member have the member's range,
+    and so has a gap inside a member that decodes. Of a member that breaks, the
+    records before the break have its range up to the next member that decodes,
+    and that range is a gap too.
+    """
+    if not (data.startswith(b"\x1f\x8b") or (not data.startswith(VERSION) and MAGIC in data)):
+        yield from plain_records(data)
+        return
+    at, gap, size, saved = 0, None, len(data), []
+
+    def closed(end: int) -> Iterator[tuple[int, int, dict[str, str] | None, bytes]]:
+        for place, headers, block in saved:
+            yield place, end - place, headers, block
+        yield gap, end - gap, None, b""
+
+    while at < size:
+        try:
+            content, end = member_at(data, at)
+        except Broken as broken:
+            gap = at if gap is None else gap
+            saved += [(at, headers, block) for _, _, headers, block in plain_records(broken.front) if headers is not None]
+            at = data.find(MAGIC, at + 1)
+            if at < 0:
+                break
+            continue
+        if gap is not None:
+            yield from closed(at)
+            gap, saved = None, []
+        for _, _, headers, block in plain_records(content):
+            yield at, end - at, headers, block
+        at = end
+    if gap is not None:
+        yield from closed(size)
+
+
 COLUMNS = (
     "file string, offset long, length long, record_type string, page_id long, target_uri string, refers_to long, "
     "payload_bytes long, payload_digest string, payload binary"

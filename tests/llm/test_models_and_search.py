@@ -142,6 +142,27 @@ def test_salvage_recovers_what_stands_after_damage(zipped):
     assert list(warc.salvage(b"")) == [] and list(warc.salvage(b"junk"))[0][2] is None
 
 
+def test_salvage_recovers_records_inside_a_member():
+    records = archive(zipped=False)
+    ids = lambda found: [warc._page(h["warc-record-id"]) for _, _, h, _ in found if h]
+    wrong = list(records)
+    wrong[2] = wrong[2].replace(b"\r\nContent-Length: ", b"\r\nContent-Length: 9", 1)
+    member = warc.gzip_member(b"".join(wrong))
+    found = list(warc.salvage(member))
+    assert ids(found) == [0, 1, 3, 4, 5]
+    assert [x[:2] for x in found if x[2] is None] == [(0, len(member))]
+    rng = random.Random(4)
+    noise = [warc.record(i, "u", rng.randbytes(3000), "0" * 64, None) for i in range(60)]
+    whole, after = warc.gzip_member(b"".join(noise)), warc.gzip_member(records[0])
+    cut = list(warc.salvage(whole[: len(whole) // 2]))
+    assert ids(cut)[:25] == list(range(25)) and cut[-1][:3] == (0, len(whole) // 2, None)
+    flipped = bytearray(whole)
+    flipped[-8] ^= 1
+    found = list(warc.salvage(bytes(flipped) + after))
+    assert ids(found) == [*range(60), 0]
+    assert found[-1][:2] == (len(whole), len(after)) and found[-2][:3] == (0, len(whole), None)
+
+
 def test_read_archives_gives_payloads_and_gaps(spark, tmp_path):
     parts = archive(3)
     (tmp_path / "a.warc.gz").write_bytes(parts[0] + b"garbage" + parts[1] + parts[2])
