@@ -1,8 +1,8 @@
 """From documents to token digests: toxicity, near-duplicates, personal data, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
-kept; all but the last return the columns of documents. Rows without an id pass
-the near-duplicate stage as they are.
+kept; all but the last return the columns of documents. Rows without an id are
+deduplicated like any other.
 """
 
 from __future__ import annotations
@@ -27,29 +27,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one of the smallest id.
+    """One document of each component: the one of the smallest id, then of the smallest text hash; null ids last.
 
     Only ids and text hashes of what goes are joined back; texts move only when
     those outgrow a broadcast.
     """
     marked = docs.select(COLUMNS).withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    rows = simhash_neardup.near_duplicates(marked.where(F.col("doc_id").isNotNull()), keep=["_hash"])
-    rows = stored(rows.select("doc_id", "component_id", "_hash"), "components")
-    # Only rows that carry their component's name can stay; they join on doc_id, so a large component is no hot key.
-    named = rows.where(F.col("doc_id") == F.col("component_id"))
-    heads = named.groupBy(F.col("doc_id").alias("_c")).agg(F.min("_hash").alias("_head"))
-    others = named.join(heads, F.col("doc_id") == F.col("_c")).where(F.col("_hash") != F.col("_head"))
-    goes = (
-        rows.where(F.col("doc_id") != F.col("component_id")).select("doc_id", "_hash")
-        .unionByName(others.select("doc_id", "_hash"))
-        .select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_h"))
-        .distinct()
-    )
-    goes = stored(goes, "near-duplicates")
-    left = marked.join(goes, (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_h")), "left_anti")
-    # Rows repeated under one id: few, found by id and hash alone.
-    again = stored(rows.groupBy("doc_id", "_hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_h")), "repeated-rows")
-    same = (F.col("doc_id") == F.col("_id")) & (F.col("_hash") == F.col("_h"))
+    rows = simhash_neardup.near_duplicates(marked, keep=["_hash"], root="_root")
+    rows = stored(rows.select("doc_id", "_root", "_hash"), "components")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("_id"), F.col("_hash").alias("_h")))
+    heads = rows.groupBy("_root").agg(least.alias("head")).select("head._id", "head._h")
+    # What goes is found by id and hash, each pair once, so a large component is no hot key.
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h"))
+    pairs = stored(rows.groupBy("doc_id", "_hash").agg(F.count("*").alias("n")), "rows-by-hash")
+    named = [F.col("doc_id").alias("_id"), F.col("_hash").alias("_h")]
+    goes = stored(pairs.join(heads, same, "left_anti").select(named), "near-duplicates")
+    left = marked.join(goes, same, "left_anti")
+    # Rows repeated under one id, or without one: few, found by id and hash alone.
+    again = stored(pairs.where("n > 1").join(heads, same, "left_semi").select(named), "repeated-rows")
     once = left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "_hash"]))
     return once.select(COLUMNS)
 
@@ -63,9 +58,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice."""
-    mixed = source_mixing.mix_sources(docs, keep=COLUMNS[1:])
-    times = (F.col("taken") / F.greatest("size", F.lit(1))).cast("int")
-    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))).select(COLUMNS)
+    mixed = source_mixing.mix_sources(docs, keep=COLUMNS[1:], copies="_copies")
+    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -152,8 +152,13 @@ def near_duplicates(
     text: str = "text",
     keep: Sequence[str] = (),
     max_bits: int = MAX_BITS,
+    root: str | None = None,
 ) -> DataFrame:
-    """id, fp, component_id, keep...: one row per document; component_id is the smallest id reachable."""
+    """id, fp, component_id, keep...: one row per document; component_id is the smallest id reachable.
+
+    root: name of a further column with the component's smallest fingerprint, which
+    tells components apart where ids repeat or are null.
+    """
     prints = stored(
         docs.select(F.col(id_col).alias("_id"), fingerprint(F.col(text)).alias("fp"), *[F.col(c).alias(f"_keep_{c}") for c in keep]),
         "fingerprints",
@@ -166,12 +171,12 @@ def near_duplicates(
     linked = linked.unionByName(nodes.join(heads, nodes["fp"] == heads["root"]).select("root", "least"))
     named = linked.groupBy("root").agg(F.min("least").alias("smallest"))
     members = roots.unionByName(heads.select(F.col("root").alias("node"), "root"))
-    moved = stored(members.join(named, "root").select("node", "smallest"), "fingerprint-names")
+    moved = stored(members.join(named, "root").select("node", "root", "smallest"), "fingerprint-names")
     labels = nodes.join(moved, nodes["fp"] == moved["node"], "left").select(
-        F.col("fp").alias("_fp"), F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("smallest")).alias("component_id")
+        F.col("fp").alias("_fp"), F.coalesce("root", "fp").alias("_root"), F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("smallest")).alias("component_id")
     )
     return prints.join(labels, prints["fp"] == labels["_fp"]).select(
-        F.col("_id").alias(id_col), "fp", "component_id", *[F.col(f"_keep_{c}").alias(c) for c in keep]
+        F.col("_id").alias(id_col), "fp", "component_id", *([F.col("_root").alias(root)] if root else []), *[F.col(f"_keep_{c}").alias(c) for c in keep]
     )
 
 

@@ -129,9 +129,13 @@ def mix_sources(
     weights: Sequence[int] = WEIGHTS,
     total_share: float = TOTAL_SHARE,
     max_repeat: int = MAX_REPEAT,
+    copies: str | None = None,
 ) -> DataFrame:
     """One row per document with the words that the mix takes of it, repeats counted.
 
+    copies: name of a further column with how often the document is taken, which
+    the words of a document without any do not tell.
+
     With columns in `keep`, those are read again beside the sizes and joined by
     nothing: the sizes are worked out in the same pass that reads them.
     """
@@ -146,10 +150,10 @@ def mix_sources(
         "mix-plan",
     )
     picked = (rows if keep else sizes).join(plan, F.col("source").eqNullSafe(F.col("_ps")))
-    times = F.col("whole") + F.when(F.col("hash") < F.col("cut"), 1).otherwise(0)
+    times = F.least(F.col("whole") + F.when(F.col("hash") < F.col("cut"), 1).otherwise(0), F.lit(max_repeat)).cast("int")
     return picked.select(
-        F.col("doc_id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.least(times, F.lit(max_repeat))).cast("long").alias("taken"),
-        *[F.col(f"_keep_{c}").alias(c) for c in keep],
+        F.col("doc_id").alias(id_col), "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"),
+        *([times.alias(copies)] if copies else []), *[F.col(f"_keep_{c}").alias(c) for c in keep],
     )
 
 

@@ -232,6 +232,19 @@ def test_pipeline_stages(spark, tmp_path):
     assert last.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and last.count() == counts[4]
 
 
+def test_pipeline_keeps_one_row_of_every_component(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    texts = [(1, a), (2, a), (1, b), (3, b), (1, b), (None, c), (None, c), (None, a), (4, None), (None, "")]
+    rows = spark.createDataFrame([(i, t, "en", "s", None) for i, t in texts], DOCS)
+    left = corpus_pipeline.drop_near_duplicates(spark, rows, "").collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in left) == [(False, 1, a), (False, 1, b), (False, 4, ""), (True, 0, c)]
+
+
+def test_pipeline_mixes_documents_without_words(spark):
+    rows = spark.createDataFrame([(i, t, "en", s, 0) for i, (t, s) in enumerate([("w " * 9, "a"), ("", "a"), (None, "a"), ("w " * 900, "b")])], DOCS)
+    assert sorted(r.doc_id for r in corpus_pipeline.mix(spark, rows, "").collect() if r.doc_id < 3) == [0, 0, 1, 1, 2, 2]
+
+
 def test_pipeline_on_empty_tables(spark, tmp_path):
     folder = f"file://{tmp_path}"
     spark.createDataFrame([], DOCS).write.parquet(f"{folder}/documents.parquet")
