@@ -272,15 +272,18 @@ def dense_top_k(spark, sf_dir):
 )
 def retrieval_metrics(spark, sf_dir):
     queries, chunks = _vectors(spark, sf_dir, ["label"])
-    hits = retrieve.dense_top_k(queries, chunks.drop("label"), 10, 6)
-    got = hits.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda h: h["chunk_id"]).alias("got"))
-    members = chunks.groupBy("label").agg(F.collect_list("chunk_id").alias("rel"))
-    rel = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "label").join(members, "label")
-    rows = got.join(rel, "qid")
-    g, r = F.col("got"), F.col("rel")
-    return rows.select(
-        "qid", F.round(evaluate.recall_at(g, r, 10), 6).alias("recall"), F.round(evaluate.precision_at(g, r, 10), 6).alias("precision"),
-        F.round(evaluate.reciprocal_rank(g, r), 6).alias("mrr"), F.round(evaluate.ndcg_at(g, r, 10), 6).alias("ndcg"),
+    hits = retrieve.dense_top_k(queries, chunks.drop("label"), 10, 6).select("qid", "chunk_id", "rank")
+    wanted = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("want"))
+    # Only marks and counts are needed: a label's chunks are never gathered.
+    members = chunks.where(F.col("label").isNotNull()).groupBy(F.col("label").alias("want")).agg(F.count("*").alias("n"))
+    rows = hits.join(chunks.select("chunk_id", "label"), "chunk_id").join(wanted.join(members, "want"), "qid")
+    hit = F.coalesce(F.col("label") == F.col("want"), F.lit(False))
+    gain = F.lit(1.0) / F.log2(F.col("rank") + F.lit(1.0))
+    found = rows.groupBy("qid", "n").agg(F.sum(hit.cast("int")).alias("hits"), F.min(F.when(hit, F.col("rank"))).alias("first"), F.sum(F.when(hit, gain).otherwise(0.0)).alias("got"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(10)).cast("int")), F.lit(0.0), lambda a, i: a + F.lit(1.0) / F.log2(i + F.lit(1.0)))
+    return found.select(
+        "qid", F.round(F.col("hits") / F.col("n"), 6).alias("recall"), F.round(F.col("hits") / F.lit(10), 6).alias("precision"),
+        F.round(F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0)), 6).alias("mrr"), F.round(F.col("got") / ideal, 6).alias("ndcg"),
     )
 
 

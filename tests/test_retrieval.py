@@ -189,3 +189,10 @@ def test_readable_counts(spark):
     pairs = who.crossJoin(docs).where(retrieve.can_read(F.col("allowed_users"), F.col("allowed_groups"), F.col("user_id"), F.col("email"), F.col("member_of")))
     want = {r.qid: r.n for r in pairs.groupBy("qid").agg(F.count("*").alias("n")).collect()}
     assert {r.qid: r.readable for r in retrieve.readable_counts(who, docs).collect()} == want
+
+
+def test_retrieval_metrics_query_gathers_no_label(spark):
+    from corpusloom import registry
+
+    plan = registry.QUERIES["retrieval_metrics"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(chunk_id" not in plan
