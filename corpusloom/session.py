@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Folder used only where the session names no spark.checkpoint.dir (local tests).
-LOCAL_WORK_DIR = "file:///tmp/checkpoints"
-
 #: Settings that the plans rely on; everything else is left to the cluster.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -39,19 +40,39 @@ def local_session(cores: int | str = "*", memory: str = "6g") -> SparkSession:
     )
 
 
+@cache
+def _local_folder() -> str:
+    """A folder of this process on a machine that is driver and executor in one; gone when the process ends."""
+    path = tempfile.mkdtemp(prefix="corpusloom-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file://{path}"
+
+
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or LOCAL_WORK_DIR where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or the folder given to setCheckpointDir().
+
+    Where neither is set, a local session gets a folder of its own, and a session
+    on a cluster an error: its executors would each write to their own disk.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(LOCAL_WORK_DIR)
-    return LOCAL_WORK_DIR
+    # local-cluster and all other masters have executors with folders of their own.
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    context.setCheckpointDir(_local_folder())
+    return context.getCheckpointDir().rstrip("/")
+
+
+def app_dir(spark: SparkSession) -> str:
+    """The application's own part of the shared folder, to be deleted when it has ended."""
+    return f"{work_dir(spark)}/corpusloom/{spark.sparkContext.applicationId}"
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{work_dir(spark)}/corpusloom/{label}-{uuid.uuid4().hex}"
+    return f"{app_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -71,9 +92,9 @@ def drop_stored(spark: SparkSession, *dfs: DataFrame) -> None:
     """Delete tables made by stored() once nothing reads them any more."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    root = f"{work_dir(spark)}/corpusloom/"
+    root = f"{app_dir(spark)}/"
     for df in dfs:
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/corpusloom/" in folder and folder.split(":", 1)[-1].lstrip("/").startswith(root.split(":", 1)[-1].lstrip("/")):
+            if folder.split(":", 1)[-1].lstrip("/").startswith(root.split(":", 1)[-1].lstrip("/")):
                 path = jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(conf).delete(path, True)
