@@ -9,7 +9,8 @@ numpy scores it, and a temperature fitted on rows left out calibrates the
 probability.
 
 Nulls and odd rows: null and empty texts pool to zeros and are scored like any
-other; repeated rows get equal results; labels null or not 0 or 1 are ignored;
+other; repeated rows get equal results; of several texts under one labelled id
+the one of smallest hash is learned from; labels null or not 0 or 1 are ignored;
 without labels of both classes every score is the smoothed share of label 1;
 extra columns pass through; an empty table gives an empty result.
 """
@@ -192,7 +193,9 @@ def fit_network(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, seed: int = 0
 
 def train(docs: DataFrame, labels: DataFrame, trainable: Column, *, label: str = "quality", id_col: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS) -> Network:
     """Fit vectors and network on at most `rows` labelled documents for which trainable holds."""
-    sample = stored(labelled_sample(docs, labels, label, trainable, rows, id_col=id_col, text=text).dropDuplicates([id_col]), "quality-sample")
+    sample = labelled_sample(docs, labels, label, trainable, rows, id_col=id_col, text=text)
+    # Documents that share an id: the one of smallest hash, so that reruns agree.
+    sample = stored(sample.groupBy(id_col, "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "quality-sample")
     sums = sample.select("text").mapInPandas(contexts, "slot int, v array<double>").groupBy("slot").applyInPandas(_sum_vectors, "slot int, v array<double>")
     vectors = index_vectors()
     for r in sums.collect():

@@ -1,15 +1,18 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are a text's distinct words of letters and their prefixes, hashed. On a
-bounded sample of labelled rows Spark counts in how many documents of either
-class each term stands; the terms that tell the classes apart best become the
-machine's inputs. It learns a weight per term and a factor vector per term, whose
-products score pairs that stand together. Scores are calibrated on a part of the
-sample that the fit leaves out. The fitted machine has fixed size and scores
-whole texts in Arrow batches.
+bounded sample of labelled rows, every term whose documents lean to one class by
+more than chance becomes an input of the machine, and so do both terms of every
+pair whose common documents do, whether or not either leans alone. There is no
+limit on their number: all other terms have weight and factors zero, as nothing
+in the sample tells them from chance. The machine learns a weight per input and a
+factor vector per input, whose products score pairs that stand together. Scores
+are calibrated on a part of the sample that the fit leaves out, and whole texts
+are scored in Arrow batches.
 
 Nulls and odd rows: null and empty texts have no terms and get the score of the
-bias; repeated rows get equal results; labels null or not 0 or 1 are ignored;
+bias; repeated rows get equal results; of several texts under one labelled id the
+one of smallest hash is learned from; labels null or not 0 or 1 are ignored;
 without labels of both classes every score is the smoothed share of label 1;
 extra columns pass through; an empty table gives an empty result.
 """
@@ -18,7 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,8 +37,14 @@ from corpusloom.session import stored
 SAMPLE_ROWS = 8000
 TERM_BITS = 22
 PREFIXES = (4, 5, 6, 7)
-INPUTS = 1024
+#: Standard errors beyond which a term, or a pair, leans to a class by more than chance; pairs are many more.
+TERM_LEAN = 3.5
+PAIR_LEAN = 6.0
+#: Least documents of a term, and least share of the sample's documents of each term of a pair: rarer pairs cannot reach PAIR_LEAN.
 LEAST_DOCS = 3
+PAIR_SHARE = 0.02
+#: Terms whose pairs are counted at a time.
+PAIR_BLOCK = 512
 FACTORS = 8
 EPOCHS = 40
 BATCH = 256
@@ -108,6 +117,40 @@ class Machine:
         return float(sigmoid(self.slope * self.margin(at) + self.offset))
 
 
+def lean(every, yes, all_rows: int, all_yes: float):
+    """Distance of the class shares in standard errors, smoothed for rare terms; for numbers and arrays alike."""
+    no, all_no = every - yes, all_rows - all_yes
+    spread = np.sqrt((every + 1.0) / (all_rows + 2.0) * (1.0 / (all_yes + 1.0) + 1.0 / (all_no + 1.0)))
+    return np.abs(yes / max(all_yes, 1) - no / max(all_no, 1)) / spread
+
+
+def inputs(rows: Sequence[np.ndarray], y: np.ndarray) -> list[int]:
+    """The terms that lean to a class, alone or in a pair, in rising order."""
+    if not len(y) or not any(map(len, rows)):
+        return []
+    terms, column, count = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    yes = np.bincount(column, y[owner], len(terms))
+    chosen = (count >= LEAST_DOCS) & (lean(count, yes, len(y), y.sum()) >= TERM_LEAN)
+    often = np.nonzero((count >= LEAST_DOCS) & (count >= PAIR_SHARE * len(y)))[0]
+    place = np.full(len(terms), -1)
+    place[often] = np.arange(len(often))
+    here = place[column] >= 0
+    x = np.zeros((len(rows), len(often)), dtype=np.float32)
+    x[owner[here], place[column[here]]] = 1.0
+    paired = np.zeros(len(often), dtype=bool)
+    for first in range(0, len(often), PAIR_BLOCK):
+        # Counts are whole numbers below 2^24, exact in single precision.
+        part, rest = x[:, first : first + PAIR_BLOCK], x[:, first:]
+        both, both_yes = part.T @ rest, (part[y == 1]).T @ rest[y == 1]
+        hit = (lean(both, both_yes, len(y), y.sum()) >= PAIR_LEAN) & (both >= LEAST_DOCS)
+        hit[np.arange(len(hit)), np.arange(len(hit))] = False
+        paired[first : first + PAIR_BLOCK] |= hit.any(axis=1)
+        paired[first:] |= hit.any(axis=0)
+    chosen[often[paired]] = True
+    return terms[chosen].tolist()
+
+
 def fit_machine(x: np.ndarray, y: np.ndarray, slots: dict[int, int], seed: int = 0) -> Machine:
     """Adam on the logistic loss of a 0/1 matrix; every fifth row is kept for calibration."""
     share = float((y.sum() + 0.5) / (len(y) + 1.0))
@@ -150,30 +193,16 @@ def fit_machine(x: np.ndarray, y: np.ndarray, slots: dict[int, int], seed: int =
 def train(docs: DataFrame, labels: DataFrame, trainable: Column, *, label: str = "toxic", id_col: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS) -> Machine:
     """Fit on at most `rows` labelled documents for which trainable holds."""
     sample = labelled_sample(docs, labels, label, trainable, rows, id_col=id_col, text=text)
-    sample = stored(sample.select(id_col, "y", terms(F.col("text")).alias("terms")).dropDuplicates([id_col]), "toxicity-sample")
-    totals = sample.agg(F.count("*"), F.sum("y")).first()
-    every, yes = totals[0], totals[1] or 0
-    # Distance of the class shares in standard errors, smoothed for rare terms.
-    p, q = F.col("yes") / max(yes, 1), (F.col("all") - F.col("yes")) / max(every - yes, 1)
-    spread = F.sqrt((F.col("all") + 1.0) / (every + 2.0) * (1.0 / (yes + 1.0) + 1.0 / (every - yes + 1.0)))
-    best = (
-        sample.select("y", F.explode("terms").alias("term")).groupBy("term")
-        .agg(F.count("*").alias("all"), F.sum("y").alias("yes")).where(F.col("all") >= LEAST_DOCS)
-        .select("term", F.abs((p - q) / spread).alias("z"))
-        .orderBy(F.desc("z"), "term").limit(INPUTS).collect()
-    )
-    slots = {r.term: i for i, r in enumerate(best)}
-
-    @F.pandas_udf("array<int>")
-    def chosen(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for lists in batches:
-            yield pd.Series([[slots[t] for t in ts if t in slots] for ts in lists])
-
-    got = sample.select(F.xxhash64(id_col).alias("h"), "y", chosen("terms").alias("at")).orderBy("h").collect()
-    x = np.zeros((len(got), len(slots)), dtype=np.uint8)
-    for i, r in enumerate(got):
-        x[i, r["at"]] = 1
-    return fit_machine(x, np.array([r.y for r in got], dtype=np.float64), slots)
+    sample = sample.select(id_col, "y", F.xxhash64("text").alias("h"), terms(F.col("text")).alias("terms"))
+    # Documents that share an id: the one of smallest hash, so that reruns agree.
+    sample = sample.groupBy(id_col, "y").agg(F.min_by("terms", "h").alias("terms"))
+    got = stored(sample.select(F.xxhash64(id_col).alias("at"), "y", "terms"), "toxicity-sample").orderBy("at").collect()
+    found, y = [np.array(r.terms, dtype=np.int64) for r in got], np.array([r.y for r in got], dtype=np.float64)
+    slots = {t: i for i, t in enumerate(inputs(found, y))}
+    x = np.zeros((len(found), len(slots)), dtype=np.uint8)
+    for i, ts in enumerate(found):
+        x[i, [slots[t] for t in ts.tolist() if t in slots]] = 1
+    return fit_machine(x, y, slots)
 
 
 def score(text: Column, machine: Machine) -> Column:

@@ -1,7 +1,10 @@
 """Classifiers by held-out accuracy, kNN by brute force, WARC by round trip, BPE by the library, the pipeline by rules."""
 
 import hashlib
+import math
 import random
+import re
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -70,6 +73,105 @@ def test_factorization_machine_learns_pairs():
     assert both > 0.8 and one < 0.2
 
 
+def test_pairs_become_inputs_where_neither_term_leans_alone():
+    """Labels are the exclusive or of two terms among many: shares of either term alone are those of chance."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(300)]
+    texts, y = [], []
+    for i in range(2000):
+        a, b = bool(i & 1), bool(i & 2)
+        texts.append(" ".join([*rng.choice(words, 20), *(["you"] if a else []), *(["group"] if b else [])]))
+        y.append(float(a == b))
+    rows, y = [np.array(toxicity.terms_of(t), dtype=np.int64) for t in texts], np.array(y)
+    own = {w: toxicity.word_terms(w)[0] for w in ("you", "group")}
+    for t in own.values():
+        has = np.array([t in r for r in rows])
+        assert toxicity.lean(has.sum(), y[has].sum(), len(y), y.sum()) < 1
+    found = toxicity.inputs(rows, y)
+    assert set(own.values()) <= set(found) and found == sorted(found)
+    slots = {t: i for i, t in enumerate(found)}
+    x = np.zeros((len(rows), len(slots)), dtype=np.uint8)
+    for i, r in enumerate(rows):
+        x[i, [slots[t] for t in r.tolist() if t in slots]] = 1
+    machine = toxicity.fit_machine(x, y, slots)
+    score = np.array([machine.score(list(np.nonzero(r)[0])) for r in x])
+    assert auc(score, y) > 0.99
+
+
+def test_inputs_match_brute_force():
+    rng = np.random.default_rng(2)
+    rows = [np.unique(rng.choice(30, rng.integers(0, 12))) for _ in range(400)]
+    y = np.array([float(3 in r and 4 in r or 7 in r) for r in rows])
+    want = set()
+    for a in range(30):
+        for b in range(a, 30):
+            has = np.array([a in r and b in r for r in rows])
+            n, yes = has.sum(), y[has].sum()
+            spread = ((n + 1) / 402 * (1 / (y.sum() + 1) + 1 / (400 - y.sum() + 1))) ** 0.5
+            z = abs(yes / y.sum() - (n - yes) / (400 - y.sum())) / spread
+            if n >= toxicity.LEAST_DOCS and z >= (toxicity.TERM_LEAN if a == b else toxicity.PAIR_LEAN):
+                want |= {a, b}
+    assert want and toxicity.inputs(rows, y) == sorted(want)
+    assert toxicity.inputs([], np.zeros(0)) == [] and toxicity.inputs([np.zeros(0, dtype=np.int64)], np.ones(1)) == []
+
+
+def test_scores_match_brute_force(spark):
+    """Query scores against the models' formulas, written out for one text at a time."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    texts = docs.select("doc_id", "text").where("doc_id % 40 = 0").collect()
+    machine = toxicity.train(docs, labels, fold(F.col("doc_id"), 4) != 2)
+    got = {r.doc_id: r.score for r in registry.op6_toxicity(spark, SF).collect()}
+    for r in texts:
+        terms = {zlib.crc32(p.encode()) % 2**22 for w in set(re.findall(r"[^\W\d_]+", r.text.lower())) for p in [w, *("^" + w[:n] for n in (4, 5, 6, 7) if len(w) >= n)]}
+        at = [machine.slots[t] for t in terms if t in machine.slots]
+        margin = machine.bias + sum(float(machine.weight[i]) for i in at)
+        margin += sum(float(machine.factor[i] @ machine.factor[j]) for k, i in enumerate(at) for j in at[:k])
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-(machine.slope * margin + machine.offset))), abs=1e-6)
+    network = quality_model.train(docs, labels, fold(F.col("doc_id"), 5) != 0)
+    got = {r.doc_id: r.score for r in registry.op10_quality_model(spark, SF).collect()}
+    slot = lambda unit: zlib.crc32(unit.encode()) % quality_model.SLOTS
+    for r in texts:
+        words = r.text.split()
+        total = np.zeros(quality_model.DIM)
+        for i, w in enumerate(words):
+            kinds = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in w]
+            shape = "".join(k for k, last in zip(kinds, [None, *kinds], strict=False) if k != last)
+            total += network.vectors[slot("s" + shape)].astype(float) + network.vectors[slot("w" + "".join(c for c in w if c.isalpha()).lower())]
+            if i and words[i - 1] == w:
+                total += network.vectors[quality_model.SAME]
+        lines = [x for x in r.text.split("\n") if x]
+        total += (len(lines) - len(set(lines))) * network.vectors[quality_model.LINE].astype(float)
+        z = (np.append(total / max(len(words), 1), math.log1p(len(words)) / 10) - network.centre) / network.scale
+        margin = np.maximum(z @ network.w1 + network.b1, 0) @ network.w2 + network.b2
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-margin / network.temperature)), abs=1e-3)
+
+
+def test_extra_columns_with_clashing_names_change_nothing(spark, tmp_path):
+    plain, clash = f"file://{tmp_path}/plain", f"file://{tmp_path}/clash"
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    names = ["score", "labels", "n_tokens", "d", "h", "y", "terms", "kept", "fingerprint", "fp", "component_id", "size", "target", "base", "added", "hash", "spans", "_id", "_key", "_text", "_copies", "r"]
+    for folder, rows in ((plain, docs), (clash, docs.withColumns({n: F.lit("clash") for n in names}))):
+        rows.write.parquet(f"{folder}/documents.parquet")
+        spark.read.parquet(f"{SF}/labels.parquet").withColumns({n: F.lit("clash") for n in ("score", "y", "h", "text", "terms")} if folder == clash else {}).write.parquet(f"{folder}/labels.parquet")
+    for name in ("op3_license_scan", "op6_toxicity", "op9_bpe", "op10_quality_model"):
+        want, got = (sorted(map(str, registry.QUERIES[name](spark, folder).collect())) for folder in (plain, clash))
+        assert got == want, name
+    want, got = (sorted(map(str, corpus_pipeline.run(spark, folder).collect())) for folder in (plain, clash))
+    assert got == want and got
+
+
+def test_a_labelled_id_with_two_texts_is_learned_alike_on_every_run(spark):
+    rows = [(i, f"word{i % 7} {'awful scum' if i % 2 else 'tree house'}", i) for i in range(80)] + [(i, f"other text {i}", 0) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    for module in (toxicity, quality_model):
+        scores = []
+        for parts in (1, 7):
+            docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(parts, "n")
+            model = module.train(docs, labels, F.lit(True), label="toxic")
+            scores.append(sorted(docs.select("doc_id", "text", module.score(F.col("text"), model)).collect()))
+        assert scores[0] == scores[1]
+
+
 def brute_top(rows, k):
     best = []
     usable = [(i, np.floor(np.array(v, dtype=np.float64) * 64).astype(np.int64)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
