@@ -4,8 +4,9 @@ Everything is DataFrame functions. Text is read in three narrow passes (line
 counts, frequent lines, statistics); no pass shuffles text.
 
 Nulls and odd rows: a null text counts as empty; a null host is a host of its
-own; repeated rows each count as a document and get equal results; extra
-columns are ignored unless named in `keep`.
+own; rows of one id are one document of their host, rows without an id one for
+each text; repeated rows get equal results; extra columns are ignored unless
+named in `keep`.
 """
 
 from __future__ import annotations
@@ -93,19 +94,20 @@ def text_statistics(docs: DataFrame, text: str) -> DataFrame:
     return out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_at")
 
 
-def frequent_lines(docs: DataFrame, text: str, host: str, max_docs: int, max_share: float) -> DataFrame:
+def frequent_lines(docs: DataFrame, id_col: str, text: str, host: str, max_docs: int, max_share: float) -> DataFrame:
     """host, line: hashes of normalised lines that stand in too many documents of a host."""
     hashes = F.array_distinct(
         F.transform(F.filter(F.split(F.col(text), "\n"), lambda x: x.rlike(WORD)), lambda x: F.xxhash64(normalised_line(x)))
     )
+    document = F.coalesce(F.xxhash64(F.col(id_col).cast("string"), F.when(F.col(id_col).isNull(), F.col(text))), F.lit(0)).alias("document")
     counts = (
         docs.where(F.col(text).isNotNull())
-        .select(F.col(host).alias("host"), F.explode(hashes).alias("line"))
+        .select(F.col(host).alias("host"), document, F.explode(hashes).alias("line"))
         .groupBy("host", "line")
-        .agg(F.count("*").alias("n_docs"))
+        .agg(F.count_distinct("document").alias("n_docs"))
         .where(F.col("n_docs") > max_docs)
     )
-    sizes = docs.groupBy(F.col(host).alias("_host")).agg(F.count("*").alias("host_docs"))
+    sizes = docs.select(F.col(host).alias("_host"), document).groupBy("_host").agg(F.count_distinct("document").alias("host_docs"))
     return (
         counts.join(sizes, F.col("host").eqNullSafe(F.col("_host")))
         .where(F.col("n_docs") > F.lit(max_share) * F.col("host_docs"))
@@ -137,7 +139,7 @@ def quality_rules(
         F.col(id_col).alias("_id"), F.col(host).alias("_host"), F.col(text).alias("_text"), *[F.col(c).alias(f"_keep_{c}") for c in keep]
     )
     base = base.withColumn("_key", row_key("_id", "_host", "_text"))
-    frequent = stored(frequent_lines(base, "_text", "_host", max_line_docs, max_line_share), "frequent-lines")
+    frequent = stored(frequent_lines(base, "_id", "_text", "_host", max_line_docs, max_line_share), "frequent-lines")
     lines = (
         base.where(F.col("_text").isNotNull())
         .select("_id", "_key", "_host", F.posexplode(F.split("_text", "\n")).alias("_pos", "_line"))
@@ -169,21 +171,22 @@ def quality_rules(
 
 #: DuckDB SQL for quality_rules over documents.
 ORACLE = f"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-v AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM d, unnest(range(1, len(w) - 1)) r(i)),
-g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM v),
-r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM g, unnest(range(0, 3)) t(k) WHERE n > 1 GROUP BY doc_id),
-l AS (SELECT doc_id, source, x, trim(regexp_replace(regexp_replace(lower(x), '[0-9]', '0', 'g'), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS h,
-        len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS n FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS x FROM d)),
-u AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM l WHERE n > 0 GROUP BY doc_id),
-s AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(CAST(doc_id AS VARCHAR), 'text ' || coalesce(text, '')) AS document,
+             coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+v AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM d, unnest(range(1, len(w) - 1)) r(i)),
+g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM v),
+r AS (SELECT rid, count(DISTINCT i + k) AS n FROM g, unnest(range(0, 3)) t(k) WHERE n > 1 GROUP BY rid),
+l AS (SELECT rid, document, source, x, trim(regexp_replace(regexp_replace(lower(x), '[0-9]', '0', 'g'), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS h,
+        len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS n FROM (SELECT rid, document, source, unnest(string_split(text, chr(10))) AS x FROM d)),
+u AS (SELECT rid, count(*) - count(DISTINCT x) AS n FROM l WHERE n > 0 GROUP BY rid),
+s AS (SELECT source, count(DISTINCT document) AS n FROM d GROUP BY source),
 f AS (SELECT l.source, h FROM l JOIN s ON l.source IS NOT DISTINCT FROM s.source WHERE l.n > 0 GROUP BY l.source, h, s.n
-      HAVING count(DISTINCT doc_id) > {MAX_LINE_DOCS} AND count(DISTINCT doc_id) > {MAX_LINE_SHARE} * s.n),
-m AS (SELECT doc_id, sum(n) AS n FROM l JOIN f ON l.source IS NOT DISTINCT FROM f.source AND l.h = f.h WHERE n > 0 GROUP BY doc_id),
+      HAVING count(DISTINCT document) > {MAX_LINE_DOCS} AND count(DISTINCT document) > {MAX_LINE_SHARE} * s.n),
+m AS (SELECT rid, sum(n) AS n FROM l JOIN f ON l.source IS NOT DISTINCT FROM f.source AND l.h = f.h WHERE n > 0 GROUP BY rid),
 a AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
         CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(u.n, 0) AS BIGINT) AS n_dup_lines,
         CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(m.n, 0) AS BIGINT) AS n_removed_words
-      FROM d LEFT JOIN r USING (doc_id) LEFT JOIN u USING (doc_id) LEFT JOIN m USING (doc_id))
+      FROM d LEFT JOIN r USING (rid) LEFT JOIN u USING (rid) LEFT JOIN m USING (rid))
 SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
   NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND n_words - n_removed_words >= {MIN_LEFT_SHARE} * n_words AS kept FROM a
 """

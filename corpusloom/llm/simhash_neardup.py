@@ -34,6 +34,8 @@ from corpusloom.session import drop_stored, stored
 SEED = 42
 SHINGLE = 3
 MAX_BITS = 2
+#: Copies of one fingerprint beyond which its rows are labelled where they lie; at most rows / HOT_ROWS fingerprints are so.
+HOT_ROWS = 50_000
 #: Shingles hashed at a time, so that a very long text needs bounded memory.
 BLOCK = 65_536
 
@@ -153,6 +155,7 @@ def near_duplicates(
     keep: Sequence[str] = (),
     max_bits: int = MAX_BITS,
     root: str | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """id, fp, component_id, keep...: one row per document; component_id is the smallest id reachable.
 
@@ -163,7 +166,7 @@ def near_duplicates(
         docs.select(F.col(id_col).alias("_id"), fingerprint(F.col(text)).alias("fp"), *[F.col(c).alias(f"_keep_{c}") for c in keep]),
         "fingerprints",
     )
-    nodes = stored(prints.groupBy("fp").agg(F.min("_id").alias("least")), "fingerprint-nodes")
+    nodes = stored(prints.groupBy("fp").agg(F.min("_id").alias("least"), F.count("*").alias("n")), "fingerprint-nodes")
     roots = stored(components(links(nodes.select("fp"), max_bits)), "fingerprint-roots")
     # Nodes without links are their own component; only the linked ones are gathered.
     linked = nodes.join(roots, nodes["fp"] == roots["node"], "right").select("root", "least")
@@ -173,11 +176,16 @@ def near_duplicates(
     members = roots.unionByName(heads.select(F.col("root").alias("node"), "root"))
     moved = stored(members.join(named, "root").select("node", "root", "smallest"), "fingerprint-names")
     labels = nodes.join(moved, nodes["fp"] == moved["node"], "left").select(
-        F.col("fp").alias("_fp"), F.coalesce("root", "fp").alias("_root"), F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("smallest")).alias("component_id")
-    )
-    return prints.join(labels, prints["fp"] == labels["_fp"]).select(
-        F.col("_id").alias(id_col), "fp", "component_id", *([F.col("_root").alias(root)] if root else []), *[F.col(f"_keep_{c}").alias(c) for c in keep]
+        F.col("fp").alias("_fp"), "n", F.coalesce("root", "fp").alias("_root"), F.when(F.col("node").isNull(), F.col("least")).otherwise(F.col("smallest")).alias("component_id")
     )
+    labels = stored(labels, "fingerprint-labels")
+    cold = labels.where(F.col("n") <= hot_rows).drop("n")
+    # One row per hot fingerprint, so that no task gets all copies of one: a broadcast of at most rows / hot_rows rows.
+    hot = labels.where(F.col("n") > hot_rows).drop("n")
+    out = [F.col("_id").alias(id_col), "fp", "component_id", *([F.col("_root").alias(root)] if root else []), *[F.col(f"_keep_{c}").alias(c) for c in keep]]
+    same = F.col("fp") == F.col("_fp")
+    few = prints.join(F.broadcast(hot.select("_fp")), same, "left_anti").join(cold, same).select(out)
+    return few.unionByName(prints.join(F.broadcast(hot), same).select(out))
 
 
 def hex16(fp: Column) -> Column:

@@ -7,9 +7,9 @@ next bits, and the final filter compares hashes with thresholds. Documents are
 never sorted; larger budgets give larger, nested choices.
 
 Nulls and odd rows: a null text has size 0; a null source is a source, ordered
-last; a null id hashes as the empty string; repeated ids share a hash and are
-taken or left together; extra columns pass through `keep`; an empty table gives
-an empty result.
+last; the hash is of id and text, so that rows that share an id or have none are
+chosen one by one; only rows equal in both share a hash and are taken or left
+together; extra columns pass through `keep`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,9 +33,9 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def hash_of(id_col: Column) -> Column:
-    """The first 52 bits of the id's MD5, as long."""
-    digest = F.md5(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary"))
+def hash_of(id_col: Column, text: Column) -> Column:
+    """The first 52 bits of the MD5 of id and text, as long."""
+    digest = F.md5(F.concat(F.coalesce(id_col.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit(""))).cast("binary"))
     return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
@@ -139,8 +139,7 @@ def mix_sources(
     With columns in `keep`, those are read again beside the sizes and joined by
     nothing: the sizes are worked out in the same pass that reads them.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
-    rows = rows.withColumn("hash", hash_of(F.col("doc_id")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), hash_of(F.col(id_col), F.col(text)).alias("hash"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
     sizes = stored(rows.select("doc_id", "source", "size", "hash"), "mix-sizes")
     targets = stored(source_targets(sizes, weights, total_share, max_repeat), "mix-targets")
     cuts = stored(thresholds(sizes, targets), "mix-cuts")
@@ -161,7 +160,7 @@ def mix_sources(
 ORACLE = """
 WITH s AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS h
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 13) AS BIGINT) AS h
   FROM documents),
 t AS (SELECT source, CAST(sum(size) AS DOUBLE) AS source_size FROM s GROUP BY source),
 w AS (SELECT *, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3]::DOUBLE AS weight, 2.0 * source_size AS cap FROM t),

@@ -54,9 +54,10 @@ def test_quality_rules_match_brute_force(spark, docs):
     df = spark.createDataFrame(docs, SCHEMA).withColumn("n_words", F.lit("clash")).withColumn("_key", F.lit(1))
     got = quality_rules.quality_rules(df, max_line_docs=5, max_line_share=0.1).collect()
     norm = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", re.sub("[0-9]", "0", x.lower())).strip()
-    on_host, hosts = Counter(), Counter(r[3] for r in docs)
-    for _, t, _, s, _ in docs:
-        on_host.update({(s, norm(x)) for x in (t or "").split("\n") if words(x)})
+    document = lambda i, t: (i, None if i is not None else t)
+    pairs = {(s, norm(x), document(i, t)) for i, t, _, s, _ in docs for x in (t or "").split("\n") if words(x)}
+    on_host = Counter((s, x) for s, x, _ in pairs)
+    hosts = Counter(s for s, _ in {(s, document(i, t)) for i, t, _, s, _ in docs})
     frequent = {k for k, n in on_host.items() if n > 5 and n > 0.1 * hosts[k[0]]}
     assert frequent
     want = []
@@ -110,6 +111,27 @@ def test_mix_on_an_empty_table_and_without_words(spark):
     assert [(r.size, r.taken) for r in rows] == [(0, 0), (0, 0)]
 
 
+def test_mix_meets_the_target_of_a_source_without_ids(spark):
+    rows = [(None, f"w{i} " * 10, "en", "a", 0) for i in range(400)] + [(7, f"x{i} " * 10, "en", "b", 0) for i in range(400)]
+    got = source_mixing.mix_sources(spark.createDataFrame(rows, SCHEMA), keep=["source"], total_share=0.6).collect()
+    for s in "ab":
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 10
+
+
+def test_repeated_rows_give_the_rows_of_the_sql(spark, tmp_path, docs):
+    duckdb = pytest.importorskip("duckdb")
+    folder = f"file://{tmp_path}"
+    line = "A line that stands in many pages of this host, again and again, under its text."
+    more = [(i % 30, f"{line}\nown words {' '.join(f'v{i}q{j}' for j in range(55))}", "en", "s1", 0) for i in range(45)]
+    spark.createDataFrame([*docs, *more], SCHEMA).coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("op1_quality_rules", "op2_mix_sources"):
+        frame = registry.QUERIES[name](spark, folder)
+        want = duckdb.sql(f"SELECT {', '.join(frame.columns)} FROM ({registry.ORACLE_SQL[name]})").fetchall()
+        assert sorted(map(str, map(tuple, frame.collect()))) == sorted(map(str, want)), name
+
+
 def test_larger_budgets_take_supersets(spark):
     rows = [(i, "w " * (1 + i % 7), "en", "s", 0) for i in range(300)]
     df = spark.createDataFrame(rows, SCHEMA)
@@ -200,7 +222,9 @@ def test_near_duplicates_match_brute_force(spark, docs):
         copy[rng.randrange(400)] = f"changed{rng.random()}"
         near.append(" ".join(copy))
     rows = docs + [(1000 + i, t, "en", "s", 0) for i, t in enumerate([*near, near[0].upper(), near[0]])]
-    got = simhash_neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA).withColumn("fp", F.lit("clash"))).select("doc_id", simhash_neardup.hex16(F.col("fp")).alias("f"), "component_id").collect()
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("fp", F.lit("clash"))
+    got, hot = (simhash_neardup.near_duplicates(df, hot_rows=n).select("doc_id", simhash_neardup.hex16(F.col("fp")).alias("f"), "component_id").collect() for n in (50_000, 1))
+    assert sorted(map(str, got)) == sorted(map(str, hot))
     prints = [brute_fingerprint(r[1]) for r in rows]
     want = list(zip([r[0] for r in rows], [f"{p:016x}" for p in prints], brute_components([r[0] for r in rows], prints), strict=True))
     key = lambda r: tuple((x is None, x) for x in r)
