@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept; all but the last return the columns of documents. Rows without an id are
-deduplicated like any other.
+deduplicated like any other; null and empty texts are one text, of which one row
+stays beside every document without it, is mixed by its source's threshold, and
+encodes to no ids.
 """
 
 from __future__ import annotations
