@@ -1,14 +1,21 @@
 """Exact top-k by inner product: a Voronoi join with bounds from group summaries.
 
-A bounded set of pivots cuts the rows into cells by nearest pivot. A cell's
-summary is its radius r, and the distance d at which its (k+1)-th nearest row
-stands. For a query q and any row x of the cell of pivot p,
-|q.x - q.p| <= |q| |x - p|. So q.p - |q| d is a score that k rows beside the
-query's own are sure to reach, the best of those over all cells bounds the
-query's k-th score from below, and a cell can add to the answer only if
-q.p + |q| r reaches that bound. A query is replicated to just those cells, being
-the smaller side; there it meets the rows in blocks of bounded numbers of
-queries and rows whatever the sizes of the cells, and the blocks' best are merged.
+Pivots, about the square root of the rows in number and chosen far apart from a
+bounded sample, cut rows and queries into cells by nearest pivot. A cell of
+queries is summed up by its radius r, the largest norm m, and a score t that k
+other rows are sure to reach for each of its queries. For a query q of the cell
+of pivot p and any row x, q.x <= min(p.x + r |x|, m |x|), so x can add to the
+answer only if that bound reaches t. t is the best of two: the k-th score of the
+cell's worst query among the sample, and, over all cells of rows, the score that
+the rows within the (k+1)-th distance d of a pivot o reach, p.o - r |o| - m d.
+
+Cells of queries are packed into groups of bounded size, and a cell larger than a
+group is split. A query goes to one group; a row is replicated to the groups that
+hold a cell whose bound it reaches. There they meet in blocks of bounded numbers of
+queries and rows, and the blocks' best are merged. Queries are sent once for each
+block of their group's rows and rows once for each group that needs them: where
+nothing can be pruned, the join is that of blocks, whose work is the product of
+both sides.
 
 Nulls and odd rows: vectors that are null or hold null or non-finite components
 take no part; shorter vectors count as padded with zeros; a null id takes no
@@ -20,7 +27,9 @@ whose products do not fit are not supported.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -31,10 +40,13 @@ from corpusloom.session import stored
 
 K = 20
 SCALE = 64
-PIVOTS = 16
+#: Most pivots; more would tighten bounds and change no result.
+MOST_PIVOTS = 4096
+#: Rows of the sample for each pivot.
+SAMPLED = 4
 #: Rows that meet in one local task, and queries multiplied at a time there.
-QUERY_BLOCK = 4096
-DATA_BLOCK = 4096
+QUERY_BLOCK = 8192
+DATA_BLOCK = 8192
 SOLVED_TOGETHER = 256
 #: float64 products and sums are exact below this.
 EXACT = 2.0**53
@@ -76,38 +88,93 @@ FAR = 1e300
 SLACK = 1e-9
 
 
+def _spread(sample: np.ndarray, pivots: int) -> np.ndarray:
+    """Rows of the sample, each the farthest from those chosen before it; fewer if no other is left."""
+    points = sample.astype(np.float64)
+    norms = (points**2).sum(axis=1)
+    chosen, far = [0], np.full(len(points), np.inf)
+    while len(chosen) < pivots:
+        last = points[chosen[-1]]
+        far = np.minimum(far, np.maximum(norms + last @ last - 2.0 * (points @ last), 0.0))
+        best = int(far.argmax())
+        if far[best] <= 0.0:
+            break
+        chosen.append(best)
+    return sample[chosen]
+
+
+def _tour(pivots: np.ndarray) -> list[int]:
+    """The pivots in an order in which each is followed by the nearest that is left, so that neighbours share groups."""
+    points = pivots.astype(np.float64)
+    norms, left, order = (points**2).sum(axis=1), np.ones(len(points), dtype=bool), [0]
+    left[0] = False
+    while left.any():
+        far = np.where(left, norms - 2.0 * (points @ points[order[-1]]), np.inf)
+        order.append(int(far.argmin()))
+        left[order[-1]] = False
+    return order
+
+
 def _assign(pivots: np.ndarray) -> Callable:
-    """Adds each vector's nearest pivot and its distance."""
+    """Adds each vector's nearest pivot, its distance, and the vector's norm."""
     dim = pivots.shape[1]
     squares = (pivots.astype(np.float64) ** 2).sum(axis=1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             v = _matrix(rows["v"], dim)
-            far = (v.astype(np.float64) ** 2).sum(axis=1)[:, None] + squares[None, :] - 2.0 * _products(v, pivots)
+            norm = _norms(v)
+            far = (norm**2)[:, None] + squares[None, :] - 2.0 * _products(v, pivots)
             near = far.argmin(axis=1)
             gap = np.sqrt(np.maximum(far[np.arange(len(v)), near], 0.0)) if len(v) else np.zeros(0)
-            yield pd.DataFrame({"id": rows["id"], "v": rows["v"], "cell": near.astype(np.int32), "gap": gap})
+            yield pd.DataFrame({"id": rows["id"], "v": rows["v"], "q": rows["q"], "cell": near.astype(np.int32), "gap": gap, "norm": norm})
 
     return run
 
 
-def _route(pivots: np.ndarray, radius: np.ndarray, sure: np.ndarray) -> Callable:
-    """A row for each cell that may hold one of the query's best."""
-    dim = pivots.shape[1]
+def _reached(sample: np.ndarray, k: int) -> Callable:
+    """cell, sure: the score that k rows of the sample beside its own are sure to reach, for each query."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            v = _matrix(rows["v"], dim)
-            dot, norm = _products(v, pivots).astype(np.float64), _norms(v)[:, None]
-            slack = SLACK * (np.abs(dot) + norm * (radius[None, :] + 1) + 1)
-            least = (dot - norm * sure[None, :] - slack).max(axis=1)
-            row, cell = np.nonzero(dot + norm * radius[None, :] + slack >= least[:, None])
-            yield pd.DataFrame({"cell": cell.astype(np.int32), "id": rows["id"].to_numpy()[row], "v": rows["v"].to_numpy()[row]})
+            score = _products(_matrix(rows["v"], sample.shape[1]), sample)
+            n = score.shape[1]
+            # One of the k + 1 best may be the query's own row.
+            sure = np.partition(score, n - k - 1, axis=1)[:, n - k - 1].astype(np.float64) if n > k else np.full(len(score), -FAR)
+            yield pd.DataFrame({"cell": rows["cell"], "sure": sure})
 
     return run
 
 
+def _groups_of(batch: pd.DataFrame, pivots: np.ndarray, radius: np.ndarray, norm: np.ndarray, least: np.ndarray, groups: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of rows, and the groups that need them."""
+    x = _matrix(batch["v"], pivots.shape[1])
+    dot, size = _products(x, pivots).astype(np.float64), _norms(x)[:, None]
+    slack = SLACK * (np.abs(dot) + size * (radius + norm + 1)[None, :] + 1)
+    wanted = np.minimum(dot + size * radius[None, :], size * norm[None, :]) + slack >= least[None, :]
+    hits = np.stack([wanted[:, cells].any(axis=1) for cells in groups], axis=1)
+    return np.nonzero(hits)
+
+
+def pack(counts: list[tuple[int, int]], most: int) -> tuple[list[list[int]], dict[int, tuple[int, int]]]:
+    """Groups of cells (cell, queries) taken in the given order, and for each cell its first group and the number of groups it is split into."""
+    groups, place, held = [], {}, most
+    for cell, n in counts:
+        parts = -(-n // most)
+        if parts > 1:
+            place[cell] = (len(groups), parts)
+            groups += [[cell]] * parts
+            held = most
+        else:
+            if held + n > most:
+                groups.append([])
+                held = 0
+            groups[-1].append(cell)
+            place[cell] = (len(groups) - 1, 1)
+            held += n
+    return groups, place
+
+
 def _solve(k: int, dim: int) -> Callable:
     """Top k of a block of rows for each query of a block."""
 
@@ -136,6 +203,72 @@ def _solve(k: int, dim: int) -> Callable:
     return run
 
 
+@dataclass
+class Plan:
+    """Placed rows, groups of query cells, and how many rows each group needs."""
+
+    placed: DataFrame
+    dim: int
+    count: int
+    queries: int
+    pivots: np.ndarray
+    bounds: tuple[np.ndarray, np.ndarray, np.ndarray]
+    groups: list[list[int]]
+    place: dict[int, tuple[int, int]]
+    needed: list[int]
+
+    def pruned(self) -> float:
+        """Share of all pairs of group and row that the bounds leave out."""
+        return 1.0 - sum(self.needed) / max(self.count * len(self.groups), 1)
+
+
+def plan(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector: str = "embedding", k: int = K, scale: int = SCALE, pivots: int | None = None, query_block: int = QUERY_BLOCK) -> Plan | None:
+    """Cells, summaries, bounds and groups; None without rows or queries."""
+    rows = vectors.where(usable(F.col(vector)) & F.col(id_col).isNotNull())
+    rows = stored(rows.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector), scale).alias("v"), is_query.alias("q")), "vectors")
+    count, dim = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    if not count:
+        return None
+    wanted = pivots or min(MOST_PIVOTS, math.isqrt(count) + 1)
+    # A bounded number of rows of distinct ids, the same on every run.
+    taken = rows.select(F.xxhash64("id").alias("h"), "id", "v").orderBy("h", "id").limit(max(SAMPLED * wanted, 4 * k)).collect()
+    sample = _matrix(pd.Series([r.v for r in {r.id: r for r in taken}.values()]), dim)
+    centres = _spread(sample, wanted)
+    n = len(centres)
+    placed = stored(rows.mapInPandas(_assign(centres), "id long, v array<long>, q boolean, cell int, gap double, norm double"), "knn-cells")
+    # Rows of one id count once: all of them may be the query's own.
+    inner = np.full(n, FAR)
+    nearest = placed.groupBy("cell", "id").agg(F.min("gap").alias("gap"))
+    nearest = nearest.withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("gap", "id")))
+    for r in nearest.where(F.col("r") == k + 1).collect():
+        inner[r.cell] = r.gap * (1 + SLACK) + SLACK
+    asked = placed.where("q")
+    radius, norm, sure, counts = np.full(n, -FAR), np.zeros(n), np.full(n, -FAR), {}
+    for r in asked.groupBy("cell").agg(F.count_distinct("id").alias("n"), F.max("gap").alias("gap"), F.max("norm").alias("norm")).collect():
+        radius[r.cell], norm[r.cell], counts[r.cell] = r.gap * (1 + SLACK) + SLACK, r.norm * (1 + SLACK), r.n
+    if not counts:
+        return None
+    for r in asked.select("cell", "v").mapInPandas(_reached(sample, k), "cell int, sure double").groupBy("cell").agg(F.min("sure").alias("sure")).collect():
+        sure[r.cell] = r.sure
+    far = _norms(centres)
+    dots = _products(centres, centres).astype(np.float64)
+    by_pivot = dots - np.maximum(radius, 0.0)[:, None] * far[None, :] - norm[:, None] * inner[None, :]
+    by_pivot -= SLACK * (np.abs(dots) + 1)
+    used = np.isin(np.arange(n), list(counts))
+    least = np.where(used, np.maximum(by_pivot.max(axis=1), sure), FAR)
+    groups, place = pack([(c, counts[c]) for c in _tour(centres) if c in counts], query_block)
+    bounds = (np.maximum(radius, 0.0), norm, least)
+
+    def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(len(groups), dtype=np.int64)
+        for batch in batches:
+            total += np.bincount(_groups_of(batch, centres, *bounds, groups)[1], minlength=len(groups))
+        yield pd.DataFrame({"group": np.arange(len(groups), dtype=np.int32), "n": total})
+
+    needed = dict(map(tuple, placed.select("v").mapInPandas(sizes, "group int, n long").groupBy("group").agg(F.sum("n")).collect()))
+    return Plan(placed, dim, count, sum(counts.values()), centres, bounds, groups, place, [needed.get(g, 0) for g in range(len(groups))])
+
+
 def top_k(
     vectors: DataFrame,
     is_query: Column,
@@ -144,45 +277,33 @@ def top_k(
     vector: str = "embedding",
     k: int = K,
     scale: int = SCALE,
-    pivots: int = PIVOTS,
+    pivots: int | None = None,
     query_block: int = QUERY_BLOCK,
     data_block: int = DATA_BLOCK,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for every row that is_query holds for."""
-    spark = vectors.sparkSession
-    rows = vectors.where(usable(F.col(vector)) & F.col(id_col).isNotNull())
-    rows = stored(rows.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector), scale).alias("v"), is_query.alias("q")), "vectors")
-    result = "query_id long, rank int, vec_id long, score long"
-    count, dim = rows.agg(F.count("*"), F.max(F.size("v"))).first()
-    # A bounded number of distinct vectors, the same on every run.
-    sample = rows.select(F.xxhash64("id").alias("h"), "id", "v").orderBy("h", "id").limit(4 * pivots).collect()
-    chosen = list(dict.fromkeys(tuple(r.v) for r in sample))[:pivots]
-    if not count or not chosen:
-        return spark.createDataFrame([], result)
-    centres = _matrix(pd.Series([list(c) for c in chosen]), dim)
-    n = len(chosen)
-    placed = rows.select("id", "v").mapInPandas(_assign(centres), "id long, v array<long>, cell int, gap double")
-    placed = stored(placed, "knn-cells")
-    radius, sure, data_blocks = np.full(n, -FAR), np.full(n, FAR), [1] * n
-    for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("gap")).collect():
-        radius[r.cell], data_blocks[r.cell] = r.gap * (1 + SLACK) + SLACK, -(-r.n // data_block)
-    # Rows of one id count once: all of them may be the query's own.
-    nearest = placed.groupBy("cell", "id").agg(F.min("gap").alias("gap"))
-    nearest = nearest.withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("gap", "id")))
-    for r in nearest.where(F.col("r") == k + 1).collect():
-        sure[r.cell] = r.gap * (1 + SLACK) + SLACK
-    routed = rows.where("q").dropDuplicates(["id"]).select("id", "v").mapInPandas(_route(centres, radius, sure), "cell int, id long, v array<long>")
-    routed = stored(routed, "knn-queries")
-    query_blocks = [1] * n
-    for r in routed.groupBy("cell").agg(F.count("*").alias("n")).collect():
-        query_blocks[r.cell] = -(-r.n // query_block)
-    of = lambda blocks: F.get(F.array(*[F.lit(b) for b in blocks]), F.col("cell"))
-    own = lambda blocks: F.pmod(F.xxhash64("id"), of(blocks).cast("long")).cast("int")
-    every = lambda blocks: F.explode(F.sequence(F.lit(0), of(blocks) - 1))
-    asked = routed.select("cell", own(query_blocks).alias("qblock"), every(data_blocks).alias("dblock"), "id", "v")
-    spread = placed.select("cell", every(query_blocks).alias("qblock"), own(data_blocks).alias("dblock"), "id", "v")
-    key = ["cell", "qblock", "dblock"]
-    best = asked.groupBy(*key).cogroup(spread.groupBy(*key)).applyInPandas(_solve(k, dim), "query_id long, vec_id long, score long")
+    p = plan(vectors, is_query, id_col=id_col, vector=vector, k=k, scale=scale, pivots=pivots, query_block=query_block)
+    if p is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    blocks = [max(1, -(-n // data_block)) for n in p.needed]
+    first, parts = (F.array(*[F.lit(p.place.get(c, (0, 1))[i]) for c in range(len(p.pivots))]) for i in (0, 1))
+    of_group = F.get(F.array(*[F.lit(b) for b in blocks]), F.col("group"))
+    hashed = F.xxhash64("id")
+    group = F.get(first, F.col("cell")) + F.pmod(hashed, F.get(parts, F.col("cell")).cast("long")).cast("int")
+    # A repeated id is asked once: its rows of smallest vector.
+    asked = p.placed.where("q").groupBy("id").agg(F.min(F.struct("v", "cell")).alias("x")).select("id", "x.v", "x.cell")
+    asked = asked.withColumn("group", group).select("group", F.explode(F.sequence(F.lit(0), of_group - 1)).alias("dblock"), "id", "v")
+    pivots_, bounds, groups = p.pivots, p.bounds, p.groups
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            at, to = _groups_of(batch, pivots_, *bounds, groups)
+            yield pd.DataFrame({"group": to.astype(np.int32), "id": batch["id"].to_numpy()[at], "v": batch["v"].to_numpy()[at]})
+
+    spread = p.placed.select("id", "v").mapInPandas(route, "group int, id long, v array<long>")
+    spread = spread.select("group", F.pmod(hashed, of_group.cast("long")).cast("int").alias("dblock"), "id", "v")
+    key = ["group", "dblock"]
+    best = asked.groupBy(*key).cogroup(spread.groupBy(*key)).applyInPandas(_solve(k, p.dim), "query_id long, vec_id long, score long")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 

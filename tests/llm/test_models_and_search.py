@@ -191,6 +191,25 @@ def test_top_k_matches_brute_force(spark, blocks):
     assert sorted(map(tuple, got.collect())) == brute_top(rows, 20)
 
 
+def test_bounds_prune_clustered_rows(spark):
+    """Far apart clusters: a group of queries needs its own cluster's rows and few others; results stay exact."""
+    rng = np.random.default_rng(3)
+    centres = np.eye(8) * 6
+    rows = [(i, (centres[i // 20 % 8] + rng.normal(0, 0.1, 8)).astype(np.float32).tolist()) for i in range(3200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asks = F.col("vec_id") % 20 == 0
+    p = knn_join.plan(df, asks, query_block=20)
+    assert len(p.groups) >= 8 and p.queries == 160 and p.pruned() > 0.8
+    got = knn_join.top_k(df, asks, query_block=20, data_block=100)
+    assert sorted(map(tuple, got.collect())) == brute_top(rows, 20)
+
+
+def test_cells_are_packed_and_split():
+    groups, place = knn_join.pack([(0, 3), (1, 4), (2, 25), (3, 9), (4, 1)], 10)
+    assert groups == [[0, 1], [2], [2], [2], [3, 4]]
+    assert place == {0: (0, 1), 1: (0, 1), 2: (1, 3), 3: (4, 1), 4: (4, 1)}
+
+
 def test_top_k_of_few_rows_and_large_numbers(spark):
     df = spark.createDataFrame([(0, [1e7, 1.0]), (1, [1e7, 2.0]), (20, [-1.0, 0.5])], "vec_id long, embedding array<double>")
     want = brute_top([(0, [1e7, 1.0]), (1, [1e7, 2.0]), (20, [-1.0, 0.5])], 20)
