@@ -43,8 +43,9 @@ PAIR_LEAN = 6.0
 #: Least documents of a term, and least share of the sample's documents of each term of a pair: rarer pairs cannot reach PAIR_LEAN.
 LEAST_DOCS = 3
 PAIR_SHARE = 0.02
-#: Terms whose pairs are counted at a time.
+#: Terms whose pairs are counted at a time, and rows in which.
 PAIR_BLOCK = 512
+ROW_BLOCK = 1024
 FACTORS = 8
 EPOCHS = 40
 BATCH = 256
@@ -70,10 +71,11 @@ def terms_of(text: str | None) -> list[int]:
     return sorted({t for w in words_of(text) for t in word_terms(w)})
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
+@F.pandas_udf(T.BinaryType())
 def terms(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Terms of whole texts as 32-bit integers in bytes, so that the sample is small on its way to the driver."""
     for texts in batches:
-        yield pd.Series([terms_of(t) for t in texts])
+        yield pd.Series([np.array(terms_of(t), dtype="<i4").tobytes() for t in texts])
 
 
 def sigmoid(x):
@@ -136,13 +138,17 @@ def inputs(rows: Sequence[np.ndarray], y: np.ndarray) -> list[int]:
     place = np.full(len(terms), -1)
     place[often] = np.arange(len(often))
     here = place[column] >= 0
-    x = np.zeros((len(rows), len(often)), dtype=np.float32)
-    x[owner[here], place[column[here]]] = 1.0
+    x = np.zeros((len(rows), len(often)), dtype=np.uint8)
+    x[owner[here], place[column[here]]] = 1
+    del owner, column, here
     paired = np.zeros(len(often), dtype=bool)
     for first in range(0, len(often), PAIR_BLOCK):
-        # Counts are whole numbers below 2^24, exact in single precision.
-        part, rest = x[:, first : first + PAIR_BLOCK], x[:, first:]
-        both, both_yes = part.T @ rest, (part[y == 1]).T @ rest[y == 1]
+        both = both_yes = 0.0
+        for at in range(0, len(rows), ROW_BLOCK):
+            # Counts are whole numbers below 2^24, exact in single precision.
+            rest = x[at : at + ROW_BLOCK, first:].astype(np.float32)
+            part = rest[:, :PAIR_BLOCK]
+            both, both_yes = both + part.T @ rest, both_yes + part.T @ (rest * (y[at : at + ROW_BLOCK, None] == 1))
         hit = (lean(both, both_yes, len(y), y.sum()) >= PAIR_LEAN) & (both >= LEAST_DOCS)
         hit[np.arange(len(hit)), np.arange(len(hit))] = False
         paired[first : first + PAIR_BLOCK] |= hit.any(axis=1)
@@ -197,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, trainable: Column, *, label: str =
     # Documents that share an id: the one of smallest hash, so that reruns agree.
     sample = sample.groupBy(id_col, "y").agg(F.min_by("terms", "h").alias("terms"))
     got = stored(sample.select(F.xxhash64(id_col).alias("at"), "y", "terms"), "toxicity-sample").orderBy("at").collect()
-    found, y = [np.array(r.terms, dtype=np.int64) for r in got], np.array([r.y for r in got], dtype=np.float64)
+    found, y = [np.frombuffer(r.terms, dtype="<i4") for r in got], np.array([r.y for r in got], dtype=np.float64)
     slots = {t: i for i, t in enumerate(inputs(found, y))}
     x = np.zeros((len(found), len(slots)), dtype=np.uint8)
     for i, ts in enumerate(found):
