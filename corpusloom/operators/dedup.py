@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from corpusloom.functions.hashing import hamming, similarity
 from corpusloom.session import stored
 
 MAX_HAMMING = 3
-BANDS = 4
+KEY_BLOCKS = 3
 SCORE_DIGITS = 4
 
 EDGE = ["org", "canonical_id", "duplicate_id", "kind", "score"]
@@ -35,31 +37,48 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, max_hamming: int = MAX_HAMMING) -> DataFrame:
+def near_links(nodes: DataFrame, max_hamming: int = MAX_HAMMING) -> DataFrame:
+    """org, a, b: pairs of fingerprints, either way round and each with itself, that differ in at most max_hamming bits.
+
+    nodes: org, simhash, distinct. A fingerprint is cut into max_hamming + 3 blocks;
+    any two near ones agree in some three of them. Keys are the bits of three
+    blocks, about half of all, so that few of them meet by chance however many there are.
+    """
+    if not 0 <= max_hamming <= MAX_HAMMING:
+        raise ValueError(f"links are found up to {MAX_HAMMING} bits")
+    blocks = max_hamming + KEY_BLOCKS
+    edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
+    masks = [((1 << edges[i + 1]) - (1 << edges[i])) for i in range(blocks)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    keys = F.array(*[F.col("simhash").bitwiseAND(F.lit(signed(sum(masks[i] for i in some))).cast("long")) for some in combinations(range(blocks), KEY_BLOCKS)])
+    keyed = nodes.select("org", "simhash", F.posexplode(keys).alias("blocks", "key"))
+    a, b = keyed.withColumnRenamed("simhash", "a"), keyed.withColumnRenamed("simhash", "b")
+    near = a.join(b, ["org", "blocks", "key"]).where((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= max_hamming)).select("org", "a", "b").distinct()
+    same = nodes.select("org", F.col("simhash").alias("a"), F.col("simhash").alias("b"))
+    return near.unionByName(near.select("org", F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(same)
+
+
+def near_duplicates(docs: DataFrame, max_hamming: int = MAX_HAMMING, every_pair: bool = False) -> DataFrame:
     """Edges to earlier documents whose fingerprints differ in at most max_hamming bits.
 
     docs: org, id, created_at, content_hash, simhash. A document with an exact
-    match before it has no near edges, and fingerprint 0 has none. With one more
-    band than bits may differ, some band of two near fingerprints is equal. Equal
-    fingerprints are compared once, as one node.
+    match before it has no near edges, and fingerprint 0 has none. Equal
+    fingerprints are one node. A document has one edge to each near node, to the
+    node's earliest document, so that n documents of one fingerprint give n - 1
+    edges; the node's other documents are reached through theirs. With every_pair
+    each earlier document of a near node gets an edge of its own.
     """
-    if max_hamming >= BANDS:
-        raise ValueError(f"{BANDS} bands find differences under {BANDS} bits")
     # Read four times below; written once, so that fingerprints are made once.
     docs = stored(docs.select("org", "id", "created_at", "content_hash", "simhash"), "fingerprints")
     order = F.struct("created_at", "id")
     fresh = docs.where(F.col("simhash") != 0).withColumn("_at", order)
     fresh = fresh.withColumn("_exact", F.min(order).over(Window.partitionBy("org", "content_hash")) < F.col("_at"))
-    nodes = fresh.groupBy("org", "simhash").agg(F.count("*").alias("n")).drop("n")
-    width = 64 // BANDS
-    bands = F.array(*[F.shiftrightunsigned("simhash", b * width).bitwiseAND(F.lit((1 << width) - 1)) for b in range(BANDS)])
-    banded = nodes.select("org", "simhash", F.posexplode(bands).alias("band", "value"))
-    a, b = banded.withColumnRenamed("simhash", "a"), banded.withColumnRenamed("simhash", "b")
-    pairs = a.join(b, ["org", "band", "value"]).where(hamming(F.col("a"), F.col("b")) <= max_hamming).select("org", "a", "b").distinct()
-    earlier = fresh.select("org", F.col("simhash").alias("a"), F.col("_at").alias("_old"))
+    nodes = stored(fresh.groupBy("org", "simhash").agg(F.min("_at").alias("_old")), "fingerprint-nodes")
+    links = near_links(nodes.select("org", "simhash"), max_hamming)
+    earlier = (fresh if every_pair else nodes).select("org", F.col("simhash").alias("a"), F.col("_at" if every_pair else "_old").alias("_old"))
     later = fresh.where(~F.col("_exact")).select("org", F.col("simhash").alias("b"), F.col("_at").alias("_new"))
     return (
-        pairs.join(earlier, ["org", "a"]).join(later, ["org", "b"])
+        links.join(earlier, ["org", "a"]).join(later, ["org", "b"])
         .where(F.col("_old") < F.col("_new"))
         .select(
             "org", F.col("_old.id").alias("canonical_id"), F.col("_new.id").alias("duplicate_id"), F.lit("near").alias("kind"),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import trim, ws_tokens
+from corpusloom.functions.text import once, trim, ws_tokens
 
 # Words that answer metrics leave out.
 CLAIM_STOPWORDS = "the a an in on of to is are and or for with that this it by as at be".split()
@@ -66,14 +66,19 @@ def _usable(*texts: Column) -> Column:
 
 def groundedness(answer: Column, contexts: Column) -> Column:
     """Half the share of the answer's words, of three letters or more, among the contexts' words; half that of its word pairs."""
-    blob = F.lower(F.array_join(contexts, " "))
-    known = ws_tokens(blob)
-    terms = F.filter(ws_tokens(F.lower(answer)), lambda t: F.length(t) > 2)
-    n = F.size(terms)
-    single = _true(terms, lambda t: F.array_contains(known, t)) / n
-    pairs = F.zip_with(F.slice(terms, F.lit(1), n - 1), F.slice(terms, F.lit(2), n - 1), lambda a, b: F.concat(a, F.lit(" "), b))
-    score = F.when(n > 1, 0.5 * single + 0.5 * _true(pairs, lambda p: F.contains(blob, p)) / (n - 1)).otherwise(single)
-    return F.when(_usable(answer) & (F.size(contexts) > 0) & (n > 0), score).otherwise(F.lit(0.0))
+
+    def rate(c: Column) -> Column:
+        blob, known, terms = c["blob"], c["known"], c["terms"]
+        n = F.size(terms)
+        single = _true(terms, lambda t: F.array_contains(known, t)) / n
+        pairs = F.zip_with(F.slice(terms, F.lit(1), n - 1), F.slice(terms, F.lit(2), n - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+        score = F.when(n > 1, 0.5 * single + 0.5 * _true(pairs, lambda p: F.contains(blob, p)) / (n - 1)).otherwise(single)
+        return F.when(n > 0, score).otherwise(F.lit(0.0))
+
+    # Words are cut once for a row, not for every word that is looked up.
+    words = lambda blob: F.struct(blob.alias("blob"), F.array_distinct(ws_tokens(blob)).alias("known"), F.filter(ws_tokens(F.lower(answer)), lambda t: F.length(t) > 2).alias("terms"))
+    found = once(once(F.lower(F.array_join(contexts, " ")), words), rate)
+    return F.when(_usable(answer) & (F.size(contexts) > 0), F.coalesce(found, F.lit(0.0))).otherwise(F.lit(0.0))
 
 
 def _strip(word: Column, marks: str) -> Column:
@@ -82,14 +87,14 @@ def _strip(word: Column, marks: str) -> Column:
 
 def faithfulness(answer: Column, contexts: Column) -> Column:
     """Share of the answer's sentences of which half the content words occur in the contexts."""
-    blob = F.lower(F.array_join(contexts, " "))
     sentences = F.filter(F.transform(F.split(F.replace(answer, F.lit("\n"), F.lit(". ")), r"\."), trim), lambda s: s != "")
     content = lambda s: F.filter(
         F.transform(ws_tokens(s), lambda w: _strip(F.lower(w), ".,!?;:")), lambda w: ~w.isin(CLAIM_STOPWORDS) & (F.length(w) > 2)
     )
-    holds = lambda ws: (F.size(ws) == 0) | (_true(ws, lambda w: F.contains(blob, w)) * 2 >= F.size(ws))
-    n = F.size(sentences)
-    return F.when(_usable(answer) & (F.size(contexts) > 0) & (n > 0), _true(sentences, lambda s: holds(content(s))) / n).otherwise(F.lit(0.0))
+    holds = lambda ws, blob: (F.size(ws) == 0) | (_true(ws, lambda w: F.contains(blob, w)) * 2 >= F.size(ws))
+    parts = F.struct(F.lower(F.array_join(contexts, " ")).alias("blob"), F.transform(sentences, content).alias("claims"))
+    share = once(parts, lambda c: F.when(F.size(c["claims"]) > 0, _true(c["claims"], lambda ws: holds(ws, c["blob"])) / F.size(c["claims"])))
+    return F.when(_usable(answer) & (F.size(contexts) > 0), F.coalesce(share, F.lit(0.0))).otherwise(F.lit(0.0))
 
 
 def answer_relevance(answer: Column, question: Column, expected: Column) -> Column:
@@ -97,11 +102,17 @@ def answer_relevance(answer: Column, question: Column, expected: Column) -> Colu
     words = lambda text, marks: F.array_distinct(
         F.transform(F.filter(ws_tokens(text), lambda w: ~F.lower(w).isin(QUESTION_STOPWORDS)), lambda w: _strip(F.lower(w), marks))
     )
-    asked, said = words(question, "?,!."), words(answer, ".,!?:")
-    covered = F.when(F.size(asked) > 0, _true(asked, lambda w: F.contains(F.lower(answer), w)) / F.size(asked)).otherwise(F.lit(1.0))
-    wanted = words(F.coalesce(expected, F.lit("")), ".,!?:")
-    blended = 0.4 * covered + 0.6 * F.size(F.array_intersect(said, wanted)) / F.size(wanted)
-    return F.when(_usable(answer, question), F.when(_usable(expected) & (F.size(wanted) > 0), blended).otherwise(covered)).otherwise(F.lit(0.0))
+
+    def rate(c: Column) -> Column:
+        covered = F.when(F.size(c["asked"]) > 0, _true(c["asked"], lambda w: F.contains(c["text"], w)) / F.size(c["asked"])).otherwise(F.lit(1.0))
+        blended = 0.4 * covered + 0.6 * F.size(F.array_intersect(c["said"], c["wanted"])) / F.size(c["wanted"])
+        return F.when(_usable(expected) & (F.size(c["wanted"]) > 0), blended).otherwise(covered)
+
+    parts = F.struct(
+        F.lower(answer).alias("text"), words(question, "?,!.").alias("asked"), words(answer, ".,!?:").alias("said"),
+        words(F.coalesce(expected, F.lit("")), ".,!?:").alias("wanted"),
+    )
+    return F.when(_usable(answer, question), once(parts, rate)).otherwise(F.lit(0.0))
 
 
 def averages(rows: DataFrame, metrics: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -109,9 +120,10 @@ def averages(rows: DataFrame, metrics: Sequence[str], by: Sequence[str] = ()) ->
     return rows.groupBy(*by).agg(*[F.coalesce(F.avg(m), F.lit(0.0)).alias(m) for m in metrics])
 
 
-def compare_runs(runs: DataFrame, wanted: Sequence[str]) -> DataFrame:
-    """runs (run_id, name, metric, value): one row per wanted run that exists, a column per metric."""
-    return runs.where(F.col("run_id").isin(*wanted)).groupBy("run_id", "name").pivot("metric").agg(F.first("value"))
+def compare_runs(runs: DataFrame, wanted: Sequence[str] | None = None) -> DataFrame:
+    """runs (run_id, name, metric, value): one row per run, of the wanted ones if named, and a column per metric."""
+    runs = runs if wanted is None else runs.where(F.col("run_id").isin(*wanted))
+    return runs.groupBy("run_id", "name").pivot("metric").agg(F.first("value"))
 
 
 def series(observations: DataFrame) -> DataFrame:

@@ -25,17 +25,15 @@ def drop_page_furniture(blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
     The footer reason wins where one block is both.
     """
     live = ~F.col("dropped") & F.col("page").isNotNull() & F.col("block_type").isin(*PAGE_TYPES)
+    # All windows are within a document: dealt out once by it, and ends of pages are found without an order.
+    rows = blocks.repartition(id_col).withColumns({"_live": live, "_text": F.xxhash64("normalized_text")})
     page = Window.partitionBy(id_col, "page", "_live")
-    rows = blocks.withColumn("_live", live).withColumns(
-        {
-            "_first": F.col("_live") & (F.row_number().over(page.orderBy("ordinal")) == 1),
-            "_last": F.col("_live") & (F.row_number().over(page.orderBy(F.desc("ordinal"))) == 1),
-        }
-    )
-    same = lambda flag: F.sum(F.col(flag).cast("int")).over(Window.partitionBy(id_col, "normalized_text")) >= 2
+    rows = rows.withColumns({"_low": F.min("ordinal").over(page), "_high": F.max("ordinal").over(page)})
+    rows = rows.withColumns({"_first": F.col("_live") & (F.col("ordinal") == F.col("_low")), "_last": F.col("_live") & (F.col("ordinal") == F.col("_high"))})
+    same = lambda flag: F.sum(F.col(flag).cast("int")).over(Window.partitionBy(id_col, "_text")) >= 2
     reason = F.when(F.col("_last") & same("_last"), "footer").when(F.col("_first") & same("_first"), "header").otherwise(F.col("drop_reason"))
     rows = rows.withColumn("drop_reason", reason).withColumn("dropped", F.col("drop_reason").isNotNull())
-    return rows.drop("_live", "_first", "_last")
+    return rows.drop("_live", "_text", "_low", "_high", "_first", "_last")
 
 
 def normalize_blocks(blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -18,6 +18,7 @@ RRF_K = 60
 CONTEXT_BUDGET = 4000
 #: Queries that are sent to every task at once; more go in blocks of so many.
 QUERY_BLOCK = 2000
+ROW_BLOCK = 20_000
 K1, B = 1.2, 0.75
 
 
@@ -85,15 +86,17 @@ def ranked(hits: DataFrame, k: int, *order: Column, by: str = "qid") -> DataFram
 
 
 def paired(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """Every query with every row. The queries are counted first: one block of bounded
-    size is broadcast, more are joined block by block on a block number."""
-    n = queries.count()
-    if n <= QUERY_BLOCK:
-        return rows.crossJoin(F.broadcast(queries))
-    blocks = math.ceil(n / QUERY_BLOCK)
-    numbered = queries.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
-    spread = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return spread.join(numbered, "_block").drop("_block")
+    """Every query with every row, in blocks of bounded size on both sides.
+
+    A key is a block of queries with a block of rows, so that pairs are spread
+    over as many keys as there are such blocks, at every size.
+    """
+    asked, held = (max(1, math.ceil(df.count() / size)) for df, size in ((queries, QUERY_BLOCK), (rows, ROW_BLOCK)))
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    numbered = queries.withColumn("_qblock", own("qid", asked)).withColumn("_rblock", every(held))
+    spread = rows.withColumn("_rblock", own("chunk_id", held)).withColumn("_qblock", every(asked))
+    return spread.join(numbered, ["_qblock", "_rblock"]).drop("_qblock", "_rblock")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -118,9 +121,14 @@ def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, digits: int | Non
     return ranked(hits, k, F.desc("score"), F.col("chunk_id"))
 
 
-def postings(chunks: DataFrame, text: str = "text") -> DataFrame:
-    """term, chunk_id, tf, positions: one row per term of a chunk."""
+def postings(chunks: DataFrame, text: str = "text", asked: DataFrame | None = None) -> DataFrame:
+    """term, chunk_id, tf, positions: one row per term of a chunk; with asked (term), of those terms alone.
+
+    Terms that nobody asks for are left out beside the scan, before anything is grouped or sent.
+    """
     words = chunks.select("chunk_id", F.posexplode(query_tokens(F.col(text))).alias("at", "term"))
+    if asked is not None:
+        words = words.join(asked.select("term").distinct(), "term", "left_semi")
     return words.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"))
 
 

@@ -11,7 +11,7 @@ from corpusloom.functions import hashing, text
 from corpusloom.operators import answer, chunk, dedup, embed, evaluate, ingest, normalize, parse, retrieve
 from corpusloom.plans import corpus, search
 from corpusloom.sources import feeds, files, tables
-from corpusloom.session import configure
+from corpusloom.session import configure, spread, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,7 +32,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")) if name in TEXTS else spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Tables of long texts, whose work is in the row.
+TEXTS = ("documents", "pages", "conversations")
 
 
 # --- tokens, hashes, language -------------------------------------------------------
@@ -106,9 +110,10 @@ def _near_sql() -> str:
     return f"""WITH {HASHED},
     k AS (SELECT doc_id, CAST('0x' || substr(md5(u), 1, 16) AS UBIGINT) AS v FROM (SELECT doc_id, unnest({LATIN}) AS u FROM documents)),
     s AS (SELECT doc_id, {value} AS p FROM (SELECT doc_id, {bits} FROM k GROUP BY doc_id)),
-    d AS (SELECT h.*, s.p, doc_id > min(doc_id) OVER (PARTITION BY org, hash) AS later FROM h JOIN s USING (doc_id) WHERE s.p <> 0)
+    d AS (SELECT h.*, s.p, doc_id > min(doc_id) OVER (PARTITION BY org, hash) AS later FROM h JOIN s USING (doc_id) WHERE s.p <> 0),
+    n AS (SELECT org, p, min(doc_id) AS doc_id FROM d GROUP BY org, p)
     SELECT a.org, a.doc_id AS canonical_id, b.doc_id AS duplicate_id, 'near' AS kind, round(1.0 - bit_count(xor(a.p, b.p)) / 64.0, 4) AS score
-    FROM d a JOIN d b ON a.org = b.org AND a.doc_id < b.doc_id AND NOT b.later AND bit_count(xor(a.p, b.p)) <= 3"""
+    FROM n a JOIN d b ON a.org = b.org AND a.doc_id < b.doc_id AND NOT b.later AND bit_count(xor(a.p, b.p)) <= 3"""
 
 
 @query(_near_sql())
@@ -217,10 +222,13 @@ r AS (SELECT qid, doc_id, ordinal, round(hits / n, 9) AS score, CAST(row_number(
 
 
 def _lexical_hits(spark, sf_dir, k: int) -> DataFrame:
-    """Chunks that share terms with a query, found through their terms."""
+    """Chunks that share terms with a query, found through their terms.
+
+    A chunk's terms meet the queries beside the scan; what is sent are counts per query and chunk.
+    """
     chunks = chunk.chunk_fixed(table(spark, sf_dir, "documents"))
     terms = chunks.select("doc_id", "ordinal", F.explode(F.array_distinct(text.query_tokens(F.col("text")))).alias("term"))
-    asked = retrieve.query_terms(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query")))
+    asked = stored(retrieve.query_terms(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))), "asked")
     hits = terms.join(asked, "term").groupBy("qid", "doc_id", "ordinal", "n_terms").agg(F.count("*").alias("hits"))
     hits = hits.withColumn("score", F.round(F.col("hits") / F.col("n_terms"), 9))
     return retrieve.ranked(hits, k, F.desc("score"), F.col("doc_id"), F.col("ordinal")).select("qid", "doc_id", "ordinal", "score", "rank")
@@ -240,7 +248,10 @@ def lexical_top_chunks(spark, sf_dir):
     SELECT qid, place AS position, doc_id, tokens AS token_count FROM x WHERE took"""
 )
 def context_budget(spark, sf_dir):
-    hits = _lexical_hits(spark, sf_dir, 10).join(chunk.chunk_fixed(table(spark, sf_dir, "documents")).select("doc_id", "ordinal", "token_count", "text"), ["doc_id", "ordinal"])
+    hits = stored(_lexical_hits(spark, sf_dir, 10), "hits")
+    # Only documents that were hit, ten a query at most, are cut into chunks again.
+    again = table(spark, sf_dir, "documents").join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    hits = hits.join(chunk.chunk_fixed(again).select("doc_id", "ordinal", "token_count", "text"), ["doc_id", "ordinal"])
     rows = hits.select("qid", "rank", F.col("doc_id").cast("string").alias("parent_chunk_id"), F.col("doc_id").alias("chunk_id"), "token_count", "text")
     return retrieve.select_context(rows, 600).select("qid", "position", F.col("chunk_id").alias("doc_id"), "token_count")
 
@@ -301,10 +312,18 @@ def rank_fusion(spark, sf_dir):
     return retrieve.fuse(dense.unionByName(near)).select("qid", "chunk_id", F.round("score", 9).alias("score"), "rank")
 
 
-def _benchmark(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.col("doc_id").alias("ordinal"))
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
-    return asked, chunks, retrieve.postings(chunks)
+def _asked(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+
+
+def _whole(spark, sf_dir) -> DataFrame:
+    """Documents as one chunk each."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.col("doc_id").alias("ordinal"))
+
+
+def _index(spark, sf_dir) -> DataFrame:
+    """Postings of the terms asked for, read several times by the plans and made once."""
+    return stored(retrieve.postings(_whole(spark, sf_dir), asked=retrieve.query_terms(_asked(spark, sf_dir))), "postings")
 
 
 POSTINGS = f"""i AS (SELECT term, doc_id AS chunk_id, count(*) AS tf FROM (SELECT doc_id, unnest({QTERMS.format("text")}) AS term FROM documents) GROUP BY ALL),
@@ -316,14 +335,13 @@ q AS (SELECT DISTINCT item_id AS qid, unnest({QTERMS.format("text")}) AS term FR
     SELECT qid, chunk_id, CAST(sum(tf) AS BIGINT) AS tf FROM q JOIN i USING (term) JOIN n USING (qid) GROUP BY qid, chunk_id, n HAVING count(*) = n"""
 )
 def sparse_matches(spark, sf_dir):
-    asked, _, index = _benchmark(spark, sf_dir)
-    return retrieve.sparse_matches(asked, index).select("qid", "chunk_id", "tf")
+    return retrieve.sparse_matches(_asked(spark, sf_dir), _index(spark, sf_dir)).select("qid", "chunk_id", "tf")
 
 
 @query()
 def sparse_top_k(spark, sf_dir):
-    asked, chunks, index = _benchmark(spark, sf_dir)
-    return retrieve.sparse_top_k(asked, index, chunks.select("chunk_id", "ordinal"), 10).select("qid", "chunk_id", "score", "rank")
+    asked, chunks = _asked(spark, sf_dir), _whole(spark, sf_dir)
+    return retrieve.sparse_top_k(asked, _index(spark, sf_dir), chunks.select("chunk_id", "ordinal"), 10).select("qid", "chunk_id", "score", "rank")
 
 
 BM25 = f"""{POSTINGS}, l AS (SELECT doc_id AS chunk_id, len(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS len FROM documents),
@@ -334,9 +352,9 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, ch
 
 
 def _bm25(spark, sf_dir, k: int) -> DataFrame:
-    asked, chunks, index = _benchmark(spark, sf_dir)
+    asked, chunks = _asked(spark, sf_dir), _whole(spark, sf_dir)
     lengths = chunks.select("chunk_id", F.regexp_count("text", F.lit(text.QUERY_WORD)).alias("n_tokens"))
-    return retrieve.bm25_top_k(asked, index, lengths, k, 6)
+    return retrieve.bm25_top_k(asked, _index(spark, sf_dir), lengths, k, 6)
 
 
 @query(f"WITH {BM25} SELECT qid, chunk_id, score, rank FROM r WHERE rank <= 10")
@@ -350,7 +368,7 @@ def bm25_top_k(spark, sf_dir):
     SELECT qid, chunk_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, old DESC, was) AS INTEGER) AS rank FROM o QUALIFY rank <= 5"""
 )
 def lexical_rerank(spark, sf_dir):
-    asked, chunks, _ = _benchmark(spark, sf_dir)
+    asked, chunks = _asked(spark, sf_dir), _whole(spark, sf_dir)
     hits = _bm25(spark, sf_dir, 20).join(chunks.select("chunk_id", "text"), "chunk_id").join(asked, "qid")
     return retrieve.rerank(hits, F.round(retrieve.lexical_overlap(F.col("query"), F.col("text")), 9), 5).select("qid", "chunk_id", "score", "rank")
 
@@ -451,7 +469,7 @@ def conversation_query(spark, sf_dir):
 
 @query()
 def extractive_answers(spark, sf_dir):
-    asked, chunks, _ = _benchmark(spark, sf_dir)
+    asked, chunks = _asked(spark, sf_dir), _whole(spark, sf_dir)
     context = _bm25(spark, sf_dir, 5).join(chunks.select("chunk_id", "text"), "chunk_id").select("qid", F.col("rank").alias("position"), F.col("chunk_id").cast("string").alias("chunk_id"), "text", "score")
     return answer.extractive_answers(asked.withColumnRenamed("query", "question"), context).select("qid", "answer", "evidence_status", F.array_join("used", ",").alias("used"))
 
@@ -663,11 +681,11 @@ def metric_series(spark, sf_dir):
 
 @query(
     """SELECT user_id AS run_id, 'run' AS name, round(max(value) FILTER (event_type = (SELECT min(event_type) FROM events)), 6) AS first_metric, round(max(value) FILTER (event_type = (SELECT max(event_type) FROM events)), 6) AS last_metric
-    FROM events WHERE user_id IN (1, 2, 3, 5, 8, 999999) GROUP BY user_id"""
+    FROM events GROUP BY user_id"""
 )
 def compare_runs(spark, sf_dir):
     rows = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run_id"), F.lit("run").alias("name"), F.col("event_type").alias("metric")).agg(F.max("value").alias("value"))
-    wide = evaluate.compare_runs(rows, [1, 2, 3, 5, 8, 999999])
+    wide = evaluate.compare_runs(rows)
     names = sorted(c for c in wide.columns if c not in ("run_id", "name"))
     return wide.select("run_id", "name", F.round(names[0], 6).alias("first_metric"), F.round(names[-1], 6).alias("last_metric"))
 

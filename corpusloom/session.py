@@ -75,6 +75,20 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{app_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Most tasks that a spread table gets, so that what is dealt out is a few GB at most.
+SPREAD_TASKS = 32
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table whose scan gives fewer tasks than there are cores, dealt out to more; others as they are.
+
+    Such a table is small, a split or a row group for each task, and dealing it
+    out costs less than work in the row on few cores.
+    """
+    tasks = min(df.sparkSession.sparkContext.defaultParallelism, SPREAD_TASKS)
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 

@@ -133,6 +133,8 @@ def test_duplicates(spark):
     exact = sorted((r.canonical_id, r.duplicate_id, r.score) for r in dedup.exact_duplicates(df).collect())
     assert exact == [("a", "b", 1.0), ("a", "c", 1.0)]
     near = sorted((r.canonical_id, r.duplicate_id, r.score) for r in dedup.near_duplicates(df).collect())
+    assert near == [("a", "d", 0.9844), ("a", "e", 0.9844), ("d", "e", 0.9688)]
+    near = sorted((r.canonical_id, r.duplicate_id, r.score) for r in dedup.near_duplicates(df, every_pair=True).collect())
     assert near == [(x, y, s) for x, y, s in sorted([(o, "d", 0.9844) for o in "abc"] + [(o, "e", 0.9844) for o in "abc"] + [("d", "e", 0.9688)])]
     edges = dedup.exact_duplicates(df)
     left = dedup.replace_edges(edges, edges.limit(0), spark.createDataFrame([("b",)], "id string"))
@@ -145,8 +147,21 @@ def test_banded_pairs_equal_brute_force(spark):
     base = [rng.getrandbits(63) for _ in range(25)]
     prints = base + [b ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)) for b in base] + [base[0], base[0]]
     df = spark.createDataFrame([(1, i, i, f"h{i}", p) for i, p in enumerate(prints)], "org int, id int, created_at int, content_hash string, simhash long")
-    got = {(r.canonical_id, r.duplicate_id) for r in dedup.near_duplicates(df).collect()}
+    got = {(r.canonical_id, r.duplicate_id) for r in dedup.near_duplicates(df, every_pair=True).collect()}
     assert got == {(i, j) for j in range(len(prints)) for i in range(j) if (prints[i] ^ prints[j]).bit_count() <= 3}
+    got = {(r.canonical_id, r.duplicate_id) for r in dedup.near_duplicates(df).collect()}
+    firsts = {prints.index(p) for p in prints}
+    assert got == {(i, j) for j in range(len(prints)) for i in range(j) if i in firsts and (prints[i] ^ prints[j]).bit_count() <= 3}
+
+
+def test_one_fingerprint_of_many_texts_gives_an_edge_each(spark):
+    """10,000 texts that differ in hash but not in fingerprint, and one a bit away: n edges, not n squared."""
+    n = 10_000
+    rows = spark.range(n).select(F.lit(1).alias("org"), "id", F.col("id").alias("created_at"), F.concat(F.lit("h"), "id").alias("content_hash"), F.lit(77).cast("long").alias("simhash"))
+    other = spark.createDataFrame([(1, n, n, "other", 77 ^ (1 << 40))], "org int, id long, created_at long, content_hash string, simhash long")
+    edges = dedup.near_duplicates(rows.unionByName(other))
+    assert edges.count() == n
+    assert edges.where("canonical_id = 0").count() == n and edges.where(f"duplicate_id = {n}").first().score == 0.9844
 
 
 def test_fixed_windows(spark):
