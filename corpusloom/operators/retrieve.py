@@ -167,9 +167,10 @@ def cover_density(spots: Column, n_terms: Column) -> Column:
     return F.aggregate(spots, zero, step, lambda acc: acc["sum"])
 
 
-def sparse_top_k(queries: DataFrame, index: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+def sparse_top_k(queries: DataFrame, index: DataFrame, chunks: DataFrame, k: int, digits: int | None = None) -> DataFrame:
     """Hits that hold all terms by cover density, then ordinal, then chunk_id. Needs LAST_WIN maps (session.SETTINGS)."""
-    hits = sparse_matches(queries, index).withColumn("score", cover_density(F.col("spots"), F.col("n_terms"))).select("qid", "chunk_id", "score")
+    score = cover_density(F.col("spots"), F.col("n_terms"))
+    hits = sparse_matches(queries, index).withColumn("score", F.round(score, digits) if digits is not None else score).select("qid", "chunk_id", "score")
     return ranked(hits.join(chunks, "chunk_id"), k, F.desc("score"), F.col("ordinal"), F.col("chunk_id"))
 
 

@@ -338,10 +338,20 @@ def sparse_matches(spark, sf_dir):
     return retrieve.sparse_matches(_asked(spark, sf_dir), _index(spark, sf_dir)).select("qid", "chunk_id", "tf")
 
 
-@query()
+@query(
+    f"""WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS w FROM documents),
+    q AS (SELECT DISTINCT item_id AS qid, unnest({QTERMS.format("text")}) AS term FROM benchmark), n AS (SELECT qid, count(*) AS n FROM q GROUP BY qid),
+    p AS (SELECT q.qid, q.term, k.doc_id, k.spot FROM (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS spot FROM w) k JOIN q ON q.term = k.word),
+    m AS (SELECT qid, doc_id, n FROM (SELECT qid, doc_id, count(DISTINCT term) AS c FROM p GROUP BY qid, doc_id) JOIN n USING (qid) WHERE c = n),
+    x AS (SELECT m.qid, m.doc_id, a.spot, max(CASE WHEN a.term = q.term THEN a.spot END) OVER (PARTITION BY m.qid, m.doc_id, q.term ORDER BY a.spot) AS latest FROM m JOIN p a ON a.qid = m.qid AND a.doc_id = m.doc_id JOIN q ON q.qid = m.qid),
+    y AS (SELECT x.qid, x.doc_id, x.spot, min(latest) AS begins FROM x JOIN n USING (qid) GROUP BY x.qid, x.doc_id, x.spot, n.n HAVING count(latest) = n.n),
+    z AS (SELECT qid, doc_id, begins, min(spot) AS spot FROM y GROUP BY qid, doc_id, begins),
+    c AS (SELECT qid, doc_id AS chunk_id, round(sum(1.0 / (spot - begins + 1)), 9) AS score FROM z GROUP BY qid, doc_id)
+    SELECT qid, chunk_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM c QUALIFY rank <= 10"""
+)
 def sparse_top_k(spark, sf_dir):
     asked, chunks = _asked(spark, sf_dir), _whole(spark, sf_dir)
-    return retrieve.sparse_top_k(asked, _index(spark, sf_dir), chunks.select("chunk_id", "ordinal"), 10).select("qid", "chunk_id", "score", "rank")
+    return retrieve.sparse_top_k(asked, _index(spark, sf_dir), chunks.select("chunk_id", "ordinal"), 10, 9).select("qid", "chunk_id", "score", "rank")
 
 
 BM25 = f"""{POSTINGS}, l AS (SELECT doc_id AS chunk_id, len(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS len FROM documents),
@@ -446,10 +456,13 @@ def hybrid_search(spark, sf_dir):
 
 @query()
 def evaluation_run(spark, sf_dir):
-    records = table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").cast("string").alias("qid"), F.col("text").alias("question"), F.col("text").alias("expected_answer"), F.array(F.col("item_id").cast("string")).alias("relevant")
-    )
-    return search.evaluate_run(records, _searchable(spark, sf_dir), search.SearchConfig(mode="sparse", dimension=32), "sparse")
+    """Passages as questions; the documents that hold a passage are the relevant ones."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("qid"), F.col("text").alias("question"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text")
+    holders = retrieve.paired(asked, docs).where(F.contains("text", F.col("question"))).groupBy("qid").agg(F.array_sort(F.collect_set("chunk_id")).alias("relevant"))
+    records = stored(asked.join(holders, "qid", "left").select("qid", "question", F.col("question").alias("expected_answer"), F.coalesce("relevant", F.array().cast("array<string>")).alias("relevant")), "records")
+    chunks = stored(_searchable(spark, sf_dir), "chunks")
+    return search.experiment(records, chunks, search.SearchConfig(dimension=32))
 
 
 # --- answers ---------------------------------------------------------------------------
@@ -467,7 +480,19 @@ def conversation_query(spark, sf_dir):
     return rows.select("conv_id", F.md5(F.col("query").cast("binary")).alias("query_md5"))
 
 
-@query()
+@query(
+    f"""WITH {BM25},
+    h AS (SELECT r.qid, r.rank, r.chunk_id, r.score, regexp_replace(x.text, '^\\s+|\\s+$', '', 'g') AS t, list_distinct({QTERMS.format("y.text")}) AS terms FROM r JOIN documents x ON x.doc_id = r.chunk_id JOIN benchmark y ON y.item_id = r.qid WHERE rank <= 5),
+    c AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda e: regexp_replace(e, '^\\s+|\\s+$', '', 'g')), lambda e: e <> '') AS parts FROM h),
+    k AS (SELECT *, list_transform(parts, lambda e: len(list_intersect(terms, list_transform(regexp_extract_all(e, '[A-Za-z0-9_]+'), lambda v: lower(v))))) AS hits FROM c),
+    e AS (SELECT qid, rank, chunk_id, score, coalesce(parts[list_position(hits, list_max(hits))], t) AS best FROM k),
+    o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS place FROM e WHERE best <> ''),
+    g AS (SELECT qid, string_agg(best || ' [' || place || ']', ' ' ORDER BY place) AS answer, string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY place) AS used FROM o WHERE place <= 3 GROUP BY qid),
+    m AS (SELECT qid, max(score) AS top FROM e GROUP BY qid)
+    SELECT item_id AS qid, CASE WHEN top >= 0.01 AND answer IS NOT NULL THEN answer ELSE 'I could not find enough information in the connected sources.' END AS answer,
+      CASE WHEN top >= 0.01 AND answer IS NOT NULL THEN 'grounded' ELSE 'insufficient' END AS evidence_status, CASE WHEN top >= 0.01 AND answer IS NOT NULL THEN used ELSE '' END AS used
+    FROM benchmark LEFT JOIN g ON g.qid = item_id LEFT JOIN m ON m.qid = item_id"""
+)
 def extractive_answers(spark, sf_dir):
     asked, chunks = _asked(spark, sf_dir), _whole(spark, sf_dir)
     context = _bm25(spark, sf_dir, 5).join(chunks.select("chunk_id", "text"), "chunk_id").select("qid", F.col("rank").alias("position"), F.col("chunk_id").cast("string").alias("chunk_id"), "text", "score")
@@ -721,10 +746,16 @@ def raw_keys(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", files.raw_key(F.concat(F.lit("/"), F.col("source")), F.col("doc_id"), F.lit(1), F.lit("..original.txt/")).alias("raw_key"))
 
 
-@query()
+@query(
+    """WITH h AS (SELECT doc_id, sha256(encode(text) || '\\x00\\x00\\x00\\x00'::BLOB) || sha256(encode(text) || '\\x00\\x00\\x00\\x01'::BLOB) AS hex FROM documents),
+    v AS (SELECT doc_id, list_transform(range(0, 64), lambda i: CAST('0x' || substr(hex, 2 * i + 1, 2) AS INTEGER) / 127.5 - 1) AS v FROM h),
+    n AS (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM v)
+    SELECT doc_id, 64 AS dimension, round(v[1] / n, 4) AS first, round(v[33] / n, 4) AS middle, round(v[64] / n, 4) AS last FROM n"""
+)
 def deterministic_vectors(spark, sf_dir):
-    vector = embed.embed(F.col("text"), embed.deterministic(64), 64)
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(retrieve.dot(vector, vector), 5).alias("squared_norm"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", embed.embed(F.col("text"), embed.deterministic(64), 64).alias("v"))
+    part = lambda i: F.round(F.get("v", F.lit(i)).cast("double"), 4)
+    return rows.select("doc_id", F.size("v").alias("dimension"), part(0).alias("first"), part(32).alias("middle"), part(63).alias("last"))
 
 
 HOST = "lower(regexp_extract({0}, '^[a-zA-Z]+://([^/?#]+)', 1))"

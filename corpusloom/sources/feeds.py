@@ -152,3 +152,31 @@ def crawl_changes(previous: DataFrame, fetched: DataFrame) -> DataFrame:
 def missing_from(listed: DataFrame, known: DataFrame, key: str = "url") -> DataFrame:
     """Known keys that a complete listing no longer has."""
     return known.select(key).join(listed.select(key), key, "left_anti").withColumn("op", F.lit("delete"))
+
+
+def sitemap_urls(sitemaps: DataFrame) -> DataFrame:
+    """url, lastmod of sitemap documents in column body."""
+    entries = F.regexp_extract_all("body", F.lit(r"(?s)<url[\s>](.*?)</url>"), 1)
+    rows = sitemaps.select(F.explode(entries).alias("e"))
+    field = lambda n: _plain(F.trim(F.regexp_extract("e", rf"(?s)<{n}>\s*(.*?)\s*</{n}>", 1)))
+    return rows.select(field("loc").alias("url"), F.when(field("lastmod") != "", field("lastmod")).alias("lastmod")).where("url != ''").distinct()
+
+
+def canonical_url(url: Column, html: Column) -> Column:
+    """The address that a page gives as its own, else the one it was read from."""
+    link = F.regexp_extract(html, r"(?is)(<link\s[^>]*rel\s*=\s*[\"']canonical[\"'][^>]*>)", 1)
+    named = F.regexp_extract(link, r"(?is)href\s*=\s*[\"']([^\"']+)[\"']", 1)
+    return F.when(F.coalesce(named, F.lit("")) != "", named).otherwise(url)
+
+
+def website_changes(previous: DataFrame, fetched: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """url, op of a crawl under canonical addresses, with deletes for known pages that a complete sitemap no longer lists.
+
+    previous: url, etag. fetched: url, status, etag, html. listed: url.
+    """
+    named = fetched.withColumn("url", canonical_url(F.col("url"), F.col("html"))).select("url", "status", "etag").distinct()
+    changes = crawl_changes(previous, named)
+    if listed is None:
+        return changes
+    gone = missing_from(listed, previous).join(named.select("url"), "url", "left_anti")
+    return changes.unionByName(gone.select("url", "op"))
