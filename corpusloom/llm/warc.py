@@ -4,7 +4,8 @@ The writer makes one gzip member per record and leaves the files to Spark's text
 sink: rows are bytes, and the line separator is an empty gzip member, so that a
 file is a plain sequence of members, committed like any other Spark output.
 
-The reader takes whole files of bounded size. Where a member fails its checks it
+The reader takes whole files, of which the writer bounds the size; a task needs
+memory for the largest file, and files of 2 GB and more cannot be read. Where a member fails its checks it
 keeps the records that decode before the break and searches for the next member
 that decodes; where a record fails, in a member or in plain text, it searches for
 the next version line that heads a sound record. It goes on from there, and logs
@@ -29,7 +30,9 @@ from corpusloom.session import new_folder, stored
 
 #: Payloads under this are never revisits.
 LEAST_REVISIT = 100
-RECORDS_PER_FILE = 2000
+#: Bytes of members that make a row of the sink, and rows of a file: 32 MB, and what the last record of each row adds.
+ROW_BYTES = 2 << 20
+ROWS_PER_FILE = 16
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_URN = "urn:x-page:"
@@ -86,22 +89,30 @@ def with_roles(pages: DataFrame, *, id_col: str = "page_id", url: str = "url", h
     return joined.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Write rows of with_roles() below path as gzip members, one per record."""
+def write_archives(pages: DataFrame, path: str, row_bytes: int = ROW_BYTES, rows_per_file: int = ROWS_PER_FILE) -> None:
+    """Write rows of with_roles() below path as gzip members, one per record.
+
+    Members are joined into rows of about row_bytes, so that a file of so many rows
+    is bounded in bytes, whatever the size of pages, but for what one record adds.
+    """
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         none = lambda x: None if pd.isna(x) else int(x)
+        held, size = [], 0
         for rows in batches:
-            members = [
-                gzip_member(record(none(r.page_id), r.url, bytes(r.payload), r.digest, none(r.refers_to)))
-                for r in rows.astype({"page_id": "Int64", "refers_to": "Int64"}).itertuples(index=False)
-            ]
-            yield pd.DataFrame({"member": members})
+            for r in rows.astype({"page_id": "Int64", "refers_to": "Int64"}).itertuples(index=False):
+                held.append(gzip_member(record(none(r.page_id), r.url, bytes(r.payload), r.digest, none(r.refers_to))))
+                size += len(held[-1])
+                if size >= row_bytes:
+                    yield pd.DataFrame({"member": [b"".join(held)]})
+                    held, size = [], 0
+        if held:
+            yield pd.DataFrame({"member": [b"".join(held)]})
 
     (
         pages.mapInPandas(pack, "member binary")
         .select(F.col("member").cast("string").alias("value"))
-        .write.option("maxRecordsPerFile", records_per_file)
+        .write.option("maxRecordsPerFile", rows_per_file)
         .option("encoding", "ISO-8859-1")
         .option("lineSep", EMPTY_MEMBER.decode("ISO-8859-1"))
         .text(path)

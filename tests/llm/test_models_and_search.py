@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -241,6 +242,16 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_archives_are_bounded_in_bytes(spark, tmp_path):
+    rng = random.Random(5)
+    pages = spark.createDataFrame([(i, "u", "".join(rng.choice("abcdefghij") for _ in range(20_000))) for i in range(60)], "page_id long, url string, html string").coalesce(1)
+    path = f"{tmp_path}/w"
+    warc.write_archives(warc.with_roles(pages), f"file://{path}", row_bytes=50_000, rows_per_file=2)
+    sizes = [os.path.getsize(f"{path}/{f}") for f in os.listdir(path) if f.startswith("part-")]
+    assert len(sizes) > 3 and max(sizes) < 150_000
+    assert sorted(r.page_id for r in warc.read_archives(spark, f"file://{path}").collect()) == list(range(60))
+
+
 def archive(n=6, zipped=True):
     records = [warc.record(i, f"http://x/{i}", f"page {i} ".encode() * 40, "0" * 64, None) for i in range(n)]
     return [warc.gzip_member(r) for r in records] if zipped else records
