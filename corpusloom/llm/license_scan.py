@@ -31,7 +31,8 @@ TO_WORDS = bytes((b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <
 #: Phrases and labels of the contract.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Label, what an acceptance is worth, template.
+#: Label, what an acceptance is worth, template: notices, grants without their disclaimers, and whole licences.
+# The wording of the licences.
 TEMPLATES = (
     ("mit", 0.9, "<<opt>>released<</opt>> <<opt>>licensed<</opt>> under the <<opt>>terms of the<</opt>> mit license"),
     ("apache-2.0", 0.9, "licensed under the apache license version 2 0"),
@@ -39,14 +40,14 @@ TEMPLATES = (
     ("cc-by", 0.9, "licensed under <<opt>>a<</opt>> <<opt>>the<</opt>> creative commons attribution <<opt>>4 0<</opt>> <<opt>>3 0<</opt>> <<opt>>international<</opt>> license"),
     ("gpl", 0.9, "licensed under the <<opt>>terms of the<</opt>> gnu <<opt>>lesser<</opt>> <<opt>>affero<</opt>> general public license <<opt>>version <<var 1 2>><</opt>>"),
     ("reserved", 0.8, "<<opt>>copyright <<var 1 12>><</opt>> all rights reserved"),
-    ("mit", 1.0, """permission is hereby granted free of charge to any person obtaining a copy of this software and associated
+    ("mit", 0.95, """permission is hereby granted free of charge to any person obtaining a copy of this software and associated
         documentation files the software to deal in the software without restriction including without limitation the rights to use
         copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software
         is furnished to do so subject to the following conditions the above copyright notice and this permission notice
         <<opt>>including the next paragraph<</opt>> shall be included in all copies or substantial portions of the software"""),
-    ("isc", 1.0, """permission to use copy modify and <<opt>>or<</opt>> distribute this software for any purpose with or without fee is hereby
+    ("isc", 0.95, """permission to use copy modify and <<opt>>or<</opt>> distribute this software for any purpose with or without fee is hereby
         granted provided that the above copyright notice and this permission notice appear in all copies"""),
-    ("bsd", 1.0, """redistribution and use in source and binary forms with or without modification are permitted provided that the following
+    ("bsd", 0.95, """redistribution and use in source and binary forms with or without modification are permitted provided that the following
         conditions are met <<opt>>1<</opt>> redistributions of source code must retain the above copyright notice this list of conditions and
         the following disclaimer <<opt>>2<</opt>> redistributions in binary form must reproduce the above copyright notice this list of
         conditions and the following disclaimer in the documentation and or other materials provided with the distribution
@@ -57,6 +58,33 @@ TEMPLATES = (
         distributed under the license is distributed on an as is basis without warranties or conditions of any kind"""),
     ("gpl", 1.0, """this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as
         published by the free software foundation either version <<var 1 2>> of the license or at your option any later version"""),
+    ("mit", 1.0, """permission is hereby granted free of charge to any person obtaining a copy of this software and associated
+        documentation files the software to deal in the software without restriction including without limitation the rights to use
+        copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software
+        is furnished to do so subject to the following conditions the above copyright notice and this permission notice
+        <<opt>>including the next paragraph<</opt>> shall be included in all copies or substantial portions of the software
+        the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of
+        merchantability fitness for a particular purpose and noninfringement in no event shall <<var 2 8>> be liable for any claim
+        damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the
+        software or the use or other dealings in the software"""),
+    ("isc", 1.0, """permission to use copy modify and <<opt>>or<</opt>> distribute this software for any purpose with or without fee is hereby
+        granted provided that the above copyright notice and this permission notice appear in all copies
+        the software is provided as is and <<var 2 8>> all warranties with regard to this software including all implied warranties of
+        merchantability and fitness in no event shall <<var 2 8>> be liable for any special direct indirect or consequential damages or
+        any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious
+        action arising out of or in connection with the use or performance of this software"""),
+    ("bsd", 1.0, """redistribution and use in source and binary forms with or without modification are permitted provided that the following
+        conditions are met <<opt>>1<</opt>> redistributions of source code must retain the above copyright notice this list of conditions and
+        the following disclaimer <<opt>>2<</opt>> redistributions in binary form must reproduce the above copyright notice this list of
+        conditions and the following disclaimer in the documentation and or other materials provided with the distribution
+        <<opt>><<opt>>3<</opt>> neither the name of <<var 1 12>> nor the names of its contributors may be used to endorse or promote
+        products derived from this software without specific prior written permission<</opt>>
+        this software is provided by <<var 3 10>> as is and any express or implied warranties including but not limited to the implied
+        warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<var 3 10>> be liable for
+        any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute
+        goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in
+        contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if
+        advised of the possibility of such damage"""),
 )
 
 

@@ -175,6 +175,52 @@ def test_templates_accept_exact_mandatory_wording(text, accepted):
     assert {m[0] for m in matches} == ({accepted} if accepted else set())
 
 
+def template_regex(template):
+    """A template as a regular expression over words that each end in a space."""
+    out = ""
+    for mark in re.findall(r"<<opt>>|<</opt>>|<<var \d+ \d+>>|[^<\s]+", template):
+        if mark == "<<opt>>":
+            out += "(?:"
+        elif mark == "<</opt>>":
+            out += ")?"
+        elif mark.startswith("<<var"):
+            out += r"(?:\S+ ){%s,%s}" % tuple(mark[6:-2].split())
+        else:
+            out += re.escape(mark) + " "
+    return out
+
+
+def test_templates_match_brute_force():
+    """Random wordings of every template, some with a word changed, against regular expressions tried for every end."""
+    rng = random.Random(12)
+    automata = [license_scan.compile_template(*t) for t in license_scan.TEMPLATES]
+    accepted = 0
+    for label, worth, template in license_scan.TEMPLATES:
+        for turn in range(5):
+            words, skip = [], 0
+            for mark in re.findall(r"<<opt>>|<</opt>>|<<var \d+ \d+>>|[^<\s]+", template):
+                if mark == "<<opt>>":
+                    skip += 1 if skip or rng.random() < 0.5 else 0
+                elif mark == "<</opt>>":
+                    skip -= 1 if skip else 0
+                elif not skip:
+                    least, most = map(int, mark[6:-2].split()) if mark.startswith("<<var") else (0, 0)
+                    words += [f"v{rng.randrange(9)}" for _ in range(rng.randint(least, most + (turn % 5 == 4)))] if most else [mark]
+            if turn % 3 == 2:
+                words[rng.randrange(len(words))] = rng.choice(["other", "the", "software"])
+            words = ["before", "it", *words, "after", "all"]
+            got = {(m[0], m[1], m[2]) for m in license_scan.scan(" ".join(words), automata, [])[-1]}
+            want = set()
+            for name, _, t in license_scan.TEMPLATES:
+                whole = re.compile(template_regex(t))
+                for i in range(len(words)):
+                    ends = [j for j in range(i + 1, len(words) + 1) if whole.fullmatch("".join(w + " " for w in words[i:j]))]
+                    want |= {(name, i, max(ends))} if ends else set()
+            assert got == want, (label, worth, words)
+            accepted += bool(want)
+    assert accepted > 30
+
+
 def test_optional_and_replaceable_regions():
     a = license_scan.compile_template("x", 1.0, "one <<opt>>two <<var 1 2>><</opt>> three")
     run = lambda s: a.longest(s.encode().split(), 0)
