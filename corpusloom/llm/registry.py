@@ -19,7 +19,7 @@ from corpusloom.llm import source_mixing as op2
 from corpusloom.llm import toxicity as op6
 from corpusloom.llm import warc as op8
 from corpusloom.llm.labelled import fold
-
+from corpusloom.session import spread
 
 #: Vocabulary file of the BPE query.
 VOCABULARY = "word_bpe_49k.json"
@@ -29,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for the operators whose work is in Python workers, on as many tasks as a small table allows."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -49,12 +54,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "documents").select("doc_id", op3.scan_licenses(F.col("text")).alias("r"))
+    found = texts(spark, sf_dir).select("doc_id", op3.scan_licenses(F.col("text")).alias("r"))
     return found.select("doc_id", *[f"r.{c}" for c in op3.FIELDS if c != "matches"])
 
 
 def op4_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = op4.near_duplicates(table(spark, sf_dir, "documents"))
+    found = op4.near_duplicates(texts(spark, sf_dir))
     return found.select("doc_id", op4.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
@@ -64,7 +69,7 @@ def _scored(docs: DataFrame, held: Column, score: Column, threshold: float) -> D
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 4) == 2
+    docs, held = texts(spark, sf_dir), fold(F.col("doc_id"), 4) == 2
     machine = op6.train(docs, table(spark, sf_dir, "labels"), ~held)
     return _scored(docs, held, op6.score(F.col("text"), machine), op6.THRESHOLD)
 
@@ -79,12 +84,12 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     path = vocabulary or public_tokenizers.path(VOCABULARY)
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     return docs.select("doc_id", op9.digests(spark, F.col("text"), path).alias("d")).select("doc_id", "d.*")
 
 
 def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held = table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 5) == 0
+    docs, held = texts(spark, sf_dir), fold(F.col("doc_id"), 5) == 0
     network = op10.train(docs, table(spark, sf_dir, "labels"), ~held)
     return _scored(docs, held, op10.score(F.col("text"), network), op10.THRESHOLD)
 
