@@ -35,6 +35,7 @@ def local_session(cores: int | str = "*", memory: str = "6g") -> SparkSession:
         builder.config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.retainedStages", "100000")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
