@@ -41,11 +41,11 @@ BOILERPLATE_TYPES = ("paragraph", "list", "quote", "image_caption")
 
 # Function words by language, in the order in which ties are settled.
 STOPWORDS = {
-    "en": "the and of to in for is on that with as are this be by an or from at which not have it was each must should",
-    "fr": "le la les de des et un une du en que qui dans pour pas est sur par plus avec au aux ce cette",
-    "de": "der die das und den von zu mit im ist auf für nicht ein eine dem des sich auch als",
-    "es": "el la los las de y en que un una del se por con para no es al lo",
-}
+    "en": ("the", "and", "of", "to", "in", "for", "is", "on", "that", "with", "as", "are", "this", "be", "by", "an", "or", "from", "at", "which", "not", "have", "it", "was", "each", "must", "should"),
+    "fr": ("le", "la", "les", "de", "des", "et", "un", "une", "du", "en", "que", "qui", "dans", "pour", "pas", "est", "sur", "par", "plus", "avec", "au", "aux", "ce", "cette"),
+    "de": ("der", "die", "das", "und", "den", "von", "zu", "mit", "im", "ist", "auf", "für", "nicht", "ein", "eine", "dem", "des", "sich", "auch", "als"),
+    "es": ("el", "la", "los", "las", "de", "y", "en", "que", "un", "una", "del", "se", "por", "con", "para", "no", "es", "al", "lo"),
+}
 LANGUAGE_MIN_TOKENS = 8
 LANGUAGE_MIN_RATIO = 0.06
 
@@ -145,8 +145,8 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def language_scores(tokens: Column) -> dict[str, Column]:
-    share = lambda known: F.size(F.filter(tokens, lambda t: t.isin(known))) / F.size(tokens)
-    return {lang: share(words.split()) for lang, words in STOPWORDS.items()}
+    share = lambda known: F.size(F.filter(tokens, lambda t: t.isin(list(known)))) / F.size(tokens)
+    return {lang: share(words) for lang, words in STOPWORDS.items()}
 
 
 def detect_language(tokens: Column) -> Column:

@@ -7,20 +7,20 @@ from pyspark.sql import functions as F
 
 # Document states and where each may go; every live state may also fail or be deleted.
 NEXT_STATES = {
-    "DISCOVERED": "FETCHING",
-    "FETCHING": "FETCHED",
-    "FETCHED": "FETCHING PARSING",
-    "PARSING": "PARSED",
-    "PARSED": "NORMALIZING PARSING FETCHING",
-    "NORMALIZING": "NORMALIZED",
-    "NORMALIZED": "CHUNKING PARSING NORMALIZING FETCHING",
-    "CHUNKING": "CHUNKED",
-    "CHUNKED": "EMBEDDING CHUNKING PARSING NORMALIZING FETCHING",
-    "EMBEDDING": "EMBEDDED",
-    "EMBEDDED": "INDEXING FETCHING",
-    "INDEXING": "INDEXED",
-    "INDEXED": "FETCHING PARSING EMBEDDING INDEXING",
-    "FAILED": "FETCHING PARSING NORMALIZING CHUNKING EMBEDDING INDEXING",
+    "DISCOVERED": ("FETCHING",),
+    "FETCHING": ("FETCHED",),
+    "FETCHED": ("FETCHING", "PARSING"),
+    "PARSING": ("PARSED",),
+    "PARSED": ("NORMALIZING", "PARSING", "FETCHING"),
+    "NORMALIZING": ("NORMALIZED",),
+    "NORMALIZED": ("CHUNKING", "PARSING", "NORMALIZING", "FETCHING"),
+    "CHUNKING": ("CHUNKED",),
+    "CHUNKED": ("EMBEDDING", "CHUNKING", "PARSING", "NORMALIZING", "FETCHING"),
+    "EMBEDDING": ("EMBEDDED",),
+    "EMBEDDED": ("INDEXING", "FETCHING"),
+    "INDEXING": ("INDEXED",),
+    "INDEXED": ("FETCHING", "PARSING", "EMBEDDING", "INDEXING"),
+    "FAILED": ("FETCHING", "PARSING", "NORMALIZING", "CHUNKING", "EMBEDDING", "INDEXING"),
 }
 FINISHED = ("NORMALIZED", "CHUNKED", "EMBEDDED", "INDEXED")
 UNFINISHED = ("FETCHED", "PARSING", "PARSED", "NORMALIZING", "NORMALIZED", "CHUNKING", "FAILED")
@@ -65,13 +65,13 @@ def can_transition(state: Column, target: Column) -> Column:
     allowed = F.lit(False)
     for s, targets in NEXT_STATES.items():
         also = {"DELETED"} | ({"FAILED"} - {s})
-        allowed = F.when(state == s, target.isin(*targets.split(), *sorted(also))).otherwise(allowed)
+        allowed = F.when(state == s, target.isin(*targets, *sorted(also))).otherwise(allowed)
     return F.coalesce(allowed, F.lit(False))
 
 
 def transitions(spark: SparkSession) -> DataFrame:
     """state, target: the whole table, for joins."""
-    rows = [(s, t) for s, ts in NEXT_STATES.items() for t in sorted({*ts.split(), "DELETED", "FAILED"} - ({"FAILED"} if s == "FAILED" else set()))]
+    rows = [(s, t) for s, ts in NEXT_STATES.items() for t in sorted({*ts, "DELETED", "FAILED"} - ({"FAILED"} if s == "FAILED" else set()))]
     return spark.createDataFrame(rows, "state string, target string")
 
 
@@ -232,6 +232,16 @@ def sync_outcomes(items: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def late_events(events: DataFrame, seconds: int, key: str = "user_id", at: str = "ts", arrived: str = "event_id") -> DataFrame:
+    """Events with is_late: more than so many seconds behind the latest event of their key that arrived before them.
+
+    What a watermark drops is kept beside the rest, as a side table with is_late.
+    """
+    before = Window.partitionBy(key).orderBy(arrived).rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.max(F.col(at).cast("timestamp")).over(before)
+    return events.withColumn("is_late", F.coalesce(F.col(at).cast("timestamp") < seen - F.make_dt_interval(secs=F.lit(seconds)), F.lit(False)))
+
+
 def fixed_window_denials(events: DataFrame, limit: int, seconds: int, key: str = "user_id", at: str = "ts") -> DataFrame:
     """key, window_start, calls, denied: calls per epoch-aligned window, and how many are over the limit."""
     window = F.window(F.col(at).cast("timestamp"), f"{seconds} seconds")

@@ -231,6 +231,7 @@ def expand_query(query: Column, most: int = 3) -> Column:
     return F.slice(firsts, 1, most)
 
 
+# The wording of rewritten queries below and above.
 def hypothetical_document(query: Column) -> Column:
     """A passage such as might answer the query, for its embedding."""
     return F.format_string(

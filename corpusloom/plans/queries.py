@@ -66,7 +66,7 @@ def normalized_hash(spark, sf_dir):
 
 
 def _stop_sql() -> str:
-    share = lambda words: f"len(list_filter(k, lambda x: list_contains([{', '.join(repr(w) for w in words.split())}], x)))"
+    share = lambda words: f"len(list_filter(k, lambda x: list_contains([{', '.join(repr(w) for w in words)}], x)))"
     cols = ", ".join(f"{share(w)} AS {lang}" for lang, w in text.STOPWORDS.items())
     best = "greatest(en, fr, de, es)"
     pick = " ".join(f"WHEN {lang} = {best} THEN '{lang}'" for lang in text.STOPWORDS)
@@ -651,7 +651,7 @@ STATE_NAMES = list(ingest.NEXT_STATES)
 
 def _state_sql() -> str:
     names = ", ".join(repr(s) for s in STATE_NAMES)
-    pairs = ", ".join(f"('{s}', '{t}')" for s, ts in ingest.NEXT_STATES.items() for t in sorted({*ts.split(), "DELETED", "FAILED"} - ({"FAILED"} if s == "FAILED" else set())))
+    pairs = ", ".join(f"('{s}', '{t}')" for s, ts in ingest.NEXT_STATES.items() for t in sorted({*ts, "DELETED", "FAILED"} - ({"FAILED"} if s == "FAILED" else set())))
     return f"""WITH e AS (SELECT user_id, event_id, [{names}][1 + (event_id * 7 + user_id) % {len(STATE_NAMES)}] AS state FROM events),
     l AS (SELECT *, lag(state) OVER (PARTITION BY user_id ORDER BY event_id) AS previous FROM e), ok(s, t) AS (VALUES {pairs})
     SELECT user_id, event_id, previous, state FROM l WHERE previous IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ok WHERE s = previous AND t = state)"""
@@ -689,6 +689,15 @@ def fixed_window_rate(spark, sf_dir):
     return rows.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+@query(
+    """SELECT event_id, coalesce(ts < max(ts) OVER (PARTITION BY event_type ORDER BY (event_id * 7919) % 10007, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 12 HOUR, false) AS is_late FROM events"""
+)
+def late_events(spark, sf_dir):
+    """Events arrive in an order that is not that of their times."""
+    rows = table(spark, sf_dir, "events").withColumn("arrived", F.struct((F.col("event_id") * 7919) % 10007, F.col("event_id")))
+    return ingest.late_events(rows, 12 * 3600, "event_type", "ts", "arrived").select("event_id", "is_late")
+
+
 @query(
     """SELECT event_type AS source, count(*) AS discovered, count(*) FILTER (value >= 20) AS fetched, count(*) FILTER (value >= 20 AND user_id % 3 <> 0) AS queued,
       count(*) FILTER (value >= 20 AND user_id % 3 = 0) AS skipped, count(*) FILTER (value < 20) AS deleted FROM events GROUP BY 1"""

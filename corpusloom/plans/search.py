@@ -79,12 +79,18 @@ def search_with_context(queries: DataFrame, chunks: DataFrame, config: SearchCon
 
 
 def search_debug(queries: DataFrame, chunks: DataFrame, config: SearchConfig) -> dict[str, DataFrame]:
-    """The hits of every stage."""
+    """The hits of every stage, each worked out and stored, and `latency`: stage, seconds of it."""
+    import time
     from dataclasses import replace
 
-    stage = lambda mode: candidates(queries, chunks, replace(config, mode=mode))
-    hits, context = search_with_context(queries, chunks, config)
-    return {"dense": stage("dense"), "sparse": stage("sparse"), "fused": stage("hybrid"), "hits": hits, "context": context}
+    hits = lambda: search(queries, chunks, config)
+    stages = {mode: lambda m=mode: candidates(queries, chunks, replace(config, mode=m)) for mode in ("dense", "sparse", "hybrid")}
+    found, spent = {}, []
+    for name, run in (*stages.items(), ("hits", hits), ("context", lambda: retrieve.select_context(found["hits"], config.budget))):
+        began = time.perf_counter()
+        found["fused" if name == "hybrid" else name] = stored(run(), f"debug-{name}")
+        spent.append(("fused" if name == "hybrid" else name, time.perf_counter() - began))
+    return {**found, "latency": queries.sparkSession.createDataFrame(spent, "stage string, seconds double")}
 
 
 def answer_questions(questions: DataFrame, messages: DataFrame, chunks: DataFrame, config: SearchConfig) -> tuple[DataFrame, DataFrame]:

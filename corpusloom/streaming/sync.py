@@ -25,6 +25,28 @@ def calls_per_window(events: DataFrame, seconds: int, late: str = "10 minutes",
     return counted.select(key, F.col("w.start").alias("window_start"), "calls")
 
 
+LATE_ROWS = "key string, event_id long, at timestamp, is_late boolean"
+
+
+def late_stream(events: DataFrame, seconds: int) -> DataFrame:
+    """Streamed events (key, event_id, at) with is_late, as ingest.late_events(): split by it, the late ones are a side table.
+
+    The state of a key is its latest time so far.
+    """
+
+    def mark(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        latest = state.get[0] if state.exists else None
+        out = []
+        for batch in batches:
+            for row in batch.sort_values("event_id").itertuples(index=False):
+                out.append((key[0], row.event_id, row.at, latest is not None and row.at < latest - pd.Timedelta(seconds=seconds)))
+                latest = row.at if latest is None else max(latest, row.at)
+        state.update((latest,))
+        yield pd.DataFrame(out, columns=["key", "event_id", "at", "is_late"])
+
+    return events.groupBy("key").applyInPandasWithState(mark, LATE_ROWS, "latest timestamp", "append", GroupStateTimeout.NoTimeout)
+
+
 def once(jobs: DataFrame, late: str = "1 hour", key: str = "key", at: str = "created_at") -> DataFrame:
     """Jobs without repeats of a key within the watermark."""
     return jobs.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
@@ -58,7 +80,7 @@ def valid_states(log: DataFrame) -> DataFrame:
         out = []
         for batch in batches:
             for row in batch.sort_values("at").itertuples(index=False):
-                allowed = {*ingest.NEXT_STATES.get(last, "").split(), "DELETED", "FAILED"} - ({"FAILED"} if last == "FAILED" else set())
+                allowed = {*ingest.NEXT_STATES.get(last, ()), "DELETED", "FAILED"} - ({"FAILED"} if last == "FAILED" else set())
                 good = last is None or (last in ingest.NEXT_STATES and row.state in allowed)
                 out.append((key[0], row.state, good))
                 last = row.state if good else last

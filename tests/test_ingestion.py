@@ -195,3 +195,21 @@ def test_atom_entities(spark):
     body = "<feed><entry><id>http://arxiv.org/abs/1234.5v3</id><title> a &amp;lt; b </title><summary>x &lt; y</summary><updated>u</updated></entry></feed>"
     got = feeds.atom_entries(spark.createDataFrame([(body,)], "body string")).first()
     assert got[:] == ("1234.5", "a &lt; b", "x < y", "u")
+
+
+def test_late_events_are_kept_aside(spark):
+    rows = [("a", 1, "2024-01-01 00:10:00"), ("a", 2, "2024-01-01 00:00:00"), ("a", 3, "2024-01-01 00:09:30"), ("b", 4, "2024-01-01 00:00:00"), ("a", 5, None)]
+    events = spark.createDataFrame(rows, "key string, event_id long, at string").withColumn("at", F.col("at").cast("timestamp"))
+    got = {r.event_id: r.is_late for r in ingest.late_events(events, 60, "key", "at", "event_id").collect()}
+    assert got == {1: False, 2: True, 3: False, 4: False, 5: False}
+
+
+def test_late_side_of_a_stream(spark, tmp_path):
+    from corpusloom.streaming import sync
+
+    rows = [("a", 1, "2024-01-01 00:10:00"), ("a", 2, "2024-01-01 00:00:00"), ("b", 4, "2024-01-01 00:00:00")]
+    events = spark.createDataFrame(rows, "key string, event_id long, at string").withColumn("at", F.col("at").cast("timestamp"))
+    events.coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    stream = sync.late_stream(sync.file_stream(spark, f"file://{tmp_path}/in", "key string, event_id long, at timestamp"), 60)
+    stream.writeStream.format("memory").queryName("late_side").option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination(100)
+    assert {r.event_id: r.is_late for r in spark.table("late_side").collect()} == {1: False, 2: True, 4: False}
