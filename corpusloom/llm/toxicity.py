@@ -130,17 +130,22 @@ def inputs(rows: Sequence[np.ndarray], y: np.ndarray) -> list[int]:
     """The terms that lean to a class, alone or in a pair, in rising order."""
     if not len(y) or not any(map(len, rows)):
         return []
-    terms, column, count = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    yes = np.bincount(column, y[owner], len(terms))
-    chosen = (count >= LEAST_DOCS) & (lean(count, yes, len(y), y.sum()) >= TERM_LEAN)
-    often = np.nonzero((count >= LEAST_DOCS) & (count >= PAIR_SHARE * len(y)))[0]
-    place = np.full(len(terms), -1)
-    place[often] = np.arange(len(often))
-    here = place[column] >= 0
+    count = np.zeros(1 + max(int(r.max()) for r in rows if len(r)), dtype=np.int32)
+    yes = np.zeros(len(count), dtype=np.float32)
+    for r, label in zip(rows, y, strict=True):
+        # A row names a term once.
+        count[r] += 1
+        yes[r] += label
+    terms = np.nonzero(count >= LEAST_DOCS)[0]
+    chosen = lean(count[terms], yes[terms].astype(np.float64), len(y), y.sum()) >= TERM_LEAN
+    often = np.nonzero(count[terms] >= PAIR_SHARE * len(y))[0]
+    place = np.full(len(count), -1, dtype=np.int32)
+    place[terms[often]] = np.arange(len(often))
+    del count, yes
     x = np.zeros((len(rows), len(often)), dtype=np.uint8)
-    x[owner[here], place[column[here]]] = 1
-    del owner, column, here
+    for i, r in enumerate(rows):
+        at = place[r]
+        x[i, at[at >= 0]] = 1
     paired = np.zeros(len(often), dtype=bool)
     for first in range(0, len(often), PAIR_BLOCK):
         both = both_yes = 0.0
