@@ -1,12 +1,14 @@
 """Quality classifier: random-indexing word vectors, pooled, and a two-layer network.
 
-Every word gives a unit for its shape and one for its letters, and a third where
-it repeats the word before; lines that repeat give a unit too. Units are hashed
-to slots. A slot's vector is the sum of the fixed sparse index vectors of the
-units found around it, gathered by Spark over a bounded sample of labelled rows.
-A document is the mean of its slots' vectors; a network of one hidden layer in
-numpy scores it, and a temperature fitted on rows left out calibrates the
-probability.
+Words are runs of letters, runs of digits and single marks, as they are written.
+A word's index vector has a few entries of +1 and -1 that its hash names. Its
+word vector is its index vector beside the sum of the index vectors of the words
+found around it, gathered by Spark over a bounded sample of labelled rows. Words
+of fewer than MIN_DOCS sampled documents are one word, the rare one. A document
+is the mean vector of its words, with the numbers of words and distinct words and
+the shares of distinct words and distinct pairs of neighbours. A network of one
+hidden layer in numpy scores it, and a temperature fitted on rows left out
+calibrates the probability.
 
 Nulls and odd rows: null and empty texts pool to zeros and are scored like any
 other; repeated rows get equal results; of several texts under one labelled id
@@ -17,13 +19,14 @@ extra columns pass through; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import operator
-import zlib
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +35,13 @@ from corpusloom.session import stored
 
 #: Bound on the labelled rows that the fit reads.
 SAMPLE_ROWS = 8000
-SLOTS = 2048
-SAME, LINE = SLOTS, SLOTS + 1
+#: Letters are ASCII letters and everything beyond ASCII.
+WORD = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+|[0-9]+|[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]")
+RARE = ""
+MIN_DOCS = 3
 DIM = 64
 NONZERO = 8
+INPUTS = DIM + 4
 WINDOW = 2
 HIDDEN = 32
 EPOCHS = 60
@@ -43,99 +49,89 @@ BATCH = 128
 RATE = 0.01
 DECAY = 1e-4
 THRESHOLD = 0.3
-TABLE_SIZE = 1 << 18
-#: Words handled at a time, so that a very long text needs bounded memory.
-BLOCK = 1 << 16
-
-
-
-def shape(word: str) -> str:
-    """Letters as a or A, digits as 0, others kept; repeats of one class or mark collapse."""
-    out = []
-    for c in word:
-        k = ("A" if c.isupper() else "a") if c.isalpha() else "0" if c.isdigit() else c
-        if not out or out[-1] != k:
-            out.append(k)
-    return "".join(out)
+#: Characters whose words are handled at a time, so that a very long text needs bounded memory.
+BLOCK = 1 << 18
+#: Words whose sums travel as one row.
+ROWS = 1024
+
+
+def words_of(text: str | None) -> Iterator[list[str]]:
+    """The words of a text in blocks that end at blanks."""
+    at, size = 0, len(text or "")
+    while at < size:
+        end = text.find(" ", at + BLOCK)
+        end = size if end < 0 else end
+        yield WORD.findall(text, at, end)
+        at = end
+
+
+def index_vectors(words: list[str]) -> np.ndarray:
+    """NONZERO entries +1 or -1 a word: six bits of its hash name the place, one the sign; entries on one place add up."""
+    hashes = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], dtype=np.uint64)
+    out, rows = np.zeros((len(words), DIM), dtype=np.int32), np.arange(len(words))
+    for k in range(NONZERO):
+        place = (hashes >> np.uint64(7 * k)) & np.uint64(DIM - 1)
+        sign = (hashes >> np.uint64(7 * k + 6)) & np.uint64(1)
+        np.add.at(out, (rows, place.astype(np.int64)), 1 - 2 * sign.astype(np.int32))
+    return out
 
 
-def _slot(unit: str) -> int:
-    return zlib.crc32(unit.encode("utf-8", "surrogatepass")) % SLOTS
+def document_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(word, n) of each batch: documents that hold the word."""
+    for rows in batches:
+        n = Counter()
+        for text in rows["text"]:
+            n.update({w for block in words_of(text) for w in block})
+        yield pd.DataFrame({"word": list(n), "n": list(n.values())})
 
 
-class Units(dict):
-    """word -> slot of its shape * 2^16 + slot of its letters."""
+def context_sums(words: list[str]):
+    """A function from texts to (part, sums): index vectors found within WINDOW words of each word, ROWS words a row."""
 
-    def __missing__(self, word: str) -> int:
-        letters = "".join(c for c in word if c.isalpha()).lower()
-        found = _slot("s" + shape(word)) << 16 | _slot("w" + letters)
-        if len(self) >= TABLE_SIZE:
-            self.clear()
-        self[word] = found
-        return found
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index, ids = index_vectors(words), {w: i for i, w in enumerate(words)}
+        total = np.zeros((len(words), DIM), dtype=np.int64)
+        for rows in batches:
+            for text in rows["text"]:
+                for block in words_of(text):
+                    at = np.fromiter((ids.get(w, 0) for w in block), dtype=np.int64, count=len(block))
+                    own, around = index[at], np.zeros((len(at), DIM), dtype=np.int64)
+                    for d in range(1, WINDOW + 1):
+                        around[d:] += own[:-d]
+                        around[:-d] += own[d:]
+                    np.add.at(total, at, around)
+        parts = [(k // ROWS, total[k : k + ROWS].tobytes()) for k in range(0, len(words), ROWS)]
+        yield pd.DataFrame(parts, columns=["part", "sums"])
 
+    return run
 
-def units_of(text: str | None, table: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Slots of shapes and of letters, whether each word repeats the last, and the number of repeated lines."""
-    words = (text or "").split()
-    both = np.fromiter(map(table.__getitem__, words), dtype=np.int64, count=len(words))
-    same = np.zeros(len(words), dtype=bool)
-    same[1:] = np.fromiter(map(operator.eq, words[1:], words), dtype=bool, count=max(len(words) - 1, 0))
-    lines = [x for x in (text or "").split("\n") if x]
-    return both >> 16, both & 0xFFFF, same, len(lines) - len(set(lines))
 
+def add_sums(rows: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(x, dtype=np.int64) for x in rows["sums"])
+    return pd.DataFrame({"part": [rows["part"].iloc[0]], "sums": [total.tobytes()]})
 
-def index_vectors(seed: int = 7) -> np.ndarray:
-    """Sparse vectors of NONZERO entries +1 and -1 for every slot and the two marks."""
-    rng = np.random.default_rng(seed)
-    out = np.zeros((SLOTS + 2, DIM), dtype=np.float32)
-    for row in out:
-        row[rng.choice(DIM, NONZERO, replace=False)] = rng.choice((-1.0, 1.0), NONZERO)
-    return out
 
+def pooled(text: str | None, vectors: np.ndarray, ids: dict[str, int]) -> np.ndarray:
+    """Mean vector of a text's words, the numbers of words and of distinct words, and how far words and pairs of neighbours repeat.
 
-def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(slot, vector) sums of a partition: index vectors of the units within WINDOW words."""
-    index, table = index_vectors(), Units()
-    total = np.zeros((SLOTS + 2, DIM), dtype=np.float64)
-    for rows in batches:
-        for text in rows["text"]:
-            shapes, letters, same, lines = units_of(text, table)
-            for at in range(0, len(shapes), BLOCK):
-                s, w, r = shapes[at : at + BLOCK], letters[at : at + BLOCK], same[at : at + BLOCK]
-                own = index[s] + index[w] + r[:, None] * index[SAME]
-                around = np.zeros_like(own)
-                for d in range(1, WINDOW + 1):
-                    around[d:] += own[:-d]
-                    around[:-d] += own[d:]
-                np.add.at(total, s, around)
-                np.add.at(total, w, around)
-                total[SAME] += around[r].sum(axis=0)
-            total[LINE] += lines * index[LINE]
-    used = np.nonzero(np.abs(total).sum(axis=1))[0]
-    yield pd.DataFrame({"slot": used.astype(np.int32), "v": pd.Series(list(total[used]), dtype=object)})
-
-
-def _sum_vectors(rows: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"slot": [rows["slot"].iloc[0]], "v": [np.sum(np.stack(rows["v"].to_list()), axis=0)]})
-
-
-def pooled(text: str | None, vectors: np.ndarray, table: Units) -> np.ndarray:
-    """Mean of the vectors of a text's units, and its size on a log scale."""
-    shapes, letters, same, lines = units_of(text, table)
-    n = len(shapes)
-    counts = np.bincount(shapes, minlength=SLOTS + 2) + np.bincount(letters, minlength=SLOTS + 2)
-    counts[SAME] += same.sum()
-    counts[LINE] += lines
-    used = np.nonzero(counts)[0]
-    mean = (counts[used].astype(np.float32) @ vectors[used]) / max(n, 1)
-    return np.append(mean, np.log1p(n) / 10).astype(np.float32)
+    Numbers and shares are on a log scale; pairs are told apart within a block.
+    """
+    n, pairs = Counter(), 0
+    for block in words_of(text):
+        n.update(block)
+        pairs += len(set(zip(block, block[1:], strict=False)))
+    at = np.fromiter((ids.get(w, 0) for w in n), dtype=np.int64, count=len(n))
+    times = np.fromiter(n.values(), dtype=np.float64, count=len(n))
+    size = times.sum()
+    sizes = np.log1p([size, len(n), pairs])
+    return np.concatenate([times @ vectors[at] / max(size, 1), sizes[:2], sizes[1:] - sizes[0]])
 
 
 @dataclass
 class Network:
     """Standardised inputs, one hidden layer, a temperature."""
 
+    words: list[str]
     vectors: np.ndarray
     centre: np.ndarray
     scale: np.ndarray
@@ -152,13 +148,13 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.margin(x) / self.temperature, -50, 50)))
 
 
-def fit_network(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, seed: int = 0) -> Network:
+def fit_network(x: np.ndarray, y: np.ndarray, words: list[str], vectors: np.ndarray, seed: int = 0) -> Network:
     """Adam on the logistic loss; every fifth row is kept for the temperature."""
     share = (y.sum() + 0.5) / (len(y) + 1.0)
     prior = float(np.log(share / (1 - share)))
-    n = DIM + 1
+    n = INPUTS
     if not len(y) or y.min() == y.max():
-        return Network(vectors, np.zeros(n), np.ones(n), np.zeros((n, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), prior)
+        return Network(words, vectors, np.zeros(n), np.ones(n), np.zeros((n, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), prior)
     rng = np.random.default_rng(seed)
     held = np.arange(len(y)) % 5 == 4
     fit = np.nonzero(~held)[0]
@@ -180,7 +176,7 @@ def fit_network(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, seed: int = 0
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 p -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    out = Network(vectors, centre, scale, params[0], params[1], params[2], float(params[3][0]))
+    out = Network(words, vectors, centre, scale, params[0], params[1], params[2], float(params[3][0]))
     if held.any():
         margin, target = out.margin(x[held]), y[held]
 
@@ -196,24 +192,28 @@ def train(docs: DataFrame, labels: DataFrame, trainable: Column, *, label: str =
     sample = labelled_sample(docs, labels, label, trainable, rows, id_col=id_col, text=text)
     # Documents that share an id: the one of smallest hash, so that reruns agree.
     sample = stored(sample.groupBy(id_col, "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "quality-sample")
-    sums = sample.select("text").mapInPandas(contexts, "slot int, v array<double>").groupBy("slot").applyInPandas(_sum_vectors, "slot int, v array<double>")
-    vectors = index_vectors()
+    texts = sample.select("text")
+    counts = texts.mapInPandas(document_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_DOCS)
+    # Words of a bounded sample: as many as its texts share.
+    words = [RARE, *sorted(r.word for r in counts.select("word").collect())]
+    sums = texts.mapInPandas(context_sums(words), "part int, sums binary").groupBy("part").applyInPandas(add_sums, "part int, sums binary")
+    around = np.zeros((len(words), DIM))
     for r in sums.collect():
-        v = np.array(r.v)
-        # Context beside the unit's own mark, each of unit length.
-        own = vectors[r.slot] / np.sqrt(NONZERO)
-        vectors[r.slot] = v / max(np.linalg.norm(v), 1e-9) + own
+        part = np.frombuffer(r.sums, dtype=np.int64).reshape(-1, DIM)
+        around[r.part * ROWS : r.part * ROWS + len(part)] = part
+    # Context beside the word's own index, each of about unit length.
+    vectors = around / np.maximum(np.linalg.norm(around, axis=1, keepdims=True), 1e-9) + index_vectors(words) / np.sqrt(NONZERO)
     vectors = vectors.astype(np.float32)
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf("array<double>")
     def pool(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = Units()
+        ids = {w: i for i, w in enumerate(words)}
         for texts in batches:
-            yield pd.Series([pooled(t, vectors, table) for t in texts])
+            yield pd.Series([pooled(t, vectors, ids) for t in texts])
 
     got = sample.select(F.xxhash64(id_col).alias("h"), "y", pool("text").alias("x")).orderBy("h").collect()
-    x = np.array([r.x for r in got], dtype=np.float64).reshape(len(got), DIM + 1)
-    return fit_network(x, np.array([r.y for r in got], dtype=np.float64), vectors)
+    x = np.array([r.x for r in got], dtype=np.float64).reshape(len(got), INPUTS)
+    return fit_network(x, np.array([r.y for r in got], dtype=np.float64), words, vectors)
 
 
 def score(text: Column, network: Network) -> Column:
@@ -221,9 +221,9 @@ def score(text: Column, network: Network) -> Column:
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = Units()
+        ids = {w: i for i, w in enumerate(network.words)}
         for texts in batches:
-            x = np.array([pooled(t, network.vectors, table) for t in texts], dtype=np.float64).reshape(len(texts), DIM + 1)
+            x = np.array([pooled(t, network.vectors, ids) for t in texts], dtype=np.float64).reshape(len(texts), INPUTS)
             yield pd.Series(network.score(x), dtype="float64")
 
     return run(text)

@@ -130,23 +130,46 @@ def test_scores_match_brute_force(spark):
         assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-(machine.slope * margin + machine.offset))), abs=1e-6)
     network = quality_model.train(docs, labels, fold(F.col("doc_id"), 5) != 0)
     got = {r.doc_id: r.score for r in registry.op10_quality_model(spark, SF).collect()}
-    slot = lambda unit: zlib.crc32(unit.encode()) % quality_model.SLOTS
+    ids = {w: i for i, w in enumerate(network.words)}
     for r in texts:
-        words = r.text.split()
-        total = np.zeros(quality_model.DIM)
-        for i, w in enumerate(words):
-            kinds = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in w]
-            shape = "".join(k for k, last in zip(kinds, [None, *kinds], strict=False) if k != last)
-            total += network.vectors[slot("s" + shape)].astype(float) + network.vectors[slot("w" + "".join(c for c in w if c.isalpha()).lower())]
-            if i and words[i - 1] == w:
-                total += network.vectors[quality_model.SAME]
-        lines = [x for x in r.text.split("\n") if x]
-        total += (len(lines) - len(set(lines))) * network.vectors[quality_model.LINE].astype(float)
-        z = (np.append(total / max(len(words), 1), math.log1p(len(words)) / 10) - network.centre) / network.scale
+        words = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+|[0-9]+|[!-/:-@\[-`{-~]", r.text)
+        mean = sum((network.vectors[ids.get(w, 0)].astype(float) for w in words), np.zeros(quality_model.DIM)) / max(len(words), 1)
+        size, kinds, pairs = (math.log1p(len(x)) for x in (words, set(words), set(zip(words, words[1:], strict=False))))
+        z = (np.array([*mean, size, kinds, kinds - size, pairs - size]) - network.centre) / network.scale
         margin = np.maximum(z @ network.w1 + network.b1, 0) @ network.w2 + network.b2
         assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-margin / network.temperature)), abs=1e-3)
 
 
+def test_word_vectors_are_sums_of_index_vectors_of_neighbours(spark):
+    """Vectors gathered by Spark against a loop over neighbours, words in the order of the model."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["red", "Red", "tree!", "7", "house"] + [f"once{i}"]) for _ in range(20))) for i in range(40)] + [(50, None), (51, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    network = quality_model.train(docs, labels, F.lit(True))
+    assert network.words[0] == "" and {"!", "7", "Red", "house", "red", "tree"} <= set(network.words)
+    index, ids = quality_model.index_vectors(network.words), {w: i for i, w in enumerate(network.words)}
+    assert (np.abs(index).sum(axis=1) <= quality_model.NONZERO).all() and len({tuple(v) for v in index}) == len(index)
+    sums = np.zeros(index.shape)
+    for _, text in rows:
+        at = [ids.get(w, 0) for block in quality_model.words_of(text) for w in block]
+        for i, w in enumerate(at):
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(at):
+                    sums[w] += index[at[j]]
+    want = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9) + index / math.sqrt(quality_model.NONZERO)
+    assert np.allclose(network.vectors, want, atol=1e-5)
+
+
+def test_words_in_blocks_are_the_words_of_the_text(monkeypatch):
+    text = "Ab1 c\u00e9d, " * 50 + "end!"
+    whole = quality_model.WORD.findall(text)
+    monkeypatch.setattr(quality_model, "BLOCK", 7)
+    blocks = list(quality_model.words_of(text))
+    assert [w for b in blocks for w in b] == whole and len(blocks) > 10
+    assert list(quality_model.words_of(None)) == [] and list(quality_model.words_of("")) == []
+
+
 def test_extra_columns_with_clashing_names_change_nothing(spark, tmp_path):
     plain, clash = f"file://{tmp_path}/plain", f"file://{tmp_path}/clash"
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
