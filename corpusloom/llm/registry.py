@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from corpusloom.llm import bpe as op9
 from corpusloom.llm import knn_join as op7
 from corpusloom.llm import license_scan as op3
+from corpusloom.llm import minhash_neardup as op13
+from corpusloom.llm import periodic_runs as op12
 from corpusloom.llm import pii as op5
 from corpusloom.llm import quality_model as op10
 from corpusloom.llm import quality_rules as op1
 from corpusloom.llm import simhash_neardup as op4
+from corpusloom.llm import source_divergence as op11
 from corpusloom.llm import source_mixing as op2
 from corpusloom.llm import toxicity as op6
 from corpusloom.llm import warc as op8
@@ -94,6 +97,18 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(docs, held, op10.score(F.col("text"), network), op10.THRESHOLD)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11.divergence(texts(spark, sf_dir))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12.periodic_runs(texts(spark, sf_dir))
+
+
+def op13_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13.near_duplicates(texts(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mix_sources": op2_mix_sources,
@@ -105,6 +120,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_bpe": op9_bpe,
     "op10_quality_model": op10_quality_model,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_minhash_near_duplicates": op13_minhash_near_duplicates,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -112,4 +130,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": op2.ORACLE,
     "op7_knn_join": op7.ORACLE,
     "op8_warc": op8.ORACLE,
+    "op11_source_divergence": op11.ORACLE,
+    "op12_periodic_runs": op12.ORACLE,
+    "op13_minhash_near_duplicates": op13.ORACLE,
 }
