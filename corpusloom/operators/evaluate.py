@@ -10,39 +10,66 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import once, trim, ws_tokens
 
 # Words that answer metrics leave out.
-CLAIM_STOPWORDS = "the a an in on of to is are and or for with that this it by as at be".split()
-QUESTION_STOPWORDS = "what how why who where when is are the a an in of to for do does".split()
+CLAIM_STOPWORDS = ("the", "a", "an", "in", "on", "of", "to", "is", "are", "and", "or", "for", "with", "that", "this", "it", "by", "as", "at", "be")
+QUESTION_STOPWORDS = ("what", "how", "why", "who", "where", "when", "is", "are", "the", "a", "an", "in", "of", "to", "for", "do", "does")
 
 
 def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
+def marks(retrieved: Column, relevant: Column) -> Column:
+    """For each retrieved id whether it is relevant."""
+    return F.transform(retrieved, lambda d: F.coalesce(F.array_contains(relevant, d), F.lit(False)))
+
+
+def _first_marks(retrieved: Column, relevant: Column) -> Column:
+    """Marks, of a repeated id the first only."""
+    return F.transform(retrieved, lambda d, i: F.coalesce(F.array_contains(relevant, d) & (F.array_position(retrieved, d) == i + 1), F.lit(False)))
+
+
+def _hits(marks: Column, k: int) -> Column:
+    return F.size(F.filter(F.slice(marks, 1, max(k, 0)), lambda m: m))
+
+
+def recall_of(marks: Column, n_relevant: Column, k: int) -> Column:
+    """Share of the n_relevant ids among the first k. marks: array<boolean> in rank order, as for the metrics below."""
+    return _share(_hits(marks, k), n_relevant)
+
+
+def precision_of(marks: Column, k: int) -> Column:
+    return _hits(marks, k) / F.lit(k) if k > 0 else F.lit(0.0)
+
+
+def reciprocal_rank_of(marks: Column) -> Column:
+    return F.coalesce(F.lit(1.0) / F.nullif(F.array_position(marks, True), F.lit(0)), F.lit(0.0))
+
+
+def ndcg_of(marks: Column, n_relevant: Column, k: int) -> Column:
+    """Binary gains over those of as many relevant ids at the top."""
+    k = max(k, 0)
+    gain = lambda i: F.lit(1.0) / F.log2(i + F.lit(2.0))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    got = total(F.transform(F.slice(marks, 1, k), lambda m, i: F.when(m, gain(i)).otherwise(F.lit(0.0))))
+    best = F.least(n_relevant, F.lit(k)).cast("int")
+    return _share(got, total(F.transform(F.when(best > 0, F.sequence(F.lit(0), best - 1)).otherwise(F.array().cast("array<int>")), gain)))
+
+
 def recall_at(retrieved: Column, relevant: Column, k: int) -> Column:
-    relevant = F.array_distinct(relevant)
-    return _share(F.size(F.array_intersect(F.slice(retrieved, 1, max(k, 0)), relevant)), F.size(relevant))
+    return recall_of(_first_marks(retrieved, relevant), F.size(F.array_distinct(relevant)), k)
 
 
 def precision_at(retrieved: Column, relevant: Column, k: int) -> Column:
-    if k <= 0:
-        return F.lit(0.0)
-    return F.size(F.array_intersect(F.slice(retrieved, 1, k), relevant)) / F.lit(k)
+    return precision_of(_first_marks(retrieved, relevant), k)
 
 
 def reciprocal_rank(retrieved: Column, relevant: Column) -> Column:
-    first = F.array_min(F.filter(F.transform(retrieved, lambda d, i: F.when(F.array_contains(relevant, d), i + 1)), lambda x: x.isNotNull()))
-    return F.coalesce(F.lit(1.0) / first, F.lit(0.0))
+    return reciprocal_rank_of(marks(retrieved, relevant))
 
 
 def ndcg_at(retrieved: Column, relevant: Column, k: int) -> Column:
     """Binary gains; repeated ids each count."""
-    k = max(k, 0)
-    gain = lambda i: F.lit(1.0) / F.log2(i + F.lit(2.0))
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
-    got = total(F.transform(F.slice(retrieved, 1, k), lambda d, i: F.when(F.array_contains(relevant, d), gain(i)).otherwise(F.lit(0.0))))
-    best = F.least(F.size(F.array_distinct(relevant)), F.lit(k))
-    ideal = total(F.transform(F.when(best > 0, F.sequence(F.lit(0), best - 1)).otherwise(F.array().cast("array<int>")), gain))
-    return _share(got, ideal)
+    return ndcg_of(marks(retrieved, relevant), F.size(F.array_distinct(relevant)), k)
 
 
 def citation_correctness(cited: Column, relevant: Column) -> Column:
@@ -89,7 +116,7 @@ def faithfulness(answer: Column, contexts: Column) -> Column:
     """Share of the answer's sentences of which half the content words occur in the contexts."""
     sentences = F.filter(F.transform(F.split(F.replace(answer, F.lit("\n"), F.lit(". ")), r"\."), trim), lambda s: s != "")
     content = lambda s: F.filter(
-        F.transform(ws_tokens(s), lambda w: _strip(F.lower(w), ".,!?;:")), lambda w: ~w.isin(CLAIM_STOPWORDS) & (F.length(w) > 2)
+        F.transform(ws_tokens(s), lambda w: _strip(F.lower(w), ".,!?;:")), lambda w: ~w.isin(*CLAIM_STOPWORDS) & (F.length(w) > 2)
     )
     holds = lambda ws, blob: (F.size(ws) == 0) | (_true(ws, lambda w: F.contains(blob, w)) * 2 >= F.size(ws))
     parts = F.struct(F.lower(F.array_join(contexts, " ")).alias("blob"), F.transform(sentences, content).alias("claims"))
@@ -100,7 +127,7 @@ def faithfulness(answer: Column, contexts: Column) -> Column:
 def answer_relevance(answer: Column, question: Column, expected: Column) -> Column:
     """Coverage of the question's keywords, blended with the overlap with an expected answer if there is one."""
     words = lambda text, marks: F.array_distinct(
-        F.transform(F.filter(ws_tokens(text), lambda w: ~F.lower(w).isin(QUESTION_STOPWORDS)), lambda w: _strip(F.lower(w), marks))
+        F.transform(F.filter(ws_tokens(text), lambda w: ~F.lower(w).isin(*QUESTION_STOPWORDS)), lambda w: _strip(F.lower(w), marks))
     )
 
     def rate(c: Column) -> Column:

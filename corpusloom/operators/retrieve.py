@@ -13,13 +13,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import query_tokens, token_count, trim, ws_tokens
+from corpusloom.operators import inverted
+from corpusloom.operators.inverted import Index
+from corpusloom.session import stored
 
 RRF_K = 60
 CONTEXT_BUDGET = 4000
 #: Queries that are sent to every task at once; more go in blocks of so many.
 QUERY_BLOCK = 2000
 ROW_BLOCK = 20_000
-K1, B = 1.2, 0.75
 
 
 # --- predicates -----------------------------------------------------------------
@@ -56,24 +58,55 @@ def principal_groups(stored_groups: Column, role: Column, organization: Column,
     return F.array_union(F.coalesce(stored_groups, F.array().cast("array<string>")), own)
 
 
+def _access_lists(docs: DataFrame) -> DataFrame:
+    """docs with acl, their users and groups in order, and the names that open it: '*' for everyone."""
+    none = F.array().cast("array<string>")
+    ordered = lambda c: F.array_sort(F.array_distinct(F.filter(F.coalesce(F.col(c), none), lambda x: x.isNotNull())))
+    # A list that holds nothing but nulls names nobody, and is still a list.
+    public = (F.size(F.coalesce("allowed_users", none)) == 0) & (F.size(F.coalesce("allowed_groups", none)) == 0)
+    return docs.withColumn("acl", F.struct(public.alias("public"), ordered("allowed_users").alias("u"), ordered("allowed_groups").alias("g")))
+
+
+def _tagged(tag: str, names: Column) -> Column:
+    return F.transform(F.filter(names, lambda x: x.isNotNull()), lambda x: F.concat(F.lit(tag), x))
+
+
+def _opened(principals: DataFrame, lists: DataFrame) -> DataFrame:
+    """qid, acl: which of the distinct lists each principal may read. They meet on what the lists name."""
+    none = F.array().cast("array<string>")
+    names = F.when(F.col("acl.public"), F.array(F.lit("*"))).otherwise(F.concat(_tagged("u:", F.col("acl.u")), _tagged("g:", F.col("acl.g"))))
+    own = F.concat(F.array(F.lit("*")), _tagged("u:", F.array_distinct(F.array("user_id", F.lower("email")))), _tagged("g:", F.array_distinct(F.coalesce("member_of", none))))
+    held = principals.select("qid", F.explode(own).alias("name"))
+    return held.join(lists.select("acl", F.explode(names).alias("name")), "name").select("qid", "acl").distinct()
+
+
 def readable_counts(principals: DataFrame, docs: DataFrame) -> DataFrame:
     """qid, readable: how many documents each principal may read; principals that may read none are left out.
 
     principals: qid, user_id, email, member_of. docs: allowed_users, allowed_groups.
     Documents are first counted by their lists, and the few distinct lists meet
-    principals on what they name, so that no pair of principal and document is made.
+    principals, so that no pair of principal and document is made.
     """
-    none = F.array().cast("array<string>")
-    users, groups = F.coalesce("allowed_users", none), F.coalesce("allowed_groups", none)
-    lists = docs.select(F.array_sort(F.array_distinct(users)).alias("u"), F.array_sort(F.array_distinct(groups)).alias("g")).groupBy("u", "g").agg(F.count("*").alias("n"))
-    lists = lists.withColumn("acl", F.struct("u", "g"))
-    tagged = lambda tag, names: F.transform(F.filter(names, lambda x: x.isNotNull()), lambda x: F.concat(F.lit(tag), x))
-    named = F.concat(tagged("u:", F.col("u")), tagged("g:", F.col("g")))
-    public = (F.size("u") == 0) & (F.size("g") == 0)
-    opens = lists.select("acl", "n", F.explode(F.when(public, F.array(F.lit("*"))).otherwise(named)).alias("name"))
-    own = F.concat(F.array(F.lit("*")), tagged("u:", F.array_distinct(F.array("user_id", F.lower("email")))), tagged("g:", F.array_distinct(F.coalesce("member_of", none))))
-    held = principals.select("qid", F.explode(own).alias("name"))
-    return held.join(opens, "name").select("qid", "acl", "n").distinct().groupBy("qid").agg(F.sum("n").alias("readable"))
+    lists = _access_lists(docs).groupBy("acl").agg(F.count("*").alias("n"))
+    return _opened(principals, lists).join(lists, "acl").groupBy("qid").agg(F.sum("n").alias("readable"))
+
+
+def readable_bitmaps(principals: DataFrame, docs: DataFrame, index: Index) -> DataFrame:
+    """qid, shard, allowed: a bit for each position of an index's shard whose chunk the principal may read.
+
+    principals: qid, user_id, email, member_of. docs: chunk_id, allowed_users,
+    allowed_groups of the chunks that may be found at all. A list's chunks become one
+    bitmap a shard; a principal's are the OR of those of the lists that it opens,
+    worked out once for all principals that open the same ones.
+    """
+    placed = index.docs.join(_access_lists(docs).select("chunk_id", "acl"), "chunk_id")
+    bits = placed.groupBy("acl", "shard").agg(F.bitmap_construct_agg(F.col("pos").cast("long")).alias("bits"))
+    bits = stored(bits, "readable-bits")
+    opened = _opened(principals, bits.select("acl").distinct()).groupBy("qid").agg(F.array_sort(F.collect_set("acl")).alias("opens"))
+    opened = stored(opened, "opened-lists")
+    merged = opened.select("opens").distinct().select("opens", F.explode("opens").alias("acl")).join(bits, "acl")
+    merged = merged.groupBy("opens", "shard").agg(F.bitmap_or_agg("bits").alias("allowed"))
+    return opened.join(merged, "opens").select("qid", "shard", "allowed")
 
 
 # --- top-k ----------------------------------------------------------------------
@@ -109,41 +142,29 @@ def unit(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(x.cast("double")))
 
 
-def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, digits: int | None = None) -> DataFrame:
-    """queries (qid, query_vector), chunks (chunk_id, vector, ...): hits by cosine, ties to the smaller chunk_id.
+def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, digits: int | None = None, allowed: Column | None = None) -> DataFrame:
+    """queries (qid, query_vector, ...), chunks (chunk_id, vector, ...): hits by cosine, ties to the smaller chunk_id.
 
     Both sides are scaled to unit length once, so that a pair costs one product.
+    allowed: a condition on the columns of query and chunk, tried before top-k.
     """
-    q = queries.select("qid", unit(F.col("query_vector")).alias("_q"))
+    q = queries.withColumn("_q", unit(F.col("query_vector"))).drop("query_vector")
     c = chunks.withColumn("_v", unit(F.col("vector"))).drop("vector")
     score = dot(F.col("_q"), F.col("_v"))
-    hits = paired(q, c).withColumn("score", F.round(score, digits) if digits is not None else score).drop("_q", "_v")
+    pairs = paired(q, c) if allowed is None else paired(q, c).where(allowed)
+    hits = pairs.withColumn("score", F.round(score, digits) if digits is not None else score).drop("_q", "_v")
     return ranked(hits, k, F.desc("score"), F.col("chunk_id"))
 
 
-def postings(chunks: DataFrame, text: str = "text", asked: DataFrame | None = None) -> DataFrame:
-    """term, chunk_id, tf, positions: one row per term of a chunk; with asked (term), of those terms alone.
-
-    Terms that nobody asks for are left out beside the scan, before anything is grouped or sent.
-    """
-    words = chunks.select("chunk_id", F.posexplode(query_tokens(F.col(text))).alias("at", "term"))
-    if asked is not None:
-        words = words.join(asked.select("term").distinct(), "term", "left_semi")
-    return words.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"))
-
-
 def query_terms(queries: DataFrame) -> DataFrame:
     """qid, term, n_terms over distinct terms."""
     terms = queries.select("qid", F.array_distinct(query_tokens(F.col("query"))).alias("t"))
     return terms.select("qid", F.size("t").alias("n_terms"), F.explode("t").alias("term"))
 
 
-def sparse_matches(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """qid, chunk_id, tf, spots: chunks that hold every term of the query, with where."""
-    found = query_terms(queries).join(index, "term")
-    spots = F.collect_list(F.transform("positions", lambda p: F.struct(p.alias("at"), F.col("term").alias("term"))))
-    grouped = found.groupBy("qid", "chunk_id").agg(F.count("*").alias("n"), F.max("n_terms").alias("n_terms"), F.sum("tf").alias("tf"), F.array_sort(F.flatten(spots)).alias("spots"))
-    return grouped.where(F.col("n") == F.col("n_terms"))
+def sparse_matches(queries: DataFrame, index: Index, allowed: DataFrame | None = None) -> DataFrame:
+    """qid, chunk_id, tf: chunks that hold every term of the query."""
+    return inverted.matches(queries, index, allowed)
 
 
 def cover_density(spots: Column, n_terms: Column) -> Column:
@@ -167,29 +188,25 @@ def cover_density(spots: Column, n_terms: Column) -> Column:
     return F.aggregate(spots, zero, step, lambda acc: acc["sum"])
 
 
-def sparse_top_k(queries: DataFrame, index: DataFrame, chunks: DataFrame, k: int, digits: int | None = None) -> DataFrame:
-    """Hits that hold all terms by cover density, then ordinal, then chunk_id. Needs LAST_WIN maps (session.SETTINGS)."""
-    score = cover_density(F.col("spots"), F.col("n_terms"))
-    hits = sparse_matches(queries, index).withColumn("score", F.round(score, digits) if digits is not None else score).select("qid", "chunk_id", "score")
-    return ranked(hits.join(chunks, "chunk_id"), k, F.desc("score"), F.col("ordinal"), F.col("chunk_id"))
-
+def sparse_top_k(queries: DataFrame, index: Index, chunks: DataFrame, k: int, digits: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """Hits that hold all terms by cover density, then ordinal, then chunk_id. Needs LAST_WIN maps (session.SETTINGS).
 
-def bm25_top_k(queries: DataFrame, index: DataFrame, lengths: DataFrame, k: int, digits: int | None = None) -> DataFrame:
-    """Okapi BM25 over any matching term. lengths: chunk_id, n_tokens.
-
-    Corpus totals are one row; document frequencies are worked out for the terms
-    asked for only.
+    chunks: chunk_id, ordinal, text. Places of terms are looked up in the matching chunks alone.
     """
-    totals = lengths.agg(F.count("*").alias("_n"), F.avg("n_tokens").alias("_avg"))
-    found = query_terms(queries).join(index.drop("positions"), "term")
-    asked = found.select("term").distinct()
-    df = index.join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    rows = found.join(df, "term").join(lengths, "chunk_id").crossJoin(F.broadcast(totals))
-    idf = F.log(1 + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_tokens") / F.col("_avg")))
-    total = F.sum(weight)
-    hits = rows.groupBy("qid", "chunk_id").agg((F.round(total, digits) if digits is not None else total).alias("score"))
-    return ranked(hits, k, F.desc("score"), F.col("chunk_id"))
+    found = inverted.matches(queries, index, allowed).drop("tf").join(chunks.select("chunk_id", "ordinal", "text"), "chunk_id")
+    asked = queries.select("qid", F.array_distinct(query_tokens(F.col("query"))).alias("_terms"))
+    placed = F.transform(query_tokens(F.col("text")), lambda t, i: F.struct(i.alias("at"), t.alias("term")))
+    rows = found.join(asked, "qid").withColumn("spots", F.filter(placed, lambda s: F.array_contains(F.col("_terms"), s["term"])))
+    score = cover_density(F.col("spots"), F.size("_terms"))
+    hits = rows.select("qid", "chunk_id", "ordinal", (F.round(score, digits) if digits is not None else score).alias("score"))
+    return ranked(hits, k, F.desc("score"), F.col("ordinal"), F.col("chunk_id"))
+
+
+def bm25_top_k(queries: DataFrame, index: Index, k: int, digits: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """Okapi BM25 over any matching term: qid, chunk_id, score, rank, ties to the smaller chunk_id."""
+    hits = inverted.bm25(queries, index, k, digits, allowed).drop("read")
+    hits = hits.withColumn("score", F.round("score", digits)) if digits is not None else hits
+    return ranked(hits, k, F.desc("score"), F.col("chunk_id")).select("qid", "chunk_id", "score", "rank")
 
 
 # --- fusion and rewriting ---------------------------------------------------------

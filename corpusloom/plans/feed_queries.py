@@ -164,8 +164,8 @@ def decoded_bytes(spark, sf_dir):
 
 @query(f"WITH {POSTINGS}, n AS (SELECT qid, count(*) AS n FROM q GROUP BY qid) SELECT item_id AS qid FROM benchmark WHERE item_id NOT IN (SELECT qid FROM (SELECT qid, chunk_id, n FROM q JOIN i USING (term) JOIN n USING (qid) GROUP BY qid, chunk_id, n HAVING count(*) = n))")
 def queries_without_hits(spark, sf_dir):
-    asked, _, index = base._benchmark(spark, sf_dir)
-    return retrieve.without_hits(asked, retrieve.sparse_matches(asked, index)).select("qid")
+    asked = base._asked(spark, sf_dir)
+    return retrieve.without_hits(asked, retrieve.sparse_matches(asked, base._index(spark, sf_dir))).select("qid")
 
 
 @query("SELECT conv_id, turn, CAST(len(regexp_extract_all(text, '\\S+')) + len(regexp_extract_all(role, '\\S+')) AS INTEGER) AS tokens FROM conversations")

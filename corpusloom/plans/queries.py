@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import hashing, text
-from corpusloom.operators import answer, chunk, dedup, embed, evaluate, ingest, normalize, parse, retrieve
+from corpusloom.operators import answer, chunk, dedup, embed, evaluate, ingest, inverted, normalize, parse, retrieve, vector_index
 from corpusloom.plans import corpus, search
 from corpusloom.sources import feeds, files, tables
 from corpusloom.session import configure, spread, stored
@@ -221,17 +221,18 @@ o AS (SELECT qid, doc_id, ordinal, count(*) AS hits FROM q JOIN w USING (term) G
 r AS (SELECT qid, doc_id, ordinal, round(hits / n, 9) AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(hits / n, 9) DESC, doc_id, ordinal) AS INTEGER) AS rank FROM o JOIN n USING (qid))"""
 
 
-def _lexical_hits(spark, sf_dir, k: int) -> DataFrame:
-    """Chunks that share terms with a query, found through their terms.
+#: Ordinals below this stand in one id with their document's.
+ORDINALS = 1 << 20
+
 
-    A chunk's terms meet the queries beside the scan; what is sent are counts per query and chunk.
-    """
+def _lexical_hits(spark, sf_dir, k: int) -> DataFrame:
+    """Chunks that share terms with a query, through an index of all chunks."""
     chunks = chunk.chunk_fixed(table(spark, sf_dir, "documents"))
-    terms = chunks.select("doc_id", "ordinal", F.explode(F.array_distinct(text.query_tokens(F.col("text")))).alias("term"))
-    asked = stored(retrieve.query_terms(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))), "asked")
-    hits = terms.join(asked, "term").groupBy("qid", "doc_id", "ordinal", "n_terms").agg(F.count("*").alias("hits"))
-    hits = hits.withColumn("score", F.round(F.col("hits") / F.col("n_terms"), 9))
-    return retrieve.ranked(hits, k, F.desc("score"), F.col("doc_id"), F.col("ordinal")).select("qid", "doc_id", "ordinal", "score", "rank")
+    index = inverted.build(chunks.select((F.col("doc_id") * ORDINALS + F.col("ordinal")).alias("chunk_id"), "text"))
+    asked = _asked(spark, sf_dir)
+    hits = inverted.overlap(asked, index, k).join(asked.select("qid", F.size(F.array_distinct(text.query_tokens(F.col("query")))).alias("n_terms")), "qid")
+    hits = retrieve.ranked(hits.withColumn("score", F.round(F.col("score") / F.col("n_terms"), 9)), k, F.desc("score"), F.col("chunk_id"))
+    return hits.select("qid", F.expr(f"chunk_id div {ORDINALS}").alias("doc_id"), (F.col("chunk_id") % ORDINALS).cast("int").alias("ordinal"), "score", "rank")
 
 
 @query(f"{OVERLAP} SELECT qid, doc_id, ordinal, score, rank FROM r WHERE rank <= 5")
@@ -288,14 +289,35 @@ def retrieval_metrics(spark, sf_dir):
     # Only marks and counts are needed: a label's chunks are never gathered.
     members = chunks.where(F.col("label").isNotNull()).groupBy(F.col("label").alias("want")).agg(F.count("*").alias("n"))
     rows = hits.join(chunks.select("chunk_id", "label"), "chunk_id").join(wanted.join(members, "want"), "qid")
-    hit = F.coalesce(F.col("label") == F.col("want"), F.lit(False))
-    gain = F.lit(1.0) / F.log2(F.col("rank") + F.lit(1.0))
-    found = rows.groupBy("qid", "n").agg(F.sum(hit.cast("int")).alias("hits"), F.min(F.when(hit, F.col("rank"))).alias("first"), F.sum(F.when(hit, gain).otherwise(0.0)).alias("got"))
-    ideal = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(10)).cast("int")), F.lit(0.0), lambda a, i: a + F.lit(1.0) / F.log2(i + F.lit(1.0)))
-    return found.select(
-        "qid", F.round(F.col("hits") / F.col("n"), 6).alias("recall"), F.round(F.col("hits") / F.lit(10), 6).alias("precision"),
-        F.round(F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0)), 6).alias("mrr"), F.round(F.col("got") / ideal, 6).alias("ndcg"),
-    )
+    mark = F.struct("rank", F.coalesce(F.col("label") == F.col("want"), F.lit(False)).alias("hit"))
+    found = rows.groupBy("qid", "n").agg(F.transform(F.array_sort(F.collect_list(mark)), lambda m: m["hit"]).alias("marks"))
+    marks, n = F.col("marks"), F.col("n")
+    metrics = {"recall": evaluate.recall_of(marks, n, 10), "precision": evaluate.precision_of(marks, 10), "mrr": evaluate.reciprocal_rank_of(marks), "ndcg": evaluate.ndcg_of(marks, n, 10)}
+    return found.select("qid", *[F.round(value, 6).alias(name) for name, value in metrics.items()])
+
+
+def _vector_index(spark, sf_dir) -> vector_index.VectorIndex:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label")
+    return vector_index.build(rows, cluster_by=["label"])
+
+
+@query()
+def indexed_top_k(spark, sf_dir):
+    """The hits of dense_top_k but for those in cells that a query does not look into."""
+    return vector_index.search(_vectors(spark, sf_dir)[0], _vector_index(spark, sf_dir), 10, digits=6)
+
+
+@query(f"WITH {DENSE} SELECT qid, chunk_id, score, rank FROM r WHERE rank <= 10")
+def indexed_top_k_exact(spark, sf_dir):
+    return vector_index.search(_vectors(spark, sf_dir)[0], _vector_index(spark, sf_dir), 10, exact=True, digits=6)
+
+
+@query(
+    f"""WITH {DENSE}, f AS (SELECT qid, chunk_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM p WHERE label IN (2, 5))
+    SELECT qid, chunk_id, score, rank FROM f WHERE rank <= 5"""
+)
+def filtered_top_k(spark, sf_dir):
+    return vector_index.search(_vectors(spark, sf_dir)[0], _vector_index(spark, sf_dir), 5, where=F.col("label").isin(2, 5), exact=True, digits=6)
 
 
 @query(
@@ -321,9 +343,8 @@ def _whole(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.col("doc_id").alias("ordinal"))
 
 
-def _index(spark, sf_dir) -> DataFrame:
-    """Postings of the terms asked for, read several times by the plans and made once."""
-    return stored(retrieve.postings(_whole(spark, sf_dir), asked=retrieve.query_terms(_asked(spark, sf_dir))), "postings")
+def _index(spark, sf_dir) -> inverted.Index:
+    return inverted.build(_whole(spark, sf_dir).select("chunk_id", "text"))
 
 
 POSTINGS = f"""i AS (SELECT term, doc_id AS chunk_id, count(*) AS tf FROM (SELECT doc_id, unnest({QTERMS.format("text")}) AS term FROM documents) GROUP BY ALL),
@@ -350,8 +371,7 @@ def sparse_matches(spark, sf_dir):
     SELECT qid, chunk_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM c QUALIFY rank <= 10"""
 )
 def sparse_top_k(spark, sf_dir):
-    asked, chunks = _asked(spark, sf_dir), _whole(spark, sf_dir)
-    return retrieve.sparse_top_k(asked, _index(spark, sf_dir), chunks.select("chunk_id", "ordinal"), 10, 9).select("qid", "chunk_id", "score", "rank")
+    return retrieve.sparse_top_k(_asked(spark, sf_dir), _index(spark, sf_dir), _whole(spark, sf_dir), 10, 9).select("qid", "chunk_id", "score", "rank")
 
 
 BM25 = f"""{POSTINGS}, l AS (SELECT doc_id AS chunk_id, len(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS len FROM documents),
@@ -362,9 +382,7 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, ch
 
 
 def _bm25(spark, sf_dir, k: int) -> DataFrame:
-    asked, chunks = _asked(spark, sf_dir), _whole(spark, sf_dir)
-    lengths = chunks.select("chunk_id", F.regexp_count("text", F.lit(text.QUERY_WORD)).alias("n_tokens"))
-    return retrieve.bm25_top_k(asked, _index(spark, sf_dir), lengths, k, 6)
+    return retrieve.bm25_top_k(_asked(spark, sf_dir), _index(spark, sf_dir), k, 6)
 
 
 @query(f"WITH {BM25} SELECT qid, chunk_id, score, rank FROM r WHERE rank <= 10")
@@ -438,6 +456,27 @@ def readable_documents(spark, sf_dir):
     return retrieve.readable_counts(who, docs).withColumnRenamed("qid", "principal")
 
 
+@query(
+    f"""WITH {POSTINGS}, l AS (SELECT doc_id AS chunk_id, len(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS len FROM documents),
+    s AS (SELECT count(*) AS n, avg(len) AS a FROM l), d AS (SELECT term, count(*) AS df FROM i GROUP BY term),
+    v AS (SELECT doc_id AS chunk_id, doc_id % 5 = 0 AS lists_user, 'u' || doc_id % 10 AS uid, {LISTED} AS g FROM documents WHERE doc_id % 3 = 1 AND doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND doc_id % 13 <> 0),
+    w AS (SELECT item_id AS qid, 'u' || item_id % 10 AS uid, ['g' || item_id % 4, 'role:member'] AS g FROM benchmark),
+    b AS (SELECT q.qid, w.uid, i.chunk_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / a))), 6) AS score
+      FROM q JOIN w ON w.qid = q.qid JOIN i USING (term) JOIN d USING (term) JOIN l ON l.chunk_id = i.chunk_id JOIN v ON v.chunk_id = i.chunk_id, s
+      WHERE (NOT lists_user AND len(v.g) = 0) OR (lists_user AND w.uid = v.uid) OR list_has_any(v.g, w.g) GROUP BY q.qid, w.uid, i.chunk_id)
+    SELECT qid, uid AS user_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM b QUALIFY rank <= 10"""
+)
+def principal_search(spark, sf_dir):
+    """Each passage asked for by its own principal, in one organization's current documents."""
+    asked, index = _asked(spark, sf_dir), _index(spark, sf_dir)
+    email = F.concat(F.col("qid").cast("string"), F.lit("@X.org"))
+    group = F.array(F.concat(F.lit("g"), (F.col("qid") % 4).cast("string")))
+    who = asked.select("qid", F.concat(F.lit("u"), (F.col("qid") % 10).cast("string")).alias("user_id"), email.alias("email"), retrieve.principal_groups(group, F.lit("member"), F.lit(1), email).alias("member_of"))
+    docs = _governed(spark, sf_dir).where(retrieve.metadata_predicate(1)).withColumnRenamed("document_id", "chunk_id")
+    allowed = retrieve.readable_bitmaps(who, docs, index)
+    return retrieve.bm25_top_k(asked, index, 10, 6, allowed).join(who.select("qid", "user_id"), "qid").select("qid", "user_id", "chunk_id", "score", "rank")
+
+
 def _searchable(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     chunks = chunk.with_chunk_ids(chunk.chunk_fixed(docs))
@@ -459,7 +498,7 @@ def evaluation_run(spark, sf_dir):
     """Passages as questions; the documents that hold a passage are the relevant ones."""
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("qid"), F.col("text").alias("question"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text")
-    holders = retrieve.paired(asked, docs).where(F.contains("text", F.col("question"))).groupBy("qid").agg(F.array_sort(F.collect_set("chunk_id")).alias("relevant"))
+    holders = search.holders(asked.withColumnRenamed("question", "passage"), docs).groupBy("qid").agg(F.array_sort(F.collect_set("chunk_id")).alias("relevant"))
     records = stored(asked.join(holders, "qid", "left").select("qid", "question", F.col("question").alias("expected_answer"), F.coalesce("relevant", F.array().cast("array<string>")).alias("relevant")), "records")
     chunks = stored(_searchable(spark, sf_dir), "chunks")
     return search.experiment(records, chunks, search.SearchConfig(dimension=32))

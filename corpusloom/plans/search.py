@@ -7,7 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.operators import answer, embed, evaluate, retrieve
+from corpusloom.functions.text import query_tokens
+from corpusloom.operators import answer, embed, evaluate, inverted, retrieve
+from corpusloom.operators.inverted import Index
 from corpusloom.session import stored
 
 
@@ -38,23 +40,32 @@ def variants(queries: DataFrame, config: SearchConfig) -> DataFrame:
     return rows.withColumn("sparse_query", F.col("query") if config.hyde_sparse or not config.hyde else F.col("_own")).drop("_own")
 
 
-def candidates(queries: DataFrame, chunks: DataFrame, config: SearchConfig, index: DataFrame | None = None) -> DataFrame:
+def candidates(queries: DataFrame, chunks: DataFrame, config: SearchConfig, index: Index | None = None, principals: DataFrame | None = None) -> DataFrame:
     """qid, chunk_id, rank, score, scores: fused over legs, then over variants.
 
-    chunks: chunk_id, ordinal, text, vector; already filtered, so that top-k is
-    taken of what the asker may see.
+    chunks: chunk_id, ordinal, text, vector; already narrowed by what holds for all
+    askers. principals (qid, user_id, email, member_of) narrow each query to what its
+    asker may read, by allowed_users and allowed_groups of the chunks and before
+    top-k; queries without a principal find nothing then.
     """
     k = config.candidate_k if config.rerank else config.top_k
     runs = variants(queries, config).withColumn("run", F.concat_ws("#", "qid", "list_no"))
     legs = []
+    if principals is not None:
+        askers = runs.select("run", "qid").join(principals.select("qid", "user_id", "email", "member_of"), "qid").drop("qid").withColumnRenamed("run", "qid")
     if config.mode != "sparse":
         vector = embed.embed(F.col("query"), embed.deterministic(config.dimension), config.dimension)
-        asked = runs.select(F.col("run").alias("qid"), vector.alias("query_vector"))
-        legs.append(retrieve.dense_top_k(asked, chunks.select("chunk_id", "vector"), k).select("qid", "chunk_id", "rank", "score", F.lit("dense").alias("leg"), F.lit(0).alias("list_no")))
+        asked, may, lists = runs.select(F.col("run").alias("qid"), vector.alias("query_vector")), None, []
+        if principals is not None:
+            lists = ["allowed_users", "allowed_groups"]
+            asked = asked.join(askers, "qid")
+            may = retrieve.can_read(*map(F.col, ("allowed_users", "allowed_groups", "user_id", "email", "member_of")))
+        legs.append(retrieve.dense_top_k(asked, chunks.select("chunk_id", "vector", *lists), k, allowed=may).select("qid", "chunk_id", "rank", "score", F.lit("dense").alias("leg"), F.lit(0).alias("list_no")))
     if config.mode != "dense":
         asked = runs.select(F.col("run").alias("qid"), F.col("sparse_query").alias("query"))
-        index = index if index is not None else retrieve.postings(chunks)
-        hits = retrieve.sparse_top_k(asked, index, chunks.select("chunk_id", "ordinal"), k)
+        index = index if index is not None else inverted.build(chunks.select("chunk_id", "text"))
+        allowed = None if principals is None else retrieve.readable_bitmaps(askers, chunks.select("chunk_id", "allowed_users", "allowed_groups"), index)
+        hits = retrieve.sparse_top_k(asked, index, chunks.select("chunk_id", "ordinal", "text"), k, allowed=allowed)
         legs.append(hits.select("qid", "chunk_id", "rank", "score", F.lit("sparse").alias("leg"), F.lit(1).alias("list_no")))
     scores = F.create_map(F.col("leg"), F.col("score"))
     if len(legs) == 1:
@@ -65,16 +76,16 @@ def candidates(queries: DataFrame, chunks: DataFrame, config: SearchConfig, inde
     return retrieve.fuse(own, top_k=k) if config.expand else own.drop("list_no")
 
 
-def search(queries: DataFrame, chunks: DataFrame, config: SearchConfig, index: DataFrame | None = None) -> DataFrame:
+def search(queries: DataFrame, chunks: DataFrame, config: SearchConfig, index: Index | None = None, principals: DataFrame | None = None) -> DataFrame:
     """Hits with text, parent and size of their chunks, reranked if asked for. queries: qid string, query."""
-    hits = candidates(queries, chunks, config, index).join(chunks.drop("vector"), "chunk_id").join(queries, "qid")
+    hits = candidates(queries, chunks, config, index, principals).join(chunks.drop("vector"), "chunk_id").join(queries, "qid")
     if config.rerank:
         return retrieve.rerank(hits, retrieve.lexical_overlap(F.col("query"), F.col("text")), config.top_k)
     return hits.where(F.col("rank") <= config.top_k)
 
 
-def search_with_context(queries: DataFrame, chunks: DataFrame, config: SearchConfig, index: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    hits = search(queries, chunks, config, index)
+def search_with_context(queries: DataFrame, chunks: DataFrame, config: SearchConfig, index: Index | None = None, principals: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    hits = search(queries, chunks, config, index, principals)
     return hits, retrieve.select_context(hits, config.budget)
 
 
@@ -104,6 +115,22 @@ def answer_questions(questions: DataFrame, messages: DataFrame, chunks: DataFram
     return answers, answer.citations(used.join(full.drop("position"), ["qid", "chunk_id"]))
 
 
+def holders(passages: DataFrame, chunks: DataFrame, index: Index | None = None) -> DataFrame:
+    """qid, chunk_id of the chunks whose text contains the passage. passages: qid, passage; chunks: chunk_id, text.
+
+    A text that holds a passage holds all its words but the first and the last
+    whole, so chunks with all of those are looked at; passages of fewer than three
+    words meet every chunk.
+    """
+    words = query_tokens(F.coalesce("passage", F.lit("")))
+    inner = passages.withColumn("query", F.array_join(F.when(F.size(words) > 2, F.slice(words, F.lit(2), F.size(words) - 2)), " "))
+    index = index if index is not None else inverted.build(chunks.select("chunk_id", "text"))
+    near = inverted.matches(inner.where(F.col("query").isNotNull()).select("qid", "query"), index).select("qid", "chunk_id")
+    near = near.join(passages, "qid").join(chunks.select("chunk_id", "text"), "chunk_id")
+    short = retrieve.paired(inner.where(F.col("query").isNull()).drop("query"), chunks.select("chunk_id", "text"))
+    return near.select("qid", "chunk_id", "passage", "text").unionByName(short.select("qid", "chunk_id", "passage", "text")).where(F.contains("text", "passage")).select("qid", "chunk_id")
+
+
 def evaluate_run(records: DataFrame, chunks: DataFrame, config: SearchConfig, name: str) -> DataFrame:
     """One row of mean metrics over records (qid, question, expected_answer, relevant)."""
     asked = records.select("qid", F.col("question").alias("query"))

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import answer, embed, evaluate, retrieve
+from corpusloom.operators import answer, embed, evaluate, inverted, retrieve
 from corpusloom.plans import search
 from corpusloom.session import configure
 
@@ -51,10 +51,10 @@ def test_queries_beyond_a_block_give_the_same_pairs(spark, monkeypatch):
 def test_sparse_needs_every_term(spark):
     chunks = spark.createDataFrame([(1, 0, "alpha beta gamma"), (2, 1, "alpha x x x beta alpha beta"), (3, 2, "alpha alpha")], "chunk_id int, ordinal int, text string")
     q = spark.createDataFrame([(1, "Alpha, beta!"), (2, "  ??"), (3, "delta alpha")], "qid int, query string")
-    got = retrieve.sparse_top_k(q, retrieve.postings(chunks), chunks.select("chunk_id", "ordinal"), 5).orderBy("rank").collect()
+    got = retrieve.sparse_top_k(q, inverted.build(chunks), chunks, 5).orderBy("rank").collect()
     # Shortest stretches of chunk 2: 0-4, 4-5, 5-6.
     assert [(r.qid, r.chunk_id, round(r.score, 6)) for r in got] == [(1, 2, round(1 / 5 + 1 / 2 + 1 / 2, 6)), (1, 1, 0.5)]
-    assert sorted(r.qid for r in retrieve.without_hits(q, got and retrieve.sparse_matches(q, retrieve.postings(chunks))).collect()) == [2, 3]
+    assert sorted(r.qid for r in retrieve.without_hits(q, got and retrieve.sparse_matches(q, inverted.build(chunks))).collect()) == [2, 3]
 
 
 def test_fusion(spark):
