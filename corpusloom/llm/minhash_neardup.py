@@ -9,12 +9,13 @@ key. At the threshold of 0.85 a pair differs in more than MAX_DIFFER values with
 probability 3.5e-6; most of those share a key all the same, and pairs are only
 dropped beyond PRUNE values. What meets is confirmed on full sets.
 
-Equal sets are one node from the start. Within a key, every node first meets the
-key's smallest and largest node only, which links the members of large groups
-without making their pairs. What those links leave apart within a key is compared
-in full: in small keys pair by pair, each pair in the first key that it shares; in
-large ones in blocks of bounded size whose sets are multiplied as matrices, which
-sends on links alone. Pairs that are connected already are never compared.
+Equal sets are one node from the start. In keys of few nodes all pairs are rows.
+In large ones every node first meets the key's smallest and largest node only,
+which links the members of large groups without making their pairs. What those
+links leave apart from the component of the key's smallest node is then compared
+with all of the key, in blocks of bounded size whose sets are multiplied as
+matrices, which sends on links alone. Pairs that are connected already are never
+compared. Sets are made again from the text, and only for nodes that met another.
 
 Nulls and odd rows: texts without words have empty sets, link to nothing and are
 their own component; fewer words than a shingle are one shingle; null ids take
@@ -26,7 +27,7 @@ gives an empty result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -47,8 +48,8 @@ VALUES = CHUNKS * WIDTH
 #: One error is allowed in each chunk: 2 * CHUNKS - 1 differing values are guaranteed, more than PRUNE are never compared.
 MAX_DIFFER = 2 * CHUNKS - 1
 PRUNE = 18
-#: Nodes of a key up to which pairs are rows; nodes and shingles of a block beyond.
-SMALL_KEY = 64
+#: Nodes of a key up to which its pairs are rows; nodes and shingles of a block beyond.
+SMALL_KEY = 16
 BLOCK_NODES = 256
 BLOCK_SHINGLES = 1 << 21
 #: Columns of a matrix at a time.
@@ -62,7 +63,7 @@ SEEDS = np.array([xxhash.xxh64_intdigest(str(i)) for i in range(VALUES)], dtype=
 #: Odd multipliers of the mixing steps and of the words of a shingle.
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F))
 CHUNK_NAMES = [f"c{i}" for i in range(CHUNKS)]
-SKETCH = T.StructType([T.StructField(c, T.LongType()) for c in ("n", "hi", "lo", *CHUNK_NAMES)] + [T.StructField("grams", T.BinaryType())])
+SKETCH = T.StructType([T.StructField(c, T.LongType()) for c in ("n", "hi", "lo", *CHUNK_NAMES)])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -105,17 +106,23 @@ def signature(grams: np.ndarray) -> np.ndarray:
 
 @F.pandas_udf(SKETCH)
 def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """n, the set's 128-bit digest as hi and lo, its signature's chunks, and its sorted hashes in bytes."""
+    """n, the set's 128-bit digest as hi and lo, and its signature's chunks."""
     for texts in batches:
         rows = []
         for t in texts:
             grams = shingles(t)
-            raw = grams.astype("<u8").tobytes()
-            digest = np.frombuffer(xxhash.xxh3_128_digest(raw), dtype="<i8")
-            rows.append((len(grams), *digest.tolist(), *signature(grams).tolist(), raw))
+            digest = np.frombuffer(xxhash.xxh3_128_digest(grams.astype("<u8").tobytes()), dtype="<i8")
+            rows.append((len(grams), *digest.tolist(), *signature(grams).tolist()))
         yield pd.DataFrame(rows, columns=SKETCH.names)
 
 
+@F.pandas_udf(T.BinaryType())
+def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The sorted hashes of a text's shingles in bytes."""
+    for texts in batches:
+        yield pd.Series([shingles(t).astype("<u8").tobytes() for t in texts])
+
+
 @F.pandas_udf(T.LongType())
 def shared(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Number of hashes that two sorted sets have in common."""
@@ -156,21 +163,14 @@ def differing() -> Column:
     return sum((F.when(_xor(i).bitwiseAND(F.lit(_signed(_lane(j)))) != 0, 1).otherwise(0) for i in range(CHUNKS) for j in range(WIDTH)), F.lit(0))
 
 
-def first_key() -> Column:
-    """Number of the first chunk and left-out value by which x and y meet."""
-    meets = [F.when(_xor(i).bitwiseAND(F.lit(_signed(~_lane(j) & (1 << 64) - 1))) == 0, i * WIDTH + j) for i in range(CHUNKS) for j in range(WIDTH)]
-    return F.coalesce(*meets)
-
-
 def similar_sizes(percent: int) -> Column:
     return 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
 
 
-def confirmed(pairs: DataFrame, base: DataFrame, percent: int) -> DataFrame:
-    """a, b of the pairs whose full sets are similar enough."""
-    sets = base.select("rid", "n", "grams")
-    x = sets.select(F.col("rid").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga"))
-    y = sets.select(F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb"))
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b of the pairs whose full sets are similar enough. sets: nid, n, grams."""
+    x = sets.select(F.col("nid").alias("a"), F.col("n").alias("na"), F.col("grams").alias("ga"))
+    y = sets.select(F.col("nid").alias("b"), F.col("n").alias("nb"), F.col("grams").alias("gb"))
     both = pairs.select("a", "b").join(x, "a").join(y, "b").withColumn("both", shared("ga", "gb"))
     return both.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
@@ -195,7 +195,7 @@ def link_blocks(percent: int):
             held[owner[span], where[span] - at] = 1
             # Counts are whole numbers below 2^24, exact in single precision.
             both += held @ held.T
-        wanted = (root[:, None] != root[None, :]) & np.triu(np.ones_like(both, dtype=bool), 1)
+        wanted = (root[:, None] != root[None, :]) & np.triu(np.ones(both.shape, dtype=bool), 1)
         if block.min() != block.max():
             wanted &= block[:, None] != block[None, :]
         shared = both.astype(np.int64)
@@ -217,63 +217,80 @@ def link_blocks(percent: int):
     return run
 
 
-def _met(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) of nodes, those near enough in size and signature."""
+def candidates(members: DataFrame, leaders: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """a, b: all pairs of small keys, and those with the ends of large ones, that are near enough in size and signature."""
+    two = leaders.where("size = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
+    few = members.where((F.col("size") > 2) & (F.col("size") <= SMALL_KEY)).select("key", "nid")
+    x, y = few.alias("x"), few.alias("y")
+    some = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.nid") < F.col("y.nid"))).select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b"))
+    ends = members.where(F.col("size") > SMALL_KEY).select("nid", F.explode(F.array("low", "high")).alias("end")).where("nid != end")
+    stars = ends.select(F.least("nid", "end").alias("a"), F.greatest("nid", "end").alias("b"))
+    pairs = two.unionByName(some).unionByName(stars).distinct()
     x, y = nodes.alias("x"), nodes.alias("y")
     met = pairs.join(x, pairs["a"] == F.col("x.nid")).join(y, pairs["b"] == F.col("y.nid"))
     return met.where(similar_sizes(percent) & (differing() <= PRUNE)).select("a", "b")
 
 
-def near_nodes(base: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """node, root: the smallest node reachable, for every node with a link. nodes: nid, n, chunks; base: rid, n, grams."""
-    spark = base.sparkSession
-    keyed = nodes.select("nid", "n", F.explode(keys()).alias("key"))
+def block_links(large: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: links of large keys between components. large: key, nid, low.
+
+    The component of a key's smallest node is its main one; what is not in it
+    meets all of the key. A task gets two blocks of one key.
+    """
+    rooted = large.join(roots, large["nid"] == roots["node"], "left").withColumn("root", F.coalesce("root", "nid")).drop("node")
+    rooted = stored(rooted.join(sets.select("nid", "n"), "nid"), "minhash-rooted")
+    mains = rooted.where("nid = low").groupBy("key").agg(F.max("root").alias("main"))
+    sided = rooted.join(mains, "key").withColumn("aside", (F.col("root") != F.col("main")).cast("int"))
+    of = lambda side: F.greatest(F.ceil(F.count(side) / BLOCK_NODES), F.ceil(F.sum(F.when(side.isNotNull(), F.col("n"))) / BLOCK_SHINGLES)).cast("int")
+    apart = sided.groupBy("key", "main").agg(of(F.when(F.col("aside") == 1, 1)).alias("p"), of(F.when(F.col("aside") == 0, 1)).alias("m"))
+    apart = stored(apart.where("p > 0"), "minhash-apart")
+    own = F.pmod(F.xxhash64("nid"), F.when(F.col("root") != F.col("main"), F.col("p")).otherwise(F.col("m"))).cast("int")
+    block = F.when(F.col("root") != F.col("main"), own).otherwise(own + F.col("p"))
+    many = rooted.join(apart, "key").withColumn("block", block)
+    # Blocks aside from the main component come first: one of each two is among them.
+    other = F.sequence(F.lit(0), F.when(F.col("block") < F.col("p"), F.col("p") + F.col("m") - 1).otherwise(F.col("p") - 1))
+    many = many.join(sets.select("nid", "grams"), "nid").withColumn("other", F.explode(other))
+    dealt = many.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "nid", "n", "root", "block", "grams")
+    return dealt.groupBy("key", "i", "j").applyInPandas(link_blocks(percent), "a long, b long")
+
+
+def near_nodes(nodes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """node, root: the smallest node reachable, for every node with a link. nodes: nid, n, chunks; sets_of gives nid, n, grams for some nid."""
+    keyed = nodes.select("nid", F.explode(keys()).alias("key"))
     leaders = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("nid").alias("low"), F.max("nid").alias("high"))
     leaders = stored(leaders.where("size > 1"), "minhash-keys")
-    members = stored(keyed.join(leaders, "key"), "minhash-members")
-    ends = members.select("nid", F.explode(F.array("low", "high")).alias("end")).where("nid != end")
-    stars = ends.select(F.least("nid", "end").alias("a"), F.greatest("nid", "end").alias("b")).distinct()
-    links = stored(confirmed(stored(_met(stars, nodes, percent), "minhash-stars"), base, percent), "minhash-links")
+    members = stored(keyed.join(leaders.where("size > 2"), "key"), "minhash-members")
+    pairs = stored(candidates(members, leaders, nodes, percent), "minhash-pairs")
+    large = members.where(F.col("size") > SMALL_KEY).select("key", "nid", "low")
+    wanted = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).unionByName(large.select("nid"))
+    sets = stored(sets_of(wanted.distinct()), "minhash-sets")
+    links = stored(confirmed(pairs, sets, percent), "minhash-links")
     roots = stored(components(links), "minhash-roots")
-
-    # Keys whose members the links so far leave in several components.
-    rooted = members.join(roots, members["nid"] == roots["node"], "left").withColumn("root", F.coalesce("root", "nid")).drop("node")
-    rooted = stored(rooted, "minhash-rooted")
-    apart = rooted.groupBy("key").agg(F.min("root").alias("_r"), F.max("root").alias("_s"), F.sum("n").alias("shingles")).where("_r != _s")
-    apart = stored(apart.select("key", "shingles"), "minhash-apart")
-    still = rooted.join(apart, "key")
-    few = still.where((F.col("size") <= SMALL_KEY) & (F.col("size") > 2)).join(nodes.drop("n"), "nid")
-    x, y = few.alias("x"), few.alias("y")
-    # The ends of a key have met all its members.
-    new = (F.col("x.nid") < F.col("y.nid")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.nid") != F.col("x.low")) & (F.col("y.nid") != F.col("y.high"))
-    once = F.shiftrightunsigned("x.key", 48) == first_key()
-    pairs = x.join(y, F.col("x.key") == F.col("y.key")).where(new & similar_sizes(percent) & (differing() <= PRUNE) & once)
-    pairs = stored(pairs.select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b")), "minhash-pairs")
-    found = confirmed(pairs, base, percent)
-
-    parts = F.greatest(F.ceil(F.col("size") / BLOCK_NODES), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    many = still.where(F.col("size") > SMALL_KEY).withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int"))
-    many = many.join(base.select(F.col("rid").alias("nid"), "grams"), "nid")
-    dealt = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "nid", "n", "root", "block", "grams")
-    blocks = dealt.groupBy("key", "i", "j").applyInPandas(link_blocks(percent), "a long, b long")
-    more = stored(found.unionByName(blocks), "minhash-more-links")
-    joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
+    more = block_links(large, roots, sets, percent)
+    joined = stored(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), "minhash-more-links")
     out = stored(components(joined), "minhash-components")
-    drop_stored(spark, leaders, members, links, roots, rooted, apart, pairs, more)
+    drop_stored(nodes.sparkSession, leaders, members, pairs, sets, links, roots, joined)
     return out
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", keep: Sequence[str] = (), percent: int = PERCENT, hot_rows: int = HOT_ROWS) -> DataFrame:
     """id, n_shingles, component_id, kept, keep...: one row per document; component_id is the smallest id reachable."""
     named = docs.select(F.col(id_col).alias("_id"), F.col(text).cast("binary").alias("_text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
+    named = named.withColumn("th", F.xxhash64("_text"))
     base = named.withColumn("_s", sketch("_text")).drop("_text").select(F.monotonically_increasing_id().alias("rid"), "*").select("*", "_s.*").drop("_s")
-    base = stored(base, "minhash-sets")
+    base = stored(base, "minhash-signatures")
     # A node is named by the first row that has its set.
     same = [F.first(c).alias(c) for c in ("n", *CHUNK_NAMES)]
     nodes = base.where("n > 0").groupBy("hi", "lo").agg(F.min("rid").alias("nid"), F.min("_id").alias("least"), F.count("*").alias("copies"), *same)
     nodes = stored(nodes, "minhash-nodes")
-    roots = near_nodes(base, nodes.select("nid", "n", *CHUNK_NAMES), percent)
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        rows = base.select(F.col("rid").alias("nid"), "n", F.col("th").alias("_th"), F.col("_id").alias("_named")).join(wanted, "nid")
+        texts = named.select("_id", "th", "_text").join(rows, (F.col("th") == F.col("_th")) & F.col("_id").eqNullSafe(F.col("_named")))
+        # Of repeated rows one is enough.
+        return texts.groupBy("nid", "n").agg(F.first("_text").alias("_text")).select("nid", "n", hashes("_text").alias("grams"))
+
+    roots = near_nodes(nodes.select("nid", "n", *CHUNK_NAMES), sets_of, percent)
     rooted = nodes.join(roots, nodes["nid"] == roots["node"], "left").select("hi", "lo", "least", "copies", F.coalesce("root", "nid").alias("root"))
     rooted = stored(rooted, "minhash-labels")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -283,7 +300,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text: str = "tex
         F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), label.alias("component_id"), F.col("_id").eqNullSafe(label).alias("kept"),
         *[F.col(f"_keep_{c}").alias(c) for c in keep],
     ]
-    rows = base.drop("grams", "rid", *CHUNK_NAMES)
+    rows = base.drop("rid", "th", *CHUNK_NAMES)
     # One row per hot set, so that no task gets all copies of one: a broadcast of at most rows / hot_rows rows.
     hot = F.broadcast(labels.where(F.col("copies") > hot_rows).drop("copies"))
     cold = labels.where(F.col("copies") <= hot_rows).drop("copies")
