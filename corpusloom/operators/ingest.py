@@ -69,9 +69,14 @@ def can_transition(state: Column, target: Column) -> Column:
     return F.coalesce(allowed, F.lit(False))
 
 
+def successors(state: str) -> set[str]:
+    """States that may follow a state."""
+    return {*NEXT_STATES[state], "DELETED", "FAILED"} - ({"FAILED"} if state == "FAILED" else set()) if state in NEXT_STATES else set()
+
+
 def transitions(spark: SparkSession) -> DataFrame:
     """state, target: the whole table, for joins."""
-    rows = [(s, t) for s, ts in NEXT_STATES.items() for t in sorted({*ts, "DELETED", "FAILED"} - ({"FAILED"} if s == "FAILED" else set()))]
+    rows = [(s, t) for s in NEXT_STATES for t in sorted(successors(s))]
     return spark.createDataFrame(rows, "state string, target string")
 
 

@@ -11,7 +11,8 @@ from corpusloom.functions import hashing, text
 from corpusloom.operators import answer, chunk, dedup, embed, evaluate, ingest, inverted, normalize, parse, retrieve, vector_index
 from corpusloom.plans import corpus, search
 from corpusloom.sources import feeds, files, tables
-from corpusloom.session import configure, spread, stored
+from corpusloom.session import configure, new_folder, spread, stored
+from corpusloom.streaming import sync
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -654,6 +655,28 @@ def version_history(spark, sf_dir):
     return ingest.versions(rows)
 
 
+#: Slices in which events reach a stream, one after another.
+SLICES = 3
+
+
+@query(
+    """WITH a AS (SELECT user_id AS document_id, event_type AS content_hash, event_id AS arrived, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events)
+    SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY arrived) AS INTEGER) AS version_number, content_hash, arrived FROM a WHERE b IS NULL OR b <> content_hash"""
+)
+def streamed_versions(spark, sf_dir):
+    """Events that arrive in slices; each run of the stream goes on from the checkpoint and the state of the one before."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("document_id"), F.col("event_type").alias("content_hash"), F.col("event_id").alias("arrived"))
+    inbox, outbox, checkpoint = (new_folder(spark, name) for name in ("inbox", "outbox", "checkpoint"))
+    ends = rows.agg(F.min("arrived").alias("low"), F.max("arrived").alias("high")).first()
+    width = ((ends.high or 0) - (ends.low or 0)) // SLICES + 1
+    for i in range(SLICES):
+        begin = (ends.low or 0) + i * width
+        rows.where((F.col("arrived") >= begin) & (F.col("arrived") < begin + width)).write.mode("append").parquet(inbox)
+        stream = sync.file_stream(spark, inbox, rows.schema, 1_000_000)
+        sync.run_available(sync.version_stream(stream), outbox, checkpoint)
+    return spark.read.schema("document_id long, version_number int, content_hash string, arrived long").parquet(outbox)
+
+
 @query("SELECT doc_id AS document_id, CASE WHEN doc_id % 7 = 0 THEN 'DELETED' WHEN doc_id % 9 = 0 THEN 'FAILED' ELSE 'INDEXED' END AS state, doc_id % 7 <> 0 AS is_current FROM documents")
 def tombstones(spark, sf_dir):
     old, new = _snapshots(spark, sf_dir)

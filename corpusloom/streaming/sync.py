@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from corpusloom.operators import ingest
 
@@ -52,42 +53,120 @@ def once(jobs: DataFrame, late: str = "1 hour", key: str = "key", at: str = "cre
     return jobs.withWatermark(at, late).dropDuplicatesWithinWatermark([key])
 
 
-VERSION_ROWS = "document_id string, version_number int, content_hash string, arrived timestamp"
+def keep_state(spark: SparkSession) -> None:
+    """Let streams of this session hold their state on disk, as the processors below need it."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def _follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    number, last = state.get if state.exists else (0, None)
-    out = []
-    for batch in batches:
-        for row in batch.sort_values("arrived").itertuples(index=False):
-            if row.content_hash != last:
-                number, last = number + 1, row.content_hash
-                out.append((key[0], number, last, row.arrived))
-    state.update((number, last))
-    yield pd.DataFrame(out, columns=["document_id", "version_number", "content_hash", "arrived"])
+def milliseconds(span: str | None) -> int | None:
+    """'90 seconds' in milliseconds, as many as pandas reads there."""
+    return None if span is None else int(pd.Timedelta(span).total_seconds() * 1000)
 
 
-def version_stream(arrivals: DataFrame) -> DataFrame:
-    """A row for each new version of a document; the state per document is its last number and hash."""
-    return arrivals.groupBy("document_id").applyInPandasWithState(_follow, VERSION_ROWS, "number int, hash string", "append", GroupStateTimeout.NoTimeout)
+VERSION_ROWS = "document_id {key}, version_number int, content_hash string, arrived {arrived}"
 
 
-def valid_states(log: DataFrame) -> DataFrame:
-    """document_id, state, accepted: each step of a streamed state log against the one before."""
+class Versions(StatefulProcessor):
+    """Rows of new versions. State of a document: the number and hash of its last version, forgotten after `ttl` without a change."""
 
-    def check(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (last,) = state.get if state.exists else (None,)
-        out = []
-        for batch in batches:
-            for row in batch.sort_values("at").itertuples(index=False):
-                allowed = {*ingest.NEXT_STATES.get(last, ()), "DELETED", "FAILED"} - ({"FAILED"} if last == "FAILED" else set())
-                good = last is None or (last in ingest.NEXT_STATES and row.state in allowed)
-                out.append((key[0], row.state, good))
-                last = row.state if good else last
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["document_id", "state", "accepted"])
-
-    return log.groupBy("document_id").applyInPandasWithState(check, "document_id string, state string, accepted boolean", "last string", "append", GroupStateTimeout.NoTimeout)
+    def __init__(self, ttl: int | None = None):
+        self.ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "number int, hash string", self.ttl)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        arrived = pd.concat(list(rows)).sort_values("arrived", kind="stable")
+        number, before = self.last.get() if self.last.exists() else (0, None)
+        hashes = arrived["content_hash"]
+        shifted = hashes.shift(1)
+        shifted.iloc[0] = before
+        changed = ~((hashes == shifted) | (hashes.isna() & shifted.isna()))
+        if not number:
+            changed.iloc[0] = True
+        fresh = arrived[changed]
+        if not len(fresh):
+            return
+        numbers = range(number + 1, number + 1 + len(fresh))
+        self.last.update((numbers[-1], hashes.iloc[-1]))
+        yield pd.DataFrame({"document_id": [key[0]] * len(fresh), "version_number": list(numbers), "content_hash": fresh["content_hash"].tolist(), "arrived": fresh["arrived"].tolist()})
+
+
+def version_stream(arrivals: DataFrame, forget_after: str | None = None) -> DataFrame:
+    """A row for each new version of a document (document_id, content_hash, arrived), the same over batches as ingest.versions() over all rows.
+
+    forget_after: a document without a new version for so long loses its state, and its next arrival is version 1 again.
+    """
+    kinds = dict(arrivals.dtypes)
+    out = VERSION_ROWS.format(key=kinds["document_id"], arrived=kinds["arrived"])
+    mode = "none" if forget_after is None else "processingTime"
+    return arrivals.groupBy("document_id").transformWithStateInPandas(Versions(milliseconds(forget_after)), out, "append", mode)
+
+
+STEPS = "document_id string, state string, accepted boolean"
+
+
+class Steps(StatefulProcessor):
+    """Each step of a document's state log against its last accepted one.
+
+    With `stalled`, a document that stands in an unfinished state for so many
+    milliseconds fails: a row of its own tells so, and its state goes on from there.
+    """
+
+    RESTING = ("INDEXED", "FAILED", "DELETED")
+
+    def __init__(self, stalled: int | None = None):
+        self.stalled = stalled
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", "state string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        steps = pd.concat(list(rows)).sort_values("at", kind="stable")["state"].tolist()
+        last, accepted = self.last.get()[0] if self.last.exists() else None, []
+        for state in steps:
+            good = last is None or state in ingest.successors(last)
+            accepted.append(good)
+            last = state if good else last
+        self.last.update((last,))
+        if self.stalled is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if last not in self.RESTING:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.stalled)
+        yield pd.DataFrame({"document_id": [key[0]] * len(steps), "state": steps, "accepted": accepted})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.update(("FAILED",))
+        yield pd.DataFrame({"document_id": [key[0]], "state": ["FAILED"], "accepted": [True]})
+
+
+def valid_states(log: DataFrame, stalled_after: str | None = None) -> DataFrame:
+    """document_id, state, accepted of each step of a streamed log (document_id, state, at).
+
+    stalled_after: documents that stay in an unfinished state for so long fail.
+    """
+    mode = "none" if stalled_after is None else "processingTime"
+    return log.groupBy("document_id").transformWithStateInPandas(Steps(milliseconds(stalled_after)), STEPS, "append", mode)
+
+
+def run_available(stream: DataFrame, path: str, checkpoint: str, *, timed: bool = False) -> None:
+    """Append what a stream has for now to a Parquet folder, going on where the checkpoint ended.
+
+    timed: the stream has timers or a time to live. It then has work without new
+    data for ever, so only batches with data are run; timers that have passed fire in
+    the next of those.
+    """
+    spark = stream.sparkSession
+    keep_state(spark)
+    idle = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(idle)
+    spark.conf.set(idle, "false" if timed else before)
+    try:
+        query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(idle, before)
 
 
 def sync(changes: DataFrame, checkpoint: str, upsert: Callable[[DataFrame], None], delete: Callable[[DataFrame], None]) -> StreamingQuery:
