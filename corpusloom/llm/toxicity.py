@@ -5,8 +5,10 @@ bounded sample of labelled rows, every term whose documents lean to one class by
 more than chance becomes an input of the machine, and so do both terms of every
 pair whose common documents do, whether or not either leans alone. There is no
 limit on their number: all other terms have weight and factors zero, as nothing
-in the sample tells them from chance. The machine learns a weight per input and a
-factor vector per input, whose products score pairs that stand together. Scores
+in the sample tells them from chance. Pairs of frequent terms are counted in blocks
+of a matrix, all others from the rows of the rarer term. The machine learns a weight
+per input and a factor vector per input, whose products score pairs that stand
+together; a text's inputs have unit length together. Scores
 are calibrated on a part of the sample that the fit leaves out, and whole texts
 are scored in Arrow batches.
 
@@ -40,9 +42,12 @@ PREFIXES = (4, 5, 6, 7)
 #: Standard errors beyond which a term, or a pair, leans to a class by more than chance; pairs are many more.
 TERM_LEAN = 3.5
 PAIR_LEAN = 6.0
-#: Least documents of a term, and least share of the sample's documents of each term of a pair: rarer pairs cannot reach PAIR_LEAN.
+#: For pairs also the least surprise in natural logarithms: a chance of 1e-13, as standard errors say too much of few documents.
+PAIR_SURPRISE = 30.0
+#: Least documents of a term and of a pair.
 LEAST_DOCS = 3
-PAIR_SHARE = 0.02
+#: Share of the sample's documents from which terms are frequent; their pairs are counted in a matrix, all others by rows.
+FREQUENT_SHARE = 0.02
 #: Terms whose pairs are counted at a time, and rows in which.
 PAIR_BLOCK = 512
 ROW_BLOCK = 1024
@@ -50,7 +55,7 @@ FACTORS = 8
 EPOCHS = 40
 BATCH = 256
 RATE = 0.02
-L2 = 2e-3
+L2 = 2e-4
 THRESHOLD = 0.3
 TABLE_SIZE = 1 << 18
 
@@ -99,7 +104,7 @@ def platt(margin: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, fl
 
 @dataclass
 class Machine:
-    """bias + sum of weights + products of factors over the inputs that a text has."""
+    """bias + sum of weights + products of factors over the inputs that a text has, scaled to unit length."""
 
     slots: dict[int, int]
     bias: float
@@ -111,9 +116,11 @@ class Machine:
     def margin(self, at: list[int]) -> float:
         if not len(at):
             return self.bias
-        v = self.factor[at]
+        # A row of unit length, so that long texts weigh no more than short ones.
+        each = 1 / np.sqrt(len(at))
+        v = self.factor[at] * each
         total = v.sum(axis=0)
-        return float(self.bias + self.weight[at].sum() + 0.5 * ((total * total).sum() - (v * v).sum()))
+        return float(self.bias + self.weight[at].sum() * each + 0.5 * ((total * total).sum() - (v * v).sum()))
 
     def score(self, at: list[int]) -> float:
         return float(sigmoid(self.slope * self.margin(at) + self.offset))
@@ -126,40 +133,107 @@ def lean(every, yes, all_rows: int, all_yes: float):
     return np.abs(yes / max(all_yes, 1) - no / max(all_no, 1)) / spread
 
 
-def inputs(rows: Sequence[np.ndarray], y: np.ndarray) -> list[int]:
-    """The terms that lean to a class, alone or in a pair, in rising order."""
-    if not len(y) or not any(map(len, rows)):
-        return []
-    count = np.zeros(1 + max(int(r.max()) for r in rows if len(r)), dtype=np.int32)
-    yes = np.zeros(len(count), dtype=np.float32)
-    for r, label in zip(rows, y, strict=True):
-        # A row names a term once.
-        count[r] += 1
-        yes[r] += label
-    terms = np.nonzero(count >= LEAST_DOCS)[0]
-    chosen = lean(count[terms], yes[terms].astype(np.float64), len(y), y.sum()) >= TERM_LEAN
-    often = np.nonzero(count[terms] >= PAIR_SHARE * len(y))[0]
-    place = np.full(len(count), -1, dtype=np.int32)
-    place[terms[often]] = np.arange(len(often))
-    del count, yes
-    x = np.zeros((len(rows), len(often)), dtype=np.uint8)
+def surprise(every, yes, share: float):
+    """Bound on minus the logarithm of the chance that so many of `every` documents are of a class that has this share."""
+    part = yes / np.maximum(every, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.where(part > 0, part * np.log(part / share), 0.0) + np.where(part < 1, (1 - part) * np.log((1 - part) / (1 - share)), 0.0)
+    return every * np.nan_to_num(gain, posinf=np.inf)
+
+
+def leaning_pairs(every, yes, all_rows: int, all_yes: float):
+    """Whether pairs in `every` documents, `yes` of them of label 1, tell the classes apart by more than chance among all pairs."""
+    return (lean(every, yes, all_rows, all_yes) >= PAIR_LEAN) & (surprise(every, yes, all_yes / all_rows) >= PAIR_SURPRISE) & (every >= LEAST_DOCS)
+
+
+def least_of_one_class(rows: int, in_class: float) -> int:
+    """Documents, all of one class, that a leaning pair has at least."""
+    at = np.arange(rows + 1, dtype=np.float64)
+    return int(np.append(at[leaning_pairs(at, at, rows, in_class)], rows + 1)[0])
+
+
+def frequent_pairs(rows: Sequence[np.ndarray], y: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+    """For each of n terms, by its place, whether a pair of two of them leans; counted in blocks of a matrix."""
+    x = np.zeros((len(rows), n), dtype=np.uint8)
     for i, r in enumerate(rows):
         at = place[r]
         x[i, at[at >= 0]] = 1
-    paired = np.zeros(len(often), dtype=bool)
-    for first in range(0, len(often), PAIR_BLOCK):
+    paired = np.zeros(n, dtype=bool)
+    for first in range(0, n, PAIR_BLOCK):
         both = both_yes = 0.0
         for at in range(0, len(rows), ROW_BLOCK):
             # Counts are whole numbers below 2^24, exact in single precision.
             rest = x[at : at + ROW_BLOCK, first:].astype(np.float32)
             part = rest[:, :PAIR_BLOCK]
             both, both_yes = both + part.T @ rest, both_yes + part.T @ (rest * (y[at : at + ROW_BLOCK, None] == 1))
-        hit = (lean(both, both_yes, len(y), y.sum()) >= PAIR_LEAN) & (both >= LEAST_DOCS)
+        hit = leaning_pairs(both, both_yes, len(y), y.sum())
         hit[np.arange(len(hit)), np.arange(len(hit))] = False
         paired[first : first + PAIR_BLOCK] |= hit.any(axis=1)
         paired[first:] |= hit.any(axis=0)
-    chosen[often[paired]] = True
-    return terms[chosen].tolist()
+    return paired
+
+
+def rare_pairs(rows: Sequence[np.ndarray], y: np.ndarray, rare: np.ndarray, size: int) -> np.ndarray:
+    """For every term below size whether a pair with one of the rare terms leans, by the rows that hold the rare one.
+
+    A pair that leans to a class stands in as many rows of it as
+    least_of_one_class(); partners of fewer are passed over before the rows of the
+    other class are looked at.
+    """
+    paired = np.zeros(size, dtype=bool)
+    # Rows of each rare term: one sorted list of (term, row).
+    wanted = np.zeros(size, dtype=bool)
+    wanted[rare] = True
+    held = [r[wanted[r]] for r in rows]
+    term = np.concatenate(held)
+    order = np.argsort(term, kind="stable")
+    row = np.repeat(np.arange(len(rows)), [len(h) for h in held])[order]
+    starts = np.searchsorted(term[order], [rare, rare + 1])
+    all_yes = float(y.sum())
+    least = {1: least_of_one_class(len(y), all_yes), 0: least_of_one_class(len(y), len(y) - all_yes)}
+    number = np.full(size, -1, dtype=np.int32)
+    for t, a, b in zip(rare.tolist(), *starts.tolist(), strict=True):
+        own = row[a:b]
+        for label, need in least.items():
+            inside = own[y[own] == label]
+            if len(inside) < need:
+                continue
+            partner, most = np.unique(np.concatenate([rows[i] for i in inside]), return_counts=True)
+            partner, most = partner[(most >= need) & (partner != t)], most[(most >= need) & (partner != t)]
+            if not len(partner):
+                continue
+            number[partner] = np.arange(len(partner))
+            others = own[y[own] != label]
+            at = number[np.concatenate([rows[i] for i in others])] if len(others) else np.zeros(0, dtype=np.int32)
+            less = np.bincount(at[at >= 0], minlength=len(partner))
+            number[partner] = -1
+            yes = (most if label else less).astype(np.float64)
+            hit = leaning_pairs((most + less).astype(np.float64), yes, len(y), all_yes)
+            if hit.any():
+                paired[partner[hit]] = paired[t] = True
+    return paired
+
+
+def inputs(rows: Sequence[np.ndarray], y: np.ndarray) -> list[int]:
+    """The terms that lean to a class, alone or in a pair, in rising order."""
+    if not len(y) or not any(map(len, rows)):
+        return []
+    size = 1 + max(int(r.max()) for r in rows if len(r))
+    count, yes = np.zeros(size, dtype=np.int32), np.zeros(size, dtype=np.float32)
+    for r, label in zip(rows, y, strict=True):
+        # A row names a term once.
+        count[r] += 1
+        yes[r] += label
+    terms = np.nonzero(count >= LEAST_DOCS)[0]
+    chosen = np.zeros(size, dtype=bool)
+    chosen[terms] = lean(count[terms], yes[terms].astype(np.float64), len(y), y.sum()) >= TERM_LEAN
+    often = terms[count[terms] >= FREQUENT_SHARE * len(y)]
+    place = np.full(size, -1, dtype=np.int32)
+    place[often] = np.arange(len(often))
+    chosen[often[frequent_pairs(rows, y, place, len(often))]] = True
+    # Every pair of another kind has a term that is not frequent.
+    chosen |= rare_pairs(rows, y, np.setdiff1d(terms, often), size)
+    return np.nonzero(chosen)[0].tolist()
 
 
 def fit_machine(x: np.ndarray, y: np.ndarray, slots: dict[int, int], seed: int = 0) -> Machine:
@@ -180,14 +254,15 @@ def fit_machine(x: np.ndarray, y: np.ndarray, slots: dict[int, int], seed: int =
         for at in range(0, len(fit), BATCH):
             rows = fit[at : at + BATCH]
             b = x[rows].astype(np.float64)
+            b /= np.sqrt(np.maximum(b.sum(axis=1, keepdims=True), 1))
             s = b @ params[2]
-            squares = b @ (params[2] ** 2)
+            squares = (b * b) @ (params[2] ** 2)
             margin = params[0][0] + b @ params[1] + 0.5 * (s * s - squares).sum(axis=1)
             e = (sigmoid(margin) - y[rows]) / len(rows)
             grads = [
                 np.array([e.sum()]),
                 b.T @ e + L2 * params[1],
-                b.T @ (e[:, None] * s) - (b.T @ e)[:, None] * params[2] + L2 * params[2],
+                b.T @ (e[:, None] * s) - ((b * b).T @ e)[:, None] * params[2] + L2 * params[2],
             ]
             t += 1
             for p, g, m, v in zip(params, grads, first, second, strict=True):

@@ -99,23 +99,51 @@ def test_pairs_become_inputs_where_neither_term_leans_alone():
     assert auc(score, y) > 0.99
 
 
-def test_inputs_match_brute_force():
-    rng = np.random.default_rng(2)
-    rows = [np.unique(rng.choice(30, rng.integers(0, 12))) for _ in range(400)]
-    y = np.array([float(3 in r and 4 in r or 7 in r) for r in rows])
-    want = set()
-    for a in range(30):
-        for b in range(a, 30):
-            has = np.array([a in r and b in r for r in rows])
-            n, yes = has.sum(), y[has].sum()
-            spread = ((n + 1) / 402 * (1 / (y.sum() + 1) + 1 / (400 - y.sum() + 1))) ** 0.5
-            z = abs(yes / y.sum() - (n - yes) / (400 - y.sum())) / spread
-            if n >= toxicity.LEAST_DOCS and z >= (toxicity.TERM_LEAN if a == b else toxicity.PAIR_LEAN):
+def leaning(rows, y, size):
+    """Inputs by trying every term and every pair over all rows."""
+    has = np.zeros((len(rows), size), dtype=bool)
+    for i, r in enumerate(rows):
+        has[i, r] = True
+    total, share, want = len(y), y.mean(), set()
+    for a in range(size):
+        for b in range(a, size):
+            both = has[:, a] & has[:, b]
+            n, yes = both.sum(), y[both].sum()
+            if n < toxicity.LEAST_DOCS:
+                continue
+            spread = ((n + 1) / (total + 2) * (1 / (y.sum() + 1) + 1 / (total - y.sum() + 1))) ** 0.5
+            z = abs(yes / y.sum() - (n - yes) / (total - y.sum())) / spread
+            nats = sum(k * math.log(k / n / p) for k, p in ((yes, share), (n - yes, 1 - share)) if k)
+            if z >= toxicity.TERM_LEAN if a == b else z >= toxicity.PAIR_LEAN and nats >= toxicity.PAIR_SURPRISE:
                 want |= {a, b}
-    assert want and toxicity.inputs(rows, y) == sorted(want)
+    return sorted(want)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.02, 0.2, 2.0])
+def test_inputs_match_brute_force(share, monkeypatch):
+    monkeypatch.setattr(toxicity, "FREQUENT_SHARE", share)
+    rng = np.random.default_rng(2)
+    rows = [np.unique(rng.choice(40, rng.integers(0, 14), p=np.r_[np.full(10, 0.08), np.full(30, 0.2 / 30)])) for _ in range(900)]
+    y = np.array([float(3 in r and 4 in r or 7 in r or 11 in r and 2 in r) for r in rows])
+    want = leaning(rows, y, 40)
+    assert len(want) > 3 and toxicity.inputs(rows, y) == want
+    assert toxicity.inputs(rows, 1 - y) == leaning(rows, 1 - y, 40)
     assert toxicity.inputs([], np.zeros(0)) == [] and toxicity.inputs([np.zeros(0, dtype=np.int64)], np.ones(1)) == []
 
 
+def test_a_rare_pair_is_an_input_where_neither_term_is():
+    rows = [np.zeros(0, dtype=np.int64) for _ in range(8000)]
+    y = (np.arange(8000) % 10 == 0).astype(float)
+    toxic, clean = np.nonzero(y == 1)[0], np.nonzero(y == 0)[0]
+    for term, at in ((1, 0), (2, 130)):
+        for i in [*toxic[:20], *clean[at : at + 130]]:
+            rows[i] = np.union1d(rows[i], [term])
+    for term in (1, 2):
+        has = np.array([term in r for r in rows])
+        assert has.sum() == 150 < toxicity.FREQUENT_SHARE * 8000 and toxicity.lean(has.sum(), y[has].sum(), 8000, y.sum()) < toxicity.TERM_LEAN
+    assert toxicity.inputs(rows, y) == [1, 2]
+
+
 def test_scores_match_brute_force(spark):
     """Query scores against the models' formulas, written out for one text at a time."""
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
@@ -125,8 +153,8 @@ def test_scores_match_brute_force(spark):
     for r in texts:
         terms = {zlib.crc32(p.encode()) % 2**22 for w in set(re.findall(r"[^\W\d_]+", r.text.lower())) for p in [w, *("^" + w[:n] for n in (4, 5, 6, 7) if len(w) >= n)]}
         at = [machine.slots[t] for t in terms if t in machine.slots]
-        margin = machine.bias + sum(float(machine.weight[i]) for i in at)
-        margin += sum(float(machine.factor[i] @ machine.factor[j]) for k, i in enumerate(at) for j in at[:k])
+        margin = machine.bias + sum(float(machine.weight[i]) for i in at) / max(len(at), 1) ** 0.5
+        margin += sum(float(machine.factor[i] @ machine.factor[j]) for k, i in enumerate(at) for j in at[:k]) / max(len(at), 1)
         assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-(machine.slope * margin + machine.offset))), abs=1e-6)
     network = quality_model.train(docs, labels, fold(F.col("doc_id"), 5) != 0)
     got = {r.doc_id: r.score for r in registry.op10_quality_model(spark, SF).collect()}
