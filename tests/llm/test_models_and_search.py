@@ -144,6 +144,38 @@ def test_a_rare_pair_is_an_input_where_neither_term_is():
     assert toxicity.inputs(rows, y) == [1, 2]
 
 
+def pooled_by_hand(words, vectors, ids):
+    """The four poolings of one text, word by word."""
+    dim = quality_model.DIM
+    each = [vectors[ids[w]].astype(float) if w in ids else quality_model.index_vectors([w])[0] / math.sqrt(2 * quality_model.NONZERO) for w in words]
+    spans = [each[i : i + quality_model.SPAN] for i in range(0, len(each), quality_model.SPAN)]
+    moment = lambda groups: sum((sum(g) ** 2 / len(g) for g in groups), np.zeros(dim)) / max(len(groups), 1)
+    total = sum(each, np.zeros(dim))
+    return np.concatenate([total / max(len(each), 1), *[np.log(m + 1e-4) for m in (moment([[v] for v in each]), moment(spans), total**2 / max(len(each), 1))]])
+
+
+def test_pooling_is_the_same_in_blocks_of_any_size(monkeypatch):
+    rng = random.Random(3)
+    words = [rng.choice("one two three four five six".split()) for _ in range(700)] + ["rare", "!"]
+    vectors = np.random.default_rng(1).normal(size=(7, quality_model.DIM)).astype(np.float32)
+    ids = {w: i for i, w in enumerate(["", *"one two three four five six".split()])}
+    want = pooled_by_hand(words, vectors, ids)
+    for block in (1 << 18, 50, 7):
+        monkeypatch.setattr(quality_model, "BLOCK", block)
+        assert np.allclose(quality_model.pooled(" ".join(words), vectors, ids), want, atol=1e-4)
+    assert quality_model.pooled(None, vectors, ids).shape == (quality_model.INPUTS,)
+
+
+def test_words_that_come_back_change_the_vectors_alone():
+    """Texts of the same words in other numbers and orders differ in what is pooled."""
+    words = [f"w{i}" for i in range(64)]
+    vectors, ids = quality_model.index_vectors(["", *words]).astype(np.float32), {w: i + 1 for i, w in enumerate(words)}
+    once, twice = " ".join(words), " ".join(w for w in words[:32] for _ in range(2))
+    far = " ".join(words[:32] * 2)
+    a, b, c = (quality_model.pooled(t, vectors, ids).reshape(quality_model.POOLS, -1).mean(axis=1) for t in (once, twice, far))
+    assert b[2] > a[2] + 0.4 and c[2] < b[2] - 0.4 and b[3] > a[3] + 0.3 and c[3] > a[3] + 0.3
+
+
 def test_scores_match_brute_force(spark):
     """Query scores against the models' formulas, written out for one text at a time."""
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
@@ -161,9 +193,7 @@ def test_scores_match_brute_force(spark):
     ids = {w: i for i, w in enumerate(network.words)}
     for r in texts:
         words = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+|[0-9]+|[!-/:-@\[-`{-~]", r.text)
-        mean = sum((network.vectors[ids.get(w, 0)].astype(float) for w in words), np.zeros(quality_model.DIM)) / max(len(words), 1)
-        size, kinds, pairs = (math.log1p(len(x)) for x in (words, set(words), set(zip(words, words[1:], strict=False))))
-        z = (np.array([*mean, size, kinds, kinds - size, pairs - size]) - network.centre) / network.scale
+        z = (pooled_by_hand(words, network.vectors, ids) - network.centre) / network.scale
         margin = np.maximum(z @ network.w1 + network.b1, 0) @ network.w2 + network.b2
         assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-margin / network.temperature)), abs=1e-3)
 
@@ -184,8 +214,9 @@ def test_word_vectors_are_sums_of_index_vectors_of_neighbours(spark):
         for i, w in enumerate(at):
             for j in (i - 2, i - 1, i + 1, i + 2):
                 if 0 <= j < len(at):
-                    sums[w] += index[at[j]]
-    want = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9) + index / math.sqrt(quality_model.NONZERO)
+                    sums[w] += np.roll(index[at[j]], i - j)
+    sums[0] = 0
+    want = (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9) + index / math.sqrt(quality_model.NONZERO)) / math.sqrt(2)
     assert np.allclose(network.vectors, want, atol=1e-5)
 
 
