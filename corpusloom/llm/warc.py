@@ -5,11 +5,11 @@ sink: rows are bytes, and the line separator is an empty gzip member, so that a
 file is a plain sequence of members, committed like any other Spark output.
 
 The reader takes whole files, of which the writer bounds the size; a task needs
-memory for the largest file, and files of 2 GB and more cannot be read. Where a member fails its checks it
-keeps the records that decode before the break and searches for the next member
-that decodes; where a record fails, in a member or in plain text, it searches for
-the next version line that heads a sound record. It goes on from there, and logs
-the bytes between as a quarantined gap.
+memory for the largest file, and files of 2 GB and more cannot be read. Members and
+plain records may follow each other. Where a member or a record fails its checks,
+the reader keeps the records that decode before a member's break, goes on at the
+nearer of the next member and the next version line that is sound, and logs the
+bytes between as a quarantined gap.
 
 Nulls and odd rows: a null html is an empty payload; a null url is written as an
 urn of the page; a null page_id reads back as null and never is referred to;
@@ -38,6 +38,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_URN = "urn:x-page:"
 VERSION = b"WARC/1."
 MAGIC = b"\x1f\x8b\x08"
+#: Bytes in which the headers of a record end, so that a search over many version lines stays linear.
+HEADER_BYTES = 1 << 16
 #: Bytes of payload per Arrow batch of the reader.
 BATCH_BYTES = 4 << 20
 
@@ -127,7 +129,7 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     """(headers, block, end) of the record at a place; raises Damaged if a check fails."""
     if not data.startswith(VERSION, at):
         raise Damaged("no version line")
-    head_end = data.find(b"\r\n\r\n", at)
+    head_end = data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
     if head_end < 0:
         raise Damaged("headers do not end")
     lines = data[at:head_end].decode("utf-8", "surrogateescape").split("\r\n")
@@ -206,15 +208,22 @@ def plain_records(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes]]:
     """(offset, length, headers, block) of each sound record, and (offset, length, None, b"") of each gap.
 
-    Offsets are those of the file. Records of a member have the member's range,
-    and so has a gap inside a member that decodes. Of a member that breaks, the
-    records before the break have its range up to the next member that decodes,
-    and that range is a gap too.
+    A file may hold gzip members and plain records in any order. Offsets are those of
+    the file. Records of a member have the member's range, and so has a gap inside a
+    member that decodes. Of a member that breaks, the records before the break have
+    its range up to the next sound place, and that range is a gap too. After a
+    failure the nearer of the next member and the next version line is tried; a
+    member met in that search counts only if it holds a record or nothing at all, as
+    payloads may be compressed themselves.
     """
-    if not (data.startswith(b"\x1f\x8b") or (not data.startswith(VERSION) and MAGIC in data)):
-        yield from plain_records(data)
-        return
     at, gap, size, saved = 0, None, len(data), []
+    marks = dict.fromkeys((VERSION, MAGIC), 0)
+
+    def nearest(begin: int) -> int:
+        for mark, place in marks.items():
+            if 0 <= place < begin:
+                marks[mark] = data.find(mark, begin)
+        return min((place for place in marks.values() if place >= 0), default=-1)
 
     def closed(end: int) -> Iterator[tuple[int, int, dict[str, str] | None, bytes]]:
         for place, headers, block in saved:
@@ -223,18 +232,28 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
 
     while at < size:
         try:
-            content, end = member_at(data, at)
-        except Broken as broken:
+            if data.startswith(VERSION, at):
+                headers, block, end = parse_record(data, at)
+                found = [(headers, block)]
+            elif data.startswith(MAGIC[:2], at):
+                content, end = member_at(data, at)
+                found = [(headers, block) for _, _, headers, block in plain_records(content)]
+                if gap is not None and content and all(headers is None for headers, _ in found):
+                    raise Damaged("a member without records")
+            else:
+                raise Damaged("neither a member nor a version line")
+        except Damaged as fault:
             gap = at if gap is None else gap
-            saved += [(at, headers, block) for _, _, headers, block in plain_records(broken.front) if headers is not None]
-            at = data.find(MAGIC, at + 1)
+            if isinstance(fault, Broken):
+                saved += [(at, headers, block) for _, _, headers, block in plain_records(fault.front) if headers is not None]
+            at = nearest(at + 1)
             if at < 0:
                 break
             continue
         if gap is not None:
             yield from closed(at)
             gap, saved = None, []
-        for _, _, headers, block in plain_records(content):
+        for headers, block in found:
             yield at, end - at, headers, block
         at = end
     if gap is not None:

@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -356,6 +357,51 @@ def test_salvage_recovers_what_stands_after_damage(zipped):
     assert list(warc.salvage(b"")) == [] and list(warc.salvage(b"junk"))[0][2] is None
 
 
+def ids_of(found):
+    return [headers["warc-record-id"] for _, _, headers, _ in found if headers is not None]
+
+
+def urns(*ids):
+    return [f"<{warc.RECORD_URN}{i}>" for i in ids]
+
+
+def test_salvage_of_plain_records_with_compressed_payloads():
+    packed = [warc.record(i, f"http://x/{i}", warc.gzip_member(b"<html>page %d</html>" % i * 30) if i % 2 == 0 else b"x\x1f\x8b\x08y" * 9, "0" * 64, None) for i in range(4)]
+    data = b"".join(packed)
+    assert ids_of(warc.salvage(data)) == urns(0, 1, 2, 3)
+    hurt = b"?" + data[1:]
+    found = list(warc.salvage(hurt))
+    assert ids_of(found) == urns(1, 2, 3) and [f[:3] for f in found if f[2] is None] == [(0, len(packed[0]), None)]
+    # Sound members between plain records that are not.
+    at = len(packed[0]) + len(packed[1])
+    torn = data[:at] + b"#" + data[at + 1 :]
+    found = list(warc.salvage(torn))
+    assert ids_of(found) == urns(0, 1, 3) and (at, len(packed[2]), None) in [f[:3] for f in found]
+
+
+def test_salvage_of_members_and_plain_records_in_one_file():
+    records = [warc.record(i, f"http://x/{i}", f"page {i} ".encode() * 40, "0" * 64, None) for i in range(6)]
+    zipped = [warc.gzip_member(r) for r in records]
+    mixed = zipped[0] + zipped[1] + records[2] + records[3] + zipped[4] + records[5]
+    assert ids_of(warc.salvage(mixed)) == urns(*range(6))
+    assert [f[2] for f in warc.salvage(mixed)].count(None) == 0
+    for hurt in range(6):
+        places = [zipped[0], zipped[1], records[2], records[3], zipped[4], records[5]]
+        begin = sum(map(len, places[:hurt]))
+        data = bytearray(mixed)
+        data[begin] ^= 0xFF
+        found = list(warc.salvage(bytes(data)))
+        assert ids_of(found) == urns(*(i for i in range(6) if i != hurt))
+        assert [f[:3] for f in found if f[2] is None] == [(begin, len(places[hurt]), None)]
+
+
+def test_salvage_takes_time_in_proportion_to_the_file():
+    lines = b"WARC/1.1\r\nno colon here\r\n" * 40_000
+    began = time.time()
+    assert ids_of(warc.salvage(lines + warc.record(1, "u", b"p" * 200, "0" * 64, None))) == urns(1)
+    assert time.time() - began < 30
+
+
 def test_salvage_recovers_records_inside_a_member():
     records = archive(zipped=False)
     ids = lambda found: [warc._page(h["warc-record-id"]) for _, _, h, _ in found if h]
