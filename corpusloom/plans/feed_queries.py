@@ -60,13 +60,16 @@ def rest_items(spark, sf_dir):
 
 @query("SELECT doc_id || '.0001' AS arxiv_id, md5(trim(regexp_replace(text, '[ \\t\\n\\f\\r\\v]+', ' ', 'g'), ' ')) AS summary_md5 FROM documents")
 def atom_entries(spark, sf_dir):
-    """Documents as Atom feeds, and the feeds read back as entries."""
+    """Documents as Atom feeds, their texts escaped or in CDATA, and the feeds read back as entries."""
     xml = F.col("text")
-    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+    for mark, name in (("&", "&#38;"), ("<", "&lt;"), (">", "&#x3E;")):
         xml = F.replace(xml, F.lit(mark), F.lit(name))
+    data = F.concat(F.lit("<![CDATA["), F.replace(F.col("text"), F.lit("]]>"), F.lit("]]]]><![CDATA[>")), F.lit("]]>"))
     body = F.concat(
-        F.lit("<feed><entry><id>http://arxiv.org/abs/"), F.col("doc_id").cast("string"), F.lit(".0001v2</id><title>t</title><updated>u</updated><summary>"), xml, F.lit("</summary></entry></feed>")
-    )
+        F.lit('<a:feed xmlns:a="http://www.w3.org/2005/Atom"><a:title>f</a:title><a:entry><a:id>http://arxiv.org/abs/'), F.col("doc_id").cast("string"),
+        F.lit('.0001v2</a:id><a:title type="text">t</a:title><a:author><a:name>n</a:name></a:author><a:updated>u</a:updated><a:summary>'),
+        F.when(F.col("doc_id") % 2 == 0, xml).otherwise(data), F.lit("</a:summary></a:entry></a:feed>"),
+    )
     found = feeds.atom_entries(table(spark, sf_dir, "documents").select(body.alias("body")))
     return found.select("arxiv_id", F.md5(F.col("summary").cast("binary")).alias("summary_md5"))
 

@@ -83,23 +83,38 @@ def rest_items(pages: DataFrame, item_schema: str = "id string, title string, co
     return rows.withColumn("op", F.when(F.coalesce("deleted", F.lit(False)), "delete").otherwise("upsert"))
 
 
-ATOM = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "title", "summary", "updated")])
+#: What is read of a feed's entries; elements may stand in any namespace, and may have attributes.
+ATOM = """entry array<struct<id: string, title: string, summary: string, updated: string, published: string,
+    author: array<struct<name: string>>, category: array<struct<_term: string>>>>"""
+#: Characters that XML 1.0 forbids, for which a blank stands.
+NOT_XML = r"[\x00-\x08\x0B\x0C\x0E-\x1F\uFFFE\uFFFF]"
 
 
-def _plain(xml: Column) -> Column:
-    """Text with the entities that XML itself names replaced."""
-    for name, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        xml = F.replace(xml, F.lit(name), F.lit(mark))
-    return xml
+def _entries(body: Column) -> Column:
+    clean = F.regexp_replace(body, NOT_XML, " ")
+    return F.from_xml(clean, ATOM, {"ignoreNamespace": "true", "mode": "PERMISSIVE"})["entry"]
 
 
 def atom_entries(feeds: DataFrame) -> DataFrame:
-    """arxiv_id, title, summary, updated of Atom documents in column body."""
-    entries = F.regexp_extract_all("body", F.lit(r"(?s)<entry[\s>](.*?)</entry>"), 1)
-    rows = feeds.select(F.explode(entries).alias("e"))
-    field = lambda n: _plain(F.trim(F.regexp_replace(F.regexp_extract("e", rf"(?s)<{n}[^>]*>(.*?)</{n}>", 1), r"\s+", " ")))
-    paper = F.regexp_extract(field("id"), r"abs/([^\s]+?)(?:v\d+)?$", 1)
-    return rows.select(paper.alias("arxiv_id"), field("title").alias("title"), field("summary").alias("summary"), field("updated").alias("updated"))
+    """arxiv_id, title, summary, updated, authors, categories of Atom documents in column body, read as XML.
+
+    CDATA and entities of any kind count as the text they stand for; runs of white
+    space are one blank. Documents that are not XML give no rows (see unread_feeds).
+    """
+    rows = feeds.select(F.explode(_entries(F.col("body"))).alias("e"))
+    field = lambda c: F.coalesce(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit(""))
+    paper = F.regexp_extract(field(F.col("e.id")), r"abs/([^\s]+?)(?:v\d+)?$", 1)
+    none = F.array().cast("array<string>")
+    listed = lambda c: F.coalesce(F.filter(F.transform(c, field), lambda x: x != ""), none)
+    return rows.select(
+        paper.alias("arxiv_id"), *[field(F.col(f"e.{n}")).alias(n) for n in ("title", "summary", "updated")],
+        listed(F.col("e.author.name")).alias("authors"), listed(F.col("e.category._term")).alias("categories"),
+    )
+
+
+def unread_feeds(feeds: DataFrame) -> DataFrame:
+    """Rows of feeds whose body has an entry tag and cannot be read as XML, to be kept aside."""
+    return feeds.where(F.col("body").rlike(r"<(\w+:)?entry[\s>]") & _entries(F.col("body")).isNull())
 
 
 def host(url: Column) -> Column:

@@ -239,7 +239,19 @@ def test_source_lifecycle(spark):
 def test_atom_entities(spark):
     body = "<feed><entry><id>http://arxiv.org/abs/1234.5v3</id><title> a &amp;lt; b </title><summary>x &lt; y</summary><updated>u</updated></entry></feed>"
     got = feeds.atom_entries(spark.createDataFrame([(body,)], "body string")).first()
-    assert got[:] == ("1234.5", "a &lt; b", "x < y", "u")
+    assert got[:4] == ("1234.5", "a &lt; b", "x < y", "u")
+
+
+def test_atom_feeds_are_read_as_xml(spark):
+    entry = '<a:entry><a:id>http://arxiv.org/abs/cs/01{0}v1</a:id><a:title type="html">T{0}</a:title>{1}<a:summary><![CDATA[x < y & z]]> and&#160;&#x3c;b&#62;</a:summary></a:entry>'
+    authors = "<a:author><a:name> Ada  B. </a:name><a:uri>u</a:uri></a:author><a:author><a:name>Çelik</a:name></a:author><a:category term='cs.DB'/><a:category term='cs.IR'/>"
+    body = '<?xml version="1.0"?><a:feed xmlns:a="http://www.w3.org/2005/Atom"><!-- <entry> --><a:title>f</a:title>' + entry.format(1, authors) + entry.format(2, "") + "</a:feed>"
+    docs = spark.createDataFrame([(body,), ("<feed><title>none</title></feed>",), (None,), ("<feed><entry><id>x</id>",), ("",)], "body string")
+    got = sorted(tuple(r) for r in feeds.atom_entries(docs).collect())
+    assert [g[:2] for g in got] == [("cs/011", "T1"), ("cs/012", "T2")]
+    assert got[0][2].replace("\u00a0", " ") == "x < y & z and <b>" and got[0][4:] == (["Ada B.", "Çelik"], ["cs.DB", "cs.IR"])
+    assert got[1][3:] == ("", [], [])
+    assert [r.body for r in feeds.unread_feeds(docs).collect()] == ["<feed><entry><id>x</id>"]
 
 
 def test_late_events_are_kept_aside(spark):

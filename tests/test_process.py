@@ -106,3 +106,26 @@ def test_paged_source_follows_cursors(spark):
     for bad in ("FILE_UPLOAD", "FAX"):
         with pytest.raises(ValueError, match="sync|unsupported"):
             connectors.connector(bad)
+
+
+def test_paged_source_as_a_stream_reads_each_page_once(spark, tmp_path):
+    """Services grow between runs; a run goes on from the checkpoint of the one before."""
+    grown = tmp_path / "grown"
+    name = str(grown)
+
+    def fetch(url, cursor):
+        with open(name) as f:
+            pages = int(f.read())
+        n = int(cursor or 0)
+        return {"items": [{"id": f"{url}-{n}", "deleted": False}], **({"next_cursor": str(n + 1)} if n + 1 < pages else {})}
+
+    spark.dataSource.register(connectors.rest_source(fetch, "fake_stream"))
+    for pages in (2, 2, 5):
+        grown.write_text(str(pages))
+        stream = spark.readStream.format("fake_stream").option("url", "s1, s2").option("pages_per_batch", "2").load()
+        query = stream.writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/check").start()
+        query.processAllAvailable()
+        query.stop()
+        rows = spark.read.schema("url string, page int, cursor string, body string").parquet(f"file://{tmp_path}/out")
+        assert sorted((r.url, r.page) for r in rows.collect()) == [(s, n) for s in ("s1", "s2") for n in range(pages)]
+    assert sorted(r.id for r in feeds.rest_items(rows).collect()) == [f"s{s}-{n}" for s in (1, 2) for n in range(5)]
