@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import hashing, text
-from corpusloom.operators import answer, chunk, dedup, embed, evaluate, ingest, inverted, normalize, parse, retrieve, vector_index
+from corpusloom.operators import answer, chunk, dedup, embed, evaluate, ingest, inverted, keyed, normalize, parse, retrieve, vector_index
 from corpusloom.plans import corpus, search
 from corpusloom.sources import feeds, files, tables
 from corpusloom.session import configure, new_folder, spread, stored
@@ -798,7 +799,10 @@ def ledger_upsert(spark, sf_dir):
     versions = F.when(d % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     old = docs.select(d.alias("chunk_id"), d.alias("document_id"), *named, F.explode(versions).alias("version"))
     new = docs.where("doc_id % 3 = 0").select(d.alias("chunk_id"), (d + 1000000).alias("document_id"), *named, F.lit(2).alias("version"))
-    return embed.upsert_ledger(old, new).select("chunk_id", "version", "document_id")
+    name = f"ledger_{uuid.uuid4().hex}"
+    ledger = keyed.create(old, name, ["chunk_id", "provider", "model", "version"])
+    ledger.upsert(new, F.desc("document_id"))
+    return ledger.read().select("chunk_id", "version", "document_id")
 
 
 @query("SELECT doc_id AS document_id FROM documents WHERE doc_id % 7 <> 0 AND n_chars > 100 AND (doc_id % 3 = 0 OR doc_id % 4 = 0 OR doc_id % 5 = 0)")
