@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.hashing import hamming, similarity
@@ -22,16 +22,26 @@ def current_candidates(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("is_current") & (F.col("state") != "DELETED"))
 
 
+def _shared(docs: DataFrame) -> DataFrame:
+    """o, h, _first of each organization and hash with more than one document: its earliest, as (created_at, id).
+
+    Summed beside the scan before anything is sent, so that a group of any size is one row.
+    """
+    groups = docs.groupBy("org", "content_hash").agg(F.min(F.struct("created_at", "id")).alias("_first"), F.count("*").alias("_n"))
+    return stored(groups.where("_n > 1").select(F.col("org").alias("o"), F.col("content_hash").alias("h"), "_first"), "shared-hashes")
+
+
 def exact_duplicates(docs: DataFrame) -> DataFrame:
     """Edges from the earliest document of equal hash in an organization to each later one.
 
-    docs: org, id, created_at, content_hash. One window by hash instead of a
-    self-join: a group of n copies gives n - 1 edges, not n squared.
+    docs: org, id, created_at, content_hash. A group of n copies gives n - 1 edges,
+    and its documents meet its one row where they lie or in the parts that a skewed
+    join is split into.
     """
-    same = Window.partitionBy("org", "content_hash")
-    first = F.min(F.struct("created_at", "id")).over(same)
+    docs = stored(docs.select("org", "id", "created_at", "content_hash"), "hashed-documents")
+    same = F.col("org").eqNullSafe(F.col("o")) & F.col("content_hash").eqNullSafe(F.col("h"))
     return (
-        docs.withColumn("_first", first)
+        docs.join(_shared(docs), same)
         .where(F.struct("created_at", "id") > F.col("_first"))
         .select("org", F.col("_first.id").alias("canonical_id"), F.col("id").alias("duplicate_id"), F.lit("exact").alias("kind"), F.lit(1.0).alias("score"))
     )
@@ -72,7 +82,8 @@ def near_duplicates(docs: DataFrame, max_hamming: int = MAX_HAMMING, every_pair:
     docs = stored(docs.select("org", "id", "created_at", "content_hash", "simhash"), "fingerprints")
     order = F.struct("created_at", "id")
     fresh = docs.where(F.col("simhash") != 0).withColumn("_at", order)
-    fresh = fresh.withColumn("_exact", F.min(order).over(Window.partitionBy("org", "content_hash")) < F.col("_at"))
+    same = F.col("org").eqNullSafe(F.col("o")) & F.col("content_hash").eqNullSafe(F.col("h"))
+    fresh = fresh.join(_shared(fresh), same, "left").withColumn("_exact", F.coalesce(F.col("_first") < F.col("_at"), F.lit(False))).drop("o", "h", "_first")
     nodes = stored(fresh.groupBy("org", "simhash").agg(F.min("_at").alias("_old")), "fingerprint-nodes")
     links = near_links(nodes.select("org", "simhash"), max_hamming)
     earlier = (fresh if every_pair else nodes).select("org", F.col("simhash").alias("a"), F.col("_at" if every_pair else "_old").alias("_old"))
