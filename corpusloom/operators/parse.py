@@ -160,7 +160,7 @@ def _from_lines(docs: DataFrame, text: Column, markdown: bool) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "text")))
     grouped = rows.groupBy("doc_id", "part", "kind").agg(ordered.alias("_l"), F.max("level").alias("level"), F.max("extra").alias("extra"))
     lines = F.transform("_l", lambda x: x["text"])
-    cells = F.transform(lines, lambda r: F.transform(F.split(F.regexp_replace(r, r"^\|?\s*|\s*\|?$", ""), r"\s*\|\s*"), F.trim))
+    cells = F.transform(lines, lambda r: F.transform(F.split(F.regexp_replace(r, r"^\|?\s*|\s*\|?$", ""), r"\s*\|\s*"), lambda c: F.trim(c)))
     body = F.when(F.col("kind").isin("code", "list"), F.array_join(lines, "\n")).when(F.col("kind") == "table", pipe_table(cells)).otherwise(F.array_join(lines, " "))
     out = grouped.select("doc_id", (F.col("part") * 2).alias("at"), F.col("kind").alias("block_type"), body.alias("text"), "level", "extra")
     return out.unionByName(images) if markdown else out

@@ -201,6 +201,38 @@ def text_blocks(spark, sf_dir):
     return corpus.blocks_of(docs)
 
 
+def _structure_sql(*also: str) -> str:
+    blocks = [
+        "2, 'heading', 'Doc ' || doc_id, 1, NULL", "4, 'paragraph', t, NULL, NULL", "6, 'list', lang || chr(10) || source, NULL, 'ul'", "8, 'quote', t, NULL, NULL", "10, 'code', t, NULL, 'sql'", *also,
+    ]
+    rows = " UNION ALL ".join(f"SELECT doc_id, {b} FROM w" for b in blocks)
+    return f"""WITH w AS (SELECT doc_id, lang, source, rtrim('w ' || array_to_string(regexp_extract_all(text, '[A-Za-z]+'), ' ')) AS t FROM documents),
+    b(doc_id, place, block_type, text, level, extra) AS ({rows})
+    SELECT doc_id, place, block_type, md5(text) AS text_md5, CAST(level AS INTEGER) AS level, CAST(extra AS VARCHAR) AS extra FROM b"""
+
+
+def _structured(spark, sf_dir, markdown: bool) -> DataFrame:
+    """Documents written as headings, paragraphs, lists, quotes, code and tables, with all of their words."""
+    words = F.rtrim(F.concat(F.lit("w "), F.array_join(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0), " ")))
+    number = F.col("doc_id").cast("string")
+    parts = [F.lit("# Doc "), number, F.lit("\n\n"), words, F.lit("\n\n- "), F.col("lang"), F.lit("\n- "), F.col("source"), F.lit("\n\n> "), words, F.lit("\n\n```sql\n"), words, F.lit("\n```\n")]
+    if markdown:
+        parts += [F.lit("\n| id | language |\n|:--|---|\n| "), number, F.lit(" | "), F.col("lang"), F.lit(" |\n\n![picture "), number, F.lit("](x.png)\n")]
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(*parts).alias("text"))
+    blocks = parse.markdown_blocks(docs) if markdown else parse.text_blocks(docs)
+    return blocks.where("text <> ''").select("doc_id", F.col("at").alias("place"), "block_type", F.md5(F.col("text").cast("binary")).alias("text_md5"), "level", "extra")
+
+
+@query(_structure_sql())
+def text_structure(spark, sf_dir):
+    return _structured(spark, sf_dir, False)
+
+
+@query(_structure_sql("12, 'table', '| id | language |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || doc_id || ' | ' || lang || ' |', NULL, NULL", "15, 'image_caption', 'picture ' || doc_id, NULL, NULL"))
+def markdown_structure(spark, sf_dir):
+    return _structured(spark, sf_dir, True)
+
+
 LINKS = """a AS (SELECT url, unnest(list_distinct(regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*["'']([^"'']*)["'']', 1))) AS raw FROM pages),
     h AS (SELECT url, regexp_replace(raw, '#.*$', '') AS href, regexp_extract(url, '^([a-zA-Z]+://[^/]+)', 1) AS root FROM a),
     k AS (SELECT DISTINCT url, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN href LIKE '//%' THEN regexp_extract(url, '^([a-zA-Z]+:)', 1) || href
