@@ -82,7 +82,9 @@ def _norms(a: np.ndarray) -> np.ndarray:
 
 
 #: Stands for an endless distance; finite, so that a zero vector times it is zero.
-FAR = 1e300
+FAR = 1e150
+#: Rows that meet all pivots, or the sample, at a time, so that a batch needs bounded memory however many pivots there are.
+SLICE = 256
 
 #: Relative slack on bounds worked out in floating point.
 SLACK = 1e-9
@@ -123,10 +125,12 @@ def _assign(pivots: np.ndarray) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             v = _matrix(rows["v"], dim)
-            norm = _norms(v)
-            far = (norm**2)[:, None] + squares[None, :] - 2.0 * _products(v, pivots)
-            near = far.argmin(axis=1)
-            gap = np.sqrt(np.maximum(far[np.arange(len(v)), near], 0.0)) if len(v) else np.zeros(0)
+            norm, near, gap = _norms(v), np.zeros(len(v), dtype=np.int64), np.zeros(len(v))
+            for i in range(0, len(v), SLICE):
+                part = slice(i, i + SLICE)
+                far = (norm[part] ** 2)[:, None] + squares[None, :] - 2.0 * _products(v[part], pivots)
+                near[part] = far.argmin(axis=1)
+                gap[part] = np.sqrt(np.maximum(far.min(axis=1), 0.0))
             yield pd.DataFrame({"id": rows["id"], "v": rows["v"], "q": rows["q"], "cell": near.astype(np.int32), "gap": gap, "norm": norm})
 
     return run
@@ -137,10 +141,11 @@ def _reached(sample: np.ndarray, k: int) -> Callable:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            score = _products(_matrix(rows["v"], sample.shape[1]), sample)
-            n = score.shape[1]
-            # One of the k + 1 best may be the query's own row.
-            sure = np.partition(score, n - k - 1, axis=1)[:, n - k - 1].astype(np.float64) if n > k else np.full(len(score), -FAR)
+            v, n = _matrix(rows["v"], sample.shape[1]), len(sample)
+            sure = np.full(len(v), -FAR)
+            for i in range(0, len(v) if n > k else 0, SLICE):
+                # One of the k + 1 best may be the query's own row.
+                sure[i : i + SLICE] = np.partition(_products(v[i : i + SLICE], sample), n - k - 1, axis=1)[:, n - k - 1]
             yield pd.DataFrame({"cell": rows["cell"], "sure": sure})
 
     return run
@@ -149,11 +154,16 @@ def _reached(sample: np.ndarray, k: int) -> Callable:
 def _groups_of(batch: pd.DataFrame, pivots: np.ndarray, radius: np.ndarray, norm: np.ndarray, least: np.ndarray, groups: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """Positions of rows, and the groups that need them."""
     x = _matrix(batch["v"], pivots.shape[1])
-    dot, size = _products(x, pivots).astype(np.float64), _norms(x)[:, None]
-    slack = SLACK * (np.abs(dot) + size * (radius + norm + 1)[None, :] + 1)
-    wanted = np.minimum(dot + size * radius[None, :], size * norm[None, :]) + slack >= least[None, :]
-    hits = np.stack([wanted[:, cells].any(axis=1) for cells in groups], axis=1)
-    return np.nonzero(hits)
+    at, to = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for i in range(0, len(x), SLICE):
+        part = x[i : i + SLICE]
+        dot, size = _products(part, pivots).astype(np.float64), _norms(part)[:, None]
+        slack = SLACK * (np.abs(dot) + size * (radius + norm + 1)[None, :] + 1)
+        wanted = np.minimum(dot + size * radius[None, :], size * norm[None, :]) + slack >= least[None, :]
+        rows, found = np.nonzero(np.stack([wanted[:, cells].any(axis=1) for cells in groups], axis=1))
+        at.append(rows + i)
+        to.append(found)
+    return np.concatenate(at), np.concatenate(to)
 
 
 def pack(counts: list[tuple[int, int]], most: int) -> tuple[list[list[int]], dict[int, tuple[int, int]]]:
