@@ -75,19 +75,22 @@ def words_of(text: str | None) -> Iterator[list[str]]:
 def index_vectors(words: list[str]) -> np.ndarray:
     """NONZERO entries +1 or -1 a word: six bits of its hash name the place, one the sign; entries on one place add up."""
     hashes = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], dtype=np.uint64)
-    out, rows = np.zeros((len(words), DIM), dtype=np.int32), np.arange(len(words))
+    out, rows = np.zeros((len(words), DIM), dtype=np.int8), np.arange(len(words))
     for k in range(NONZERO):
         place = (hashes >> np.uint64(7 * k)) & np.uint64(DIM - 1)
         sign = (hashes >> np.uint64(7 * k + 6)) & np.uint64(1)
-        np.add.at(out, (rows, place.astype(np.int64)), 1 - 2 * sign.astype(np.int32))
+        np.add.at(out, (rows, place.astype(np.int64)), 1 - 2 * sign.astype(np.int8))
     return out
 
 
 def word_vectors(words: list[str], around: np.ndarray) -> np.ndarray:
     """Context beside the word's own index, each of about unit length."""
-    context = around / np.maximum(np.linalg.norm(around, axis=1, keepdims=True), 1e-9)
+    context = around.astype(np.float32)
+    context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-9)
     context[0] = 0
-    return ((context + index_vectors(words) / np.sqrt(NONZERO)) / np.sqrt(2)).astype(np.float32)
+    context += index_vectors(words) / np.float32(np.sqrt(NONZERO))
+    context /= np.float32(np.sqrt(2))
+    return context
 
 
 def document_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,7 +108,7 @@ def context_sums(words: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index, ids = index_vectors(words), {w: i for i, w in enumerate(words)}
         turned = {d: np.roll(index, d, axis=1) for d in range(-WINDOW, WINDOW + 1) if d}
-        total = np.zeros((len(words), DIM), dtype=np.int64)
+        total = np.zeros((len(words), DIM), dtype=np.int32)
         waiting: list[np.ndarray] = []
         gap = np.full(WINDOW, -1, dtype=np.int64)
 
@@ -122,7 +125,7 @@ def context_sums(words: list[str]):
                 for i in range(0, len(to), TOKENS):
                     part = to[i : i + TOKENS]
                     first = np.nonzero(np.diff(part, prepend=-1))[0]
-                    total[part[first]] += np.add.reduceat(rows[by[i : i + TOKENS]], first, axis=0)
+                    total[part[first]] += np.add.reduceat(rows[by[i : i + TOKENS]], first, axis=0, dtype=np.int32)
 
         for rows in batches:
             for text in rows["text"]:
@@ -140,7 +143,7 @@ def context_sums(words: list[str]):
 
 
 def add_sums(rows: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x, dtype=np.int64) for x in rows["sums"])
+    total = sum(np.frombuffer(x, dtype=np.int32) for x in rows["sums"])
     return pd.DataFrame({"part": [rows["part"].iloc[0]], "sums": [total.tobytes()]})
 
 
@@ -244,20 +247,20 @@ def train(docs: DataFrame, labels: DataFrame, trainable: Column, *, label: str =
     # Words of a bounded sample: as many as its texts share.
     words = [RARE, *sorted(r.word for r in counts.select("word").collect())]
     sums = texts.mapInPandas(context_sums(words), "part int, sums binary").groupBy("part").applyInPandas(add_sums, "part int, sums binary")
-    around = np.zeros((len(words), DIM))
+    around = np.zeros((len(words), DIM), dtype=np.int32)
     for r in sums.collect():
-        part = np.frombuffer(r.sums, dtype=np.int64).reshape(-1, DIM)
+        part = np.frombuffer(r.sums, dtype=np.int32).reshape(-1, DIM)
         around[r.part * ROWS : r.part * ROWS + len(part)] = part
     vectors = word_vectors(words, around)
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf("binary")
     def pool(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         ids = {w: i for i, w in enumerate(words)}
         for texts in batches:
-            yield pd.Series([pooled(t, vectors, ids) for t in texts])
+            yield pd.Series([pooled(t, vectors, ids).astype(np.float32).tobytes() for t in texts])
 
     got = sample.select(F.xxhash64(id_col).alias("h"), "y", pool("text").alias("x")).orderBy("h").collect()
-    x = np.array([r.x for r in got], dtype=np.float64).reshape(len(got), INPUTS)
+    x = np.frombuffer(b"".join(r.x for r in got), dtype=np.float32).astype(np.float64).reshape(len(got), INPUTS)
     return fit_network(x, np.array([r.y for r in got], dtype=np.float64), words, vectors)
 
 
