@@ -169,12 +169,15 @@ def missing_from(listed: DataFrame, known: DataFrame, key: str = "url") -> DataF
     return known.select(key).join(listed.select(key), key, "left_anti").withColumn("op", F.lit("delete"))
 
 
+SITEMAP = "url array<struct<loc: string, lastmod: string>>"
+
+
 def sitemap_urls(sitemaps: DataFrame) -> DataFrame:
-    """url, lastmod of sitemap documents in column body."""
-    entries = F.regexp_extract_all("body", F.lit(r"(?s)<url[\s>](.*?)</url>"), 1)
-    rows = sitemaps.select(F.explode(entries).alias("e"))
-    field = lambda n: _plain(F.trim(F.regexp_extract("e", rf"(?s)<{n}>\s*(.*?)\s*</{n}>", 1)))
-    return rows.select(field("loc").alias("url"), F.when(field("lastmod") != "", field("lastmod")).alias("lastmod")).where("url != ''").distinct()
+    """url, lastmod of sitemap documents in column body, read as XML."""
+    clean = F.regexp_replace("body", NOT_XML, " ")
+    rows = sitemaps.select(F.explode(F.from_xml(clean, SITEMAP, {"ignoreNamespace": "true", "mode": "PERMISSIVE"})["url"]).alias("e"))
+    at, changed = F.trim(F.coalesce("e.loc", F.lit(""))), F.trim("e.lastmod")
+    return rows.select(at.alias("url"), F.when(changed != "", changed).alias("lastmod")).where("url != ''").distinct()
 
 
 def canonical_url(url: Column, html: Column) -> Column:
