@@ -163,7 +163,7 @@ def strongest(runs: list[tuple[int, int, int]]) -> tuple[int, int, int] | None:
     return best
 
 
-def looped(words: np.ndarray, doc_id: int | None) -> np.ndarray:
+def looped(words: np.ndarray, doc_id: int | str | None) -> np.ndarray:
     """The words with the rewriting by id: one text in ten repeats a stretch of its own to its end."""
     n = len(words)
     if doc_id is None or not n:
@@ -185,7 +185,7 @@ def digest_of(words: np.ndarray, texts: list[bytes], keep: np.ndarray) -> str:
     return out.hexdigest()
 
 
-def describe(text: bytes | None, doc_id: int | None) -> tuple:
+def describe(text: bytes | None, doc_id: int | str | None) -> tuple:
     """FIELDS of one text."""
     words, texts = word_numbers(text or b"")
     words = looped(words, doc_id)
@@ -199,7 +199,7 @@ def describe(text: bytes | None, doc_id: int | None) -> tuple:
 @F.pandas_udf(FIELDS)
 def _described(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for ids, texts in batches:
-        rows = [describe(t, None if i is None else int(i)) for i, t in zip(ids, texts, strict=True)]
+        rows = [describe(t, i) for i, t in zip(ids, texts, strict=True)]
         out = pd.DataFrame(rows, columns=[*NUMBERS, *DIGESTS])
         yield out.astype({c: "Int64" for c in NUMBERS})
 
