@@ -143,7 +143,10 @@ def surprise(every, yes, share: float):
 
 def leaning_pairs(every, yes, all_rows: int, all_yes: float):
     """Whether pairs in `every` documents, `yes` of them of label 1, tell the classes apart by more than chance among all pairs."""
-    return (lean(every, yes, all_rows, all_yes) >= PAIR_LEAN) & (surprise(every, yes, all_yes / all_rows) >= PAIR_SURPRISE) & (every >= LEAST_DOCS)
+    hit = (lean(every, yes, all_rows, all_yes) >= PAIR_LEAN) & (every >= LEAST_DOCS)
+    # Few are left to look at, so that little memory is needed.
+    hit[hit] = surprise(every[hit].astype(np.float64), yes[hit].astype(np.float64), all_yes / all_rows) >= PAIR_SURPRISE
+    return hit
 
 
 def least_of_one_class(rows: int, in_class: float) -> int:
@@ -173,24 +176,26 @@ def frequent_pairs(rows: Sequence[np.ndarray], y: np.ndarray, place: np.ndarray,
     return paired
 
 
-def rare_pairs(rows: Sequence[np.ndarray], y: np.ndarray, rare: np.ndarray, size: int) -> np.ndarray:
-    """For every term below size whether a pair with one of the rare terms leans, by the rows that hold the rare one.
+def rare_pairs(rows: Sequence[np.ndarray], y: np.ndarray, rare: np.ndarray, count: np.ndarray, count_yes: np.ndarray) -> np.ndarray:
+    """For every term whether a pair with one of the rare terms leans, by the rows that hold the rare one.
 
-    A pair that leans to a class stands in as many rows of it as
-    least_of_one_class(); partners of fewer are passed over before the rows of the
-    other class are looked at.
+    count and count_yes: rows of each term, and those of label 1. A pair that leans
+    to a class stands in as many rows of it as least_of_one_class(); terms and
+    partners of fewer are passed over before the rows of the other class are looked at.
     """
+    size, all_yes = len(count), float(y.sum())
     paired = np.zeros(size, dtype=bool)
+    least = {1: least_of_one_class(len(y), all_yes), 0: least_of_one_class(len(y), len(y) - all_yes)}
+    rare = rare[(count_yes[rare] >= least[1]) | (count[rare] - count_yes[rare] >= least[0])]
     # Rows of each rare term: one sorted list of (term, row).
     wanted = np.zeros(size, dtype=bool)
     wanted[rare] = True
     held = [r[wanted[r]] for r in rows]
     term = np.concatenate(held)
     order = np.argsort(term, kind="stable")
-    row = np.repeat(np.arange(len(rows)), [len(h) for h in held])[order]
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(h) for h in held])[order]
     starts = np.searchsorted(term[order], [rare, rare + 1])
-    all_yes = float(y.sum())
-    least = {1: least_of_one_class(len(y), all_yes), 0: least_of_one_class(len(y), len(y) - all_yes)}
+    del held, term, order
     number = np.full(size, -1, dtype=np.int32)
     for t, a, b in zip(rare.tolist(), *starts.tolist(), strict=True):
         own = row[a:b]
@@ -232,15 +237,19 @@ def inputs(rows: Sequence[np.ndarray], y: np.ndarray) -> list[int]:
     place[often] = np.arange(len(often))
     chosen[often[frequent_pairs(rows, y, place, len(often))]] = True
     # Every pair of another kind has a term that is not frequent.
-    chosen |= rare_pairs(rows, y, np.setdiff1d(terms, often), size)
+    chosen |= rare_pairs(rows, y, np.setdiff1d(terms, often), count, yes)
     return np.nonzero(chosen)[0].tolist()
 
 
 def fit_machine(x: np.ndarray, y: np.ndarray, slots: dict[int, int], seed: int = 0) -> Machine:
-    """Adam on the logistic loss of a 0/1 matrix; every fifth row is kept for calibration."""
+    """fit_rows() of a 0/1 matrix."""
+    return fit_rows([np.nonzero(r)[0] for r in x], x.shape[1], y, slots, seed)
+
+
+def fit_rows(rows: Sequence[np.ndarray], n: int, y: np.ndarray, slots: dict[int, int], seed: int = 0) -> Machine:
+    """Adam on the logistic loss of rows that name their inputs, of n; every fifth row is kept for calibration."""
     share = float((y.sum() + 0.5) / (len(y) + 1.0))
     prior = float(np.log(share / (1 - share)))
-    n = x.shape[1]
     if not n or y.min(initial=1) == y.max(initial=0):
         return Machine(slots, prior, np.zeros(n), np.zeros((n, FACTORS)))
     rng = np.random.default_rng(seed)
@@ -252,17 +261,19 @@ def fit_machine(x: np.ndarray, y: np.ndarray, slots: dict[int, int], seed: int =
     for _ in range(EPOCHS):
         rng.shuffle(fit)
         for at in range(0, len(fit), BATCH):
-            rows = fit[at : at + BATCH]
-            b = x[rows].astype(np.float64)
-            b /= np.sqrt(np.maximum(b.sum(axis=1, keepdims=True), 1))
+            part = fit[at : at + BATCH]
+            b = np.zeros((len(part), n))
+            for k, i in enumerate(part):
+                b[k, rows[i]] = 1 / np.sqrt(max(len(rows[i]), 1))
             s = b @ params[2]
-            squares = (b * b) @ (params[2] ** 2)
+            squared = b * b
+            squares = squared @ (params[2] ** 2)
             margin = params[0][0] + b @ params[1] + 0.5 * (s * s - squares).sum(axis=1)
-            e = (sigmoid(margin) - y[rows]) / len(rows)
+            e = (sigmoid(margin) - y[part]) / len(part)
             grads = [
                 np.array([e.sum()]),
                 b.T @ e + L2 * params[1],
-                b.T @ (e[:, None] * s) - ((b * b).T @ e)[:, None] * params[2] + L2 * params[2],
+                b.T @ (e[:, None] * s) - (squared.T @ e)[:, None] * params[2] + L2 * params[2],
             ]
             t += 1
             for p, g, m, v in zip(params, grads, first, second, strict=True):
@@ -271,7 +282,7 @@ def fit_machine(x: np.ndarray, y: np.ndarray, slots: dict[int, int], seed: int =
                 p -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     out = Machine(slots, float(params[0][0]), params[1], params[2])
     if held.any() and 0 < y[held].sum() < held.sum():
-        margin = np.array([out.margin(np.nonzero(r)[0]) for r in x[held]])
+        margin = np.array([out.margin(rows[i]) for i in np.nonzero(held)[0]])
         out.slope, out.offset = platt(margin, y[held])
     return out
 
@@ -285,10 +296,9 @@ def train(docs: DataFrame, labels: DataFrame, trainable: Column, *, label: str =
     got = stored(sample.select(F.xxhash64(id_col).alias("at"), "y", "terms"), "toxicity-sample").orderBy("at").collect()
     found, y = [np.frombuffer(r.terms, dtype="<i4") for r in got], np.array([r.y for r in got], dtype=np.float64)
     slots = {t: i for i, t in enumerate(inputs(found, y))}
-    x = np.zeros((len(found), len(slots)), dtype=np.uint8)
-    for i, ts in enumerate(found):
-        x[i, [slots[t] for t in ts.tolist() if t in slots]] = 1
-    return fit_machine(x, y, slots)
+    del got
+    rows = [np.array([slots[t] for t in ts.tolist() if t in slots], dtype=np.int32) for ts in found]
+    return fit_rows(rows, len(slots), y, slots)
 
 
 def score(text: Column, machine: Machine) -> Column:
