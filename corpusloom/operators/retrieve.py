@@ -7,10 +7,14 @@ with hits as (qid, chunk_id, score, rank, ...). Ranks are total orders.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions.text import query_tokens, token_count, trim, ws_tokens
 from corpusloom.operators import inverted
@@ -22,6 +26,8 @@ CONTEXT_BUDGET = 4000
 #: Queries that are sent to every task at once; more go in blocks of so many.
 QUERY_BLOCK = 2000
 ROW_BLOCK = 20_000
+#: Queries of a block that are multiplied at a time.
+SLICE = 256
 
 
 # --- predicates -----------------------------------------------------------------
@@ -118,17 +124,22 @@ def ranked(hits: DataFrame, k: int, *order: Column, by: str = "qid") -> DataFram
     return hits.withColumn("rank", place).where(F.col("rank") <= k)
 
 
+def _blocks(queries: DataFrame, rows: DataFrame, asked: int = QUERY_BLOCK, held: int = ROW_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Both sides with _qblock and _rblock: a query once for every block of rows, a row once for every block of queries."""
+    asked, held = (max(1, math.ceil(df.count() / size)) for df, size in ((queries, asked), (rows, held)))
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    numbered = queries.withColumn("_qblock", own("qid", asked)).withColumn("_rblock", every(held))
+    return numbered, rows.withColumn("_rblock", own("chunk_id", held)).withColumn("_qblock", every(asked))
+
+
 def paired(queries: DataFrame, rows: DataFrame) -> DataFrame:
     """Every query with every row, in blocks of bounded size on both sides.
 
     A key is a block of queries with a block of rows, so that pairs are spread
     over as many keys as there are such blocks, at every size.
     """
-    asked, held = (max(1, math.ceil(df.count() / size)) for df, size in ((queries, QUERY_BLOCK), (rows, ROW_BLOCK)))
-    own = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    numbered = queries.withColumn("_qblock", own("qid", asked)).withColumn("_rblock", every(held))
-    spread = rows.withColumn("_rblock", own("chunk_id", held)).withColumn("_qblock", every(asked))
+    numbered, spread = _blocks(queries, rows)
     return spread.join(numbered, ["_qblock", "_rblock"]).drop("_qblock", "_rblock")
 
 
@@ -142,20 +153,143 @@ def unit(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(x.cast("double")))
 
 
+def rounded(score: np.ndarray, digits: int | None) -> np.ndarray:
+    """Scores to so many digits, halves away from zero."""
+    if digits is None:
+        return score
+    scale = 10.0**digits
+    return np.copysign(np.floor(np.abs(score) * scale + 0.5), score) / scale + 0.0
+
+
+def best_of(score: np.ndarray, k: int, order: np.ndarray, digits: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places and rounded scores of the k best, ties by order; -inf stands for no score."""
+    at = np.nonzero(score > -np.inf)[0]
+    if len(at) > k:
+        # What is under the k-th by more than rounding can lift is left out before it is sorted.
+        least = np.partition(score[at], len(at) - k)[len(at) - k] - (0.0 if digits is None else 10.0**-digits)
+        at = at[score[at] >= least]
+    shown = rounded(score[at], digits)
+    best = np.lexsort((order[at], -shown))[:k]
+    return at[best], shown[best]
+
+
+def matrix(vectors: pa.Array, dim: int) -> np.ndarray:
+    """Vectors of one size as rows of unit length; zero rows stay."""
+    x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), dim)
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(size > 0, size, 1.0)
+
+
+def column(rows: pa.Table, name: str) -> pa.Array:
+    found = rows[name].combine_chunks()
+    return found.combine_chunks() if isinstance(found, pa.ChunkedArray) else found
+
+
+def id_order(rows: pa.Table, name: str) -> np.ndarray:
+    """The place of each row in order of an id, nulls first."""
+    order = np.empty(rows.num_rows, dtype=np.int64)
+    order[pc.sort_indices(rows, sort_keys=[(name, "ascending")], null_placement="at_start").to_numpy()] = np.arange(rows.num_rows)
+    return order
+
+
+def _meet(queries: DataFrame, rows: DataFrame, run: Callable, out: T.StructType, asked: int = QUERY_BLOCK) -> DataFrame:
+    """run(rows, queries) as Arrow tables for every block of rows with every block of queries."""
+    left, right = _blocks(queries, rows, asked)
+    keys = ["_qblock", "_rblock"]
+    return right.groupBy(*keys).cogroup(left.groupBy(*keys)).applyInArrow(run, out)
+
+
+def _dense_block(k: int, digits: int | None) -> Callable:
+    """The k best rows of a block for each of its queries."""
+
+    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        order, of_rows, of_queries = id_order(rows, "chunk_id"), column(rows, "_v"), column(queries, "_q")
+        row_dim, query_dim = (pc.fill_null(pc.list_value_length(v), -1).to_numpy(zero_copy_only=False) for v in (of_rows, of_queries))
+        by_order = np.argsort(order)
+        asked, found, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for dim in np.unique(query_dim):
+            own = np.nonzero(query_dim == dim)[0]
+            fit = np.nonzero(row_dim == dim)[0] if dim >= 0 else np.zeros(0, np.int64)
+            # Pairs without a score come last, as many as are needed.
+            rest = by_order[~np.isin(by_order, fit)] if len(fit) < k else fit[:0]
+            x = matrix(of_rows.take(pa.array(fit)), dim) if len(fit) else None
+            for begin in range(0, len(own), SLICE):
+                part = own[begin : begin + SLICE]
+                if x is not None:
+                    score = matrix(of_queries.take(pa.array(part)), dim) @ x.T
+                    # NaN is greater than any number.
+                    score[np.isnan(score)] = np.inf
+                for i, q in enumerate(part):
+                    at, shown = best_of(score[i], k, order[fit], digits) if x is not None else (fit, np.zeros(0))
+                    more = rest[: k - len(at)]
+                    asked.append(np.full(len(at) + len(more), q))
+                    found += [fit[at], more]
+                    scores += [shown, np.full(len(more), -np.inf)]
+        score = np.concatenate(scores)
+        shown = pa.array(np.where(np.isposinf(score), np.nan, score), mask=np.isneginf(score))
+        keys = ["_qblock", "_rblock"]
+        return pa.table({**_taken(queries.drop_columns(["_q", *keys]), asked), **_taken(rows.drop_columns(["_v", *keys]), found), "score": shown})
+
+    return run
+
+
+def _taken(rows: pa.Table, at: list[np.ndarray]) -> dict[str, pa.ChunkedArray]:
+    some = rows.take(pa.array(np.concatenate(at)))
+    return {n: some[n] for n in some.column_names}
+
+
 def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, digits: int | None = None, allowed: Column | None = None) -> DataFrame:
     """queries (qid, query_vector, ...), chunks (chunk_id, vector, ...): hits by cosine, ties to the smaller chunk_id.
 
-    Both sides are scaled to unit length once, so that a pair costs one product.
-    allowed: a condition on the columns of query and chunk, tried before top-k.
+    A block of queries and a block of rows are multiplied in one task, which sends
+    on the k best rows of its block for each query, so that pairs are never rows.
+    allowed: a condition on the columns of query and chunk, tried before top-k for
+    every pair.
     """
+    whole = lambda v: F.when(~F.exists(v, lambda x: x.isNull()), v)
+    if allowed is None:
+        q = queries.withColumn("_q", whole(F.col("query_vector"))).drop("query_vector")
+        c = chunks.withColumn("_v", whole(F.col("vector"))).drop("vector")
+        kept = [f for df, own in ((q, "_q"), (c, "_v")) for f in df.schema.fields if f.name != own]
+        out = T.StructType([*kept, T.StructField("score", T.DoubleType())])
+        hits = _meet(q, c, _dense_block(k, digits), out)
+        return ranked(hits, k, F.desc("score"), F.col("chunk_id"))
+    # Both sides are scaled to unit length once, so that a pair costs one product.
     q = queries.withColumn("_q", unit(F.col("query_vector"))).drop("query_vector")
     c = chunks.withColumn("_v", unit(F.col("vector"))).drop("vector")
     score = dot(F.col("_q"), F.col("_v"))
-    pairs = paired(q, c) if allowed is None else paired(q, c).where(allowed)
-    hits = pairs.withColumn("score", F.round(score, digits) if digits is not None else score).drop("_q", "_v")
+    hits = paired(q, c).where(allowed).withColumn("score", F.round(score, digits) if digits is not None else score).drop("_q", "_v")
     return ranked(hits, k, F.desc("score"), F.col("chunk_id"))
 
 
+def nearest_numbers(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """qid, chunk_id, score, rank: for each whole number qid the k nearest chunk_id by distance (score), ties to the smaller.
+
+    In a block of sorted numbers these are among the k on either side.
+    """
+
+    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        held, asked = np.sort(column(rows, "chunk_id").to_numpy()), column(queries, "qid").to_numpy()
+        found = []
+        for begin in range(0, len(asked) if len(held) else 0, SLICE):
+            q = asked[begin : begin + SLICE, None]
+            at = np.searchsorted(held, q) + np.arange(-k, k)
+            near = held[np.clip(at, 0, len(held) - 1)]
+            far = np.where((at >= 0) & (at < len(held)), np.abs(near - q).astype(np.float64), np.inf)
+            best = np.argsort(far, axis=1, kind="stable")[:, :k]
+            got = np.stack([np.repeat(q, best.shape[1], axis=1), np.take_along_axis(near, best, 1)], axis=2), np.take_along_axis(far, best, 1)
+            ok = got[1] < np.inf
+            found.append((got[0][ok], got[1][ok]))
+        pairs = np.concatenate([p for p, _ in found] or [np.zeros((0, 2), np.int64)])
+        score = np.concatenate([d for _, d in found] or [np.zeros(0)])
+        return pa.table({"qid": pairs[:, 0], "chunk_id": pairs[:, 1], "score": score})
+
+    named = lambda df, name: df.select(F.col(name).cast("long").alias(name)).where(F.col(name).isNotNull())
+    out = T.StructType([T.StructField("qid", T.LongType()), T.StructField("chunk_id", T.LongType()), T.StructField("score", T.DoubleType())])
+    hits = _meet(named(queries, "qid"), named(chunks, "chunk_id"), run, out, asked=10 * QUERY_BLOCK)
+    return ranked(hits, k, F.col("score"), F.col("chunk_id"))
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """qid, term, n_terms over distinct terms."""
     terms = queries.select("qid", F.array_distinct(query_tokens(F.col("query"))).alias("t"))

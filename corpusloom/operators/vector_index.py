@@ -7,11 +7,11 @@ before that by columns such as the organization; within a partition they are sor
 by the columns that searches filter by, so that partitions and row groups are
 pruned by the payload filter.
 
-search() sends queries to the cells nearest to them, scores codes there by lookup
-tables, and rescores a shortlist with the stored vectors. With exact=True it goes
-on: as a score cannot be off by more than what the bytes of a row miss, every row of
-any cell that may still reach the k-th best score found is rescored too, which
-gives exactly the hits of a full search.
+search() sends queries to the groups that hold the cells nearest to them, scores the
+codes of those cells, and rescores a shortlist with the stored vectors beside them; a
+group sends on its k best. With exact=True it goes on: as a score cannot be off by more
+than what the bytes of a row miss, every row of any cell that may still reach the k-th
+best score found is rescored too, which gives exactly the hits of a full search.
 
 Scores are cosines; ties go to the smaller chunk_id. Null vectors are not indexed;
 zero vectors have score 0 with everything; a vector of another size is an error.
@@ -26,11 +26,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.operators.retrieve import dot, ranked, unit
+from corpusloom.operators import retrieve
+from corpusloom.operators.retrieve import ranked
 from corpusloom.session import new_folder, stored
 
 #: Bound on the rows that cells and codebooks are fitted on, and on the number of cells.
@@ -40,11 +42,15 @@ CODEWORDS = 256
 #: Components of a subspace.
 WIDTH = 4
 STEPS = 12
-#: Share of the cells that a query probes, and rescored rows for each hit.
+#: Least share of the cells that a query probes, and rescored rows for each hit in a group of cells.
 PROBE_SHARE = 0.25
 SHORTLIST = 10
-#: Rows of a cell and queries that meet in one task.
-ROW_BLOCK = 50_000
+#: build() takes as many probes as find this share of the NEAR nearest rows of sampled rows.
+TARGET_RECALL = 0.97
+NEAR = 10
+TRIED = 256
+#: Rows of a group of cells and queries that meet in one task.
+ROW_BLOCK = 20_000
 QUERY_BLOCK = 2000
 #: Rows compared with all centres at a time.
 SLICE = 256
@@ -82,10 +88,11 @@ def normed(vectors: Sequence, dim: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Codec:
-    """centres: a row per cell. books: for each subspace its codewords; the last may be narrower than the others."""
+    """centres: a row per cell. books: for each subspace its codewords; the last may be narrower than the others. probes: see calibrated()."""
 
     centres: np.ndarray
     books: list[np.ndarray]
+    probes: int = 1
 
     @property
     def dim(self) -> int:
@@ -102,17 +109,21 @@ class Codec:
         back = np.concatenate([b[codes[:, i]] for i, b in enumerate(self.books)], axis=1)
         return cells, codes, np.linalg.norm(rest - back, axis=1)
 
-    def tables(self, q: np.ndarray) -> list[np.ndarray]:
-        """For each subspace the products of its codewords with a query."""
-        return [b @ q[i * WIDTH : (i + 1) * WIDTH] for i, b in enumerate(self.books)]
+    def decode(self, cells: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What the codes say of the rows."""
+        return self.centres[cells] + np.concatenate([b[codes[:, i]] for i, b in enumerate(self.books)], axis=1)
+
+    def nearest_cells(self, v: np.ndarray) -> np.ndarray:
+        """All cells, the nearest to a vector first."""
+        return np.argsort(0.5 * (self.centres * self.centres).sum(axis=1) - self.centres @ v, kind="stable")
 
     def to_json(self) -> str:
-        return json.dumps({"centres": self.centres.tolist(), "books": [b.tolist() for b in self.books]})
+        return json.dumps({"centres": self.centres.tolist(), "books": [b.tolist() for b in self.books], "probes": self.probes})
 
     @staticmethod
     def from_json(text: str) -> Codec:
         raw = json.loads(text)
-        return Codec(np.array(raw["centres"]), [np.array(b) for b in raw["books"]])
+        return Codec(np.array(raw["centres"]), [np.array(b) for b in raw["books"]], raw["probes"])
 
 
 def fit(points: DataFrame, cells: int, rows: int = SAMPLE_ROWS) -> Codec:
@@ -125,7 +136,23 @@ def fit(points: DataFrame, cells: int, rows: int = SAMPLE_ROWS) -> Codec:
     centres = k_means(x, cells)
     rest = x - centres[nearest(x, centres)]
     books = [k_means(rest[:, i : i + WIDTH], CODEWORDS, seed=i + 1) for i in range(0, x.shape[1], WIDTH)]
-    return Codec(centres, books)
+    return Codec(centres, books, calibrated(x, centres))
+
+
+def calibrated(x: np.ndarray, centres: np.ndarray) -> int:
+    """The cells to look into so that TARGET_RECALL of the NEAR nearest rows of sampled rows are found, by brute force on the sample.
+
+    Among all rows of the table the nearest lie nearer, in cells no farther off.
+    """
+    codec, at = Codec(centres, []), nearest(x, centres)
+    ranks = []
+    for i in np.unique(np.linspace(0, len(x) - 1, min(TRIED, len(x))).astype(np.int64)):
+        score = x @ x[i]
+        score[i] = -np.inf
+        place = np.empty(len(centres), dtype=np.int64)
+        place[codec.nearest_cells(x[i])] = np.arange(len(centres))
+        ranks += np.sort(place[at[np.argsort(-score, kind="stable")[: min(NEAR, len(x) - 1)]]]).tolist()
+    return 1 + int(np.quantile(ranks, TARGET_RECALL, method="higher")) if ranks else 1
 
 
 @dataclass(frozen=True)
@@ -174,56 +201,96 @@ def open_index(spark: SparkSession, path: str) -> VectorIndex:
 # --- search --------------------------------------------------------------------------
 
 
-def _probes(codec: Codec, probes: int) -> Callable[[Column], Column]:
-    @F.pandas_udf("array<int>")
-    def run(vectors: pd.Series) -> pd.Series:
-        q = normed(vectors.tolist(), codec.dim)
-        own = 0.5 * (codec.centres * codec.centres).sum(axis=1)
-        return pd.Series([np.argsort(own - codec.centres @ v, kind="stable")[:probes].astype(np.int32) for v in q])
+@dataclass(frozen=True)
+class _Groups:
+    """Cells dealt into groups of about ROW_BLOCK rows: a cell's first group, and over how many its rows are spread."""
 
-    return run
+    first: np.ndarray
+    spread: np.ndarray
 
+    @property
+    def n(self) -> int:
+        return int((self.first + self.spread).max(initial=1))
 
-def _score_cell(codec: Codec, keep: int | None):
-    """A function from rows of a cell and its queries to approximate scores: the `keep` best, or all that may reach the query's `least`."""
 
-    def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(rows) and len(queries):
-            codes = np.frombuffer(b"".join(rows["codes"]), dtype=np.uint8).reshape(len(rows), -1)
-            ids, miss, centre = rows["chunk_id"].to_numpy(), rows["miss"].to_numpy(), codec.centres[rows["cell"].iloc[0]]
-            for q in queries.itertuples(index=False):
-                v = normed([q.query_vector], codec.dim)[0]
-                score = np.full(len(rows), float(v @ centre))
-                for i, table in enumerate(codec.tables(v)):
-                    score += table[codes[:, i]]
-                if keep is None:
-                    at = np.nonzero(score + miss >= q.least - SLACK)[0]
-                else:
-                    at = np.argpartition(-score, min(keep, len(rows) - 1))[:keep]
-                out += [(q.qid, ids[i], float(score[i])) for i in at]
-        return pd.DataFrame(out, columns=["qid", "chunk_id", "near"])
+def _groups(index: VectorIndex) -> _Groups:
+    """At most MAX_CELLS counts are read."""
+    cells = len(index.codec.centres)
+    first, spread = np.zeros(cells, dtype=np.int64), np.ones(cells, dtype=np.int64)
+    group = held = 0
+    for r in sorted(index.cells.collect(), key=lambda r: r.cell):
+        if held and held + r.n > ROW_BLOCK:
+            group, held = group + 1, 0
+        first[r.cell], spread[r.cell] = group, max(1, math.ceil(r.n / ROW_BLOCK))
+        group, held = (group + int(spread[r.cell]), 0) if spread[r.cell] > 1 else (group, held + r.n)
+    return _Groups(first, spread)
+
+
+def _probes(codec: Codec, groups: _Groups, probes: int) -> Callable[[Column], Column]:
+    """The nearest cells of a query, and the groups that hold rows of them."""
+
+    @F.pandas_udf("struct<cells:array<int>,groups:array<int>>")
+    def run(vectors: pd.Series) -> pd.DataFrame:
+        at = [codec.nearest_cells(v)[:probes] for v in normed(vectors.tolist(), codec.dim)]
+        of = [np.unique(np.concatenate([np.arange(groups.first[c], groups.first[c] + groups.spread[c]) for c in cells])) for cells in at]
+        return pd.DataFrame({"cells": [c.astype(np.int32) for c in at], "groups": [g.astype(np.int32) for g in of]})
 
     return run
 
 
-def _scored(index: VectorIndex, asked: DataFrame, rows: DataFrame, keep: int | None) -> DataFrame:
-    """qid, chunk_id, near. asked: qid, query_vector, least, cell; a cell and its queries meet in blocks."""
-    blocks = index.cells.select("cell", F.greatest(F.lit(1), F.ceil(F.col("n") / ROW_BLOCK)).cast("int").alias("blocks"))
-    left = rows.select("cell", "chunk_id", "codes", "miss").join(F.broadcast(blocks), "cell")
-    left = left.withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.col("blocks")).cast("int")).drop("blocks")
-    right = asked.join(F.broadcast(blocks), "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    kinds = dict(asked.dtypes)["qid"], dict(rows.dtypes)["chunk_id"]
-    met = left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block"))
-    return met.applyInPandas(_score_cell(index.codec, keep), f"qid {kinds[0]}, chunk_id {kinds[1]}, near double")
+def _search_group(codec: Codec, k: int, keep: int | None, digits: int | None) -> Callable:
+    """The k best rows of a group for each query, by the stored vectors: of the `keep` best by codes in the probed cells, or of all that may reach the query's `least`."""
+
+    def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        asked, found, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if rows.num_rows and queries.num_rows:
+            rows = rows.sort_by("cell")
+            cell, miss, order = retrieve.column(rows, "cell").to_numpy(), retrieve.column(rows, "miss").to_numpy(), retrieve.id_order(rows, "chunk_id")
+            back = codec.decode(cell, np.frombuffer(b"".join(rows["codes"].to_pylist()), dtype=np.uint8).reshape(len(cell), -1))
+            x = retrieve.matrix(retrieve.column(rows, "vector"), codec.dim)
+            own, begins = np.unique(cell, return_index=True)
+            ends = np.append(begins[1:], len(cell))
+            q = retrieve.matrix(retrieve.column(queries, "query_vector"), codec.dim)
+            least, cells = retrieve.column(queries, "least").to_numpy(zero_copy_only=False), queries["cells"].to_pylist()
+            for begin in range(0, len(q), SLICE):
+                part = q[begin : begin + SLICE]
+                if keep is None:
+                    exact = part @ x.T
+                    exact[part @ back.T + miss < least[begin : begin + SLICE, None] - SLACK] = -np.inf
+                    got = [retrieve.best_of(s, k, order, digits) for s in exact]
+                else:
+                    near = np.full((len(part), len(cell)), -np.inf)
+                    probed = np.zeros((len(part), len(codec.centres)), dtype=bool)
+                    for i, some in enumerate(cells[begin : begin + SLICE]):
+                        probed[i, some] = True
+                    for c, low, high in zip(own, begins, ends, strict=True):
+                        some = np.nonzero(probed[:, c])[0]
+                        near[some, low:high] = part[some] @ back[low:high].T
+                    got = []
+                    for v, s in zip(part, near, strict=True):
+                        at = retrieve.best_of(s, keep, order)[0]
+                        best, shown = retrieve.best_of(x[at] @ v, k, order[at], digits)
+                        got.append((at[best], shown))
+                for i, (at, shown) in enumerate(got):
+                    asked.append(np.full(len(at), begin + i))
+                    found.append(at)
+                    scores.append(shown)
+        pick = lambda side, name, at: side[name].take(pa.array(np.concatenate(at)))
+        return pa.table({"qid": pick(queries, "qid", asked), "chunk_id": pick(rows, "chunk_id", found), "score": np.concatenate(scores)})
+
+    return run
 
 
-def _rescored(found: DataFrame, queries: DataFrame, rows: DataFrame, digits: int | None) -> DataFrame:
-    """qid, chunk_id, score by the stored vectors."""
-    q = queries.select("qid", unit(F.col("query_vector")).alias("_q"))
-    score = dot(F.col("_q"), unit(F.col("vector")))
-    both = found.select("qid", "chunk_id").join(rows.select("chunk_id", "vector"), "chunk_id").join(q, "qid")
-    return both.select("qid", "chunk_id", (F.round(score, digits) if digits is not None else score).alias("score"))
+def _found(index: VectorIndex, asked: DataFrame, rows: DataFrame, groups: _Groups, k: int, keep: int | None, digits: int | None) -> DataFrame:
+    """qid, chunk_id, score, rank. asked: qid, query_vector, least, cells, groups; a group and a block of queries meet in one task."""
+    blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
+    first, spread = (F.array(*map(F.lit, x.tolist())) for x in (groups.first, groups.spread))
+    at = F.get(first, F.col("cell")) + F.pmod(F.xxhash64("chunk_id"), F.get(spread, F.col("cell")))
+    left = rows.select("cell", "chunk_id", "vector", "codes", "miss", at.cast("int").alias("grp"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"))
+    right = asked.select("qid", "query_vector", "least", "cells", F.explode("groups").alias("grp"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("part"))
+    out = T.StructType([asked.schema["qid"], rows.schema["chunk_id"], T.StructField("score", T.DoubleType())])
+    hits = left.groupBy("grp", "part").cogroup(right.groupBy("grp", "part")).applyInArrow(_search_group(index.codec, k, keep, digits), out)
+    return ranked(hits, k, F.desc("score"), F.col("chunk_id"))
 
 
 def search(
@@ -231,23 +298,25 @@ def search(
 ) -> DataFrame:
     """qid, chunk_id, score, rank of the k best by cosine. queries: qid, query_vector. where: a condition on the payload.
 
-    probes: cells that a query looks into, by default PROBE_SHARE of them, one at least.
+    probes: cells that a query looks into, by default as many as build() found that
+    the sample needs, and PROBE_SHARE of all at least.
     """
     n = len(index.codec.centres)
-    probes = min(n, probes or math.ceil(PROBE_SHARE * n))
+    probes = min(n, probes or max(index.codec.probes, math.ceil(PROBE_SHARE * n)))
     rows = index.rows if where is None else index.rows.where(where)
-    asked = queries.withColumn("_cells", _probes(index.codec, probes)("query_vector"))
-    asked = stored(asked.select("qid", "query_vector", F.lit(None).cast("double").alias("least"), F.explode("_cells").alias("cell")), "probes")
-    # As many numbers as there are cells, so that the scan is narrowed to the partitions asked for.
-    probed = rows.where(F.col("cell").isin(sorted(r.cell for r in asked.select("cell").distinct().collect())))
-    near = _scored(index, asked, probed, k * shortlist)
-    near = near.withColumn("_at", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("near"), "chunk_id"))).where(F.col("_at") <= k * shortlist)
-    hits = ranked(_rescored(stored(near, "shortlist"), queries, probed, digits), k, F.desc("score"), F.col("chunk_id"))
+    groups = _groups(index)
+    asked = queries.where(F.col("query_vector").isNotNull()).withColumn("_p", _probes(index.codec, groups, probes)("query_vector"))
+    asked = stored(asked.select("qid", "query_vector", F.lit(None).cast("double").alias("least"), "_p.cells", "_p.groups"), "probes")
+    probed = rows
+    if probes < n:
+        # As many numbers as there are cells, so that the scan is narrowed to the partitions asked for.
+        probed = rows.where(F.col("cell").isin(sorted(r.cell for r in asked.select(F.explode("cells").alias("cell")).distinct().collect())))
+    hits = _found(index, asked, probed, groups, k, k * shortlist, digits)
     if not exact:
         return hits
-    # The k-th best score, if there are as many; every row that may reach it is rescored.
-    hits = stored(hits, "approximate-hits")
-    least = queries.select("qid", "query_vector").join(hits.where(F.col("rank") == k).select("qid", F.col("score").alias("least")), "qid", "left")
-    every = least.withColumn("least", F.coalesce("least", F.lit(-2.0))).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    found = stored(_scored(index, every, rows, None), "candidates")
-    return ranked(_rescored(found, queries, rows, digits), k, F.desc("score"), F.col("chunk_id"))
+    # The k-th best score, if there are as many; every row that may reach it is looked at.
+    last = stored(hits, "approximate-hits").where(F.col("rank") == k).select("qid", F.col("score").alias("_least"))
+    every = asked.join(last, "qid", "left").select(
+        "qid", "query_vector", F.coalesce("_least", F.lit(-2.0)).alias("least"), F.lit(None).cast("array<int>").alias("cells"), F.sequence(F.lit(0), F.lit(groups.n - 1)).alias("groups")
+    )
+    return _found(index, every, rows, groups, k, None, digits)

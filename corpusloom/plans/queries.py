@@ -363,8 +363,8 @@ def filtered_top_k(spark, sf_dir):
 def rank_fusion(spark, sf_dir):
     queries, chunks = _vectors(spark, sf_dir)
     dense = retrieve.dense_top_k(queries, chunks, 20, 6).select("qid", F.lit(0).alias("list_no"), "rank", "chunk_id", F.create_map(F.lit("dense"), F.col("score")).alias("scores"))
-    near = retrieve.paired(queries.select("qid"), chunks.select("chunk_id")).withColumn("score", F.abs(F.col("qid") - F.col("chunk_id")).cast("double"))
-    near = retrieve.ranked(near, 20, F.col("score"), F.col("chunk_id")).select("qid", F.lit(1).alias("list_no"), "rank", "chunk_id", F.create_map(F.lit("near"), F.col("score")).alias("scores"))
+    near = retrieve.nearest_numbers(queries.select("qid"), chunks.select("chunk_id"), 20)
+    near = near.select("qid", F.lit(1).alias("list_no"), "rank", "chunk_id", F.create_map(F.lit("near"), F.col("score")).alias("scores"))
     return retrieve.fuse(dense.unionByName(near)).select("qid", "chunk_id", F.round("score", 9).alias("score"), "rank")
 
 

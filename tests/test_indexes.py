@@ -284,3 +284,27 @@ def test_recall_on_the_embeddings_table(spark):
         pytest.skip("no tables")
     got, want = ({q: {i for i, _ in hits} for q, hits in found(QUERIES_OF_TABLES[name](spark, path)).items()} for name in ("indexed_top_k", "dense_top_k"))
     assert np.mean([len(got[q] & want[q]) / len(want[q]) for q in want]) >= 0.9
+
+
+def test_exact_search_sends_on_no_more_than_the_best_of_a_group(spark):
+    # Vectors that lie evenly: every row may reach the k-th best by its code.
+    x = np.random.default_rng(1).normal(size=(600, 16)).astype(np.float32)
+    index = vector_index.build(points(spark, x), cells=9)
+    hits = vector_index.search(asked(spark, x, range(0, 600, 20)), index, 10, exact=True, digits=6)
+    assert found(hits) == {q: best(x, q, 10) for q in range(0, 600, 20)}
+    groups = vector_index._groups(index)
+    assert groups.n == 1 and index.codec.probes > math.ceil(vector_index.PROBE_SHARE * 9)
+
+
+def test_groups_of_cells(spark, monkeypatch):
+    x = clustered(300)
+    index = vector_index.build(points(spark, x), cells=8)
+    monkeypatch.setattr(vector_index, "ROW_BLOCK", 30)
+    counts = {r.cell: r.n for r in index.cells.collect()}
+    groups = vector_index._groups(index)
+    held = {}
+    for cell, n in counts.items():
+        assert groups.spread[cell] == -(-n // 30)
+        held.setdefault(groups.first[cell], []).append(n)
+    assert all(len(ns) == 1 or sum(ns) <= 30 for ns in held.values())
+    assert found(vector_index.search(asked(spark, x, [1, 6, 9]), index, 7, exact=True, digits=6)) == {q: best(x, q, 7) for q in (1, 6, 9)}

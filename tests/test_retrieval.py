@@ -196,3 +196,27 @@ def test_retrieval_metrics_query_gathers_no_label(spark):
 
     plan = registry.QUERIES["retrieval_metrics"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list(chunk_id" not in plan
+
+
+def test_dense_top_k_multiplies_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(retrieve, "ROW_BLOCK", 5)
+    nan = float("nan")
+    rows = [(i, [float(i % 3), float(i % 5 - 2), 0.5], f"p{i}") for i in range(30)] + [(30, None, "n"), (31, [nan, 1.0, 0.0], "nan"), (32, [1.0], "short"), (33, [0.0, 0.0, 0.0], "zero"), (34, [1.0, None, 0.0], "hole")]
+    c = spark.createDataFrame(rows, "chunk_id long, vector array<double>, payload string")
+    q = spark.createDataFrame([(i, v) for i, v, _ in rows[:9]] + [(90, [2.0]), (91, None)], "qid long, query_vector array<double>")
+    # With a condition that always holds every pair is a row, as it was before.
+    always = F.col("chunk_id") >= 0
+    for k in (3, 40):
+        fast, slow = retrieve.dense_top_k(q, c, k, 6), retrieve.dense_top_k(q, c, k, 6, allowed=always)
+        got, want = (sorted(map(repr, df.select("qid", "chunk_id", "payload", "score", "rank").collect())) for df in (fast, slow))
+        assert got == want and len(got) == 11 * min(k, 35)
+    assert "PythonUDF" not in fast._jdf.queryExecution().optimizedPlan().toString() and "FlatMapCoGroupsInArrow" in fast._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nearest_numbers(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "ROW_BLOCK", 6)
+    held = [*range(0, 90, 7), 14, -5, 2**40]
+    got = retrieve.nearest_numbers(spark.createDataFrame([(i,) for i in (0, 10, 50, 2**40)], "qid long"), spark.createDataFrame([(i,) for i in held], "chunk_id long"), 4)
+    want = {q: sorted((abs(q - i), i) for i in held)[:4] for q in (0, 10, 50, 2**40)}
+    assert {(r.qid, r.rank): (r.score, r.chunk_id) for r in got.collect()} == {(q, n + 1): x for q, xs in want.items() for n, x in enumerate(xs)}
