@@ -17,7 +17,9 @@ from pyspark.sql import types as T
 
 #: Code points that count as white space, as a Java character class body.
 SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WS_WORD = f"[^{SPACE}]+"
+# Java tries the parts of a class in turn: ASCII letters are settled first. The same characters, many times as fast.
+WS_WORD = f"[!-~[^{SPACE}]]+"
+BLANK = f"[[^!-~]&&[{SPACE}]]"
 LATIN_WORD = r"[A-Za-z0-9À-ÿ']+"
 QUERY_WORD = r"[A-Za-z0-9_]+"
 CHUNK_SENTENCE = rf"(?<=[.!?])[{SPACE}]+(?=[A-ZÀ-Ý\"'])"
@@ -84,12 +86,12 @@ def answer_sentences(text: Column) -> Column:
 
 def trim(text: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
 
 
 def collapse(text: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
-    return trim(F.regexp_replace(text, f"[{SPACE}]+", " "))
+    return trim(F.regexp_replace(text, f"{BLANK}+", " "))
 
 
 def fold_lines(text: Column) -> Column:
@@ -118,7 +120,7 @@ def normalize_text(text: Column, preserve_newlines: bool = False) -> Column:
 
 def normalize_code(text: Column) -> Column:
     """Unescape, compose, fold line ends, strip line ends and blank edge lines; keep indents."""
-    lines = F.transform(F.split(fold_lines(_composed(text)), "\n"), lambda line: F.regexp_replace(line, f"[{SPACE}]+$", ""))
+    lines = F.transform(F.split(fold_lines(_composed(text)), "\n"), lambda line: F.regexp_replace(line, f"{BLANK}+$", ""))
     return F.regexp_replace(F.array_join(lines, "\n"), r"^\n+|\n+$", "")
 
 

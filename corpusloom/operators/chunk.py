@@ -171,14 +171,16 @@ def chunk_heading_aware(blocks: DataFrame, *, id_col: str = "doc_id", size: int
     units = F.when(small, F.array(unit(F.col("body"), size))).otherwise(
         F.concat(F.array(unit(F.array_join(prose, "\n\n"), 0)), F.transform(texts(lambda p: p["block_type"].isin(*ATOMIC)), lambda t: unit(t, 2 * size)))
     )
-    rows = rows.select(id_col, "section_no", F.col("title").alias("section"), F.col("level").alias("heading_level"), "page", F.posexplode(units).alias("unit_no", "u"))
-    n = token_count(F.col("u.text"))
+    rows = rows.select(id_col, "section_no", F.col("title").alias("section"), F.col("level").alias("heading_level"), "page", F.posexplode_outer(units).alias("unit_no", "u"))
+    # Outer, as a filter for empty arrays would be tried below the splitter and split every text twice; words are counted once.
+    rows = rows.withColumn("_words", F.explode_outer(F.array(token_count(F.col("u.text")))))
+    n = F.col("_words")
     whole = (F.col("u.most") > 0) & (n <= F.col("u.most"))
     pieces = split_recursive(F.when(~whole, F.col("u.text")), size, overlap)
     one = F.array(F.struct(F.col("u.text").alias("text"), n.cast("int").alias("token_count"), F.lit("atomic").alias("split"), F.lit(None).cast("int").alias("window_start")))
     rows = rows.withColumns({"_pieces": pieces, "_one": one, "_whole": whole})
     rows = rows.withColumn("_all", F.when(F.col("_whole"), F.col("_one")).otherwise(F.col("_pieces")))
-    rows = rows.select(id_col, "section_no", "unit_no", "section", "heading_level", "page", F.posexplode("_all").alias("piece_no", "c"))
+    rows = rows.select(id_col, "section_no", "unit_no", "section", "heading_level", "page", F.posexplode_outer("_all").alias("piece_no", "c")).where(F.col("c").isNotNull())
     rows = _numbered(rows, id_col, "section_no", "unit_no", "piece_no")
     return rows.select(id_col, "ordinal", F.lit("leaf").alias("kind"), "section", "heading_level", "page", "c.split", "c.token_count", "c.text")
 
@@ -201,7 +203,8 @@ def chunk_parent_child(
         F.transform("_pieces", lambda p: item("child", p["text"], p["token_count"]))
     )
     items = F.concat(F.array(item("parent", F.col("_parent"), F.least("_n", F.lit(parent_max)))), children)
-    rows = rows.select(id_col, "section_no", "_sole", F.col("title").alias("section"), F.col("level").alias("heading_level"), "page", F.posexplode(items).alias("item_no", "c"))
+    # Never empty; outer, as else a filter for that would split every text twice.
+    rows = rows.select(id_col, "section_no", "_sole", F.col("title").alias("section"), F.col("level").alias("heading_level"), "page", F.posexplode_outer(items).alias("item_no", "c"))
     rows = _numbered(rows, id_col, "section_no", "item_no")
     mine = Window.partitionBy(id_col, "section_no")
     up = F.when(F.col("c.kind") == "child", F.min("ordinal").over(mine))

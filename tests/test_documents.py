@@ -5,11 +5,13 @@ import random
 import re
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import chunk, dedup, normalize, parse
 from corpusloom.plans import corpus
+from corpusloom.session import configure
 
 TEXT = """# Payment guide
 
@@ -232,3 +234,20 @@ def test_sections_and_strategies(spark):
         chunk.run_chunker(blocks, "other")
     assert {s: chunk.run_chunker(blocks, s).count() > 0 for s in ("fixed", "recursive", "heading_aware", "parent_child")} == dict.fromkeys(("fixed", "recursive", "heading_aware", "parent_child"), True)
     assert {r.kind for r in chunk.kind_counts(chunk.chunk_parent_child(blocks)).collect()} == {"parent"}
+
+
+def test_texts_are_split_once(spark):
+    rows = [(d, i, "heading" if i % 4 == 0 else "paragraph", f"word{i} " * (60 * i), 2 if i % 4 == 0 else None, None, None, False) for d in range(2) for i in range(9)]
+    blocks = spark.createDataFrame(rows, "doc_id long, ordinal int, block_type string, text string, heading_level int, page int, section string, dropped boolean")
+    for chunks in (chunk.chunk_heading_aware(blocks), chunk.chunk_parent_child(blocks)):
+        assert chunks._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+        assert chunks.count() > 4
+
+
+def test_batches_of_a_worker_are_bounded_by_bytes(spark):
+    @F.pandas_udf("long")
+    def size(texts: pd.Series) -> pd.Series:
+        return pd.Series([int(texts.str.len().sum())] * len(texts))
+
+    rows = configure(spark).range(3000).coalesce(1).select(size(F.repeat(F.lit("x"), 5000)).alias("n"))
+    assert rows.agg(F.max("n")).first()[0] < 4 << 20

@@ -90,3 +90,10 @@ def test_fingerprints(spark):
     df = spark.createDataFrame(list(enumerate(values)), "i int, t string")
     got = {r.i: r.simhash for r in hashing.simhash64_md5(df, "i", "t").collect()}
     assert [got[i] for i in range(len(values))] == [vote(t, md5) for t in values]
+
+
+def test_white_space_is_what_python_splits_at(spark):
+    every = [chr(i) for i in range(1, 0x3100)] + ["﻿", "�", "\U0001f600"]
+    rows = spark.createDataFrame([(f"a{c}b",) for c in every], "t string")
+    got = rows.select("t", text.token_count(F.col("t")).alias("n"), text.ws_tokens(F.col("t")).alias("w"), text.trim(F.substring("t", 2, 2)).alias("x")).collect()
+    assert all((r.n, r.w) == (len(r.t.split()), r.t.split()) and r.x == r.t[1:].strip() for r in got)
