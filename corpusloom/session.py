@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # What a Python worker makes of a batch can be many times as large, so that the batch is bounded by its bytes, not by its rows.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "2m",
 }
 
 
