@@ -157,9 +157,11 @@ def crawl_changes(previous: DataFrame, fetched: DataFrame) -> DataFrame:
     """url, op: by status and hash. previous: url, etag. fetched: url, status, etag.
 
     304 and an equal tag are unchanged, 404 and 410 are deletes, other errors are left for the next time.
+    A fetched row gives one row, also where the url is known several times: any of its tags may be equal.
     """
-    rows = fetched.join(previous.select("url", F.col("etag").alias("_old")), "url", "left")
-    same = (F.col("status") == 304) | ((F.col("status") == 200) & F.col("etag").eqNullSafe(F.col("_old")) & F.col("_old").isNotNull())
+    known = previous.where(F.col("etag").isNotNull()).select("url", "etag").distinct().withColumn("_same", F.lit(True))
+    rows = fetched.join(known, ["url", "etag"], "left")
+    same = (F.col("status") == 304) | ((F.col("status") == 200) & F.col("_same").isNotNull())
     op = F.when(F.col("status").isin(404, 410), "delete").when(same, "unchanged").when(F.col("status") == 200, "upsert").otherwise("retry")
     return rows.select("url", op.alias("op"))
 

@@ -3,10 +3,13 @@
 import datetime
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import ingest
+from corpusloom.plans import queries
+from corpusloom.plans import feed_queries, process_queries  # noqa: F401
 from corpusloom.session import configure
 from corpusloom.sources import feeds, files, tables
 from corpusloom.streaming import sync
@@ -270,3 +273,19 @@ def test_late_side_of_a_stream(spark, tmp_path):
     stream = sync.late_stream(sync.file_stream(spark, f"file://{tmp_path}/in", "key string, event_id long, at timestamp"), 60)
     stream.writeStream.format("memory").queryName("late_side").option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination(100)
     assert {r.event_id: r.is_late for r in spark.table("late_side").collect()} == {1: False, 2: True, 4: False}
+
+
+def test_changes_of_urls_known_more_than_once(spark):
+    known = spark.createDataFrame([("u", "a"), ("u", "a"), ("u", "b"), ("v", None)], "url string, etag string")
+    fetched = spark.createDataFrame([("u", 200, "b"), ("u", 200, "c"), ("u", 304, None), ("v", 200, None), ("w", 404, "x")], "url string, status int, etag string")
+    got = sorted(map(tuple, feeds.crawl_changes(known, fetched).collect()))
+    assert got == [("u", "unchanged"), ("u", "unchanged"), ("u", "upsert"), ("v", "upsert"), ("w", "delete")]
+
+
+def test_pages_of_one_url_are_told_apart(spark, tmp_path):
+    pages = [(i, f"http://h/{i % 7}", "") for i in range(40)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    for name in ("crawl_changes", "sitemap_changes"):
+        assert sorted(map(tuple, queries.QUERIES[name](spark, str(tmp_path)).collect())) == sorted(con.execute(queries.ORACLE_SQL[name]).fetchall())
