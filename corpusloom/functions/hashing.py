@@ -87,7 +87,7 @@ def simhash64_md5(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     for b in range(1, BITS):
         value = value.bitwiseOR(bit(b))
     found = votes.select(F.col(id_col).alias("_sid"), value.alias("simhash"))
-    return docs.select(id_col).join(found, F.col(id_col) == F.col("_sid"), "left").select(id_col, F.coalesce("simhash", F.lit(0)).alias("simhash"))
+    return docs.select(id_col).join(found.hint("merge"), F.col(id_col) == F.col("_sid"), "left").select(id_col, F.coalesce("simhash", F.lit(0)).alias("simhash"))
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -41,7 +41,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     docs = stored(docs.select("org", "id", "created_at", "content_hash"), "hashed-documents")
     same = F.col("org").eqNullSafe(F.col("o")) & F.col("content_hash").eqNullSafe(F.col("h"))
     return (
-        docs.join(_shared(docs), same)
+        docs.join(_shared(docs).hint("merge"), same)
         .where(F.struct("created_at", "id") > F.col("_first"))
         .select("org", F.col("_first.id").alias("canonical_id"), F.col("id").alias("duplicate_id"), F.lit("exact").alias("kind"), F.lit(1.0).alias("score"))
     )
@@ -63,7 +63,8 @@ def near_links(nodes: DataFrame, max_hamming: int = MAX_HAMMING) -> DataFrame:
     keys = F.array(*[F.col("simhash").bitwiseAND(F.lit(signed(sum(masks[i] for i in some))).cast("long")) for some in combinations(range(blocks), KEY_BLOCKS)])
     keyed = nodes.select("org", "simhash", F.posexplode(keys).alias("blocks", "key"))
     a, b = keyed.withColumnRenamed("simhash", "a"), keyed.withColumnRenamed("simhash", "b")
-    near = a.join(b, ["org", "blocks", "key"]).where((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= max_hamming)).select("org", "a", "b").distinct()
+    # Both sides grow with the documents: never broadcast, which would bring them to the driver.
+    near = a.join(b.hint("merge"), ["org", "blocks", "key"]).where((F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= max_hamming)).select("org", "a", "b").distinct()
     same = nodes.select("org", F.col("simhash").alias("a"), F.col("simhash").alias("b"))
     return near.unionByName(near.select("org", F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(same)
 
@@ -83,13 +84,13 @@ def near_duplicates(docs: DataFrame, max_hamming: int = MAX_HAMMING, every_pair:
     order = F.struct("created_at", "id")
     fresh = docs.where(F.col("simhash") != 0).withColumn("_at", order)
     same = F.col("org").eqNullSafe(F.col("o")) & F.col("content_hash").eqNullSafe(F.col("h"))
-    fresh = fresh.join(_shared(fresh), same, "left").withColumn("_exact", F.coalesce(F.col("_first") < F.col("_at"), F.lit(False))).drop("o", "h", "_first")
+    fresh = fresh.join(_shared(fresh).hint("merge"), same, "left").withColumn("_exact", F.coalesce(F.col("_first") < F.col("_at"), F.lit(False))).drop("o", "h", "_first")
     nodes = stored(fresh.groupBy("org", "simhash").agg(F.min("_at").alias("_old")), "fingerprint-nodes")
     links = near_links(nodes.select("org", "simhash"), max_hamming)
     earlier = (fresh if every_pair else nodes).select("org", F.col("simhash").alias("a"), F.col("_at" if every_pair else "_old").alias("_old"))
     later = fresh.where(~F.col("_exact")).select("org", F.col("simhash").alias("b"), F.col("_at").alias("_new"))
     return (
-        links.join(earlier, ["org", "a"]).join(later, ["org", "b"])
+        links.hint("merge").join(earlier.hint("merge"), ["org", "a"]).join(later.hint("merge"), ["org", "b"])
         .where(F.col("_old") < F.col("_new"))
         .select(
             "org", F.col("_old.id").alias("canonical_id"), F.col("_new.id").alias("duplicate_id"), F.lit("near").alias("kind"),

@@ -87,7 +87,7 @@ def language(spark, sf_dir):
 def _fingerprinted(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     prints = hashing.simhash64_md5(docs, "doc_id", "text")
-    rows = docs.select("doc_id", hashing.sha256_text(text.normalize_text(F.col("text"))).alias("content_hash")).join(prints, "doc_id")
+    rows = docs.select("doc_id", hashing.sha256_text(text.normalize_text(F.col("text"))).alias("content_hash")).join(prints.hint("merge"), "doc_id")
     return rows.select((F.col("doc_id") % 3).alias("org"), F.col("doc_id").alias("id"), F.col("doc_id").alias("created_at"), "content_hash", "simhash")
 
 
