@@ -68,8 +68,8 @@ FORMAT = ("chars", "digits", "letters", "upper", "breaks")
 CONTEXT = ("assigned", "quoted", "lead", "closed", "mail_word", "phone_word", "digit_after")
 FEATURES = ("kind", *FORMAT, *CONTEXT)
 
-#: Training: at most about SAMPLE_ROWS candidates, chosen by hash; the other bounds are those of the trees.
-SAMPLE_ROWS = 200_000
+#: Training: on all candidates; a caller may bound them to about so many, chosen by hash. The other bounds are those of the trees.
+SAMPLE_ROWS = None
 ROUNDS = 6
 RATE = 0.5
 L2 = 1.0
@@ -302,18 +302,18 @@ def _best(sums: dict[tuple[int, int], tuple[float, float]], allowed: Sequence[in
 ROOTS = (tuple(range(1 + len(FORMAT))), (0, *range(1 + len(FORMAT), len(FEATURES))))
 
 
-def train(spans: DataFrame, sample_rows: int = SAMPLE_ROWS, rounds: int = ROUNDS) -> Trees:
+def train(spans: DataFrame, sample_rows: int | None = SAMPLE_ROWS, rounds: int = ROUNDS) -> Trees:
     """Boost trees on candidates (key, kind, ok, f) whose label ok is known.
 
     The rows are first summed into cells of equal features, so that a round reads
     one row per cell whatever the size of the corpus.
     """
     spans = spans.where(F.col("ok").isNotNull())
-    n = spans.count()
-    part = max(1, math.ceil(n / sample_rows))
+    if sample_rows is not None:
+        part = max(1, math.ceil(spans.count() / sample_rows))
+        spans = spans.where(F.pmod(F.xxhash64("key"), F.lit(part)) == 0)
     cells = stored(
-        spans.where(F.pmod(F.xxhash64("key"), F.lit(part)) == 0)
-        .groupBy("f", "kind", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(2)).alias("half"))
+        spans.groupBy("f", "kind", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(2)).alias("half"))
         .agg(F.sum(F.col("ok").cast("double")).alias("yes"), F.count("*").cast("double").alias("all")),
         "pii-cells",
     )
@@ -377,7 +377,7 @@ def detect(
     id_col: str = "doc_id",
     text: str = "text",
     keep: Sequence[str] = (),
-    sample_rows: int = SAMPLE_ROWS,
+    sample_rows: int | None = SAMPLE_ROWS,
     rounds: int = ROUNDS,
     trees: Trees | None = None,
 ) -> DataFrame:
