@@ -63,20 +63,34 @@ class Index:
 ROWS = "kind string, shard long, term string, n int, top_tf long, low_len long, pos binary, tf binary, at int, n_tokens long, chunk_id "
 
 
-def _shard_rows(number: int, docs: list[tuple[object, Counter]]) -> Iterator[pd.DataFrame]:
+class _Shard:
+    """The chunks of a shard, each as the numbers of its terms and their counts: eight bytes a posting, and each term once."""
+
+    def __init__(self):
+        self.ids: dict[bytes, int] = {}
+        self.docs: list[tuple[object, np.ndarray, np.ndarray]] = []
+        self.postings = 0
+
+    def add(self, chunk_id: object, text: bytes | None) -> None:
+        counts, ids = Counter((text or b"").translate(WORDS).split()), self.ids
+        terms = np.fromiter((ids.setdefault(t, len(ids)) for t in counts), dtype=np.int32, count=len(counts))
+        self.docs.append((chunk_id, terms, np.fromiter(counts.values(), dtype="<u4", count=len(counts))))
+        self.postings += len(counts)
+
+
+def _shard_rows(number: int, shard: _Shard) -> Iterator[pd.DataFrame]:
     """The rows of one shard: its chunks, its lengths, and its postings in blocks."""
-    docs.sort(key=lambda d: (d[0] is None, d[0]))
-    lens = np.array([sum(n.values()) for _, n in docs], dtype="<u4")
+    docs, ids = sorted(shard.docs, key=lambda d: (d[0] is None, d[0])), shard.ids
+    lens = np.array([n.sum() for _, _, n in docs], dtype="<u4")
     blank = dict.fromkeys(("term", "n", "top_tf", "low_len", "pos", "tf", "at", "n_tokens", "chunk_id"))
     made = [{**blank, "kind": "doc", "shard": number, "at": i, "n_tokens": int(lens[i]), "chunk_id": d[0]} for i, d in enumerate(docs)]
     made.append({**blank, "kind": "block", "shard": number, "term": "", "n": 0, "tf": lens.tobytes()})
-    ids: dict[bytes, int] = {}
-    size = [len(n) for _, n in docs]
-    term = np.fromiter((ids.setdefault(t, len(ids)) for _, n in docs for t in n), dtype=np.int64, count=sum(size))
-    tf = np.fromiter((c for _, n in docs for c in n.values()), dtype="<u4", count=sum(size))
+    size = [len(n) for _, _, n in docs]
+    term = np.concatenate([t for _, t, _ in docs])
+    tf = np.concatenate([n for _, _, n in docs])
     pos = np.repeat(np.arange(len(docs), dtype="<u2"), size)
     names = sorted(ids)
-    rank = np.empty(len(names), dtype=np.int64)
+    rank = np.empty(len(names), dtype=np.int32)
     rank[[ids[t] for t in names]] = np.arange(len(names))
     term = rank[term] if len(names) else term
     mean = lens.mean() if len(lens) else 0.0
@@ -101,16 +115,14 @@ def _shard_rows(number: int, docs: list[tuple[object, Counter]]) -> Iterator[pd.
 
 
 def _make_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: list[tuple[object, Counter]] = []
-    number, postings = TaskContext.get().partitionId() << 32, 0
+    held, number = _Shard(), TaskContext.get().partitionId() << 32
     for rows in batches:
         for chunk_id, text in zip(rows["chunk_id"], rows["text"], strict=True):
-            held.append((chunk_id, Counter((text or b"").translate(WORDS).split())))
-            postings += len(held[-1][1])
-            if len(held) >= SHARD_DOCS or postings >= SHARD_POSTINGS:
+            held.add(chunk_id, text)
+            if len(held.docs) >= SHARD_DOCS or held.postings >= SHARD_POSTINGS:
                 yield from _shard_rows(number, held)
-                number, postings, held = number + 1, 0, []
-    if held:
+                number, held = number + 1, _Shard()
+    if held.docs:
         yield from _shard_rows(number, held)
 
 

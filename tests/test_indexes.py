@@ -308,3 +308,13 @@ def test_groups_of_cells(spark, monkeypatch):
         held.setdefault(groups.first[cell], []).append(n)
     assert all(len(ns) == 1 or sum(ns) <= 30 for ns in held.values())
     assert found(vector_index.search(asked(spark, x, [1, 6, 9]), index, 7, exact=True, digits=6)) == {q: best(x, q, 7) for q in (1, 6, 9)}
+
+
+def test_a_shard_holds_a_term_once_and_eight_bytes_a_posting():
+    shard = inverted._Shard()
+    for i in range(50):
+        shard.add(i, b"alpha Beta alpha " * i + b"w%d" % i)
+    assert shard.postings == 49 * 2 + 50 and len(shard.ids) == 52
+    assert sum(t.nbytes + n.nbytes for _, t, n in shard.docs) == 8 * shard.postings
+    rows = next(iter(inverted._shard_rows(0, shard)))
+    assert rows[(rows["kind"] == "block") & (rows["term"] == "alpha")]["n"].sum() == 49
