@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 from corpusloom.llm import bpe, pii, simhash_neardup, source_mixing, toxicity
 from corpusloom.llm.labelled import fold
-from corpusloom.session import stored
+from corpusloom.session import configure, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 VOCABULARY = "word_bpe_49k.json"
@@ -66,6 +66,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of the mix."""
+    # Batches bounded by bytes: the stages before leave little of an executor's memory to its workers.
+    configure(spark)
     path = public_tokenizers.path(VOCABULARY)
     return docs.select("doc_id", bpe.digests(spark, F.col("text"), path).alias("d")).select("doc_id", "d.*")
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries kept per worker: pieces are dear to encode, words cheap to put together from pieces.
-PIECES_KEPT = 1 << 19
+PIECES_KEPT = 1 << 18
 WORDS_KEPT = 1 << 17
 LONGEST_KEPT = 64
 #: White space of Unicode; Python's own class has U+001C to U+001F besides.
@@ -36,6 +36,9 @@ SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 _SPACES = regex.compile(SPACE)
 _SEPARATORS = regex.compile(r"[\x1c-\x1f]")
 NO_PAIR = 1 << 62
+#: Symbols up to which a piece is searched pair by pair, which is quicker than a tree.
+SHORT = 48
+_NONE = (NO_PAIR, -1)
 ID_BITS = 24
 
 
@@ -76,6 +79,8 @@ class Vocabulary:
         n = len(symbols)
         if n < 2:
             return symbols
+        if n <= SHORT:
+            return self.merge_short(symbols)
         merges, shift = self.merges.get, n.bit_length()
         mask, half = (1 << shift) - 1, 1 << (n - 1).bit_length()
         tree = [NO_PAIR] * (2 * half)
@@ -116,6 +121,20 @@ class Vocabulary:
                     tree[at] = least
         return [s for s in symbols if s >= 0]
 
+    def merge_short(self, symbols: list[int]) -> list[int]:
+        """merge() by looking at all pairs each time; of equal ranks, which are equal pairs, the first is found."""
+        merges = self.merges.get
+        pairs = [merges(a << ID_BITS | b, _NONE) for a, b in zip(symbols, symbols[1:])]
+        while pairs and (best := min(pairs)) is not _NONE:
+            i = pairs.index(best)
+            symbols[i] = mine = best[1]
+            del symbols[i + 1], pairs[i]
+            if i:
+                pairs[i - 1] = merges(symbols[i - 1] << ID_BITS | mine, _NONE)
+            if i < len(pairs):
+                pairs[i] = merges(mine << ID_BITS | symbols[i + 1], _NONE)
+        return symbols
+
     def piece(self, piece: str) -> list[int]:
         """Ids of one piece of the splitting pattern."""
         names = [self.chars[b] for b in piece.encode("utf-8", "surrogatepass")]

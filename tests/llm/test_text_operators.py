@@ -12,7 +12,7 @@ import regex
 import xxhash
 from pyspark.sql import functions as F
 
-from corpusloom.llm import license_scan, pii, quality_rules, registry, simhash_neardup, source_mixing
+from corpusloom.llm import bpe, license_scan, pii, quality_rules, registry, simhash_neardup, source_mixing
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -463,3 +463,25 @@ def test_pii_query_digests(spark, tmp_path):
     assert (row.n_email, row.n_ip, row.n_card, row.n_phone) == (1, 1, 0, 0)
     assert row.spans == "email:5:13,ip:19:26"
     assert row.base_sha256 == hashlib.sha256(row.spans.encode()).hexdigest()
+
+
+def test_personal_data_is_learned_from_every_candidate(spark):
+    n = 250_000
+    f = F.array_repeat(F.lit(0), len(pii.FEATURES))
+    spans = spark.range(n).select(F.col("id").alias("key"), F.lit(0).alias("kind"), (F.col("id") % 5 == 0).alias("ok"), f.alias("f"))
+    half = spans.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(2)) == 0)
+    yes, every = half.where("ok").count(), half.count()
+    assert pii.train(spans, rounds=0).base == math.log((yes + 0.5) / (every - yes + 0.5))
+
+
+def test_short_pieces_merge_as_the_tree_does(monkeypatch):
+    vocabulary = bpe.Vocabulary.__new__(bpe.Vocabulary)
+    rng = random.Random(5)
+    pairs = [(a, b) for a in range(12) for b in range(12)]
+    rng.shuffle(pairs)
+    vocabulary.merges = {a << bpe.ID_BITS | b: (rank, rng.randrange(12)) for rank, (a, b) in enumerate(pairs[:70])}
+    for n in [*range(0, 30), bpe.SHORT]:
+        symbols = [rng.randrange(12) for _ in range(n)]
+        monkeypatch.setattr(bpe, "SHORT", 0)
+        tree = vocabulary.merge(list(symbols))
+        assert vocabulary.merge_short(list(symbols)) == tree
