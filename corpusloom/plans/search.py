@@ -131,11 +131,11 @@ def holders(passages: DataFrame, chunks: DataFrame, index: Index | None = None)
     return near.select("qid", "chunk_id", "passage", "text").unionByName(short.select("qid", "chunk_id", "passage", "text")).where(F.contains("text", "passage")).select("qid", "chunk_id")
 
 
-def evaluate_run(records: DataFrame, chunks: DataFrame, config: SearchConfig, name: str) -> DataFrame:
+def evaluate_run(records: DataFrame, chunks: DataFrame, config: SearchConfig, name: str, index: Index | None = None) -> DataFrame:
     """One row of mean metrics over records (qid, question, expected_answer, relevant)."""
     asked = records.select("qid", F.col("question").alias("query"))
     # Metrics read the hits and the context several times; both are at most top_k rows a question.
-    hits = stored(search(asked, chunks, config), "hits")
+    hits = stored(search(asked, chunks, config, index), "hits")
     context = stored(retrieve.select_context(hits, config.budget), "context")
     found = hits.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "document_id"))).alias("_h"))
     full = context.join(hits.select("qid", "chunk_id", "text", "score", "document_id", "version_id"), ["qid", "chunk_id"])
@@ -163,5 +163,7 @@ def experiment(records: DataFrame, chunks: DataFrame, base: SearchConfig) -> Dat
     from dataclasses import replace
 
     grid = {"dense": replace(base, mode="dense", rerank=False), "hybrid": replace(base, mode="hybrid", rerank=False), "hybrid_rerank": replace(base, mode="hybrid", rerank=True)}
-    rows = [evaluate_run(records, chunks, c, n) for n, c in grid.items()]
+    # Chunks are indexed once for all runs.
+    index = inverted.build(chunks.select("chunk_id", "text"))
+    rows = [evaluate_run(records, chunks, c, n, index) for n, c in grid.items()]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])

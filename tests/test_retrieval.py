@@ -220,3 +220,14 @@ def test_nearest_numbers(spark, monkeypatch):
     got = retrieve.nearest_numbers(spark.createDataFrame([(i,) for i in (0, 10, 50, 2**40)], "qid long"), spark.createDataFrame([(i,) for i in held], "chunk_id long"), 4)
     want = {q: sorted((abs(q - i), i) for i in held)[:4] for q in (0, 10, 50, 2**40)}
     assert {(r.qid, r.rank): (r.score, r.chunk_id) for r in got.collect()} == {(q, n + 1): x for q, xs in want.items() for n, x in enumerate(xs)}
+
+
+def test_an_experiment_indexes_its_chunks_once(spark, monkeypatch):
+    made, build = [], inverted.build
+    monkeypatch.setattr(search.inverted, "build", lambda *a, **k: made.append(1) or build(*a, **k))
+    texts = ["alpha beta gamma", "beta gamma delta", "delta alpha beta"]
+    rows = [(str(i), str(i), str(i), "1", i, 3, t, [float(i), 1.0]) for i, t in enumerate(texts)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, parent_chunk_id string, document_id string, version_id string, ordinal int, token_count int, text string, vector array<double>")
+    records = spark.createDataFrame([("q", "alpha beta", "alpha beta", ["0"])], "qid string, question string, expected_answer string, relevant array<string>")
+    assert search.experiment(records, chunks, search.SearchConfig(dimension=2)).count() == 3
+    assert len(made) == 1
