@@ -156,23 +156,30 @@ def least_of_one_class(rows: int, in_class: float) -> int:
 
 
 def frequent_pairs(rows: Sequence[np.ndarray], y: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
-    """For each of n terms, by its place, whether a pair of two of them leans; counted in blocks of a matrix."""
-    x = np.zeros((len(rows), n), dtype=np.uint8)
+    """For each of n terms, by its place, whether a pair of two of them leans; counted in square blocks of a matrix held as bits."""
+    x = np.zeros((len(rows), -(-n // PAIR_BLOCK) * PAIR_BLOCK // 8), dtype=np.uint8)
     for i, r in enumerate(rows):
         at = place[r]
-        x[i, at[at >= 0]] = 1
+        at = at[at >= 0]
+        np.bitwise_or.at(x[i], at >> 3, (128 >> (at & 7)).astype(np.uint8))
     paired = np.zeros(n, dtype=bool)
+
+    def block(at: int, first: int) -> np.ndarray:
+        return np.unpackbits(x[at : at + ROW_BLOCK, first // 8 : (first + PAIR_BLOCK) // 8], axis=1).astype(np.float32)
+
     for first in range(0, n, PAIR_BLOCK):
-        both = both_yes = 0.0
-        for at in range(0, len(rows), ROW_BLOCK):
-            # Counts are whole numbers below 2^24, exact in single precision.
-            rest = x[at : at + ROW_BLOCK, first:].astype(np.float32)
-            part = rest[:, :PAIR_BLOCK]
-            both, both_yes = both + part.T @ rest, both_yes + part.T @ (rest * (y[at : at + ROW_BLOCK, None] == 1))
-        hit = leaning_pairs(both, both_yes, len(y), y.sum())
-        hit[np.arange(len(hit)), np.arange(len(hit))] = False
-        paired[first : first + PAIR_BLOCK] |= hit.any(axis=1)
-        paired[first:] |= hit.any(axis=0)
+        for other in range(first, n, PAIR_BLOCK):
+            both = both_yes = 0.0
+            for at in range(0, len(rows), ROW_BLOCK):
+                # Counts are whole numbers below 2^24, exact in single precision.
+                left, right = block(at, first), block(at, other)
+                own = y[at : at + ROW_BLOCK] == 1
+                both, both_yes = both + left.T @ right, both_yes + left[own].T @ right[own]
+            hit = leaning_pairs(both, both_yes, len(y), y.sum())[: n - first, : n - other]
+            if first == other:
+                np.fill_diagonal(hit, False)
+            paired[first : first + PAIR_BLOCK] |= hit.any(axis=1)
+            paired[other : other + PAIR_BLOCK] |= hit.any(axis=0)
     return paired
 
 
@@ -255,6 +262,7 @@ def fit_rows(rows: Sequence[np.ndarray], n: int, y: np.ndarray, slots: dict[int,
     rng = np.random.default_rng(seed)
     held = np.arange(len(y)) % 5 == 4
     fit = np.nonzero(~held)[0]
+    size = np.array([len(r) for r in rows])
     params = [np.array([prior]), np.zeros(n), rng.normal(0, 0.01, (n, FACTORS))]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     t = 0
@@ -262,24 +270,28 @@ def fit_rows(rows: Sequence[np.ndarray], n: int, y: np.ndarray, slots: dict[int,
         rng.shuffle(fit)
         for at in range(0, len(fit), BATCH):
             part = fit[at : at + BATCH]
-            b = np.zeros((len(part), n))
-            for k, i in enumerate(part):
-                b[k, rows[i]] = 1 / np.sqrt(max(len(rows[i]), 1))
-            s = b @ params[2]
-            squared = b * b
-            squares = squared @ (params[2] ** 2)
-            margin = params[0][0] + b @ params[1] + 0.5 * (s * s - squares).sum(axis=1)
-            e = (sigmoid(margin) - y[part]) / len(part)
+            # The inputs of the batch's rows one after another, summed in this order: memory does not grow with n, and reruns agree to the last digit.
+            named, k = np.concatenate([rows[i] for i in part]), size[part]
+            some, x = k > 0, np.repeat(1 / np.sqrt(np.maximum(k, 1)), k)
+            begins = (np.cumsum(k) - k)[some]
+            v = params[2][named] * x[:, None]
+            s, alone = np.zeros((len(part), FACTORS)), np.zeros(len(part))
+            if some.any():
+                s[some] = np.add.reduceat(v, begins, axis=0)
+                alone[some] = np.add.reduceat(params[1][named] * x - 0.5 * (v * v).sum(axis=1), begins)
+            e = (sigmoid(params[0][0] + alone + 0.5 * (s * s).sum(axis=1)) - y[part]) / len(part)
+            pull = x * np.repeat(e, k)
+            own = np.bincount(named, x * pull, n)
             grads = [
                 np.array([e.sum()]),
-                b.T @ e + L2 * params[1],
-                b.T @ (e[:, None] * s) - (squared.T @ e)[:, None] * params[2] + L2 * params[2],
+                np.bincount(named, pull, n) + L2 * params[1],
+                np.stack([np.bincount(named, pull * np.repeat(f, k), n) for f in s.T], axis=1) + (L2 - own[:, None]) * params[2],
             ]
             t += 1
-            for p, g, m, v in zip(params, grads, first, second, strict=True):
+            for p, g, m, q in zip(params, grads, first, second, strict=True):
                 m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                p -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+                q += 0.001 * (g * g - q)
+                p -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(q / (1 - 0.999**t)) + 1e-8)
     out = Machine(slots, float(params[0][0]), params[1], params[2])
     if held.any() and 0 < y[held].sum() < held.sum():
         margin = np.array([out.margin(rows[i]) for i in np.nonzero(held)[0]])

@@ -6,6 +6,7 @@ import os
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -132,6 +133,25 @@ def test_inputs_match_brute_force(share, monkeypatch):
     assert toxicity.inputs([], np.zeros(0)) == [] and toxicity.inputs([np.zeros(0, dtype=np.int64)], np.ones(1)) == []
 
 
+def test_memory_of_a_fit_does_not_grow_with_terms_times_rows(monkeypatch):
+    """What the driver holds while it counts pairs of frequent terms and while it fits: a few bytes an input, no dense rows."""
+    monkeypatch.setattr(toxicity, "EPOCHS", 1)
+    rng = np.random.default_rng(4)
+    y = (np.arange(600) % 5 == 0).astype(float)
+    rows = [np.unique(rng.integers(0, 6000, 100)) for _ in y]
+
+    def peak(run):
+        tracemalloc.start()
+        try:
+            run()
+            return tracemalloc.get_traced_memory()[1] / 1e6
+        finally:
+            tracemalloc.stop()
+
+    assert peak(lambda: toxicity.frequent_pairs(rows, y, np.arange(6000), 6000)) < 40
+    assert peak(lambda: toxicity.fit_rows(rows, 6000, y, {})) < 12
+
+
 def test_a_rare_pair_is_an_input_where_neither_term_is():
     rows = [np.zeros(0, dtype=np.int64) for _ in range(8000)]
     y = (np.arange(8000) % 10 == 0).astype(float)
