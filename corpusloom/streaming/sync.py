@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -63,7 +64,14 @@ def milliseconds(span: str | None) -> int | None:
     return None if span is None else int(pd.Timedelta(span).total_seconds() * 1000)
 
 
-VERSION_ROWS = "document_id {key}, version_number int, content_hash string, arrived {arrived}"
+VERSION_ROWS = "document_id {key}, number int, hashes array<string>, times array<{arrived}>"
+
+
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A batch's arrivals as one row for each of its documents."""
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]).group_by("document_id", use_threads=False).aggregate([("content_hash", "list"), ("arrived", "list")])
+        yield from rows.select(["document_id", "content_hash_list", "arrived_list"]).rename_columns(["document_id", "hashes", "times"]).combine_chunks().to_batches()
 
 
 class Versions(StatefulProcessor):
@@ -75,32 +83,34 @@ class Versions(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "number int, hash string", self.ttl)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        arrived = pd.concat(list(rows)).sort_values("arrived", kind="stable")
-        number, before = self.last.get() if self.last.exists() else (0, None)
-        hashes = arrived["content_hash"]
-        shifted = hashes.shift(1)
-        shifted.iloc[0] = before
-        changed = ~((hashes == shifted) | (hashes.isna() & shifted.isna()))
-        if not number:
-            changed.iloc[0] = True
-        fresh = arrived[changed]
-        if not len(fresh):
-            return
-        numbers = range(number + 1, number + 1 + len(fresh))
-        self.last.update((numbers[-1], hashes.iloc[-1]))
-        yield pd.DataFrame({"document_id": [key[0]] * len(fresh), "version_number": list(numbers), "content_hash": fresh["content_hash"].tolist(), "arrived": fresh["arrived"].tolist()})
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        # A frame or a row for each arrival would cost more than all else here.
+        number, before = self.last.get() or (0, None)
+        hashes, times = [], []
+        for at, found in sorted((a for row in rows for a in zip(row.times, row.hashes, strict=True)), key=lambda a: (a[0] is None, a[0])):
+            if not number and not hashes or found != before:
+                hashes.append(found)
+                times.append(at)
+                before = found
+        if hashes:
+            self.last.update((number + len(hashes), before))
+            yield Row(document_id=key[0], number=number + 1, hashes=hashes, times=times)
 
 
 def version_stream(arrivals: DataFrame, forget_after: str | None = None) -> DataFrame:
     """A row for each new version of a document (document_id, content_hash, arrived), the same over batches as ingest.versions() over all rows.
 
+    Arrivals go to the state, and versions come back, in one row for a document and batch.
+
     forget_after: a document without a new version for so long loses its state, and its next arrival is version 1 again.
     """
     kinds = dict(arrivals.dtypes)
+    rows = arrivals.select("document_id", "content_hash", "arrived").mapInArrow(packed, "document_id {document_id}, hashes array<{content_hash}>, times array<{arrived}>".format(**kinds))
     out = VERSION_ROWS.format(key=kinds["document_id"], arrived=kinds["arrived"])
     mode = "none" if forget_after is None else "processingTime"
-    return arrivals.groupBy("document_id").transformWithStateInPandas(Versions(milliseconds(forget_after)), out, "append", mode)
+    found = rows.groupBy("document_id").transformWithState(Versions(milliseconds(forget_after)), out, "append", mode)
+    found = found.select("document_id", "number", F.posexplode(F.arrays_zip("hashes", "times")).alias("at", "v"))
+    return found.select("document_id", (F.col("number") + F.col("at")).alias("version_number"), F.col("v.hashes").alias("content_hash"), F.col("v.times").alias("arrived"))
 
 
 STEPS = "document_id string, state string, accepted boolean"

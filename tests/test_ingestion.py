@@ -4,6 +4,7 @@ import datetime
 import time
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,6 +188,22 @@ def test_versions_over_batches_equal_those_of_all_rows(spark, tmp_path):
     assert [n for d, n, _ in got if d == "d1"] == list(range(1, 1 + sum(d == "d1" for d, _, _ in got)))
 
 
+def test_arrivals_reach_the_state_in_one_row_for_a_document_and_batch(spark, tmp_path):
+    batch = pa.RecordBatch.from_pydict({"document_id": [2, None, 2, 1, None], "content_hash": ["a", "n", None, "c", "m"], "arrived": [5, 1, 3, 4, 2]})
+    rows = [r for b in sync.packed(iter([batch, batch.slice(0, 0)])) for r in b.to_pylist()]
+    assert {r["document_id"]: (r["hashes"], r["times"]) for r in rows} == {2: (["a", None], [5, 3]), None: (["n", "m"], [1, 2]), 1: (["c"], [4])} and len(rows) == 3
+    folder, out, check = (f"file://{tmp_path}/{n}" for n in ("in", "out", "check"))
+    at = [datetime.datetime(2024, 1, 1, second=i) for i in range(6)]
+    slices = [[(1, "a", at[1]), (1, "a", at[0]), (None, "x", at[0])], [(1, "a", at[2]), (1, None, at[3]), (2, None, at[3])], [(1, None, at[4]), (1, "a", at[5]), (None, "y", at[5])]]
+    for some in slices:
+        spark.createDataFrame(some, "document_id long, content_hash string, arrived timestamp").repartition(2).write.mode("append").parquet(folder)
+        stream = sync.version_stream(sync.file_stream(spark, folder, "document_id long, content_hash string, arrived timestamp"))
+        assert stream.columns == ["document_id", "version_number", "content_hash", "arrived"]
+        sync.run_available(stream, out, check)
+    got = {tuple(r) for r in spark.read.parquet(out).collect()}
+    assert got == {(1, 1, "a", at[0]), (1, 2, None, at[3]), (1, 3, "a", at[5]), (2, 1, None, at[3]), (None, 1, "x", at[0]), (None, 2, "y", at[5])}
+
+
 def test_state_is_forgotten(spark, tmp_path):
     folder, out, check = (f"file://{tmp_path}/{n}" for n in ("in", "out", "check"))
     schema = "document_id string, content_hash string, arrived long"
