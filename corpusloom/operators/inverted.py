@@ -37,6 +37,8 @@ from corpusloom.session import new_folder
 SHARD_DOCS = 1 << 15
 SHARD_POSTINGS = 1 << 22
 BLOCK = 128
+#: Postings of a shard that are ordered by strength at a time, or those of one term.
+SORTED = 1 << 16
 #: Queries that meet a shard in one task.
 QUERY_BLOCK = 2000
 #: Okapi BM25.
@@ -85,31 +87,39 @@ def _shard_rows(number: int, shard: _Shard) -> Iterator[pd.DataFrame]:
     blank = dict.fromkeys(("term", "n", "top_tf", "low_len", "pos", "tf", "at", "n_tokens", "chunk_id"))
     made = [{**blank, "kind": "doc", "shard": number, "at": i, "n_tokens": int(lens[i]), "chunk_id": d[0]} for i, d in enumerate(docs)]
     made.append({**blank, "kind": "block", "shard": number, "term": "", "n": 0, "tf": lens.tobytes()})
-    size = [len(n) for _, _, n in docs]
-    term = np.concatenate([t for _, t, _ in docs])
-    tf = np.concatenate([n for _, _, n in docs])
-    pos = np.repeat(np.arange(len(docs), dtype="<u2"), size)
     names = sorted(ids)
     rank = np.empty(len(names), dtype=np.int32)
     rank[[ids[t] for t in names]] = np.arange(len(names))
-    term = rank[term] if len(names) else term
+    size = [len(n) for _, _, n in docs]
+    term = rank[np.concatenate([t for _, t, _ in docs])] if len(names) else np.zeros(0, dtype=np.int32)
+    ends = np.cumsum(np.bincount(term, minlength=len(names)))
+    # Postings by term; those of a few terms at a time are ordered by strength, so that no wider arrays of all are needed.
+    order = np.argsort(term, kind="stable").astype(np.uint32)
+    term = None
+    pos = np.repeat(np.arange(len(docs), dtype="<u2"), size)[order]
+    tf = np.concatenate([n for _, _, n in docs])[order]
+    order = None
     mean = lens.mean() if len(lens) else 0.0
-    impact = tf / (tf + K1 * (1 - B + B * lens[pos] / max(mean, 1.0)))
-    order = np.lexsort((pos, -impact, term))
-    term, tf, pos = term[order], tf[order], pos[order]
-    ends = np.append(np.nonzero(np.diff(term))[0] + 1, len(term)) if len(term) else np.zeros(0, dtype=np.int64)
-    begin = 0
-    for end in ends.tolist():
-        for at in range(begin, end, BLOCK):
-            part = slice(at, min(at + BLOCK, end))
-            made.append({
-                **blank, "kind": "block", "shard": number, "term": names[term[at]].decode(), "n": part.stop - at, "top_tf": int(tf[part].max()),
-                "low_len": int(lens[pos[part]].min()), "pos": pos[part].tobytes(), "tf": tf[part].tobytes(),
-            })
-        begin = end
-        if len(made) >= 10_000:
-            yield pd.DataFrame(made)
-            made = []
+    first = begin = 0
+    while first < len(names):
+        last = max(first + 1, int(np.searchsorted(ends, begin + SORTED, side="right")))
+        span = slice(begin, int(ends[last - 1]))
+        begins = np.append(begin, ends[first : last - 1])
+        own, count = pos[span], tf[span]
+        impact = count / (count + K1 * (1 - B + B * lens[own] / max(mean, 1.0)))
+        order = np.lexsort((own, -impact, np.repeat(np.arange(first, last), ends[first:last] - begins)))
+        pos[span], tf[span] = own[order], count[order]
+        for number_of, low, high in zip(range(first, last), begins.tolist(), ends[first:last].tolist(), strict=True):
+            for at in range(low, high, BLOCK):
+                part = slice(at, min(at + BLOCK, high))
+                made.append({
+                    **blank, "kind": "block", "shard": number, "term": names[number_of].decode(), "n": part.stop - at, "top_tf": int(tf[part].max()),
+                    "low_len": int(lens[pos[part]].min()), "pos": pos[part].tobytes(), "tf": tf[part].tobytes(),
+                })
+            if len(made) >= 10_000:
+                yield pd.DataFrame(made)
+                made = []
+        first, begin = last, span.stop
     if made:
         yield pd.DataFrame(made)
 

@@ -318,3 +318,20 @@ def test_a_shard_holds_a_term_once_and_eight_bytes_a_posting():
     assert sum(t.nbytes + n.nbytes for _, t, n in shard.docs) == 8 * shard.postings
     rows = next(iter(inverted._shard_rows(0, shard)))
     assert rows[(rows["kind"] == "block") & (rows["term"] == "alpha")]["n"].sum() == 49
+
+
+def test_a_shard_is_written_in_few_bytes_a_posting():
+    """What a shard needs beside its postings while it is put in order: less than 30 bytes a posting, blocks included."""
+    import tracemalloc
+
+    words = np.array([f"w{i}" for i in range(20000)])
+    shard = inverted._Shard()
+    for i, at in enumerate(np.random.default_rng(1).zipf(1.3, size=(10000, 250)) % len(words)):
+        shard.add(i, " ".join(words[at]).encode())
+    tracemalloc.start()
+    try:
+        rows = sum(int(f["n"].fillna(0).sum()) for f in inverted._shard_rows(0, shard))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == shard.postings and peak < 30 * shard.postings
