@@ -9,9 +9,9 @@ pruned by the payload filter.
 
 search() sends queries to the groups that hold the cells nearest to them, scores the
 codes of those cells, and rescores a shortlist with the stored vectors beside them; a
-group sends on its k best. With exact=True it goes on: as a score cannot be off by more
-than what the bytes of a row miss, every row of any cell that may still reach the k-th
-best score found is rescored too, which gives exactly the hits of a full search.
+tile, a few groups with a block of queries, sends on its k best. With exact=True it goes
+on: every row of any cell whose score by single-precision products of the stored vectors may
+still reach the k-th best score found is rescored too, which gives exactly the hits of a full search.
 
 Scores are cosines; ties go to the smaller chunk_id. Null vectors are not indexed;
 zero vectors have score 0 with everything; a vector of another size is an error.
@@ -49,11 +49,17 @@ SHORTLIST = 10
 TARGET_RECALL = 0.97
 NEAR = 10
 TRIED = 256
-#: Rows of a group of cells and queries that meet in one task.
+#: Rows of a group of cells. A shortlist is made of a group, and one group at a time is held as arrays.
 ROW_BLOCK = 20_000
-QUERY_BLOCK = 2000
-#: Rows compared with all centres at a time.
-SLICE = 256
+#: Queries and groups of a tile, which meet in one task. Both grow to these bounds once there are more than TILES tiles, as a
+#: row is sent once for every block of queries, and a query once for every row of tiles.
+QUERY_BLOCK, MOST_QUERIES = 2000, 8000
+MOST_GROUPS = 4
+TILES = 32
+#: Rows compared with all centres, and queries compared with a group, at a time.
+SLICE, QUERY_SLICE = 256, 128
+#: The best of a row of scores are looked for among the maxima of so many scores each.
+FOLD = 16
 SLACK = 1e-5
 
 
@@ -226,70 +232,166 @@ def _groups(index: VectorIndex) -> _Groups:
     return _Groups(first, spread)
 
 
+def _tiling(groups: int, queries: int) -> tuple[int, int]:
+    """Groups of a tile, and blocks of queries."""
+    blocks = max(1, math.ceil(queries / MOST_QUERIES), min(math.ceil(queries / QUERY_BLOCK), math.ceil(TILES / groups)))
+    return min(MOST_GROUPS, max(1, groups * blocks // TILES)), blocks
+
+
 def _probes(codec: Codec, groups: _Groups, probes: int) -> Callable[[Column], Column]:
-    """The nearest cells of a query, and the groups that hold rows of them."""
+    """The nearest cells of a query, in numbers and as bits, and the groups that hold rows of them."""
+    held = np.zeros((len(groups.first), groups.n), dtype=bool)
+    for c, (first, spread) in enumerate(zip(groups.first, groups.spread, strict=True)):
+        held[c, first : first + spread] = True
 
-    @F.pandas_udf("struct<cells:array<int>,groups:array<int>>")
+    @F.pandas_udf("struct<cells:array<int>,bits:binary,groups:array<int>>")
     def run(vectors: pd.Series) -> pd.DataFrame:
-        at = [codec.nearest_cells(v)[:probes] for v in normed(vectors.tolist(), codec.dim)]
-        of = [np.unique(np.concatenate([np.arange(groups.first[c], groups.first[c] + groups.spread[c]) for c in cells])) for cells in at]
-        return pd.DataFrame({"cells": [c.astype(np.int32) for c in at], "groups": [g.astype(np.int32) for g in of]})
+        at = [codec.nearest_cells(v)[:probes].astype(np.int32) for v in normed(vectors.tolist(), codec.dim)]
+        bits = []
+        for cells in at:
+            some = np.zeros(len(held), dtype=bool)
+            some[cells] = True
+            bits.append(np.packbits(some).tobytes())
+        return pd.DataFrame({"cells": at, "bits": bits, "groups": [np.flatnonzero(held[cells].any(axis=0)).astype(np.int32) for cells in at]})
 
     return run
 
 
-def _search_group(codec: Codec, k: int, keep: int | None, digits: int | None) -> Callable:
-    """The k best rows of a group for each query, by the stored vectors: of the `keep` best by codes in the probed cells, or of all that may reach the query's `least`."""
+def _folds(rows: int, k: int) -> int:
+    """How many scores a maximum is taken of, so that there are enough maxima."""
+    return max(1, min(FOLD, rows // (4 * k)))
+
+
+def _reaching(near: np.ndarray, k: int, fold: int, lowered: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the scores that reach the bound of their row: the k-th of the maxima of `fold` scores each, -inf for fewer, lowered."""
+    table = near.reshape(len(near), fold, -1)
+    most = table.max(axis=1)
+    width = most.shape[1]
+    bound = np.partition(most, width - k, axis=1)[:, width - k] if width >= k else np.full(len(near), -np.inf)
+    bound = np.maximum(lowered(bound), np.finfo(np.float32).min)
+    query, at = np.nonzero(most >= bound[:, None])
+    pair, part = np.nonzero(table[query, :, at] >= bound[query, None])
+    return query[pair], part * width + at[pair]
+
+
+def _k_best(query: np.ndarray, score: np.ndarray, order: np.ndarray, k: int, digits: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Places and rounded scores of the k best of each query, ties by order. query: ascending numbers from 0."""
+    count = np.bincount(query)
+    place = np.arange(len(query)) - (np.cumsum(count) - count)[query]
+    at = np.arange(len(query))
+    if count.max(initial=0) > k:
+        # What is under the k-th by more than rounding can lift is left out before it is sorted.
+        table = np.full((len(count), count.max()), -np.inf)
+        table[query, place] = score
+        least = np.partition(table, -k, axis=1)[:, -k] - (0.0 if digits is None else 10.0**-digits)
+        at = at[score >= least[query]]
+    shown = retrieve.rounded(score[at], digits)
+    best = np.lexsort((order[at], -shown, query[at]))
+    at, shown = at[best], shown[best]
+    count = np.bincount(query[at])
+    keep = np.arange(len(at)) - (np.cumsum(count) - count)[query[at]] < k
+    return at[keep], shown[keep]
+
+
+@dataclass(frozen=True)
+class _Rows:
+    """Rows of a group in order of cells: stored vectors at unit length, places in order of ids, and what is multiplied, the stored vectors or what the codes say of them."""
+
+    x: np.ndarray
+    order: np.ndarray
+    cell: np.ndarray
+    compared: np.ndarray
+
+    def near(self, part: np.ndarray, probed: np.ndarray | None, fold: int) -> np.ndarray:
+        """Scores of queries in single precision, -inf for rows of cells that a query does not look into and for columns after the last row."""
+        part, n = part.astype(np.float32), len(self.cell)
+        out = np.full((len(part), -(-n // fold) * fold), -np.inf, dtype=np.float32)
+        if probed is None:
+            out[:, :n] = part @ self.compared.T
+            return out
+        own, begins = np.unique(self.cell, return_index=True)
+        for c, low, high in zip(own, begins, np.append(begins[1:], n), strict=True):
+            some = np.flatnonzero(probed[:, c])
+            out[some, low:high] = part[some] @ self.compared[low:high].T
+        return out
+
+    def best(self, part: np.ndarray, probed: np.ndarray | None, least: np.ndarray, k: int, keep: int | None, digits: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Queries, rows and rounded scores of the k best for each query, by the stored vectors: of at least the `keep` best by codes in the probed cells, or of all rows."""
+        fold = _folds(len(self.cell), keep or k)
+        near = self.near(part, probed, fold)
+        # Of all rows: off by rounding to `digits`, and by single precision on either side.
+        off = SLACK + self.x.shape[1] * 2.0**-21 + (0.0 if digits is None else 10.0**-digits)
+        query, row = _reaching(near, keep or k, fold, (lambda bound: bound) if keep else lambda bound: np.maximum(bound, least) - off)
+        # Many rows alike: one query at a time.
+        crowded = np.bincount(query, minlength=len(part)) > 4 * (keep or k) + 64
+        if crowded.any():
+            few = ~crowded[query]
+            pairs = [(query[few], row[few])]
+            for i in np.flatnonzero(crowded):
+                at = row[query == i]
+                best = retrieve.best_of(near[i, at].astype(np.float64), keep, self.order[at])[0] if keep else retrieve.best_of(self.x[at] @ part[i], k, self.order[at], digits)[0]
+                pairs.append((np.full(len(best), i), np.sort(at[best])))
+            query, row = (np.concatenate(side) for side in zip(*pairs, strict=True))
+            sort = np.argsort(query, kind="stable")
+            query, row = query[sort], row[sort]
+        at, shown = _k_best(query, np.einsum("ij,ij->i", self.x[row], part[query]), self.order[row], k, digits)
+        return query[at], row[at], shown
+
+
+def _search_tile(codec: Codec, k: int, keep: int | None, digits: int | None) -> Callable:
+    """The k best rows of a tile for each query: see _Rows.best()."""
 
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        asked, found, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        asked, found, scores, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
+        # In order, so that the same products are made on every run.
+        rows, queries = rows.sort_by([(name, "ascending") for name in ("grp", "cell", "chunk_id")]), queries.sort_by("qid")
         if rows.num_rows and queries.num_rows:
-            rows = rows.sort_by("cell")
-            cell, miss, order = retrieve.column(rows, "cell").to_numpy(), retrieve.column(rows, "miss").to_numpy(), retrieve.id_order(rows, "chunk_id")
-            back = codec.decode(cell, np.frombuffer(b"".join(rows["codes"].to_pylist()), dtype=np.uint8).reshape(len(cell), -1))
-            x = retrieve.matrix(retrieve.column(rows, "vector"), codec.dim)
-            own, begins = np.unique(cell, return_index=True)
-            ends = np.append(begins[1:], len(cell))
+            order, group, vectors = retrieve.id_order(rows, "chunk_id"), retrieve.column(rows, "grp").to_numpy(), retrieve.column(rows, "vector")
             q = retrieve.matrix(retrieve.column(queries, "query_vector"), codec.dim)
-            least, cells = retrieve.column(queries, "least").to_numpy(zero_copy_only=False), queries["cells"].to_pylist()
-            for begin in range(0, len(q), SLICE):
-                part = q[begin : begin + SLICE]
-                if keep is None:
-                    exact = part @ x.T
-                    exact[part @ back.T + miss < least[begin : begin + SLICE, None] - SLACK] = -np.inf
-                    got = [retrieve.best_of(s, k, order, digits) for s in exact]
-                else:
-                    near = np.full((len(part), len(cell)), -np.inf)
-                    probed = np.zeros((len(part), len(codec.centres)), dtype=bool)
-                    for i, some in enumerate(cells[begin : begin + SLICE]):
-                        probed[i, some] = True
-                    for c, low, high in zip(own, begins, ends, strict=True):
-                        some = np.nonzero(probed[:, c])[0]
-                        near[some, low:high] = part[some] @ back[low:high].T
-                    got = []
-                    for v, s in zip(part, near, strict=True):
-                        at = retrieve.best_of(s, keep, order)[0]
-                        best, shown = retrieve.best_of(x[at] @ v, k, order[at], digits)
-                        got.append((at[best], shown))
-                for i, (at, shown) in enumerate(got):
-                    asked.append(np.full(len(at), begin + i))
-                    found.append(at)
+            usable = np.flatnonzero(np.isfinite(q).all(axis=1))
+            least = retrieve.column(queries, "least").to_numpy(zero_copy_only=False)
+            bits = None if keep is None else np.frombuffer(b"".join(queries["bits"].to_pylist()), dtype=np.uint8).reshape(len(q), -1)
+            begins = np.flatnonzero(np.diff(group, prepend=-1))
+            for low, high in zip(begins, np.append(begins[1:], len(group)), strict=True):
+                held = _held(codec, rows.slice(low, high - low), retrieve.matrix(vectors.slice(low, high - low), codec.dim), order[low:high], keep is not None)
+                if not len(held[1].cell):
+                    continue
+                for begin in range(0, len(usable), QUERY_SLICE):
+                    at = usable[begin : begin + QUERY_SLICE]
+                    probed = None if bits is None else np.unpackbits(bits[at], axis=1).astype(bool)
+                    query, row, shown = held[1].best(q[at], probed, least[at], k, keep, digits)
+                    asked.append(at[query])
+                    found.append(low + held[0][row])
                     scores.append(shown)
-        pick = lambda side, name, at: side[name].take(pa.array(np.concatenate(at)))
-        return pa.table({"qid": pick(queries, "qid", asked), "chunk_id": pick(rows, "chunk_id", found), "score": np.concatenate(scores)})
+                    places.append(held[1].order[row])
+        asked, found, scores, places = (np.concatenate(x) for x in (asked, found, scores, places))
+        sort = np.argsort(asked, kind="stable")
+        best, shown = _k_best(asked[sort], scores[sort], places[sort], k, None)
+        at = sort[best]
+        return pa.table({"qid": queries["qid"].take(pa.array(asked[at])), "chunk_id": rows["chunk_id"].take(pa.array(found[at])), "score": shown})
 
     return run
 
 
+def _held(codec: Codec, rows: pa.Table, x: np.ndarray, order: np.ndarray, by_codes: bool) -> tuple[np.ndarray, _Rows]:
+    """A group's rows that have a direction, by number, and as arrays."""
+    at = np.flatnonzero(np.isfinite(x).all(axis=1))
+    cell = retrieve.column(rows, "cell").to_numpy()[at]
+    compared = codec.decode(cell, np.frombuffer(b"".join(rows["codes"].to_pylist()), dtype=np.uint8).reshape(len(x), -1)[at]) if by_codes else x[at]
+    return at, _Rows(x[at], order[at], cell, compared.astype(np.float32))
+
+
 def _found(index: VectorIndex, asked: DataFrame, rows: DataFrame, groups: _Groups, k: int, keep: int | None, digits: int | None) -> DataFrame:
-    """qid, chunk_id, score, rank. asked: qid, query_vector, least, cells, groups; a group and a block of queries meet in one task."""
-    blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
+    """qid, chunk_id, score, rank. asked: qid, query_vector, least, bits, groups; a tile of groups and a block of queries meet in one task."""
+    per, blocks = _tiling(groups.n, asked.count())
     first, spread = (F.array(*map(F.lit, x.tolist())) for x in (groups.first, groups.spread))
     at = F.get(first, F.col("cell")) + F.pmod(F.xxhash64("chunk_id"), F.get(spread, F.col("cell")))
-    left = rows.select("cell", "chunk_id", "vector", "codes", "miss", at.cast("int").alias("grp"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"))
-    right = asked.select("qid", "query_vector", "least", "cells", F.explode("groups").alias("grp"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("part"))
+    left = rows.select("cell", "chunk_id", "vector", "codes", at.cast("int").alias("grp"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"))
+    left = left.withColumn("tile", F.floor(F.col("grp") / per).cast("int"))
+    tiles = F.array_distinct(F.transform("groups", lambda g: F.floor(g / per).cast("int")))
+    right = asked.select("qid", "query_vector", "least", "bits", F.explode(tiles).alias("tile"), F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("part"))
     out = T.StructType([asked.schema["qid"], rows.schema["chunk_id"], T.StructField("score", T.DoubleType())])
-    hits = left.groupBy("grp", "part").cogroup(right.groupBy("grp", "part")).applyInArrow(_search_group(index.codec, k, keep, digits), out)
+    hits = left.groupBy("tile", "part").cogroup(right.groupBy("tile", "part")).applyInArrow(_search_tile(index.codec, k, keep, digits), out)
     return ranked(hits, k, F.desc("score"), F.col("chunk_id"))
 
 
@@ -306,7 +408,7 @@ def search(
     rows = index.rows if where is None else index.rows.where(where)
     groups = _groups(index)
     asked = queries.where(F.col("query_vector").isNotNull()).withColumn("_p", _probes(index.codec, groups, probes)("query_vector"))
-    asked = stored(asked.select("qid", "query_vector", F.lit(None).cast("double").alias("least"), "_p.cells", "_p.groups"), "probes")
+    asked = stored(asked.select("qid", "query_vector", F.lit(None).cast("double").alias("least"), "_p.cells", "_p.bits", "_p.groups"), "probes")
     probed = rows
     if probes < n:
         # As many numbers as there are cells, so that the scan is narrowed to the partitions asked for.
@@ -317,6 +419,6 @@ def search(
     # The k-th best score, if there are as many; every row that may reach it is looked at.
     last = stored(hits, "approximate-hits").where(F.col("rank") == k).select("qid", F.col("score").alias("_least"))
     every = asked.join(last, "qid", "left").select(
-        "qid", "query_vector", F.coalesce("_least", F.lit(-2.0)).alias("least"), F.lit(None).cast("array<int>").alias("cells"), F.sequence(F.lit(0), F.lit(groups.n - 1)).alias("groups")
+        "qid", "query_vector", F.coalesce("_least", F.lit(-2.0)).alias("least"), "bits", F.sequence(F.lit(0), F.lit(groups.n - 1)).alias("groups")
     )
     return _found(index, every, rows, groups, k, None, digits)

@@ -310,6 +310,41 @@ def test_groups_of_cells(spark, monkeypatch):
     assert found(vector_index.search(asked(spark, x, [1, 6, 9]), index, 7, exact=True, digits=6)) == {q: best(x, q, 7) for q in (1, 6, 9)}
 
 
+def test_tiles_grow_with_the_queries_and_groups_up_to_a_bound():
+    # 6 times the rows and queries: a row is sent 4 times instead of 16, a query to 11 tiles instead of 31.
+    assert vector_index._tiling(6, 5129) == (1, 3)
+    assert vector_index._tiling(31, 30770) == (3, 4)
+    assert vector_index._tiling(3000, 3_000_000) == (vector_index.MOST_GROUPS, 375)
+    assert vector_index._tiling(1, 0) == (1, 1)
+
+
+def test_tiles_find_what_single_groups_find(spark, monkeypatch):
+    x = clustered(900)
+    index = vector_index.build(points(spark, x), cells=20)
+    ids = list(range(0, 900, 7))
+    got = {}
+    for name, settings in {"single": (1, 1000, 1000), "tiles": (4, 10, 40)}.items():
+        for setting, value in zip(("MOST_GROUPS", "QUERY_BLOCK", "MOST_QUERIES"), settings, strict=True):
+            monkeypatch.setattr(vector_index, setting, value)
+        monkeypatch.setattr(vector_index, "ROW_BLOCK", 60)
+        groups = vector_index._groups(index).n
+        got[name] = vector_index._tiling(groups, len(ids)), found(vector_index.search(asked(spark, x, ids), index, 4, probes=6, shortlist=3, digits=6))
+        assert found(vector_index.search(asked(spark, x, ids), index, 4, exact=True, probes=2, digits=6)) == {q: best(x, q, 4) for q in ids}
+    assert got["single"][0][0] == 1 and got["tiles"][0][0] > 1 and got["tiles"][0][1] > 1
+    assert got["single"][1] == got["tiles"][1]
+
+
+def test_copies_in_a_group_and_a_query_that_is_no_number(spark):
+    # 300 rows alike are more than a shortlist holds.
+    x = clustered(700)
+    x[100:400] = x[100]
+    index = vector_index.build(points(spark, x), cells=6)
+    ids = [3, 100, 250, 650]
+    queries = asked(spark, x, ids).unionByName(spark.createDataFrame([(-1, [float("nan")] * 18)], "qid long, query_vector array<float>"))
+    for exact in (True, False):
+        assert found(vector_index.search(queries, index, 10, probes=6, exact=exact, digits=6)) == {q: best(x, q, 10) for q in ids}
+
+
 def test_a_shard_holds_a_term_once_and_eight_bytes_a_posting():
     shard = inverted._Shard()
     for i in range(50):
