@@ -147,16 +147,17 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def language_scores(tokens: Column) -> dict[str, Column]:
-    share = lambda known: F.size(F.filter(tokens, lambda t: t.isin(list(known)))) / F.size(tokens)
+    # No tokens give scores of 0, as a division by zero is an error.
+    share = lambda known: F.size(F.filter(tokens, lambda t: t.isin(list(known)))) / F.greatest(F.size(tokens), F.lit(1))
     return {lang: share(words) for lang, words in STOPWORDS.items()}
 
 
 def detect_language(tokens: Column) -> Column:
-    """Language of highest stop-word density over Latin tokens; first of en, fr, de, es on ties; `und` below the limits."""
+    """Language of highest stop-word density over Latin tokens; first of en, fr, de, es on ties; `und` below the limits, null for null."""
 
     def pick(c: Column) -> Column:
         best = F.greatest(*[c[lang] for lang in STOPWORDS])
-        found = F.lit("und")
+        found = F.lit(None)
         for lang in reversed(list(STOPWORDS)):
             found = F.when(c[lang] == best, lang).otherwise(found)
         return F.when((c["n"] < LANGUAGE_MIN_TOKENS) | (best < LANGUAGE_MIN_RATIO), "und").otherwise(found)

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from corpusloom.functions import hashing, text
+from corpusloom.operators import normalize
 
 
 def column(spark, values, make):
@@ -66,6 +67,14 @@ def test_language(spark):
     assert column(spark, list(cases), lambda c: text.detect_language(text.latin_tokens(c))) == list(cases.values())
 
 
+def test_texts_without_latin_words_have_no_language(spark):
+    cases = ["", " \n", "中文 文本", "!!! ---", "the and", None]
+    detected = lambda c: text.detect_language(text.latin_tokens(c))
+    assert column(spark, cases, detected) == ["und"] * 5 + [None]
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    assert {r.doc_id: r.language for r in normalize.describe(docs).collect()} == {i: None if t is None else "und" for i, t in enumerate(cases)}
+
+
 def test_name_based_ids(spark):
     got = column(spark, ["é|x", "", "a"], lambda c: hashing.uuid5(hashing.URL_NAMESPACE, c))
     assert got == [str(uuid.uuid5(uuid.NAMESPACE_URL, t)) for t in ("é|x", "", "a")]
